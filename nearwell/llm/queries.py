@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid
+from . import bpe, fingerprints, langid, licenses, mixing, ngram_jaccard, pii
+
+from .common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,22 @@ def ranks_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of as many tokens as documents has, and no source read more than 1.25 times."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_tokens(F.col("text")).alias("n_tokens"))
+    docs = materialize(spark, docs, "tokens")
+    budget = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.mix(docs, tokens="n_tokens", budget=budget, max_repetition=1.25, seed=1)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(_table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protected(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -28,14 +47,22 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks_file())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_pii": op3_pii,
     "op5_language_id": op5_language_id,
     "op7_fingerprints": op7_fingerprints,
+    "op8_licenses": op8_licenses,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
