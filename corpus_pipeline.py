@@ -1,11 +1,82 @@
-"""A training-data pipeline over documents; STAGES run in order, each on what its predecessor kept."""
+"""A training-data pipeline over documents; STAGES run in order, each on all that its predecessor kept.
 
-STAGES: list = []
-ORACLE_SQL = None
+Language identification drops what no language fits (and labels rows without a language), the n-gram Jaccard join leaves one document of
+each group of near copies, personal data get pseudonyms, sources are mixed to a temperature under which none is read more than
+MAX_REPETITION times as often as another and none loses a document, and the byte-level BPE encodes what is left.
 
+Defined cases: an empty table passes through; a row without a doc_id is kept unless it has no language; repeated rows of a doc_id count as
+one document and leave one row; columns beyond those of documents are dropped.
+"""
 
-def run(spark, sf_dir):
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearwell import ship
+from nearwell.llm import bpe, langid, mixing, ngram_jaccard, pii
+from nearwell.llm.common import materialize
+from nearwell.llm.queries import ranks_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_SCORE = 0.2  # below it no language is near
+MAX_REPETITION = 1.5
+ORACLE_SQL = None  # profiles, keyed permutations and tokens are beyond SQL: the tests compare with brute force
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents with a language (not `und`, score of MIN_SCORE or more); a null lang becomes the predicted one."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    found = langid.predict(docs, langid.fit(docs.where(~held)))
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each component."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    found = ngram_jaccard.components(docs).where("component_id = doc_id").select("doc_id")
+    first = materialize(spark, found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = first.where("n > 1").select("doc_id")
+    if repeated.take(1):
+        one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return kept.select(*COLUMNS)
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms for personal data and secrets; n_chars follows the text."""
+    ship(spark)
+    out = pii.protect(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources, so that the sources have the weights of the temperature mix; every document is read at least once."""
+    ship(spark)
+    return mixing.mix(docs.select(*COLUMNS), max_repetition=MAX_REPETITION, seed=1).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, decodes (the bytes decoded from ids are the text's)."""
+    ship(spark)
+    coded = bpe.tokenised(docs.select("doc_id", "lang", "source", "text"), ranks_file())
+    same = F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("decodes"))
+
+
+STAGES = [("language identification", language), ("n-gram Jaccard join", near_duplicates), ("PII", privacy), ("source mixing", mixture), ("byte-level BPE", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every other stage's are written as a table and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(spark, docs, f"stage{k}")
     return docs

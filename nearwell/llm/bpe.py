@@ -275,11 +275,23 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
     return docs.mapInArrow(run, schema)
 
 
+def _numbers(known: list[tuple[str, bytes, int]]) -> np.ndarray:
+    return np.fromstring(",".join([k[0] for k in known]), np.int32, sep=",") if known else np.zeros(0, np.int32)
+
+
 class _Ids:
     types = (pa.list_(pa.int32()),)
 
     def __call__(self, known):
-        return ([int(x) for s, _, _ in known for x in s.split(",")],)
+        return (_numbers(known),)
+
+
+class _Tokens:
+    types = (pa.int64(), pa.list_(pa.int32()), pa.string())
+
+    def __call__(self, known):
+        ids = _numbers(known)
+        return len(ids), ids, hashlib.sha256(b"".join([k[1] for k in known])).hexdigest()
 
 
 class _Digests:
@@ -322,6 +334,12 @@ def digests(docs: DataFrame, ranks_file: str, text: str = "text") -> DataFrame:
     return _mapped(docs, text, ranks_file, fields, _Digests())
 
 
+def tokenised(docs: DataFrame, ranks_file: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens, ids and decoded_sha256."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(docs, text, ranks_file, fields, _Tokens())
+
+
 def token_digests(docs: DataFrame, ranks_file: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
     return digests(docs.select("doc_id", F.col("text")), ranks_file).drop("text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, mixing, ngram_jaccard, pii
+from . import bpe, exact_topk, fingerprints, langid, licenses, mixing, ngram_jaccard, pii, repeats, warc
 
 from .common import materialize
 
@@ -39,10 +39,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protected(_table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks_file())
 
@@ -59,10 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii": op3_pii,
+    "op4_exact_topk": op4_exact_topk,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_licenses": op8_licenses,
+    "op9_repeats": op9_repeats,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op4_exact_topk": exact_topk.oracle(), "op8_licenses": licenses.oracle()}
