@@ -176,3 +176,42 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     row = row.withColumn("times", times).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     place = (F.col("epoch") + (_rank(F.col("epoch"), seed) + F.col("hash") / F.lit(float(1 << 48))) / F.col("blocks")) / F.greatest(F.lit(1.0), F.col("target") / F.greatest(F.col("src_tokens"), F.lit(1)))
     return row.select("row.*", F.col("epoch").alias("mix_epoch"), F.least(place, F.lit(1.0)).alias("mix_place"), F.col("weight").alias("mix_weight"))
+
+
+def oracle(seed: int, max_repetition: float, table: str = "documents") -> str:
+    """DuckDB SQL of mix() over doc_id and source for a budget of as many tokens as the table has: every exponent of the grid is tried."""
+    h = lambda *parts: f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::BIGINT"
+    rank = lambda epoch: f"((mult[({epoch}) % {MULTIPLIERS} + 1] * (h % blocks) + {h(repr(str(seed)), 'src', repr('pass'), f'({epoch})::VARCHAR')} % blocks) % blocks)"
+    return f"""
+WITH d AS (
+    SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens,
+        coalesce('s' || source, 'n') AS src, {h(repr(str(seed)), 'doc_id::VARCHAR')} AS h
+    FROM {table}
+),
+t AS (SELECT src, sum(n_tokens)::BIGINT AS n FROM d GROUP BY src),
+b AS (SELECT sum(n)::BIGINT AS budget, greatest({BLOCK_TOKENS}, ceil(sum(n) / {MAX_BLOCKS}))::BIGINT AS size FROM t),
+tried AS (SELECT k, sum(power(n / budget, k / {GRID}.0)) AS norm, max(power(n / budget, k / {GRID}.0) / n) AS most FROM t, b, (SELECT unnest(range(0, {GRID} + 1)) AS k) WHERE n > 0 GROUP BY k),
+chosen AS (SELECT coalesce((SELECT min(k) FROM tried, b WHERE most / norm * budget <= {max_repetition}), {GRID}) AS k),
+w AS (SELECT src, n, CASE WHEN n > 0 THEN power(n / budget, chosen.k / {GRID}.0) / norm ELSE 0 END AS weight FROM t, b, chosen JOIN tried ON tried.k = chosen.k),
+s AS (
+    SELECT src, n, weight, least(floor(budget * weight), floor({max_repetition} * n))::BIGINT AS target, greatest(1, ceil(n / size))::BIGINT AS blocks FROM w, b
+),
+m AS (
+    SELECT *, CASE WHEN n > 0 THEN target // n ELSE 1 END AS passes, CASE WHEN n > 0 THEN target % n ELSE 0 END AS rest,
+        [{', '.join(f"list_filter(range(1 + {h(repr(str(seed)), 'src', repr(str(j)))} % blocks, 2 + 2 * blocks), lambda x: gcd(x, blocks) = 1)[1]" for j in range(MULTIPLIERS))}] AS mult
+    FROM s
+),
+p AS (SELECT d.*, m.* EXCLUDE (src), {rank('passes')} AS r FROM d JOIN m USING (src)),
+q AS (SELECT src, r, rest, sum(n_tokens) AS n, coalesce(sum(sum(n_tokens)) OVER (PARTITION BY src ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WHERE rest > 0 GROUP BY src, r, rest),
+c AS (SELECT src, r AS cut, rest - before AS room FROM q WHERE before <= rest AND before + n > rest),
+u AS (SELECT src, h, room, sum(n_tokens) OVER (PARTITION BY src ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p JOIN c USING (src) WHERE r = cut),
+l AS (SELECT src, max(h) AS last FROM u WHERE upto <= room GROUP BY src),
+x AS (
+    SELECT p.*, passes + CASE WHEN rest > 0 AND (r < coalesce(cut, 0) OR (r = coalesce(cut, 0) AND h <= coalesce(last, -1))) THEN 1 ELSE 0 END AS times
+    FROM p LEFT JOIN c USING (src) LEFT JOIN l USING (src)
+),
+y AS (SELECT *, unnest(range(0, times))::BIGINT AS mix_epoch FROM x)
+SELECT doc_id, source, n_tokens, mix_epoch,
+    round(least(1.0, (mix_epoch + ({rank('mix_epoch')} + h / {1 << 48}.0::DOUBLE) / blocks) / greatest(1.0, target / greatest(n, 1))), 9)::DOUBLE AS mix_place, round(weight, 9)::DOUBLE AS mix_weight
+FROM y
+"""

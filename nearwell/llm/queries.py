@@ -12,6 +12,9 @@ from . import bpe, exact_topk, fingerprints, langid, licenses, mixing, ngram_jac
 from .common import materialize
 
 
+MIX_SEED, MIX_REPETITION = 1, 1.25
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +31,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_tokens(F.col("text")).alias("n_tokens"))
     docs = materialize(spark, docs, "tokens")
     budget = docs.agg(F.sum("n_tokens")).first()[0] or 0
-    return mixing.mix(docs, tokens="n_tokens", budget=budget, max_repetition=1.25, seed=1)
+    out = mixing.mix(docs, tokens="n_tokens", budget=budget, max_repetition=MIX_REPETITION, seed=MIX_SEED)
+    return out.withColumns({c: F.round(c, 9) for c in ("mix_place", "mix_weight")})
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_topk": exact_topk.oracle(), "op8_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle(MIX_SEED, MIX_REPETITION), "op4_exact_topk": exact_topk.oracle(), "op8_licenses": licenses.oracle()}
