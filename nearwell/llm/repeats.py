@@ -57,7 +57,9 @@ def minimisers(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _keyed(length: int, k: int, parts: int):
-    """(key, cls, doc, at, size) of every range of string starts around every minimiser of texts (doc, text), once per text and task."""
+    """(key, cls, doc, at, size, side) of every range of string starts around every minimiser of texts (doc, text), once per text and task.
+
+    side 1: the text holds the range more than once; side 2: a span that is known to go."""
     step = (length - k) // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,39 +106,84 @@ def _keyed(length: int, k: int, parts: int):
                     out.append((key, cls, ids[a + text[ok]], l - first[ok], r - l))
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 if len(columns[0]):
-                    yield pa.record_batch([pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), pa.array(columns[2]), pa.array(columns[3].astype(np.int32)), pa.array(columns[4].astype(np.int32))], names=["key", "cls", "doc", "at", "size"])
+                    yield _condensed(columns)
 
     return run
 
 
+def _condensed(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Ranges that a text repeats by itself stand for one another: one of them goes on, marked as a copy, and their union is a span.
+
+    A text in which few words recur thousands of times would else send as many rows to one key. Spans (side 1) need no key; they travel
+    under their text's hash.
+    """
+    key, cls, doc, at, size = columns
+    order = np.lexsort((at, doc, cls, key))
+    key, cls, doc, at, size = (c[order] for c in (key, cls, doc, at, size))
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1])
+    many = np.diff(np.concatenate((np.flatnonzero(first), [len(key)])))
+    again = np.repeat(many > 1, many)
+    s, e, d = at[again], (at + size)[again], doc[again]
+    order = np.lexsort((s, d))
+    s, e, d = s[order], e[order], d[order]
+    # spans of a text that touch become one: the furthest end so far decides
+    lift = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]).astype(np.int64)))) * (1 << 40) if len(d) else np.zeros(0, np.int64)
+    far = np.maximum.accumulate(e + lift) if len(d) else lift
+    opens = np.ones(len(d), bool)
+    opens[1:] = (s + lift)[1:] > far[:-1]
+    at_open = np.flatnonzero(opens)
+    ends = (far - lift)[np.concatenate((at_open[1:] - 1, [len(d) - 1]))] if len(d) else far
+    s, d = s[at_open], d[at_open]
+    one = np.flatnonzero(first)
+    parts = (
+        (key[one].view(np.int64), d),
+        (cls[one].view(np.int64), np.zeros(len(d), np.int64)),
+        (doc[one], d),
+        (at[one], s),
+        (size[one], ends - s),
+        ((many > 1).astype(np.int8), np.full(len(d), 2, np.int8)),
+    )
+    columns = [np.concatenate(p) for p in parts]
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int8)
+    return pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["key", "cls", "doc", "at", "size", "side"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, cls, doc, at): ranges that are copies as they stand (ask false), and a context per class where classes differ."""
     names = ["key", "cls", "doc", "at", "size", "ask", "alone"]
 
     def settle(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        key, cls, doc, at, size = rows
+        known = [x[rows[5] == 2] for x in rows[:5]]
+        key, cls, doc, at, size, side = (x[rows[5] != 2] for x in rows)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        key, cls, doc, at, size = (x[new] for x in (key, cls, doc, at, size))
+        key, cls, doc, at, size, side = (x[new] for x in (key, cls, doc, at, size, side))
         same_class = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
-        opens = np.concatenate(([True], ~same_class))
-        shared = np.concatenate((same_class, [False])) | np.concatenate(([False], same_class))
+        opens = np.concatenate((np.ones(min(len(key), 1), bool), ~same_class))
+        edge = np.zeros(min(len(key), 1), bool)
+        copies = np.flatnonzero(np.concatenate((same_class, edge)) | np.concatenate((edge, same_class)))
+        # a class is shared if it has several members or one that its text repeats
+        number = np.cumsum(opens) - 1
+        shared = (np.bincount(number, minlength=1) > 1)[number] | (np.bincount(number, side, minlength=1) > 0)[number] if len(key) else edge
         first = key[opens]
-        several = np.concatenate((first[1:] == first[:-1], [False])) | np.concatenate(([False], first[1:] == first[:-1]))
+        edge = edge[: len(first)]
+        several = np.concatenate((first[1:] == first[:-1], edge)) | np.concatenate((edge, first[1:] == first[:-1]))
         ask = np.zeros(len(key), bool)
         ask[np.flatnonzero(opens)[several]] = True
-        copies, asked = np.flatnonzero(shared), np.flatnonzero(ask)
+        asked = np.flatnonzero(ask)
         take = np.concatenate((copies, asked))
-        if not len(take):
+        if not len(take) + len(known[0]):
             return None
-        flag = np.concatenate((np.zeros(len(copies), bool), np.ones(len(asked), bool)))
-        return pa.record_batch([*(pa.array(x[take]) for x in (key, cls, doc, at, size)), pa.array(flag), pa.array(~shared[take])], names=names)
+        flag = np.concatenate((np.zeros(len(copies), bool), np.ones(len(asked), bool), np.zeros(len(known[0]), bool)))
+        alone = np.concatenate((~shared[take], np.zeros(len(known[0]), bool)))
+        return pa.record_batch([*(pa.array(np.concatenate((x[take], y))) for x, y in zip((key, cls, doc, at, size), known, strict=True)), pa.array(flag), pa.array(alone)], names=names)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(5)]
+        rows = [batch.column(i).to_numpy() for i in range(6)]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         edge = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
@@ -335,7 +382,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
     hashed = docs.select(F.xxhash64(body).alias("doc"), body.alias("text"))
     n = partitions(spark)
     copies = hashed.select("doc", F.octet_length("text").alias("size")).where(F.col("size") >= length).groupBy("doc").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1")
-    rows = hashed.where(F.octet_length("text") >= length).mapInArrow(_keyed(length, k, parts), "key long, cls long, doc long, at int, size int")
+    rows = hashed.where(F.octet_length("text") >= length).mapInArrow(_keyed(length, k, parts), "key long, cls long, doc long, at int, size int, side tinyint")
     rows = rows.repartition(n, "key").sortWithinPartitions("key", "cls", "doc", "at")
     met = materialize(spark, rows.mapInArrow(_meet, "key long, cls long, doc long, at int, size int, ask boolean, alone boolean"), "met")
     asked = met.where("ask").groupBy("doc").agg(F.collect_list(F.struct("key", "cls", "at", "size", "alone")).alias("asked"))
