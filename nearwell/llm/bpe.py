@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import mix64, released, text_array, text_slices
 from .shingles import powers
 
 #: Distinct pieces that one recursive query takes, and that a worker remembers.
-PIECES = 40_000
-REMEMBERED = 400_000
-#: Characters of text that are cut at a time, and those whose new pieces are encoded together.
+PIECES = 20_000
+REMEMBERED = 200_000
+#: Characters of text that are cut at a time, and bytes of those whose new pieces are encoded together.
 PART_CHARS = 1 << 20
-GROUP_CHARS = 1 << 23
+GROUP_CHARS = 1 << 22
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: The contractions of the splitting pattern.
@@ -176,7 +176,7 @@ class Engine:
         self.ranks = ranks
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.known: dict[str, tuple[str, bytes, int]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         self.con.register("given", pa.table({"pair": left * 4194304 + right, "m": pa.array(merged, pa.int32())}))
@@ -258,21 +258,22 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(shared.value)
         for batch in batches:
-            columns: list[list] = [[] for _ in fields]
-            for group in _batched(batch.column(at).to_pylist(), GROUP_CHARS):
-                parts = [split_many(part) for part in _batched(group, PART_CHARS)]
+            for a, b, _, _ in text_slices(text_array(batch.column(at)), GROUP_CHARS):
+                rows = batch.slice(a, b - a)
+                columns: list[list] = [[] for _ in fields]
+                parts = [split_many(part) for part in _batched(rows.column(at).to_pylist(), PART_CHARS)]
                 distinct, index = unify(parts)
                 known = e.meet(distinct)
                 k = 0
                 for _, _, first in parts:
-                    for a, b in zip(first.tolist(), first.tolist()[1:], strict=False):
-                        for column, x in zip(columns, of([known[i] for i in index[k + a : k + b].tolist()]), strict=True):
-                            column.append(x)
+                    for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
+                        for column, v in zip(columns, of([known[i] for i in index[k + x : k + y].tolist()]), strict=True):
+                            column.append(v)
                     k += int(first[-1])
-            made = [pa.array(c, k) for c, k in zip(columns, of.types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
+                made = [pa.array(c, kind) for c, kind in zip(columns, of.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _numbers(known: list[tuple[str, bytes, int]]) -> np.ndarray:
@@ -322,7 +323,7 @@ def decode(coded: DataFrame, ranks_file: str, ids: str = "ids", out: str = "deco
             made = pa.array([None if x is None else b for x, b in zip(lists, found, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.BinaryType())]))
+    return coded.mapInArrow(released(run), T.StructType([*coded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks_file: str, text: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +80,28 @@ def text_slices(column: pa.StringArray, limit: int = SLICE_BYTES) -> Iterator[tu
         at = end
 
 
+def release() -> None:
+    """Give freed memory back: an idle Python worker counts against its executor as much as a busy one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def released(run):
+    """run (a function of batches) with release() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, in place on a copy."""
     x = x ^ (x >> np.uint64(33))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, materialize
+from .common import SLICE_BYTES, materialize, released
 
 PROFILE = 400  # n-grams kept for a language
 TOP = 300  # n-grams kept for a text
@@ -129,7 +129,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", profile: in
     The result has at most max_languages * profile entries; more languages raise an error.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(labelled.sparkSession, counts, "grams")
     names = [r[0] for r in counts.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).select("lang").collect()]
     if len(names) > max_languages:
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             lang, score = say(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP) -> DataFrame:

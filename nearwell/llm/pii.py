@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_array
+from .common import released, text_array
 
 KEY = b"nearwell pseudonyms"  # a parameter: give a secret one to publish texts
 ROUNDS = 8
@@ -246,7 +246,7 @@ def protect(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: str |
                 columns.append(pa.array(where, kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *([spans] if spans else [])])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def protected(docs: DataFrame, key: bytes = KEY) -> DataFrame:
