@@ -57,6 +57,7 @@ def jaccard_components(rows):
 def test_jaccard_join(spark, monkeypatch, small):
     if small:  # many tiles and long runs
         monkeypatch.setattr(ngram_jaccard, "TILE", 2)
+        monkeypatch.setattr(components, "SMALL", 0)
     docs = fixtures.docs(spark)
     rows = [tuple(r)[:2] for r in docs.collect()]
     want = jaccard_components(rows)
@@ -86,7 +87,9 @@ def test_links_and_bounds():
     assert ngram_jaccard.links(sets[:2], sets[2:], [0, 1, 2, 3, 0]) == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
     up = {x: x for e in edges for x in e}
