@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A text's blocks are its lines. A block is a hit for a template if it holds at least CONTAINMENT of the template's distinct words. The join
-is exact: words are ordered by their frequency over all blocks, rarest first; a block that reaches a template's least overlap must hold one
+A text's blocks are its lines and, across line ends, every run of as many words as a template has: comment signs aren't words, so a notice is
+found as it is wrapped in a source header. A block is a hit for a template if it holds at least CONTAINMENT of the template's distinct words.
+The join of the lines is exact: words are ordered by their frequency over all blocks, rarest first; a block that reaches a template's least overlap must hold one
 of the template's first (size - overlap + 1) words (prefix filter), must have enough words of the vocabulary (length filter), and the words
-that follow a shared one on both sides must suffice for the overlap (positional filter); what passes is verified by intersection. Besides,
-phrases are found where their words stand consecutively. All of it is DataFrame expressions.
+that follow a shared one on both sides must suffice for the overlap (positional filter); what passes is verified by intersection. Runs are
+counted in place, in texts of several lines that as a whole hold enough of a template's words (no run of another text can). Besides, phrases are found where their words stand consecutively. All of it is DataFrame expressions.
 
 Defined cases: a null text counts as empty and has no words; rows may repeat and doc_id may be null; labels are empty strings where there
 are none; a template counts once per text however many blocks hold it; extra columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,32 @@ def _listed(text: Column) -> Column:
     return F.when(text.rlike(f"(?i)(?<!{WITHIN_ANY})(?:{alike})(?!{WITHIN_ANY})"), _split(_lower(text)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(listed: Column, templates: Column) -> Column:
+    """(label, share) of the templates that a run of their length among the listed words holds enough of.
+
+    A run with the most words of a template may begin with one of them, and as many of them as the template is long go into it at most.
+    """
+
+    def most(t: Column) -> Column:
+        held = F.filter(F.transform(listed, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(t["words"], x["word"]))
+
+        def overlap(held: Column) -> Column:
+            def run(first: Column, i: Column) -> Column:
+                return F.filter(F.slice(held, i + 1, t["span"]), lambda x: x["at"] < first["at"] + t["span"])
+
+            return F.array_max(F.transform(held, lambda first, i: F.size(F.array_distinct(F.transform(run(first, i), lambda x: x["word"])))))
+
+        return F.struct(t["label"].alias("label"), t["need"].alias("need"), _bound(held, overlap).alias("overlap"), F.size(t["words"]).alias("size"))
+
+    enough = F.filter(F.transform(templates, most), lambda x: x["overlap"] >= x["need"])
+    return F.transform(enough, lambda x: F.struct(x["label"].alias("label"), (x["overlap"] / x["size"]).alias("share")))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs."""
     spark = docs.sparkSession
@@ -85,7 +113,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     base = base.withColumn("places", F.when(F.col("lists").isNotNull(), found).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")))
     vocab = F.array(*[F.lit(w) for w in vocabulary])
     blocks = F.transform(F.split(_lower(F.col("text")), "\n"), lambda line: F.array_intersect(F.split(line, BETWEEN + "+"), vocab))
-    rows = base.select(F.monotonically_increasing_id().alias("row"), "key", "n_words", "places", blocks.alias("blocks"))
+    base = base.withColumn("blocks", blocks)
+    given = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(w) for w in s]).alias("words"), F.lit(least_overlap(len(s), containment)).alias("need"), F.lit(len(words(t))).alias("span")) for (label, t), (_, _, s) in zip(templates or TEMPLATES, sets, strict=True)])
+    fit = _bound(F.array_distinct(F.flatten("blocks")), lambda held: F.filter(given, lambda t: F.size(F.array_intersect(held, t["words"])) >= t["need"]))
+    base = base.withColumn("fit", F.when(F.size("blocks") > 1, fit))
+    runs = F.when(F.size("fit") > 0, _bound(_split(_lower(F.col("text"))), lambda listed: _runs(listed, F.col("fit"))))
+    runs = F.coalesce(runs, F.array().cast("array<struct<label:string,share:double>>"))
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "key", "n_words", "places", "blocks", runs.alias("runs"))
     rows = materialize(spark, rows, "blocks")
 
     # the global order: words of the templates by the number of blocks that hold them, at most the vocabulary's size
@@ -114,7 +148,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
 
     out = rows.drop("blocks").join(materialize(spark, best, "hits"), "row", "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
-    method = F.coalesce("method", F.array().cast("array<string>"))
+    method = F.array_union(F.coalesce("method", F.array().cast("array<string>")), F.transform("runs", lambda x: x["label"]))
+    best = F.greatest("best", F.array_max(F.transform("runs", lambda x: x["share"])))
     at = F.transform("places", lambda p: p["at"])
     return out.select(
         F.col("key").alias(key),
@@ -124,7 +159,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
         F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(labels, method)), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
 
 

@@ -252,6 +252,42 @@ def brute_repeats(texts, length):
     return out
 
 
+WRAPPED = {
+    "mit-notice": """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal""",
+    "bsd-notice": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "gpl-notice": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or""",
+    "mpl-2-notice": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "apache-2-notice": """; you may not use this file except in compliance with the License.
+
+; You may obtain a copy of the License at""",
+}
+
+
+def test_wrapped_licenses(spark):
+    filler = "plain words of a text that goes on and on\n" * 40
+    rows = [(i, f"{filler}{t}\n{filler}") for i, t in enumerate(WRAPPED.values())]
+    scattered = " ".join(f"{w} aa bb cc" + "\n" * (i % 3 == 0) for i, w in enumerate(licenses.words(licenses.TEMPLATES[0][1])))
+    rows += [(90, scattered), (91, filler), (92, "")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        listed, labels, best = licenses.words(t), set(), 0.0
+        for label, template in licenses.TEMPLATES:
+            given, span = set(licenses.words(template)), len(licenses.words(template))
+            blocks = [licenses.words(x) for x in t.split("\n")] + [listed[k : k + span] for k in range(len(listed))]
+            most = max(len(given & set(b)) for b in blocks)
+            if most >= licenses.least_overlap(len(given)):
+                labels, best = labels | {label}, max(best, most / len(given))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), best)
+    assert [got[i]["labels"] for i in range(len(WRAPPED))] == list(WRAPPED) and got[90]["score"] == got[91]["score"] == 0.0
+
+
 def test_repeats(spark):
     docs = fixtures.docs(spark)
     want = sorted((str(r["doc_id"]), *x) for r, x in zip(docs.collect(), brute_repeats([r["text"] for r in docs.collect()], 400), strict=True))
