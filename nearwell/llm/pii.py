@@ -28,6 +28,7 @@ from .common import released, text_array
 
 KEY = b"nearwell pseudonyms"  # a parameter: give a secret one to publish texts
 ROUNDS = 8
+PIECE = 128  # letters and digits that are permuted at once: a half of them fits into one hash
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -65,8 +66,26 @@ def _radices(text: str, hexadecimal: bool) -> list[str]:
 
 
 def shape(text: str, key: bytes, tweak: bytes, hexadecimal: bool = False, inverse: bool = False) -> str:
-    """text with its digits and ASCII letters permuted together, each within its class; the rest stays."""
+    """text with its digits and ASCII letters permuted together, each within its class; the rest stays.
+
+    More than PIECE of them are permuted in pieces of about equal numbers, each under a hash of what stands before it in the plain text, so
+    that time grows with the length; texts that begin alike may get pseudonyms that begin alike.
+    """
     alphabets = _radices(text, hexadecimal)
+    places = [i for i, a in enumerate(alphabets) if a]
+    many = -(-len(places) // PIECE)
+    if many < 2:
+        return _shape(text, alphabets, key, tweak, inverse)
+    cuts = [0, *(places[len(places) * k // many] for k in range(1, many)), len(text)]
+    out, before = [], hashlib.blake2b(b"%d|" % len(text) + tweak, key=key[:64], digest_size=16)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        piece = _shape(text[a:b], alphabets[a:b], key, tweak + b"|" + before.digest(), inverse)
+        before.update((piece if inverse else text[a:b]).encode("utf-8", "surrogatepass"))
+        out.append(piece)
+    return "".join(out)
+
+
+def _shape(text: str, alphabets: list[str], key: bytes, tweak: bytes, inverse: bool) -> str:
     x, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         if a:
@@ -187,9 +206,9 @@ def _secret(t: str, key: bytes) -> str | None:
 #: (kind, pattern whose group v is the value, permutation within the format), in order of precedence.
 KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("email", re.compile(r"(?P<v>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9])"), _email),
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>(?-i:[A-Za-z0-9+/_.-]{8,128}))"), _secret),
+    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>(?-i:[A-Za-z0-9+/_.-]{8,}))"), _secret),
     ("cloud_key", re.compile(r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])"), _cloud_key),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<v>(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])"), _secret),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<v>(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"), _iban),
     ("card", re.compile(r"(?<![\d.-])(?P<v>\d{13,19}|\d{4}(?:([ -])\d{4})(?:\2\d{4}){2}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])"), _card),
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"), _ssn),
