@@ -6,7 +6,7 @@ their case, dates stay dates, check digits stay right. Equal values of a kind ge
 invert them.
 
 Defined cases: a null text stays null and an empty one empty; of overlapping finds the first kind in the list of KINDS wins; a number that
-fails its validation is left as it is; the pseudonym of a value never equals it unless its format has a single value; rows may repeat; other
+fails its validation is left as it is (of an account number and the words behind it, the longest valid run of groups counts); the pseudonym of a value never equals it unless its format has a single value; rows may repeat; other
 columns pass through.
 """
 
@@ -225,13 +225,22 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int,
     """(the text with pseudonyms, spans (start, end, kind) in the given text)."""
     spans: list[tuple[int, int, str, str]] = []
     for kind, pattern, within in KINDS:
-        for m in pattern.finditer(text):
-            a, b = m.span("v")
-            if any(a < y and x < b for x, y, _, _ in spans):
-                continue
-            new = within(m["v"], key)
-            if new is not None:
-                spans.append((a, b, kind, new))
+        at = 0
+        while m := pattern.search(text, at):
+            (a, b), at = m.span("v"), m.end()
+            # words behind an account number look like its groups: shorter ones are tried, and what begins within
+            ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")] if kind == "iban" else [b]
+            for end in ends:
+                if any(a < y and x < end for x, y, _, _ in spans):
+                    continue
+                new = within(text[a:end], key)
+                if new is not None:
+                    spans.append((a, end, kind, new))
+                    at = end
+                    break
+            else:
+                if kind == "iban":
+                    at = a + 1
     spans.sort()
     out, at = [], 0
     for a, b, _, new in spans:

@@ -154,6 +154,18 @@ def test_pii_long_secrets():
     assert spans == [(7, 7 + len(jwt), "secret")] and jwt[-60:] not in out
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"])
+def test_pii_ibans_among_words(iban):
+    assert pii._iban(iban, pii.KEY) and not pii._iban(f"{iban} BIC", pii.KEY)
+    for text in (f"{iban} BIC COBADEFFXXX", f"{iban} 2024 paid", f"AB12 CODE {iban} TO {iban} EUR", f"{iban} BOB@EXAMPLE.com"):
+        out, spans = pii.pseudonymise(text)
+        found = [text[a:b] for a, b, kind in spans if kind == "iban"]
+        assert found == [iban] * text.count(iban) and iban not in out and len(out) == len(text)
+        for a, b, kind in spans:
+            assert kind != "iban" or pii._iban(out[a:b], pii.KEY)
+    assert pii.pseudonymise("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX")[1] == []
+
+
 def test_pii_query(spark):
     docs = fixtures.docs(spark)
     got = pii.protected(docs)
