@@ -34,7 +34,10 @@ _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 
 
 def permute(x: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
-    """A keyed permutation of 0 .. size-1 without fixed points where size allows: a Feistel network over two digits of base about sqrt(size)."""
+    """A keyed permutation of 0 .. size-1 as one cycle, hence without fixed points: the successor in an order that a Feistel network gives.
+
+    The network works on two digits of base about sqrt(size).
+    """
     if size < 2:
         return x
     m = math.isqrt(size - 1) + 1
@@ -44,19 +47,22 @@ def permute(x: int, size: int, key: bytes, tweak: bytes, inverse: bool = False)
         d = hashlib.blake2b(b"%d:%d:" % (r, half) + size.to_bytes(-(-size.bit_length() // 8), "big") + tweak, key=key[:64], digest_size=min(64, width)).digest()
         return int.from_bytes(d, "big") % m
 
-    def once(v: int) -> int:
+    def once(v: int, back: bool) -> int:
         a, b = divmod(v, m)
         for r in range(ROUNDS):
-            if inverse:
+            if back:
                 a, b = (b - f(ROUNDS - 1 - r, a)) % m, a
             else:
                 a, b = b, (a + f(r, b)) % m
         return a * m + b
 
-    v = once(x)
-    while v >= size:
-        v = once(v)
-    return v
+    def place(v: int, back: bool) -> int:
+        v = once(v, back)
+        while v >= size:
+            v = once(v, back)
+        return v
+
+    return place((place(x, False) + (-1 if inverse else 1)) % size, True)
 
 
 def _radices(text: str, hexadecimal: bool) -> list[str]:

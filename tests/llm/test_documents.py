@@ -136,6 +136,14 @@ def test_pii_permutes():
         assert sorted(image) == list(range(n)) and [pii.permute(i, n, b"k", b"t", True) for i in image] == list(range(n))
 
 
+def test_pii_keeps_no_value():
+    for n in (2, 3, 10, 26, 97, 1000):
+        for k in range(20):
+            assert all(pii.permute(i, n, b"k", b"%d" % k) != i for i in range(n))
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        assert f"{c}@" not in pii.pseudonymise(f"{c}@example.com")[0]
+
+
 def test_pii_long_secrets():
     rng = random.Random(4)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
