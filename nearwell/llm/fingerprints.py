@@ -19,12 +19,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, text_array, text_slices
+from .common import materialize, mix64, partitions, text_array, text_slices
+from .components import connected
 from .shingles import shingle_hashes, shingle_sets, word_hashes
 
 PERMUTATIONS = 128
 BANDS = 32
 SIMILARITY = 0.8
+TILE = 128  # texts of a bucket that are compared in one task, or with as many others
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,26 +149,95 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", permu
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fingerprint string, bands array<bigint>")
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _sets(texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    texts = text_array(texts)
+    return [shingle_sets(data, offsets)[0] for k in range(len(texts)) for _, _, data, offsets in text_slices(texts.slice(k, 1))]
+
+
+def _rest(similarity: float):
+    """Verified pairs (a, b, jaccard) that connect what isn't connected yet in a tile (side 0 only) or between two tiles of a bucket.
+
+    A pair that shares several bands is compared in the first of them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("node", "ascending")])
+        side, node, label, band = (table[c].to_numpy() for c in ("side", "node", "label", "band"))
+        bands, sets = np.array(table["bands"].to_pylist(), np.int64), _sets(table["text"])
+        sizes, group = np.array([len(x) for x in sets], np.int64), label.copy()
+        cut, out = int((side == 0).sum()), []
+        for i in range(cut):
+            others = np.arange(cut if cut < len(node) else i + 1, len(node))
+            others = others[np.minimum(sizes[i], sizes[others]) / np.maximum(sizes[i], sizes[others]) >= similarity]
+            same = bands[others] == bands[i]
+            others = others[bands[i][same.argmax(axis=1)] == band[0]] if len(others) else others
+            for k in others.tolist():
+                if group[i] != group[k] and (j := _jaccard(sets[i], sets[k])) >= similarity:
+                    group[group == group[k]] = group[i]
+                    out.append((node[i], node[k], j))
+        x, y, j = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+
+    return run
+
+
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """a, b, jaccard: verified pairs (a < b), where b is joined only to the first key of each band bucket it falls in.
+    """a, b, jaccard: verified pairs (a < b) that connect all keys whose texts share a band bucket and are similar.
 
-    Equal fingerprints are one candidate, so that copies meet their bucket's first member once; the pairs of a bucket form a star, never
-    all pairs. Rows with a null key take no part.
+    Equal texts are one candidate, tied to their smallest key. The texts of a bucket first meet the one with its smallest key, so that near
+    copies cost a pass; what isn't connected by then is compared in tiles, where a pair is left out only if it is connected already. Rows
+    with a null key take no part.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    marked = fingerprints(docs.where(F.col(key).isNotNull()), key, text, permutations, bands).select("key", F.explode("bands").alias("band"))
-    head = marked.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    pairs = marked.join(head, "band").where("a < key").select("a", F.col("key").alias("b")).distinct()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null").dropDuplicates(["key"])
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null")
+    texts = rows.groupBy("text").agg(F.min("key").alias("key")).select(F.monotonically_increasing_id().alias("node"), "key", "text")
+    texts = materialize(spark, texts, "texts")
+    marked = materialize(spark, fingerprints(texts, "node", "text", permutations, bands).where(F.size("bands") > 0).select(F.col("key").alias("node"), "bands"), "bands")
+    member = marked.select("node", F.explode("bands").alias("band")).join(texts.select("node", "key"), "node")
+    head = member.groupBy("band").agg(F.min(F.struct("key", "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    head = materialize(spark, head.select("band", F.col("head.node").alias("head"), "n"), "heads")
+    pairs = member.join(head, "band").where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb, j = text_array(batch.column(2)), text_array(batch.column(3)), []
-            for k in range(len(ta)):
-                x, y = (shingle_sets(data, offsets)[0] for t in (ta, tb) for _, _, data, offsets in text_slices(t.slice(k, 1)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j.append(both / max(1, len(x) + len(y) - both))
+            j = [_jaccard(x, y) for k in range(batch.num_rows) for x, y in zip(_sets(batch.column(2).slice(k, 1)), _sets(batch.column(3).slice(k, 1)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
-    return both.mapInArrow(verify, f"a {kind}, b {kind}, jaccard double").where(F.col("jaccard") >= similarity)
+    shape = "a long, b long, jaccard double"
+    found = materialize(spark, both.mapInArrow(verify, shape).where(F.col("jaccard") >= similarity), "head-pairs")
+
+    # what the heads left in several parts: tiles of the bucket against each other
+    roots = materialize(spark, connected(found.select("a", "b")), "roots")
+    at = member.join(head.where("n > 2"), "band").join(roots, "node", "left").select("band", "n", "node", F.coalesce("root", "node").alias("label"))
+    parts = at.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("band")
+    at = at.join(parts, "band", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))
+    at = materialize(spark, at.select("band", "node", "label", "tile", F.ceil(F.col("n") / TILE).alias("tiles")), "tiles")
+    tasks = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tasks = tasks.select("band", "node", "label", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    full = tasks.join(marked, "node").join(texts.select("node", "text"), "node")
+    # between two tiles the second is side 1; a tile alone has side 0 only
+    more = full.groupBy("band", "t0", "t1").applyInArrow(_paired(_rest(similarity)), shape)
+    found = materialize(spark, found.unionByName(more), "pairs")
+
+    name = texts.select("node", "key")
+    named = found.join(name.select(F.col("node").alias("a"), F.col("key").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("key").alias("y")), "b")
+    named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    first = texts.join(marked.select("node"), "node", "left_semi").select("text", F.col("key").alias("a"))
+    copies = rows.join(first, "text").select("a", F.col("key").alias("b"), F.lit(1.0).alias("jaccard"))
+    return named.unionByName(copies).where("a <> b").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _paired(run):
+    """run, but for tiles of which one has no row here: there is nothing between them."""
+
+    def either(table: pa.Table) -> pa.Table:
+        across = len(table) and table["t0"][0] != table["t1"][0]
+        return run(table.slice(0, 0) if across and len(set(table["side"].to_pylist())) < 2 else table)
+
+    return either

@@ -258,6 +258,42 @@ def test_fingerprints_estimate_and_pairs(spark):
     assert {(r["a"], r["b"]) for r in pairs} == {(0, 1), (0, 3)} and all(r["jaccard"] >= 0.8 for r in pairs)
 
 
+@pytest.mark.parametrize("tile", [128, 7])
+def test_near_pairs_of_a_template_family(spark, monkeypatch, tile):
+    monkeypatch.setattr(fingerprints, "TILE", tile)
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(220)]
+
+    def own(k, n):
+        return template + [f"o{k}w{i}" for i in range(n)]
+
+    rows = [(i, " ".join(own(i, 32))) for i in range(60)]  # family: below 0.8 among each other
+    for k in range(60, 100, 2):  # near copies of a member's kind that isn't a bucket's head
+        words = own(k, 40)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[: -rng.randrange(1, 12)]))]
+    rows += [(200, rows[-1][1]), (201, rows[-1][1]), (202, ""), (203, None), (None, rows[0][1]), (3, rows[90][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in fingerprints.near_pairs(docs).collect()}
+    marks = [(r["key"], set(r["bands"])) for r in fingerprints.fingerprints(docs).collect()]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    near, up = {}, {i: i for i, _ in rows}
+    for p, (i, a) in enumerate(sets):
+        for q, (j, b) in enumerate(sets):
+            if None not in (i, j) and i < j and a and b and len(a & b) / len(a | b) >= 0.8:
+                near[i, j] = max(near.get((i, j), (0, False))[0], len(a & b) / len(a | b)), near.get((i, j), (0, False))[1] or bool(marks[p][1] & marks[q][1])
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), jaccard in got.items():
+        assert near[a, b][0] == jaccard
+        up[root(a)] = root(b)
+    met = [pair for pair, (_, shared) in near.items() if shared]
+    assert len(met) >= 20 and all(root(a) == root(b) for a, b in met)
+
+
 def test_licenses(spark):
     import duckdb
 
