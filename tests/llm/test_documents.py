@@ -78,6 +78,14 @@ def test_jaccard_join_of_many_copies(spark):
     assert ngram_jaccard.components(fixtures.empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(5, x), (5, y), (3, x), (9, y), (9, ""), (7, z), (8, ""), (None, y), (6, z), (6, None), (4, None)]
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = jaccard_components(rows)
+    assert sorted(got, key=str) == sorted(((i, want.get(i)) for i, _ in rows), key=str) and want[9] == want[5] == 3
+
+
 def test_links_and_bounds():
     rng = np.random.default_rng(1)
     sets = [np.sort(rng.choice(2**40, 50, replace=False).astype(np.uint64)) for _ in range(4)]
