@@ -5,6 +5,10 @@ worker has not met before go to DuckDB: their token positions are joined to the
 piece is contracted, and a recursive query repeats that until no pair joins. Decoding joins token ids to their bytes and concatenates
 them by ordered aggregation.
 
+A long piece is first cut between bytes that stand side by side in no token: nothing can be merged across, so the parts are words of their
+own. What is still long is contracted by a second recursive query that takes all pairs of the least rank in one step, from the left, up to
+the first that would make a pair of lower rank with its neighbours. Both give what one contraction at a time gives.
+
 Defined cases: a null text counts as empty and has no tokens; rows may repeat; other columns pass through.
 """
 
@@ -23,12 +27,14 @@ from pyspark.sql import types as T
 from .common import mix64, released, text_array, text_slices
 from .shingles import powers
 
-#: Distinct pieces that one recursive query takes, and that a worker remembers.
-PIECES = 20_000
-REMEMBERED = 200_000
+#: Distinct pieces that one recursive query takes, bytes of those that a worker remembers, and tokens from which a word counts as long.
+PIECES = 8_000
+REMEMBERED_BYTES = 40 << 20
+LONG = 64
+MEMORY_MB = 96  # of a worker's DuckDB; one very long word gets more
 #: Characters of text that are cut at a time, and bytes of those whose new pieces are encoded together.
-PART_CHARS = 1 << 20
-GROUP_CHARS = 1 << 22
+PART_CHARS = 1 << 19
+GROUP_CHARS = 1 << 20
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: The contractions of the splitting pattern.
@@ -44,11 +50,12 @@ def classes() -> np.ndarray:
         import tiktoken
 
         table = np.full(0x110000, _OTHER, np.uint8)
-        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
-            probe = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-            found = bytes(probe.encode_ordinary(everything)).decode("utf-8")
-            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        probes = [(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}), kind) for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE))]
+        for at in range(0, len(table), 1 << 14):
+            some = "".join(chr(c) for c in range(at, at + (1 << 14)) if not 0xD800 <= c < 0xE000)
+            for probe, kind in probes:
+                found = bytes(probe.encode_ordinary(some)).decode("utf-8")
+                table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
         _classes.append(table)
     return _classes[0]
 
@@ -144,28 +151,59 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 class Engine:
     """A DuckDB connection with the vocabulary and its merge table, and the pieces encoded so far."""
 
+    #: Keyed by word: a step replaces the tokens of the words that it contracts, and only those are looked at by the next.
     ENCODE = """
-        WITH RECURSIVE bpe(w, toks, done) AS (
-            SELECT w, toks, false FROM words
-            UNION ALL
-            SELECT s.w, CASE WHEN b.i IS NULL THEN s.toks ELSE s.toks[:b.i - 1] || [b.m] || s.toks[b.i + 2:] END, b.i IS NULL
-            FROM (SELECT * FROM bpe WHERE NOT done) s
-            LEFT JOIN (
-                SELECT w, best // 16777216 AS m, best % 16777216 AS i
+        WITH RECURSIVE bpe(w, toks) USING KEY (w) AS (
+            SELECT w, toks FROM words
+            UNION
+            SELECT s.w, s.toks[:b.i - 1] || [b.m] || s.toks[b.i + 2:]
+            FROM bpe s
+            JOIN (
+                SELECT w, (best // 16777216)::INTEGER AS m, best % 16777216 AS i
                 FROM (
                     SELECT p.w, min(merges.m::BIGINT * 16777216 + p.i) AS best
-                    FROM (SELECT w, unnest(toks) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks, 1) AS i FROM bpe WHERE NOT done) p
+                    FROM (SELECT w, unnest(toks) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks, 1) AS i FROM bpe) p
                     JOIN merges ON merges.pair = p.l::BIGINT * 4194304 + p.r
                     GROUP BY p.w
                 )
             ) b ON b.w = s.w
         )
-        SELECT w, toks FROM bpe WHERE done ORDER BY w
+        SELECT w, toks FROM bpe ORDER BY w
+    """
+    ENCODE_LONG = """
+        WITH RECURSIVE bpe(w, toks) USING KEY (w) AS (
+            SELECT w, toks FROM words
+            UNION
+            SELECT p.w, list(coalesce(c.m, p.l) ORDER BY p.i) FILTER (WHERE NOT coalesce(d.gone, false))
+            FROM (SELECT w, unnest(toks) AS l, generate_subscripts(toks, 1) AS i FROM bpe) p
+            LEFT JOIN {chosen} c ON c.w = p.w AND c.i = p.i
+            LEFT JOIN (SELECT w, i + 1 AS i, true AS gone FROM {chosen}) d ON d.w = p.w AND d.i = p.i
+            GROUP BY p.w
+            HAVING count(c.m) > 0
+        )
+        SELECT w, toks FROM bpe ORDER BY w
     """
+    #: The contractions of a step: pairs of a word's least rank, every other of a run of overlapping ones, up to the first that makes a pair of lower rank.
+    CHOSEN = """(
+        SELECT w, i, m FROM (
+            SELECT w, i, m, i - min(i) OVER (PARTITION BY w, run) AS inside, min(CASE WHEN lower THEN i END) OVER (PARTITION BY w) AS stop
+            FROM (
+                SELECT p.w, p.i, p.m, p.i - row_number() OVER (PARTITION BY p.w ORDER BY p.i) AS run,
+                    coalesce(a.m < p.m, false) OR coalesce(b.m < p.m, false) OR coalesce(c.m < p.m, false) AS lower
+                FROM (
+                    SELECT p.*, merges.m, min(merges.m) OVER (PARTITION BY p.w) AS least
+                    FROM (SELECT w, unnest([-1] || toks) AS x, unnest(toks) AS l, unnest(toks[2:]) AS r, unnest(toks[3:]) AS y, generate_subscripts(toks, 1) AS i FROM bpe) p
+                    JOIN merges ON merges.pair = p.l::BIGINT * 4194304 + p.r
+                ) p
+                LEFT JOIN merges a ON a.pair = p.x::BIGINT * 4194304 + p.m
+                LEFT JOIN merges b ON b.pair = p.m::BIGINT * 4194304 + p.y
+                LEFT JOIN merges c ON c.pair = p.m::BIGINT * 4194304 + p.m
+                WHERE p.m = p.least
+            )
+        ) WHERE inside % 2 = 0 AND (stop IS NULL OR i <= stop)
+    )"""
     DECODE = """
-        SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex
-        FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM coded) t JOIN vocabulary v USING (id)
-        GROUP BY w
+        SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex FROM coded JOIN vocabulary v USING (id) GROUP BY w
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -175,13 +213,20 @@ class Engine:
             raise ValueError("ids must be below 2**22")
         self.ranks = ranks
         self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.ids = np.array(sorted(ranks.values()), np.int32)
         self.known: dict[str, tuple[str, bytes, int]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
+        self.older: dict[str, tuple[str, bytes, int]] = {}  # what was known before the last turn
+        self.held = 0  # bytes of known, about
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         self.con.register("given", pa.table({"pair": left * 4194304 + right, "m": pa.array(merged, pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        self.beside = np.zeros((256, 256), bool)  # bytes that stand side by side in some token
+        for t in ranks:
+            for a, b in zip(t, t[1:], strict=False):
+                self.beside[a, b] = True
         self.con.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
@@ -197,35 +242,75 @@ class Engine:
         """The ids of every piece; one that is in the vocabulary is its own token."""
         out: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
         rest = [k for k, p in enumerate(pieces) if p and p not in self.ranks]
-        for at in range(0, len(rest), PIECES):
-            part = rest[at : at + PIECES]
-            lists = pa.array([[self.byte[c] for c in pieces[k]] for k in part], pa.list_(pa.int32()))
-            done = self._ask("words", pa.table({"w": pa.array(part, pa.int64()), "toks": lists}), self.ENCODE)
-            for w, toks in zip(done.column("w").to_pylist(), done.column("toks").to_pylist(), strict=True):
-                out[w] = toks
+        short, long = [k for k in rest if len(pieces[k]) <= LONG], [k for k in rest if len(pieces[k]) > LONG]
+        for k, ids in zip(short, self._contracted([pieces[k] for k in short], self.ENCODE), strict=True):
+            out[k] = ids
+        if long:
+            parts = [self._apart(pieces[k]) for k in long]
+            words = list(dict.fromkeys(w for p in parts for w in p))
+            found = {w: [self.ranks[w]] for w in words if w in self.ranks}
+            for some, query in (([w for w in words if w not in found and len(w) <= LONG], self.ENCODE), ([w for w in words if w not in found and len(w) > LONG], self.ENCODE_LONG.format(chosen=self.CHOSEN))):
+                found |= zip(some, self._contracted(some, query), strict=True)
+            for k, p in zip(long, parts, strict=True):
+                out[k] = [i for w in p for i in found[w]]
         return out
 
+    def _apart(self, piece: bytes) -> list[bytes]:
+        """piece cut between bytes that no token holds side by side."""
+        x = np.frombuffer(piece, np.uint8)
+        cut = [0, *(np.flatnonzero(~self.beside[x[:-1], x[1:]]) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _contracted(self, words: list[bytes], query: str) -> Iterator[list[int]]:
+        """The tokens of words of several bytes, in order; a query takes PIECES words, and fewer where they are long."""
+        at, most = 0, PIECES * (LONG if query is self.ENCODE else LONG // 8)
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and end - at < PIECES and (end == at or size + len(words[end]) <= most):
+                size += len(words[end])
+                end += 1
+            if size > most:  # one word: its steps hold a few hundred bytes a token
+                self.con.execute(f"SET memory_limit = '{MEMORY_MB + size // 2000}MB'")
+            lists = pa.array([[self.byte[c] for c in w] for w in words[at:end]], pa.list_(pa.int32()))
+            done = self._ask("words", pa.table({"w": pa.array(range(end - at), pa.int64()), "toks": lists}), query)
+            yield from done.column("toks").to_pylist()
+            at = end
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of every list of ids; an id outside the vocabulary raises an error."""
-        out = [b""] * len(ids)
-        for at in range(0, len(ids), PIECES):
-            part = ids[at : at + PIECES]
-            done = self._ask("coded", pa.table({"w": pa.array(range(at, at + len(part)), pa.int64()), "ids": pa.array(part, pa.list_(pa.int32()))}), self.DECODE)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+        word = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        if not np.isin(flat, self.ids).all():
+            raise ValueError("an id is outside the vocabulary")
+        out: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), PIECES * LONG // 4):
+            part = slice(at, at + PIECES * LONG // 4)
+            coded = pa.table({"w": pa.array(word[part]), "id": pa.array(flat[part]), "i": pa.array(np.arange(len(flat[part])))})
+            done = self._ask("coded", coded, self.DECODE)
             for w, h in zip(done.column("w").to_pylist(), done.column("hex").to_pylist(), strict=True):
-                out[w] = bytes.fromhex(h)
-        return out
+                out[w].append(bytes.fromhex(h))
+        return [b"".join(x) for x in out]
 
     def meet(self, pieces: list[str]) -> list[tuple[str, bytes, int]]:
-        """(ids in decimal joined by commas, bytes decoded from them, number of ids) of distinct pieces; each is remembered while there is room."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
+        """(ids in decimal joined by commas, bytes decoded from them, number of ids) of distinct pieces; those met lately are remembered."""
+        if self.held > REMEMBERED_BYTES // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        new = []
+        for p in pieces:
+            if p not in self.known:
+                if (x := self.older.get(p)) is None:
+                    new.append(p)
+                else:
+                    self._remember(p, x)
         ids = self.encode([p.encode("utf-8", "surrogatepass") for p in new])
         for p, i, b in zip(new, ids, self.decode(ids), strict=True):
-            self.known[p] = (",".join(map(str, i)), b, len(i))
+            self._remember(p, (",".join(map(str, i)), b, len(i)))
         return [self.known[p] for p in pieces]
 
+    def _remember(self, piece: str, x: tuple[str, bytes, int]) -> None:
+        self.known[piece] = x
+        self.held += 250 + 2 * len(x[1]) + len(x[0])
+
 
 def engine(content: bytes) -> Engine:
     """The worker's engine for a rank file."""

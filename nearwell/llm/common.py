@@ -14,15 +14,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python kernel holds as numpy arrays at one time; a longer single text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: What an Arrow batch of texts holds at most: rows and bytes (one longer text makes a batch of its own).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set BATCH where the session has Spark's own values: a worker's memory must not follow the length of texts."""
+    for key, (usual, ours) in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or str(now) in (str(usual), f"{usual}b", "64MB"):
+            spark.conf.set(key, str(ours))
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where none is named."""
+    """The shared folder named by spark.checkpoint.dir. Where none is named a local master gets a temporary one; a cluster raises ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: executors and driver of a cluster need a shared one")
         base = tempfile.mkdtemp(prefix="nearwell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_topk, fingerprints, langid, licenses, mixing, ngram_jaccard, pii, repeats, warc
-
-from .common import materialize
-
+from .common import bounded_batches, materialize
 
 MIX_SEED, MIX_REPETITION = 1, 1.25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

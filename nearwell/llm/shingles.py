@@ -14,19 +14,20 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K = np.random.default_rng(5).integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEPT = (1 << 20) + 4096  # powers that a worker keeps: enough for a slice of texts
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n; kept up to four million entries."""
+    """base**i and base**-i modulo 2**64 for i up to n; kept up to KEPT entries."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, KEPT)
         made = []
         for base in (_BASE, _INVERSE):
             x = np.full(size, base, np.uint64)
             x[0] = 1
             made.append(np.cumprod(x, dtype=np.uint64))
-        if size > 1 << 22:
+        if size > KEPT:
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]
