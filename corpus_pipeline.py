@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearwell import ship
 from nearwell.llm import bpe, langid, mixing, ngram_jaccard, pii
-from nearwell.llm.common import materialize
+from nearwell.llm.common import bounded_batches, materialize
 from nearwell.llm.queries import ranks_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,9 +24,14 @@ MAX_REPETITION = 1.5
 ORACLE_SQL = None  # profiles, keyed permutations and tokens are beyond SQL: the tests compare with brute force
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    bounded_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language (not `und`, score of MIN_SCORE or more); a null lang becomes the predicted one."""
-    ship(spark)
+    _prepare(spark)
     docs = docs.select(*COLUMNS)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     found = langid.predict(docs, langid.fit(docs.where(~held)))
@@ -36,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component."""
-    ship(spark)
+    _prepare(spark)
     docs = docs.select(*COLUMNS)
     found = ngram_jaccard.components(docs).where("component_id = doc_id").select("doc_id")
     first = materialize(spark, found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
@@ -50,20 +55,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms for personal data and secrets; n_chars follows the text."""
-    ship(spark)
+    _prepare(spark)
     out = pii.protect(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources, so that the sources have the weights of the temperature mix; every document is read at least once."""
-    ship(spark)
+    _prepare(spark)
     return mixing.mix(docs.select(*COLUMNS), max_repetition=MAX_REPETITION, seed=1).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, decodes (the bytes decoded from ids are the text's)."""
-    ship(spark)
+    _prepare(spark)
     coded = bpe.tokenised(docs.select("doc_id", "lang", "source", "text"), ranks_file())
     same = F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("decodes"))
