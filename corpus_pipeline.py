@@ -4,8 +4,8 @@ Language identification drops what no language fits (and labels rows without a l
 each group of near copies, personal data get pseudonyms, sources are mixed to a temperature under which none is read more than
 MAX_REPETITION times as often as another and none loses a document, and the byte-level BPE encodes what is left.
 
-Defined cases: an empty table passes through; a row without a doc_id is kept unless it has no language; repeated rows of a doc_id count as
-one document and leave one row; columns beyond those of documents are dropped.
+Defined cases: an empty table passes through; a row without a doc_id is kept unless it has no language; rows of a doc_id are one document,
+which stays or goes as a whole, and its rows with equal texts leave one; columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -40,16 +40,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
+    """Keeps the document with the smallest doc_id of each component; of a doc_id's rows with one text the least stays."""
     _prepare(spark)
     docs = docs.select(*COLUMNS)
-    found = ngram_jaccard.components(docs).where("component_id = doc_id").select("doc_id")
-    first = materialize(spark, found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = first.where("n > 1").select("doc_id")
+    found = ngram_jaccard.components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    found = materialize(spark, found, "found")
+    # as a merge join at every size: texts are dealt out once, and a doc_id of very many rows can be split
+    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    repeated = materialize(spark, found.where("component_id = doc_id and rows > 1").select("doc_id"), "repeated")
     if repeated.take(1):
-        one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+        one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("of"))
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one.select("doc_id", "text", "of.lang", "of.source", "of.n_chars"))
     return kept.select(*COLUMNS)
 
 
