@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds as numpy arrays at one time; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -67,6 +68,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: 64-bit words of the bitmaps of keys that are broadcast: 2 MB.
+FILTER_WORDS = 1 << 18
+
+
+def key_bitmap(rows: DataFrame, key: str):
+    """A broadcast bitmap of fixed size that marks the long key's values. It lets most other rows pass by a shuffle; only a join decides."""
+    bits = rows.groupBy((F.pmod(key, F.lit(64 * FILTER_WORDS)) / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, {64 * FILTER_WORDS}L) % 64 as int))")).alias("bits"))
+    filled = np.zeros(FILTER_WORDS, np.int64)
+    found = bits.toArrow()
+    filled[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(filled)
+
+
+def chosen(bitmap, key: str, inside: bool = True):
+    """The rows whose key may be marked in a bitmap, or those that surely aren't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            place = np.mod(batch.column(batch.schema.names.index(key)).to_numpy(), 64 * FILTER_WORDS)
+            yield batch.filter(pa.array(((bits[place >> 6] >> (place & 63)) & 1).astype(bool) == inside))
+
+    return run
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     """A string column without nulls (null counts as empty), as one array with 32-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

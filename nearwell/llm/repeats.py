@@ -1,36 +1,58 @@
 """Removal of long repeated passages with a run-length index.
 
-A byte goes if a string of LENGTH bytes that covers it also starts elsewhere. Every such string holds a minimiser (the least hash of its
-K-byte grams), at the same offset wherever it stands, so equal strings meet at equal minimisers: around every minimiser of a text lie PARTS
-ranges of string starts, and the bytes that all strings of a range share (its core) are the key under which ranges of different places
-meet. Ranges with equal surroundings are copies as they stand. Where surroundings differ, the contexts of a key are indexed: suffixes are
-sorted, the Burrows-Wheeler transform is run-length compressed, the common prefixes are compared at the run heads only, and streaming
-through the text gives every position's longest match with another place (matching statistics: one less per step until the next run head).
-Positions with a match of LENGTH bytes are marked. A key with more contexts than an index block holds, or with contexts that lie over one
-another in one text, is settled by naming all their strings, which finds the same.
-
-Defined cases: a null or empty text keeps its no bytes; equal texts of LENGTH bytes or more remove each other wholly, whatever their keys;
-texts are one by a 64-bit hash; overlapping repetitions within a text count; a null doc_id is a document like any other; extra columns are
-ignored.
+A byte goes if a string of 400 bytes that covers it also starts elsewhere (Measure BYTES); besides, passages of 51 words that stand in
+another document too are counted (Measure WORDS, words as in shingles). Both take the same way, over bytes and over words as symbols.
+
+Every string of a measure's length holds an anchor, its leftmost least-hashed gram, at the same place wherever the string stands. So equal
+strings meet at equal anchors: the strings of one anchor lie in its context, and contexts meet by their gram. Contexts that are equal are
+one class. The classes of a gram (and the one class of a gram that several places share) go to a run-length index, block by block: a
+context is its symbols with the gram as a single symbol, as in a prefix-free parse; suffixes are sorted, the Burrows-Wheeler transform is
+run-length compressed, and the index keeps its samples at the run ends and the match lengths there only. Streaming through the text gives
+every position's longest match with another owner (one less per step until the next sample), equal contexts being a run of twins. What
+matches over the whole length is marked in every member of the class.
+
+A gram that very many contexts share can't go to one task. Such grams are found on a sample (which decides where rows are sent, nothing
+else) or while rows stream by; their contexts are dealt anew by longer grams, around narrower ranges of strings, until the groups are small
+enough for the index, or of one class only, which is a single run of twins.
+
+Defined cases: a null or empty text keeps its no bytes; repeated rows (equal doc_id and text) are copies of one another, as other equal
+texts are, for bytes; for words they are one document. Overlapping repetitions within a text count for bytes, and not for words. A null
+doc_id is a document like any other; extra columns are ignored. A text is its UTF-8 bytes as Spark holds them. Documents and contexts are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, text_array, text_slices
-from .shingles import powers
+from .common import chosen, key_bitmap, materialize, mix64, partitions, released, text_array, text_slices
+from .shingles import powers, word_hashes
 
-LENGTH = 400
-K = 64
-PARTS = 4
-BLOCK_BYTES = 1 << 19  # of contexts that are indexed together
+HOT = 1024  # contexts of a gram that one task takes
+BLOCK = 1 << 18  # symbols that are indexed together
+WIDTHS = (16, 1)  # strings of a range when a gram's contexts are dealt anew
+SAMPLE = 32  # one of so many documents tells which grams are very common
+
+
+@dataclass(frozen=True)
+class Measure:
+    """length: symbols of a string; gram: symbols of an anchor; apart: a match must lie in another document."""
+
+    length: int
+    gram: int
+    apart: bool
+
+
+BYTES, WORDS = Measure(400, 200, False), Measure(51, 12, True)
+ROWS = "key long, cls long, doc long, ats binary, lead int, core int, size int, several boolean"
+NAMES = ["key", "cls", "doc", "ats", "lead", "core", "size", "several"]
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -56,361 +78,518 @@ def minimisers(h: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, w, False) == h)
 
 
-def _keyed(length: int, k: int, parts: int):
-    """(key, cls, doc, at, size, side) of every range of string starts around every minimiser of texts (doc, text), once per text and task.
-
-    side 1: the text holds the range more than once; side 2: a span that is known to go."""
-    step = (length - k) // parts
+class _Symbols:
+    """Polynomial values of any stretch of a slice's symbols, alike wherever the stretch stands."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def value(self, start, stop):
+        return (self.sums[stop] - self.sums[start]) * self.down[start]
+
+
+def _read(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols as numbers, each text's first symbol and the end)."""
+    return word_hashes(data, offsets) if words else (data.astype(np.uint64) + np.uint64(1), offsets)
+
+
+def _signed(x: np.ndarray, words: bool) -> np.ndarray:
+    """Keys of words are negative, so that sorted rows hold one measure after the other."""
+    return ((x >> np.uint64(1)) | (np.uint64(words) << np.uint64(63))).view(np.int64)
+
+
+def _rows(symbols: _Symbols, key: np.ndarray, text: np.ndarray, doc: np.ndarray, first: np.ndarray, start, core, core_stop, stop, apart: bool) -> pa.RecordBatch:
+    """ROWS of contexts start .. stop with a core; those of one text that are equal are one row with several places."""
+    size, lead = stop - start, core - start
+    cls = mix64(symbols.value(start, stop) ^ mix64((lead * 65536 + size + 1).astype(np.uint64))).view(np.int64)
+    order = np.lexsort((start, cls, key, text))
+    key, cls, text, start, lead, size, span = (x[order] for x in (key, cls, text, start, lead, size, core_stop - core))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (text[1:] != text[:-1])
+    one = np.flatnonzero(new)
+    many = np.diff(np.concatenate((one, [len(key)])))
+    at = (start - first[text]).astype("<i4")
+    ats = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate((one, [len(key)])).astype(np.int32) * np.int32(4)), pa.py_buffer(at)])
+    numbers = [pa.array(x[one].astype(np.int32)) for x in (lead, span, size)]
+    return pa.record_batch([pa.array(key[one]), pa.array(cls[one]), pa.array(doc[text[one]]), ats, *numbers, pa.array((many > 1) & (not apart))], names=NAMES)
+
+
+def _anchored(values: np.ndarray, offsets: np.ndarray, doc: np.ndarray, m: Measure, words: bool) -> pa.RecordBatch | None:
+    """The contexts of all anchors of a slice's texts: the strings that an anchor has, which are those whose leftmost least gram it is."""
+    n, w = len(values), m.length - m.gram + 1
+    if n < m.length:
+        return None
+    symbols = _Symbols(values)
+    every = np.arange(n - m.gram + 1)
+    h = mix64(symbols.value(every, every + m.gram)) >> np.uint64(1)
+    for end in offsets[1:-1].tolist():  # no gram lies across two texts
+        h[max(0, end - m.gram + 1) : end] = np.iinfo(np.uint64).max
+    p = minimisers(h, w)
+    p = p[h[p] != np.iinfo(np.uint64).max]
+    if not len(p):
+        return None
+    v = h[p]
+    low, high = p - w + 1, p.copy()
+    for t in range(1, min(5, len(p))):  # a near gram that is as low before, or lower behind, has the other strings
+        near = p[t:] - p[:-t] < w
+        low[t:] = np.where(near & (v[:-t] <= v[t:]), np.maximum(low[t:], p[:-t] + 1), low[t:])
+        high[:-t] = np.where(near & (v[t:] < v[:-t]), np.minimum(high[:-t], p[t:] - w), high[:-t])
+    text = np.searchsorted(offsets, p, side="right") - 1
+    low, high = np.maximum(low, offsets[text]), np.minimum(high, offsets[text + 1] - m.length)
+    ok = low <= high
+    p, v, text, low, high = (x[ok] for x in (p, v, text, low, high))
+    if not len(p):
+        return None
+    return _rows(symbols, _signed(mix64(v + np.uint64(words)), words), text, doc, offsets[:-1], low, p, p + m.gram, high + m.length, m.apart)
+
+
+def _keyed(hot: np.ndarray, parts: int):
+    """ROWS of texts (doc, text) by both measures, and a salt: those of grams in hot are dealt over so many parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            new = []
-            for x in ids.tolist():
-                new.append(x not in seen)
-                seen.add(x)
-            if len(seen) > 1 << 20:
-                seen.clear()
-            chosen = batch.filter(pa.array(new, pa.bool_()))
-            ids = chosen.column(0).to_numpy()
-            for a, _, data, offsets in text_slices(text_array(chosen.column(1))):
-                n = len(data)
-                if n < length:
-                    continue
-                up, down = powers(n)
-                sums = np.zeros(n + 1, np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-
-                def value(s, e, sums=sums, down=down):
-                    return (sums[e] - sums[s]) * down[s]
-
-                h = mix64((sums[k:] - sums[:-k]) * down[: n - k + 1]) >> np.uint64(1)
-                for end in offsets[1:-1].tolist():  # no gram lies across two texts
-                    h[max(0, end - k + 1) : end] = np.iinfo(np.uint64).max
-                p = minimisers(h, length - k + 1)
-                p = p[h[p] != np.iinfo(np.uint64).max]
-                text = np.searchsorted(offsets, p, side="right") - 1
-                first, last = offsets[text], offsets[text + 1]
-                out = []
-                for j in range(parts):
-                    near, far = step * j, (length - k) if j == parts - 1 else step * (j + 1)
-                    core, stop = p - near, p - far + length
-                    ok = (core >= first) & (stop <= last)
-                    left, right = np.maximum(p - far, first), np.minimum(p - near + length, last)
-                    ok &= right - left >= length
-                    c, e, l, r = core[ok], stop[ok], left[ok], right[ok]
-                    key = mix64(value(c, e) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                    around = ((c - l) * 4096 + (r - e)).astype(np.uint64)
-                    cls = mix64(value(l, r) ^ mix64(around + np.uint64(1)))
-                    out.append((key, cls, ids[a + text[ok]], l - first[ok], r - l))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                if len(columns[0]):
-                    yield _condensed(columns)
+            for a, b, data, offsets in text_slices(text_array(batch.column(1))):
+                for words, m in enumerate((BYTES, WORDS)):
+                    out = _anchored(*_read(data, offsets, bool(words)), ids[a:b], m, bool(words))
+                    if out is not None:
+                        salt = np.where(np.isin(out.column(0).to_numpy(), hot), out.column(2).to_numpy() % parts, 0)
+                        yield pa.record_batch([*out.columns, pa.array(salt.astype(np.int32))], names=[*NAMES, "salt"])
 
     return run
 
 
-def _condensed(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Ranges that a text repeats by itself stand for one another: one of them goes on, marked as a copy, and their union is a span.
+def _finer(width: int):
+    """ROWS of (doc, text, asked) for the asked contexts, by ranges of width strings: the core of a range is what all of them share."""
 
-    A text in which few words recur thousands of times would else send as many rows to one key. Spans (side 1) need no key; they travel
-    under their text's hash.
-    """
-    key, cls, doc, at, size = columns
-    order = np.lexsort((at, doc, cls, key))
-    key, cls, doc, at, size = (c[order] for c in (key, cls, doc, at, size))
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1])
-    many = np.diff(np.concatenate((np.flatnonzero(first), [len(key)])))
-    again = np.repeat(many > 1, many)
-    s, e, d = at[again], (at + size)[again], doc[again]
-    order = np.lexsort((s, d))
-    s, e, d = s[order], e[order], d[order]
-    # spans of a text that touch become one: the furthest end so far decides
-    lift = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]).astype(np.int64)))) * (1 << 40) if len(d) else np.zeros(0, np.int64)
-    far = np.maximum.accumulate(e + lift) if len(d) else lift
-    opens = np.ones(len(d), bool)
-    opens[1:] = (s + lift)[1:] > far[:-1]
-    at_open = np.flatnonzero(opens)
-    ends = (far - lift)[np.concatenate((at_open[1:] - 1, [len(d) - 1]))] if len(d) else far
-    s, d = s[at_open], d[at_open]
-    one = np.flatnonzero(first)
-    parts = (
-        (key[one].view(np.int64), d),
-        (cls[one].view(np.int64), np.zeros(len(d), np.int64)),
-        (doc[one], d),
-        (at[one], s),
-        (size[one], ends - s),
-        ((many > 1).astype(np.int8), np.full(len(d), 2, np.int8)),
-    )
-    columns = [np.concatenate(p) for p in parts]
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int8)
-    return pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["key", "cls", "doc", "at", "size", "side"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, cls, doc, at): ranges that are copies as they stand (ask false), and a context per class where classes differ."""
-    names = ["key", "cls", "doc", "at", "size", "ask", "alone"]
-
-    def settle(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        known = [x[rows[5] == 2] for x in rows[:5]]
-        key, cls, doc, at, size, side = (x[rows[5] != 2] for x in rows)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        key, cls, doc, at, size, side = (x[new] for x in (key, cls, doc, at, size, side))
-        same_class = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
-        opens = np.concatenate((np.ones(min(len(key), 1), bool), ~same_class))
-        edge = np.zeros(min(len(key), 1), bool)
-        copies = np.flatnonzero(np.concatenate((same_class, edge)) | np.concatenate((edge, same_class)))
-        # a class is shared if it has several members or one that its text repeats
-        number = np.cumsum(opens) - 1
-        shared = (np.bincount(number, minlength=1) > 1)[number] | (np.bincount(number, side, minlength=1) > 0)[number] if len(key) else edge
-        first = key[opens]
-        edge = edge[: len(first)]
-        several = np.concatenate((first[1:] == first[:-1], edge)) | np.concatenate((edge, first[1:] == first[:-1]))
-        ask = np.zeros(len(key), bool)
-        ask[np.flatnonzero(opens)[several]] = True
-        asked = np.flatnonzero(ask)
-        take = np.concatenate((copies, asked))
-        if not len(take) + len(known[0]):
-            return None
-        flag = np.concatenate((np.zeros(len(copies), bool), np.ones(len(asked), bool), np.zeros(len(known[0]), bool)))
-        alone = np.concatenate((~shared[take], np.zeros(len(known[0]), bool)))
-        return pa.record_batch([*(pa.array(np.concatenate((x[take], y))) for x, y in zip((key, cls, doc, at, size), known, strict=True)), pa.array(flag), pa.array(alone)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            for i in range(batch.num_rows):
+                doc, asked = batch.column(0).slice(i, 1).to_numpy(), lists[i].values
+                key, lead, core, size = (asked.field(c).to_numpy() for c in ("key", "lead", "core", "size"))
+                ats = asked.field("ats").to_pylist()
+                for _, _, data, offsets in text_slices(text_array(batch.column(1).slice(i, 1))):
+                    for words, m in enumerate((BYTES, WORDS)):
+                        mine = np.flatnonzero((key < 0) == bool(words))
+                        if len(mine):
+                            values, _ = _read(data, offsets, bool(words))
+                            yield _ranges(values, doc, m, bool(words), width, [(key[k], np.frombuffer(ats[k], "<i4"), lead[k], size[k]) for k in mine])
+
+    return run
 
-    held: list[np.ndarray] | None = None
+
+def _ranges(values: np.ndarray, doc: np.ndarray, m: Measure, words: bool, width: int, contexts: list) -> pa.RecordBatch:
+    symbols, out = _Symbols(values), []
+    for key, ats, lead, size in contexts:
+        lead, size = int(lead), int(size)
+        most, least = lead, lead - (size - m.length)  # of a string's way from its start to the core
+        for j in range(least // width, most // width + 1):
+            near, far = width * j, width * j + width - 1
+            for at in ats.tolist():
+                p = at + lead
+                out.append((key, j, p - min(far, most), p - near, p - far + m.length, p - max(near, least) + m.length))
+    key, j, start, core, core_stop, stop = (np.array(c, np.int64) for c in zip(*out, strict=True))
+    # the core of an edge range may begin before the text's first string of it
+    name = mix64(symbols.value(core, core_stop) ^ mix64(key.view(np.uint64) + j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    zero = np.zeros(len(key), np.int64)
+    return _rows(symbols, _signed(name, words), zero, doc, zero[:1], start, core, core_stop, stop, m.apart)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """(rows of whole keys, False) from rows sorted by key; of a key with more than most rows (all there are of it, True), as they come."""
+    held: list[pa.RecordBatch] = []
+    size, large = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(6)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        edge = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
-        held = [x[edge:] for x in rows]
-        if edge and (out := settle([x[:edge] for x in rows])) is not None:
-            yield out
-    if held is not None and (out := settle(held)) is not None:
-        yield out
-
-
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with what is asked of them, as contexts."""
+        if large is not None:
+            key = batch.column(0).to_numpy()
+            stop = int(np.searchsorted(key, large, side="right"))
+            if stop:
+                yield batch.slice(0, stop), True
+            if stop == len(key):
+                continue
+            large, batch = None, batch.slice(stop)
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if last or (held and held[-1].column(0)[-1].as_py() != key[0]):
+            yield pa.concat_batches([*held, batch.slice(0, last)]), False
+            held, size = [], 0
+        held.append(batch.slice(last))
+        size += held[-1].num_rows
+        if most is not None and size > most:
+            yield pa.concat_batches(held), True
+            held, size, large = [], 0, key[-1]
+    if held:
+        yield pa.concat_batches(held), False
+
+
+def _met(hot: np.ndarray, most: int):
+    """From ROWS sorted by (key, cls, doc): classes that can match (first: their first member; twin: another member matches it all).
+
+    Of grams in hot, and of those with more than most rows here, every row as it is (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, large in _runs(batches, most):
+            key = rows.column(0).to_numpy()
+            away = np.full(len(key), True) if large else np.isin(key, hot)
+            if away.any():
+                some = rows.filter(pa.array(away))
+                yield _labelled(some, 1, np.zeros(some.num_rows, bool), np.zeros(some.num_rows, bool))
+            if not away.all():
+                out = settle(rows.filter(pa.array(~away)))
+                if out is not None:
+                    yield out
+
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        key, cls, doc = (rows.column(i).to_numpy() for i in range(3))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1])
+        again = np.zeros(len(key), bool)  # the row of a repeated document
+        again[:-1] = ~new[1:]
+        several = np.asarray(rows.column(7)) | (again & (key >= 0))
+        some = np.flatnonzero(new)
+        rows, key, cls, doc, several = rows.take(pa.array(some)), key[some], cls[some], doc[some], several[some]
+        opens = np.ones(len(key), bool)
+        opens[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        at = np.flatnonzero(opens)
+        members = np.diff(np.concatenate((at, [len(key)])))
+        twin = (members > 1) | np.logical_or.reduceat(several, at)
+        head = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))  # of keys among classes
+        classes = np.diff(np.concatenate((head, [len(at)])))
+        place = at[head]
+        apart = np.minimum.reduceat(doc, place) != np.maximum.reduceat(doc, place)
+        use = np.where(key[place] < 0, apart, (classes > 1) | np.logical_or.reduceat(twin, head))
+        use = np.repeat(np.repeat(use, classes), members)
+        if not use.any():
+            return None
+        return _labelled(rows.filter(pa.array(use)), 0, opens[use], np.repeat(twin, members)[use])
+
+    return run
+
+
+def _labelled(rows: pa.RecordBatch, kind: int, first: np.ndarray, twin: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([*rows.columns, pa.array(np.full(rows.num_rows, kind, np.int8)), pa.array(first), pa.array(twin)], names=[*NAMES, "kind", "first", "twin"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cls, context) of (doc, text, asked): the symbols before and behind the core, bytes or words' hashes."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        keys, classes, found = [], [], []
         for i in range(batch.num_rows):
-            doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode("utf-8")
-            for x in batch.column(2)[i].as_py():
-                row = (x["key"], x["cls"], doc, x["at"], x["alone"], data[x["at"] : x["at"] + x["size"]])
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "cls", "doc", "at", "alone", "context"])
+            asked = batch.column(2)[i].values
+            data = batch.column(1)[i].as_py().encode("utf-8")
+            key, cls, lead, core, size = (asked.field(c).to_numpy() for c in ("key", "cls", "lead", "core", "size"))
+            at = np.frombuffer(b"".join(asked.field("at").to_pylist()), "<i4")
+            whole = None
+            for k, a, b, c, d in zip(key.tolist(), at.tolist(), (at + lead).tolist(), (at + lead + core).tolist(), (at + size).tolist(), strict=True):
+                if k >= 0:
+                    found.append(data[a:b] + data[c:d])
+                else:
+                    if whole is None:
+                        whole = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].astype("<u8").tobytes()
+                    found.append(whole[8 * a : 8 * b] + whole[8 * c : 8 * d])
+            keys.append(key)
+            classes.append(cls)
+        if found:
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes)), pa.array(found, pa.binary())], names=["key", "cls", "context"])
 
 
 class RunLengthIndex:
-    """The run-length Burrows-Wheeler transform of several groups of strings, suffixes sorted within their group.
+    """What a run-length Burrows-Wheeler transform of several strings holds at the ends of its runs.
 
-    heads are the ranks at which a run begins, samples the text positions of the suffixes there; matches() streams through the text.
+    text is the strings' symbols, each string closed by a 0; owner tells whose a string is. A run of the transform goes on while the symbol
+    before a suffix is that before its neighbour of another owner. Kept are the samples: text positions at the runs' ends, and how many
+    symbols they share with that neighbour. runs counts them; the suffix order itself is given up after the build.
     """
 
-    def __init__(self, strings: list[bytes], groups: list[int]):
-        sizes = np.array([len(s) + 1 for s in strings], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(sizes)))
-        n = int(self.starts[-1])
-        self.text = np.zeros(n, np.int64)  # 0 ends a string, bytes are one more than they are
-        flat = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = self.starts[1:] - 1
-        flat[ends] = 0
-        self.text[:] = flat
-        self.group = np.repeat(np.asarray(groups, np.int64), sizes)
-        self.left = np.repeat(self.starts[1:], sizes) - np.arange(n) - 1  # bytes up to the string's end
-        self._sort(n)
-        previous = np.where(self.sa > 0, self.text[self.sa - 1], 0)
-        previous[np.isin(self.sa, self.starts[:-1])] = -1  # the sign before a string's first byte
-        change = np.ones(n, bool)
-        change[1:] = (previous[1:] != previous[:-1]) | (previous[1:] <= 0) | (self.group[self.sa[1:]] != self.group[self.sa[:-1]])
-        self.heads = np.flatnonzero(change)
-        self.samples = self.sa[self.heads]
-        self.signs = previous[self.heads]
-
-    def _sort(self, n: int) -> None:
-        """Suffix ranks by doubling: at every level a rank names a prefix of that length, within a group."""
-        x = self.group * 257 + self.text
-        self.levels = []
-        order = np.argsort(x, kind="stable")
-        size = 1
-        while True:
-            y = x[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([0], (y[1:] != y[:-1]).astype(np.int64))))
-            self.levels.append((size, rank))
-            if int(rank[order[-1]]) == n - 1 or size > int(self.left.max()):
+    def __init__(self, text: np.ndarray, starts: np.ndarray, owner: np.ndarray):
+        self.text, self.starts, n = text, starts, len(text)
+        sizes = np.diff(starts)
+        self.left = np.repeat(starts[1:], sizes) - np.arange(n) - 1  # symbols up to the string's end
+        order, levels = self._sorted()
+        before = np.empty(n, np.int64)
+        before[1:] = text[:-1]
+        before[starts[:-1]] = -1 - np.arange(len(sizes))  # no symbol stands before a string: a run of its own
+        sign, own = before[order], np.repeat(owner, sizes)[order]
+        new = np.ones(n, bool)
+        new[1:] = own[1:] != own[:-1]
+        self.samples: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs = 0
+        for side in (0, 1):  # the neighbour of another owner before a suffix in order, and the one behind it
+            if side == 0:
+                other = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - 1
+            else:
+                last = np.concatenate((new[1:], [True]))
+                other = np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1] + 1
+                other[other == n] = -1
+            head = np.flatnonzero((other >= 0) & (sign != sign[other]))
+            a, b = order[head], order[other[head]]
+            self.samples.append((a, self._common(a, b, levels)))
+            self.runs += len(head)
+
+    def _sorted(self) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """The suffix order and, by prefix length, names of all prefixes: several symbols at once, then by doubling what isn't alone yet."""
+        n, top = len(self.text), int(self.text.max(initial=0)) + 1
+        names, size, base = self.text.astype(np.int64), 1, top
+        levels = [(1, names)]
+        while size < 4 and base * base < 1 << 62:
+            names, size, base = names * base + self._behind(names, size), 2 * size, base * base
+            levels.append((size, names))
+        order = np.argsort(names)
+        rank = np.empty(n, np.int32)
+        y = names[order]
+        new = np.concatenate((np.ones(min(n, 1), bool), y[1:] != y[:-1]))
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        longest = int(self.left.max(initial=0))
+        while size <= longest:
+            alone = new & np.concatenate((new[1:], [True]))
+            slots = np.flatnonzero(~alone)
+            if not len(slots):
                 break
-            after = np.zeros(n, np.int64)
-            more = self.left >= size  # else the string ends within: what follows doesn't count
-            after[more] = rank[np.flatnonzero(more) + size] + 1
-            x = rank * (n + 1) + after
-            order = np.argsort(x, kind="stable")
+            levels.append((size, rank.copy()))
+            mine = order[slots]
+            at = mine + size
+            behind = np.where(self.left[mine] >= size, rank[np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
+            x = rank[mine].astype(np.int64) * (n + 1) + behind
+            by = np.argsort(x)
+            order[slots], x = mine[by], x[by]
+            new[slots] = np.concatenate(([True], x[1:] != x[:-1]))
+            rank[order[slots]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[slots]
             size *= 2
-        self.sa = order
+        levels.append((size, rank))
+        return order, levels
+
+    def _behind(self, names: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros_like(names)
+        out[:-size] = np.where(self.left[:-size] >= size, names[size:], 0)
+        return out
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b: from the longest prefixes down to single bytes."""
-        out = np.zeros(len(a), np.int64)
+    def _common(self, a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Length of the common prefix of suffixes a and b: from the longest prefixes down to single symbols."""
+        out, n = np.zeros(len(a), np.int64), len(self.text)
         room = np.minimum(self.left[a], self.left[b])
-        for size, rank in reversed(self.levels):
-            i, j = np.minimum(a + out, len(rank) - 1), np.minimum(b + out, len(rank) - 1)
-            out += np.where((room - out >= size) & (rank[i] == rank[j]), size, 0)
+        for size, names in reversed(levels):
+            i, j = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
+            out += np.where((room - out >= size) & (names[i] == names[j]), size, 0)
         return out
 
-    def matches(self) -> np.ndarray:
-        """For every position the length of its longest match with another position of its group."""
-        n = len(self.text)
-        best = np.zeros(n, np.int64)
-        for side in (0, 1):  # the neighbour before in suffix order, compared at run heads; and the one after, at run ends
-            at = self.heads[1:] if side == 0 else self.heads[1:] - 1
-            other = at - 1 if side == 0 else at + 1
-            known = np.full(n, -1, np.int64)
-            a, b = self.sa[at], self.sa[other]
-            same = self.group[a] == self.group[b]
-            known[a] = np.where(same, self._common(a, b), 0)
-            edge = self.sa[0] if side == 0 else self.sa[-1]
-            known[edge] = 0
-            known[self.starts[:-1]] = np.maximum(known[self.starts[:-1]], 0)
-            # streaming: a position inside a run follows its text neighbour and matches one byte less
-            reach = np.where(known >= 0, known + np.arange(n), -1)
-            string = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-            lift = string * (4 * n)
-            flow = np.maximum.accumulate(reach + lift) - lift
-            best = np.maximum(best, np.minimum(np.maximum(flow - np.arange(n), 0), self.left))
-        return best
-
-
-def _marked(length: int, block: int):
-    """Spans (doc, start, stop) of contexts sorted by (key, cls)."""
-
-    def spans(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        number: dict[int, int] = {}
-        groups = [number.setdefault(r[0], len(number)) for r in rows]
-        index = RunLengthIndex([r[5] for r in rows], groups)
-        hit = index.matches() >= length
-        for k in np.unique(np.searchsorted(index.starts, np.flatnonzero(hit), side="right") - 1).tolist():
-            yield from runs(rows[k], np.flatnonzero(hit[index.starts[k] : index.starts[k + 1]]))
-
-    def runs(row: tuple, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if row[4] and len(at):
+    def reach(self, units: np.ndarray, twins: np.ndarray) -> np.ndarray:
+        """For every position, in units, how far its longest match with another owner reaches; all of a string that is among twins.
+
+        units: the units before each position, and their total. Between samples a match goes on with the next position.
+        """
+        out = np.zeros(len(self.text), np.int64)
+        for at, common in self.samples:
+            out[at] = np.maximum(out[at], units[at + common])
+        first = self.starts[:-1][twins]
+        out[first] = units[self.starts[1:][twins] - 1]
+        return np.maximum.accumulate(out)
+
+
+def marked(classes: list[tuple[int, bytes, int, int, int, bool]], m: Measure, words: bool) -> tuple[list[np.ndarray], RunLengthIndex]:
+    """Per class (key, context, lead, core, owner, twin) the starts of strings, from its first symbol, that match with another owner's; and the index."""
+    context = np.frombuffer(b"".join(c[1] for c in classes), "<u8" if words else np.uint8)
+    wide = 8 if words else 1
+    sizes = np.array([len(c[1]) // wide for c in classes], np.int64)
+    lead = np.array([c[2] for c in classes], np.int64)
+    if words:
+        stock, context = np.unique(context, return_inverse=True)
+        alphabet = len(stock)
+    else:
+        alphabet = 256
+    group = np.unique(np.array([c[0] for c in classes], np.int64), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes + 2)))  # with the core and the end
+    string = np.repeat(np.arange(len(classes)), sizes)
+    place = np.arange(len(context)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    text = np.zeros(starts[-1], np.int64)
+    text[starts[:-1][string] + place + (place >= lead[string])] = context.astype(np.int64) + 1
+    core = starts[:-1] + lead
+    text[core] = alphabet + 1 + group
+    unit = (text > 0).astype(np.int64)
+    unit[core] = [c[3] for c in classes]
+    units = np.concatenate(([0], np.cumsum(unit)))
+    twin = np.array([c[5] for c in classes], bool)
+    owner = np.array([c[4] for c in classes], np.int64)
+    # a class with several documents, and every class of bytes, is an owner by itself
+    number = np.unique(owner, return_inverse=True)[1]
+    own = np.where(twin, len(number) + np.arange(len(number)), number) if m.apart else np.arange(len(number))
+    index = RunLengthIndex(text, starts, own)
+    hit = index.reach(units, np.flatnonzero(twin)) - units[:-1] >= m.length
+    at = np.flatnonzero(hit)
+    which = np.searchsorted(starts, at, side="right") - 1
+    cut = np.searchsorted(which, np.arange(len(classes) + 1))
+    inside = at - starts[:-1][which]
+    return [inside[a:b] for a, b in zip(cut, cut[1:], strict=False)], index
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (doc, words, start, stop) from contexts and members sorted by (key, cls, kind), a block of whole keys at a time."""
+    ready: list[tuple] = []  # classes: key, context, lead, core, owner, twin, members
+    size, words = 0, False
+
+    def spans() -> pa.RecordBatch:
+        m = WORDS if words else BYTES
+        docs, starts, stops = [], [], []
+        for c, at in zip(ready, marked([c[:6] for c in ready], m, words)[0], strict=True):
+            if not len(at):
+                continue
             cut = np.flatnonzero(np.diff(at) > 1)
-            for s, e in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist(), strict=True):
-                yield row[2], row[3] + s, row[3] + e + length
-
-    def named(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        """The same by naming every string: for keys of very many contexts, or of contexts that lie over one another in one text."""
-        names = [[hashlib.blake2b(r[5][i : i + length], digest_size=12).digest() for i in range(len(r[5]) - length + 1)] for r in rows]
-        place: dict[bytes, tuple[int, int] | None] = {}  # None: the string starts at several places
-        for r, x in zip(rows, names, strict=True):
-            for i, v in enumerate(x):
-                here = (r[2], r[3] + i)
-                if place.setdefault(v, here) != here:
-                    place[v] = None
-        for r, x in zip(rows, names, strict=True):
-            yield from runs(r, np.flatnonzero([place[v] is None for v in x]))
-
-    def by_name(rows: list[tuple]) -> bool:
-        return sum(len(x[5]) for x in rows) > block or len({x[2] for x in rows}) < len(rows)
-
-    def batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        doc, start, stop = zip(*found, strict=True) if found else ((), (), ())
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc", "start", "stop"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # whole keys
-        rows: list[tuple] = []  # of the key at hand
-        size = 0
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and r[0] != rows[-1][0]:
-                    if by_name(rows):
-                        yield batch(list(named(rows)))
-                    else:
-                        own = sum(len(x[5]) for x in rows)
-                        if size + own > block:
-                            yield batch(list(spans(ready)))
-                            ready, size = [], 0
-                        ready += rows
-                        size += own
-                    rows = []
-                if rows and r[:2] == rows[-1][:2]:
-                    continue  # the same class from a copy of its text
-                rows.append(r)
-        if rows and by_name(rows):
-            yield batch(list(named(rows)))
+            s, e = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + m.length
+            for doc, ats in c[6]:
+                place = np.frombuffer(ats, "<i4")[:, None]
+                starts.append((place + s).ravel())
+                stops.append((place + e).ravel())
+                docs.append(np.full(starts[-1].size, doc, np.int64))
+        join = lambda x, kind: pa.array((np.concatenate(x) if x else np.zeros(0)).astype(kind))
+        doc = join(docs, np.int64)
+        return pa.record_batch([doc, pa.array(np.full(len(doc), words)), join(starts, np.int32), join(stops, np.int32)], names=["doc", "words", "start", "stop"])
+
+    for rows, _ in _runs(batches):
+        columns = [rows.column(i).to_pylist() for i in range(8)]  # key, cls, kind, context, doc, ats, lead, core
+        twins = rows.column(8).to_pylist()
+        classes: list[tuple] = []
+        seen = None
+        for k in range(rows.num_rows):
+            key, cls, kind, context, doc, ats, lead, core = (c[k] for c in columns)
+            if kind == 0:
+                if seen != (key, cls):
+                    seen = (key, cls)
+                    classes.append((key, context, None))
+                continue
+            assert seen == (key, cls), "a class without its context"
+            last = classes[-1]
+            if last[2] is None:
+                classes[-1] = (key, last[1], lead, core, doc, twins[k], [(doc, ats)])
+            else:
+                last[6].append((doc, ats))
+        for c in classes:
+            now = c[0] < 0
+            if ready and (now != words or (size > BLOCK and c[0] != ready[-1][0])):
+                yield spans()
+                ready, size = [], 0
+            words = now
+            ready.append(c)
+            size += len(c[1]) // (8 if now else 1) + 2
+    if ready:
+        yield spans()
+
+
+def _gone(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The maximal runs of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        stop = min(stop, size)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
         else:
-            ready += rows
-        if ready:
-            yield batch(list(spans(ready)))
+            out.append((start, stop))
+    return out
 
-    return run
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to what is left."""
+    """RESULT of (doc_id, text, spans)."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
-        for i in range(batch.num_rows):
-            data = (batch.column(1)[i].as_py() or "").encode("utf-8")
-            at, gone, many, kept = 0, 0, 0, []
-            for s in sorted((x["start"], x["stop"]) for x in batch.column(2)[i].as_py() or ()):
-                start, stop = s[0], min(s[1], len(data))
-                if start > at or not many:
-                    many += 1
-                    kept.append(data[at:start])
-                    gone += stop - start
-                elif stop > at:
-                    gone += stop - at
-                at = max(at, stop)
-            kept.append(data[at:])
-            row = (batch.column(0)[i].as_py(), len(data), gone, many, hashlib.sha256(b"".join(kept)).hexdigest())
-            for c, v in zip(columns, row, strict=True):
-                c.append(v)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K, parts: int = PARTS, block: int = BLOCK_BYTES) -> DataFrame:
-    """(doc, spans): per text's hash (xxhash64) the byte ranges to remove, as an array of (start, stop) that may overlap."""
-    spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    hashed = docs.select(F.xxhash64(body).alias("doc"), body.alias("text"))
-    n = partitions(spark)
-    copies = hashed.select("doc", F.octet_length("text").alias("size")).where(F.col("size") >= length).groupBy("doc").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1")
-    rows = hashed.where(F.octet_length("text") >= length).mapInArrow(_keyed(length, k, parts), "key long, cls long, doc long, at int, size int, side tinyint")
-    rows = rows.repartition(n, "key").sortWithinPartitions("key", "cls", "doc", "at")
-    met = materialize(spark, rows.mapInArrow(_meet, "key long, cls long, doc long, at int, size int, ask boolean, alone boolean"), "met")
-    asked = met.where("ask").groupBy("doc").agg(F.collect_list(F.struct("key", "cls", "at", "size", "alone")).alias("asked"))
-    asked = materialize(spark, asked, "asked")
-    texts = hashed.join(asked, "doc").select("doc", "text", "asked")
-    contexts = texts.mapInArrow(_once, texts.schema).mapInArrow(_cut_contexts, "key long, cls long, doc long, at int, alone boolean, context binary")
-    found = contexts.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_marked(length, block), "doc long, start int, stop int")
-    as_is = met.where("not ask").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
-    whole = copies.select("doc", F.lit(0).alias("start"), F.col("size").cast("int").alias("stop"))
-    spans = found.unionByName(as_is).unionByName(whole).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        out = []
+        for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            data = (text or "").encode("utf-8")
+            gone = _gone([(x["start"], x["stop"]) for x in spans or () if not x["words"]], len(data))
+            words = _gone([(x["start"], x["stop"]) for x in spans or () if x["words"]], len(data))
+            edges = [0, *(x for s in gone for x in s), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in words)))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): a hash of both names a document."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.xxhash64("doc_id", body).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
+
+
+def _asked(hashed: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
+    """run over (doc, text, asked) of the documents that wanted (doc, asked) names; a bitmap keeps most others from the shuffle."""
+    bits = key_bitmap(wanted, "doc")
+    near = hashed.select("doc", "text").mapInArrow(chosen(bits, "doc"), "doc long, text string")
+    return near.join(wanted, "doc").mapInArrow(released(run), schema)
+
+
+def repeated_spans(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """(doc, spans): per document (see _named) an array of (words, start, stop), ranges of bytes and of words that may overlap.
+
+    most: contexts of a gram that one task takes; sample: one of so many documents tells which grams are very common. Both leave the rows alone.
+    """
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    hashed = _named(docs)
+    long = hashed.select("doc", "text").where(F.octet_length("text") >= 2 * WORDS.length - 1)
+
+    # where to send rows: grams that a sample shows too often for one task
+    some = long.where(F.pmod(F.col("doc"), F.lit(sample)) == 0).mapInArrow(released(_keyed(np.zeros(0, np.int64), 1)), f"{ROWS}, salt int").groupBy("key").agg(F.count("*").alias("n"))
+    some = materialize(spark, some, "sampled")
+    often = max(16, (some.agg(F.sum("n")).first()[0] or 0) // (8 * n))
+    hot = np.array(sorted(r[0] for r in some.where(F.col("n") > often).select("key").limit(8 * n).collect()), np.int64)
+    labels = "kind tinyint, first boolean, twin boolean"
+    rows = long.mapInArrow(released(_keyed(hot, n)), f"{ROWS}, salt int")
+    rows = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "cls", "doc").drop("salt")
+    met = materialize(spark, rows.mapInArrow(_met(hot, most), f"{ROWS}, {labels}"), "met")
+    members, direct = met.where("kind = 0"), []
+
+    rows = met.where("kind = 1").select(*NAMES)
+    for width in WIDTHS:
+        if not rows.take(1):
+            break
+        many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.max(F.col("several").cast("int")).alias("twice"))
+        # repeated rows of a document count as copies for bytes only
+        many = many.where((F.col("d0") != F.col("d1")) | ((F.col("key") >= 0) & ((F.col("twice") > 0) | (F.col("n") > 1))))
+        many = materialize(spark, many.select("key", "n", (F.col("c0") == F.col("c1")).alias("one")), "common")
+        rows = materialize(spark, rows.join(many, "key"), "crowd")
+        direct.append(rows.where("one").select("doc", "key", "ats", "size"))
+        few = rows.where(f"not one and n <= {most}").select(*NAMES).repartition(n, "key").sortWithinPartitions("key", "cls", "doc")
+        members = members.unionByName(materialize(spark, few.mapInArrow(_met(np.zeros(0, np.int64), most), f"{ROWS}, {labels}"), "few"))
+        wanted = rows.where(f"not one and n > {most}").groupBy("doc").agg(F.collect_list(F.struct("key", "lead", "core", "size", "ats")).alias("asked"))
+        wanted = materialize(spark, wanted, "wanted")
+        rows = materialize(spark, _asked(hashed, wanted, _finer(width), ROWS), "finer")
+    else:  # single strings: whatever a gram's rows are, they are equal
+        many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.max(F.col("several").cast("int")).alias("twice"))
+        many = many.where((F.col("d0") != F.col("d1")) | ((F.col("key") >= 0) & ((F.col("twice") > 0) | (F.col("n") > 1)))).select("key")
+        direct.append(rows.join(many, "key").select("doc", "key", "ats", "size"))
+
+    asked = members.where("first").select("doc", F.struct("key", "cls", F.expr("substring(ats, 1, 4)").alias("at"), "lead", "core", "size").alias("x"))
+    asked = materialize(spark, asked.groupBy("doc").agg(F.collect_list("x").alias("asked")), "asked")
+    contexts = _asked(hashed, asked, _contexts, "key long, cls long, context binary")
+    none = F.lit(None)
+    contexts = contexts.select("key", "cls", F.lit(0).alias("kind"), "context", none.cast("long").alias("doc"), none.cast("binary").alias("ats"), none.cast("int").alias("lead"), none.cast("int").alias("core"), none.cast("boolean").alias("twin"))
+    both = contexts.unionByName(members.select("key", "cls", F.lit(1).alias("kind"), none.cast("binary").alias("context"), "doc", "ats", "lead", "core", "twin"))
+    both = both.repartition(n, "key").sortWithinPartitions("key", "cls", "kind")
+    spans = both.mapInArrow(released(_indexed), "doc long, words boolean, start int, stop int")
+    for crowd in direct:
+        spans = spans.unionByName(crowd.mapInArrow(_whole, "doc long, words boolean, start int, stop int"))
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("words", "start", "stop")).alias("spans"))
     return materialize(spark, spans, "spans")
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text once per task."""
-    seen: set[int] = set()
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of (doc, key, ats, size): the whole context at each of its places."""
     for batch in batches:
-        new = []
-        for x in batch.column(0).to_pylist():
-            new.append(x not in seen)
-            seen.add(x)
-        if len(seen) > 1 << 20:
-            seen.clear()
-        yield batch.filter(pa.array(new, pa.bool_()))
-
-
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    spans = repeated_spans(docs)
-    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        ats = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+        many = [len(x) for x in ats]
+        at = np.concatenate(ats) if ats else np.zeros(0, np.int32)
+        doc, key, size = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1, 3))
+        yield pa.record_batch([pa.array(doc), pa.array(key < 0), pa.array(at.astype(np.int32)), pa.array((at + size).astype(np.int32))], names=["doc", "words", "start", "stop"])
+
+
+def removed(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, and n_passage_words: words of passages of 51 words or more that another document has too."""
+    spans = repeated_spans(docs, most, sample)
+    bits, rows = key_bitmap(spans, "doc"), _named(docs)
+    plain = rows.mapInArrow(chosen(bits, "doc", False), "doc long, doc_id long, text string").select("doc_id", "text", F.lit(None).cast("array<struct<words:boolean,start:int,stop:int>>").alias("spans"))
+    near = rows.mapInArrow(chosen(bits, "doc"), "doc long, doc_id long, text string").join(spans, "doc", "left").select("doc_id", "text", "spans")
+    return near.mapInArrow(_kept, RESULT).unionByName(plain.mapInArrow(_kept, RESULT))

@@ -319,18 +319,27 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def brute_repeats(texts, length):
-    data = [(t or "").encode() for t in texts]
+def brute_repeats(rows, length=400, words=51):
+    """rows: (doc_id, text)."""
+    data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    listed = [SPACE.findall(lower(t)) for _, t in rows]
+    owners = collections.defaultdict(set)
+    for (k, t), w in zip(rows, listed, strict=True):
+        for i in range(len(w) - words + 1):
+            owners[tuple(w[i : i + words])].add((k, t))
     out = []
-    for b in data:
-        gone = np.zeros(len(b), bool)
+    for b, w in zip(data, listed, strict=True):
+        gone, passage = np.zeros(len(b), bool), np.zeros(len(w), bool)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = True
+        for i in range(len(w) - words + 1):
+            if len(owners[tuple(w[i : i + words])]) > 1:
+                passage[i : i + words] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(passage.sum())))
     return out
 
 
@@ -370,41 +379,62 @@ def test_wrapped_licenses(spark):
     assert [got[i]["labels"] for i in range(len(WRAPPED))] == list(WRAPPED) and got[90]["score"] == got[91]["score"] == 0.0
 
 
+def agree_on_repeats(docs, **how):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted((str(k), *x) for (k, _), x in zip(rows, brute_repeats(rows), strict=True))
+    got = sorted((str(r[0]), *tuple(r)[1:]) for r in repeats.removed(docs, **how).collect())
+    assert got == want
+    return want
+
+
 def test_repeats(spark):
-    docs = fixtures.docs(spark)
-    want = sorted((str(r["doc_id"]), *x) for r, x in zip(docs.collect(), brute_repeats([r["text"] for r in docs.collect()], 400), strict=True))
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed(docs).collect())
-    assert got == want and sum(x[2] for x in want) > 0
+    want = agree_on_repeats(fixtures.docs(spark))
+    assert sum(x[2] for x in want) > 0 and sum(x[5] for x in want) > 0
     assert repeats.removed(fixtures.empty(spark)).count() == 0
 
 
-def test_repeats_of_edited_copies(spark):
+def edited_copies():
     rng = random.Random(11)
-    start = fixtures.words(rng, 500)
+    start, passage = fixtures.words(rng, 500), fixtures.words(rng, 130)
     texts = [fixtures.edited(rng, start, 0.006) for _ in range(25)] + ["ab " * 400, "ab " * 170 + start[:700], "cd" * 230 + "ab " * 150]
-    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], fixtures.SCHEMA)
-    want = brute_repeats(texts, 400)
-    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.removed(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == want
+    texts += [fixtures.words(rng, 40) + " " + passage + " " + fixtures.words(rng, 40) for _ in range(30)] + [passage[:420], passage.upper(), passage + passage]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[40]), (99, texts[41]), (100, None)]
+
+
+@pytest.mark.parametrize("most", [1024, 8, 1])
+def test_repeats_of_edited_copies(spark, most):
+    # small ones deal most grams anew, down to single strings; a sample of all documents finds common grams beforehand
+    agree_on_repeats(spark.createDataFrame(edited_copies(), "doc_id long, text string"), most=most, sample=32 if most == 1 else 1)
+
+
+def test_repeats_of_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh ", k=1_500_000))
+    rows = [(1, long), (2, long[200_000:200_900]), (3, "x" * 300_000), (4, long[:399])]
+    got = {r["doc_id"]: r for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == got[2]["n_removed"] == 900 and got[3]["n_removed"] == 300_000 and got[4]["n_removed"] == 0
+    assert got[1]["n_spans"] == 1 and got[1]["kept_sha256"] == hashlib.sha256((long[:200_000] + long[200_900:]).encode()).hexdigest()
 
 
 def test_run_length_index():
     rng = random.Random(1)
-    for _ in range(30):
-        strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))]
-        groups = sorted(rng.randint(0, 1) for _ in strings)
+    for _ in range(40):
+        strings = [[rng.choice((1, 2, 9)) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 6))]
+        owner = [rng.randint(0, 2) for _ in strings]
         want = []
         for a, s in enumerate(strings):
-            for i in range(len(s)):
-                best = 0
-                for b, t in enumerate(strings):
-                    for j in range(len(t) if groups[a] == groups[b] else 0):
-                        if (a, i) != (b, j):
-                            best = max(best, len(os.path.commonprefix([s[i:], t[j:]])))
-                want.append(best)
-            want.append(0)
-        index = repeats.RunLengthIndex(strings, groups)
-        assert index.matches().tolist() == want and len(index.heads) <= len(index.text)
+            for i in range(len(s) + 1):
+                others = [t[j:] for b, t in enumerate(strings) if owner[a] != owner[b] for j in range(len(t))]
+                want.append(max([len(os.path.commonprefix([s[i:], t])) for t in others], default=0))
+        text = np.array([x for s in strings for x in [*s, 0]], np.int64)
+        starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))
+        index = repeats.RunLengthIndex(text, starts, np.array(owner))
+        units = np.arange(len(text) + 1)
+        reach = index.reach(units, np.zeros(0, np.int64)) - units[:-1]
+        assert np.maximum(reach, 0).tolist() == want and index.runs <= 2 * len(text)
+    copies = np.tile(np.array([*rng.choices(range(1, 5), k=300), 0], np.int64), 50)
+    index = repeats.RunLengthIndex(copies, np.arange(51) * 301, np.arange(50))
+    assert index.runs < len(copies) / 20  # one sample a copy and side, and chance matches
 
 
 def test_minimisers():
