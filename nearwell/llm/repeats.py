@@ -11,9 +11,10 @@ run-length compressed, and the index keeps its samples at the run ends and the m
 every position's longest match with another owner (one less per step until the next sample), equal contexts being a run of twins. What
 matches over the whole length is marked in every member of the class.
 
-A gram that very many contexts share can't go to one task. Such grams are found on a sample (which decides where rows are sent, nothing
-else) or while rows stream by; their contexts are dealt anew by longer grams, around narrower ranges of strings, until the groups are small
-enough for the index, or of one class only, which is a single run of twins.
+A gram whose classes are too many for one index has them dealt anew by longer grams, around narrower ranges of strings, until the groups
+are small enough. A gram that so many contexts share that they can't go to one task is treated in the same way between tasks; a group of
+one class only is a single run of twins then. Such grams are found on a sample (which decides where rows are sent, nothing else) or while
+rows stream by.
 
 Defined cases: a null or empty text keeps its no bytes; repeated rows (equal doc_id and text) are copies of one another, as other equal
 texts are, for bytes; for words they are one document. Overlapping repetitions within a text count for bytes, and not for words. A null
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import chosen, key_bitmap, materialize, mix64, partitions, released, text_array, text_slices
 from .shingles import powers, word_hashes
 
-HOT = 1024  # contexts of a gram that one task takes
-BLOCK = 1 << 18  # symbols that are indexed together
+HOT = 1 << 15  # contexts of a gram that one task takes
+BLOCK = 1 << 16  # symbols that are indexed together, about
+CROWD = 1 << 18  # symbols of a gram's classes from which they are dealt anew within the task
 WIDTHS = (16, 1)  # strings of a range when a gram's contexts are dealt anew
 SAMPLE = 32  # one of so many documents tells which grams are very common
 
@@ -303,10 +305,11 @@ class RunLengthIndex:
 
     text is the strings' symbols, each string closed by a 0; owner tells whose a string is. A run of the transform goes on while the symbol
     before a suffix is that before its neighbour of another owner. Kept are the samples: text positions at the runs' ends, and how many
-    symbols they share with that neighbour. runs counts them; the suffix order itself is given up after the build.
+    symbols they share with that neighbour. runs counts them; the suffix order itself is given up after the build. upto: each string's last
+    position that is asked for (all, if None); no samples are kept behind it.
     """
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, owner: np.ndarray):
+    def __init__(self, text: np.ndarray, starts: np.ndarray, owner: np.ndarray, upto: np.ndarray | None = None):
         self.text, self.starts, n = text, starts, len(text)
         sizes = np.diff(starts)
         self.left = np.repeat(starts[1:], sizes) - np.arange(n) - 1  # symbols up to the string's end
@@ -315,6 +318,7 @@ class RunLengthIndex:
         before[1:] = text[:-1]
         before[starts[:-1]] = -1 - np.arange(len(sizes))  # no symbol stands before a string: a run of its own
         sign, own = before[order], np.repeat(owner, sizes)[order]
+        asked = np.ones(n, bool) if upto is None else (np.arange(n) <= np.repeat(upto, sizes))[order]
         new = np.ones(n, bool)
         new[1:] = own[1:] != own[:-1]
         self.samples: list[tuple[np.ndarray, np.ndarray]] = []
@@ -326,7 +330,7 @@ class RunLengthIndex:
                 last = np.concatenate((new[1:], [True]))
                 other = np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1] + 1
                 other[other == n] = -1
-            head = np.flatnonzero((other >= 0) & (sign != sign[other]))
+            head = np.flatnonzero(asked & (other >= 0) & (sign != sign[other]))
             a, b = order[head], order[other[head]]
             self.samples.append((a, self._common(a, b, levels)))
             self.runs += len(head)
@@ -390,92 +394,162 @@ class RunLengthIndex:
         return np.maximum.accumulate(out)
 
 
-def marked(classes: list[tuple[int, bytes, int, int, int, bool]], m: Measure, words: bool) -> tuple[list[np.ndarray], RunLengthIndex]:
-    """Per class (key, context, lead, core, owner, twin) the starts of strings, from its first symbol, that match with another owner's; and the index."""
-    context = np.frombuffer(b"".join(c[1] for c in classes), "<u8" if words else np.uint8)
-    wide = 8 if words else 1
-    sizes = np.array([len(c[1]) // wide for c in classes], np.int64)
-    lead = np.array([c[2] for c in classes], np.int64)
-    if words:
-        stock, context = np.unique(context, return_inverse=True)
-        alphabet = len(stock)
-    else:
-        alphabet = 256
-    group = np.unique(np.array([c[0] for c in classes], np.int64), return_inverse=True)[1]
-    starts = np.concatenate(([0], np.cumsum(sizes + 2)))  # with the core and the end
-    string = np.repeat(np.arange(len(classes)), sizes)
-    place = np.arange(len(context)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text = np.zeros(starts[-1], np.int64)
-    text[starts[:-1][string] + place + (place >= lead[string])] = context.astype(np.int64) + 1
-    core = starts[:-1] + lead
-    text[core] = alphabet + 1 + group
-    unit = (text > 0).astype(np.int64)
-    unit[core] = [c[3] for c in classes]
+class _Classes:
+    """Classes (key, context, lead, core, owner, twin) as one text of symbols: each context with its core as one symbol, closed by a 0."""
+
+    def __init__(self, classes: list[tuple[int, bytes, int, int, int, bool]], words: bool):
+        context = np.frombuffer(b"".join(c[1] for c in classes), "<u8" if words else np.uint8)
+        sizes = np.array([len(c[1]) // (8 if words else 1) for c in classes], np.int64)
+        self.lead = np.array([c[2] for c in classes], np.int64)
+        stock, context = np.unique(context, return_inverse=True) if words else (np.arange(256), context)
+        group = np.unique(np.array([c[0] for c in classes], np.int64), return_inverse=True)[1]
+        self.starts = np.concatenate(([0], np.cumsum(sizes + 2)))
+        string = np.repeat(np.arange(len(classes)), sizes)
+        place = np.arange(len(context)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.text = np.zeros(self.starts[-1], np.int64)
+        self.text[self.starts[:-1][string] + place + (place >= self.lead[string])] = context.astype(np.int64) + 1
+        self.at_core = self.starts[:-1] + self.lead
+        self.text[self.at_core] = len(stock) + 1 + group
+        self.core = np.array([c[3] for c in classes], np.int64)
+        self.owner = np.unique(np.array([c[4] for c in classes], np.int64), return_inverse=True)[1]
+        self.twin = np.array([c[5] for c in classes], bool)
+
+
+def marked(classes: list[tuple[int, bytes, int, int, int, bool]], m: Measure, words: bool) -> list[np.ndarray]:
+    """Per class the starts of strings, counted from its first symbol, that match with another owner's."""
+    c = _Classes(classes, words)
+    unit = (c.text > 0).astype(np.int64)
+    unit[c.at_core] = c.core
     units = np.concatenate(([0], np.cumsum(unit)))
-    twin = np.array([c[5] for c in classes], bool)
-    owner = np.array([c[4] for c in classes], np.int64)
-    # a class with several documents, and every class of bytes, is an owner by itself
-    number = np.unique(owner, return_inverse=True)[1]
-    own = np.where(twin, len(number) + np.arange(len(number)), number) if m.apart else np.arange(len(number))
-    index = RunLengthIndex(text, starts, own)
-    hit = index.reach(units, np.flatnonzero(twin)) - units[:-1] >= m.length
-    at = np.flatnonzero(hit)
-    which = np.searchsorted(starts, at, side="right") - 1
+    # a class that several documents have is an owner by itself, as is every class where a document's own matches count
+    number = np.arange(len(classes))
+    index = RunLengthIndex(c.text, c.starts, np.where(c.twin, len(classes) + number, c.owner) if m.apart else number, c.at_core)
+    at = np.flatnonzero(index.reach(units, np.flatnonzero(c.twin)) - units[:-1] >= m.length)
+    which = np.searchsorted(c.starts, at, side="right") - 1
     cut = np.searchsorted(which, np.arange(len(classes) + 1))
-    inside = at - starts[:-1][which]
-    return [inside[a:b] for a, b in zip(cut, cut[1:], strict=False)], index
+    inside = at - c.starts[:-1][which]
+    return [inside[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def dealt(classes: list[tuple[int, bytes, int, int, int, bool]], m: Measure, words: bool, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD) -> list[np.ndarray]:
+    """As marked, for the very many classes of a gram: ranges of their strings that share a longer core are classes of their own."""
+    c, width, wide = _Classes(classes, words), widths[0], 8 if words else 1
+    symbols = _Symbols(mix64(c.text.astype(np.uint64) + np.uint64(7)))
+    high = c.lead  # of a string's way from its start to the core
+    low = m.length - c.core - (np.diff(c.starts) - c.lead - 2)
+    many = high // width - low // width + 1
+    k = np.repeat(np.arange(len(classes)), many)
+    near = (np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + low[k] // width) * width
+    far, base, behind = near + width - 1, c.at_core[k], m.length - c.core[k]
+    begin, stop = base - np.minimum(far, high[k]), base + 1 + behind - np.maximum(near, low[k])
+    core, core_stop = base - near, base + 1 + np.maximum(behind - far, 0)
+    key = mix64(symbols.value(core, core_stop) ^ mix64(near.astype(np.uint64)))
+    cls = mix64(symbols.value(begin, stop) ^ mix64(((core - begin) * 65536 + stop - begin + 1).astype(np.uint64)))
+    order = np.lexsort((cls, key))
+    k, key, cls, begin, stop, core, core_stop = (x[order] for x in (k, key, cls, begin, stop, core, core_stop))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    at = np.flatnonzero(new)
+    ends = np.concatenate((at[1:], [len(key)]))
+    owner = c.owner[k] if m.apart else np.arange(len(k))
+    twin = (np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)) | np.logical_or.reduceat(c.twin[k], at)
+    head = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))  # of keys among classes
+    spread = np.minimum.reduceat(owner, at[head]) != np.maximum.reduceat(owner, at[head])
+    use = np.flatnonzero(spread | np.logical_or.reduceat(twin, head))
+    tails = np.concatenate((head[1:], [len(at)]))
+    found: list[list[np.ndarray]] = [[] for _ in classes]
+
+    def settle(some: list[int], of) -> None:
+        """Mark classes (by their number) and give the marks to all their members."""
+        sub = []
+        for i in some:
+            a = at[i]
+            mine, first = classes[k[a]], c.starts[k[a]]
+            x, y, z, e = ((int(v) - int(first)) * wide for v in (begin[a], core[a], core_stop[a] - 1, stop[a] - 1))
+            sub.append((int(key[a].view(np.int64)), mine[1][x:y] + mine[1][z:e], int(core[a] - begin[a]), int(c.core[k[a]] + core_stop[a] - core[a] - 1), int(c.owner[k[a]]), bool(twin[i])))
+        for i, inside in zip(some, of(sub), strict=True):
+            if len(inside):
+                for a in range(at[i], ends[i]):
+                    found[k[a]].append(inside + (begin[a] - c.starts[k[a]]))
+
+    ready: list[int] = []
+    size = 0
+    for g in use.tolist():
+        group = list(range(head[g], tails[g]))
+        own = int((stop[at[group]] - begin[at[group]]).sum())
+        if own > crowd and len(widths) > 1:
+            settle(group, lambda sub: dealt(sub, m, words, widths[1:], crowd))
+            continue
+        if ready and size + own > BLOCK:
+            settle(ready, lambda sub: marked(sub, m, words))
+            ready, size = [], 0
+        ready += group
+        size += own
+    if ready:
+        settle(ready, lambda sub: marked(sub, m, words))
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (doc, words, start, stop) from contexts and members sorted by (key, cls, kind), a block of whole keys at a time."""
-    ready: list[tuple] = []  # classes: key, context, lead, core, owner, twin, members
-    size, words = 0, False
-
-    def spans() -> pa.RecordBatch:
-        m = WORDS if words else BYTES
-        docs, starts, stops = [], [], []
-        for c, at in zip(ready, marked([c[:6] for c in ready], m, words)[0], strict=True):
-            if not len(at):
-                continue
-            cut = np.flatnonzero(np.diff(at) > 1)
-            s, e = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + m.length
-            for doc, ats in c[6]:
-                place = np.frombuffer(ats, "<i4")[:, None]
-                starts.append((place + s).ravel())
-                stops.append((place + e).ravel())
-                docs.append(np.full(starts[-1].size, doc, np.int64))
-        join = lambda x, kind: pa.array((np.concatenate(x) if x else np.zeros(0)).astype(kind))
-        doc = join(docs, np.int64)
-        return pa.record_batch([doc, pa.array(np.full(len(doc), words)), join(starts, np.int32), join(stops, np.int32)], names=["doc", "words", "start", "stop"])
-
+    """Spans (doc, words, start, stop) from contexts and members sorted by (key, cls, kind), whole keys in blocks of about BLOCK symbols."""
     for rows, _ in _runs(batches):
-        columns = [rows.column(i).to_pylist() for i in range(8)]  # key, cls, kind, context, doc, ats, lead, core
-        twins = rows.column(8).to_pylist()
-        classes: list[tuple] = []
-        seen = None
-        for k in range(rows.num_rows):
-            key, cls, kind, context, doc, ats, lead, core = (c[k] for c in columns)
-            if kind == 0:
-                if seen != (key, cls):
-                    seen = (key, cls)
-                    classes.append((key, context, None))
-                continue
-            assert seen == (key, cls), "a class without its context"
-            last = classes[-1]
-            if last[2] is None:
-                classes[-1] = (key, last[1], lead, core, doc, twins[k], [(doc, ats)])
+        key, cls, kind = (rows.column(i).to_numpy() for i in range(3))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
+        some = np.flatnonzero(kind == 1)
+        members, of = rows.take(pa.array(some)), which[some]
+        one = np.searchsorted(of, np.arange(len(first)))  # a class has a context, and members
+        doc = members.column(4).to_numpy()
+        lead, core, owner = (members.column(i).to_numpy()[one].tolist() for i in (6, 7, 4))
+        contexts, names = rows.column(3).take(pa.array(first)).to_pylist(), key[first]
+        classes = list(zip(names.tolist(), contexts, lead, core, owner, np.asarray(members.column(8))[one].tolist(), strict=True))
+        place, many = _places(members.column(5))
+        of, doc = np.repeat(of, many), np.repeat(doc, many)
+        size = np.cumsum([len(c) // (8 if k < 0 else 1) + 2 for c, k in zip(contexts, names.tolist(), strict=True)])
+        heads = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True])))  # of keys, and the end
+        at = 0
+        while at < len(heads) - 1:
+            a = int(heads[at])
+            words = bool(names[a] < 0)
+            before = int(size[a - 1]) if a else 0
+            upto = int(np.searchsorted(size[heads[1:] - 1], before + BLOCK, side="right"))  # keys that end within the block
+            if not words:
+                upto = min(upto, len(heads) - 1)
             else:
-                last[6].append((doc, ats))
-        for c in classes:
-            now = c[0] < 0
-            if ready and (now != words or (size > BLOCK and c[0] != ready[-1][0])):
-                yield spans()
-                ready, size = [], 0
-            words = now
-            ready.append(c)
-            size += len(c[1]) // (8 if now else 1) + 2
-    if ready:
-        yield spans()
+                upto = min(upto, int(np.searchsorted(names[heads[:-1]], 0)))  # words stand before bytes
+            at = max(upto, at + 1)
+            b = int(heads[at])
+            m = WORDS if words else BYTES
+            found = (dealt if int(size[b - 1]) - before > CROWD else marked)(classes[a:b], m, words)
+            out = _spans(found, a, np.searchsorted(of, (a, b)), of, doc, place, m.length, words)
+            if out.num_rows:
+                yield out
+
+
+def _places(ats: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places, how many each row has) of a binary column of 32-bit numbers."""
+    if not len(ats):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    offsets = np.frombuffer(ats.buffers()[1], np.int32)[ats.offset : ats.offset + len(ats) + 1] // 4
+    return np.frombuffer(ats.buffers()[2], "<i4", count=int(offsets[-1]))[offsets[0] :], np.diff(offsets)
+
+
+def _spans(found: list[np.ndarray], a: int, edge: np.ndarray, of: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int, words: bool) -> pa.RecordBatch:
+    """The runs of marked starts of classes a and on, at the places edge of their members."""
+    starts = np.concatenate(found)
+    cls = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    opens = np.ones(len(starts), bool)
+    opens[1:] = (cls[1:] != cls[:-1]) | (starts[1:] != starts[:-1] + 1)
+    begin = np.flatnonzero(opens)
+    last = starts[np.concatenate((begin[1:], [len(starts)]))[: len(begin)] - 1] + length
+    first = np.searchsorted(cls[begin], np.arange(len(found) + 1))
+    mine = slice(int(edge[0]), int(edge[1]))
+    c = of[mine] - a
+    many = np.diff(first)[c]
+    at = np.repeat(first[c] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    base = np.repeat(place[mine], many)
+    return pa.record_batch([pa.array(np.repeat(doc[mine], many)), pa.array(np.full(len(at), words)), pa.array((base + starts[begin][at]).astype(np.int32)), pa.array((base + last[at]).astype(np.int32))], names=["doc", "words", "start", "stop"])
 
 
 def _gone(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -534,8 +608,9 @@ def repeated_spans(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> Da
     # where to send rows: grams that a sample shows too often for one task
     some = long.where(F.pmod(F.col("doc"), F.lit(sample)) == 0).mapInArrow(released(_keyed(np.zeros(0, np.int64), 1)), f"{ROWS}, salt int").groupBy("key").agg(F.count("*").alias("n"))
     some = materialize(spark, some, "sampled")
-    often = max(16, (some.agg(F.sum("n")).first()[0] or 0) // (8 * n))
-    hot = np.array(sorted(r[0] for r in some.where(F.col("n") > often).select("key").limit(8 * n).collect()), np.int64)
+    share = 2 * (some.agg(F.sum("n")).first()[0] or 0) // n  # twice what a task has of the sample
+    often = max(16, min(share, most // sample))
+    hot = np.array(sorted(r[0] for r in some.where(F.col("n") > often).orderBy(F.desc("n"), "key").select("key").limit(4 * n).collect()), np.int64)
     labels = "kind tinyint, first boolean, twin boolean"
     rows = long.mapInArrow(released(_keyed(hot, n)), f"{ROWS}, salt int")
     rows = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "cls", "doc").drop("salt")
@@ -579,9 +654,7 @@ def repeated_spans(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> Da
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of (doc, key, ats, size): the whole context at each of its places."""
     for batch in batches:
-        ats = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
-        many = [len(x) for x in ats]
-        at = np.concatenate(ats) if ats else np.zeros(0, np.int32)
+        at, many = _places(batch.column(2))
         doc, key, size = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1, 3))
         yield pa.record_batch([pa.array(doc), pa.array(key < 0), pa.array(at.astype(np.int32)), pa.array((at + size).astype(np.int32))], names=["doc", "words", "start", "stop"])
 
@@ -590,6 +663,10 @@ def removed(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> DataFrame
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, and n_passage_words: words of passages of 51 words or more that another document has too."""
     spans = repeated_spans(docs, most, sample)
     bits, rows = key_bitmap(spans, "doc"), _named(docs)
-    plain = rows.mapInArrow(chosen(bits, "doc", False), "doc long, doc_id long, text string").select("doc_id", "text", F.lit(None).cast("array<struct<words:boolean,start:int,stop:int>>").alias("spans"))
+    others = chosen(bits, "doc", False)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _kept(pa.record_batch([b.column(1), b.column(2), pa.nulls(b.num_rows)], names=["doc_id", "text", "spans"]) for b in others(batches))
+
     near = rows.mapInArrow(chosen(bits, "doc"), "doc long, doc_id long, text string").join(spans, "doc", "left").select("doc_id", "text", "spans")
-    return near.mapInArrow(_kept, RESULT).unionByName(plain.mapInArrow(_kept, RESULT))
+    return near.mapInArrow(_kept, RESULT).unionByName(rows.mapInArrow(plain, RESULT))

@@ -407,6 +407,37 @@ def test_repeats_of_edited_copies(spark, most):
     agree_on_repeats(spark.createDataFrame(edited_copies(), "doc_id long, text string"), most=most, sample=32 if most == 1 else 1)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_dealt_classes(words):
+    rng = random.Random(12)
+    m = repeats.WORDS if words else repeats.BYTES
+    room = m.length - m.gram
+    symbol = (lambda: rng.randrange(3).to_bytes(8, "little")) if words else (lambda: bytes([rng.choice((97, 97, 97, 98))]))
+    wide = 8 if words else 1
+    stock = [b"".join(symbol() for _ in range(2 * room)) for _ in range(4)]
+    classes = []
+    for i in range(120):
+        x = bytearray(rng.choice(stock))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(2 * room) * wide
+            x[at : at + wide] = symbol()
+        before, behind = rng.randrange(room + 1), 0
+        behind = rng.randrange(room - before, room + 1)
+        classes.append((-5 if words else 5, bytes(x[(room - before) * wide : (room + behind) * wide]), before, m.gram, rng.randrange(8), rng.random() < 0.02))
+    want = repeats.marked(classes, m, words)
+    seen = collections.defaultdict(set)
+    for i, (_, x, lead, _, owner, twin) in enumerate(classes):
+        for at in range(len(x) // wide - room + 1):
+            if at <= lead:
+                seen[x[at * wide : (at + room) * wide], lead - at] |= {(owner if m.apart and not twin else -1 - i)} | ({"twin"} if twin else set())
+    for i, (_, x, lead, _, _, _) in enumerate(classes):
+        brute = [at for at in range(min(lead, len(x) // wide - room) + 1) if len(seen[x[at * wide : (at + room) * wide], lead - at]) > 1]
+        assert want[i].tolist() == brute
+    assert sum(map(len, want)) > 100
+    for crowd in (1 << 20, 300, 0):
+        assert [x.tolist() for x in repeats.dealt(classes, m, words, crowd=crowd)] == [x.tolist() for x in want]
+
+
 def test_repeats_of_long_text(spark):
     rng = random.Random(8)
     long = "".join(rng.choices("abcdefgh ", k=1_500_000))
