@@ -27,6 +27,7 @@ class Distance:
     metric_space: bool = True
     first: int | None = None  # only so many components count
     binary: bool = False  # over packed bits (longs)
+    positive: bool = False  # defined for components of 0 and more only: a search with others raises an error
 
     def expression(self, a: Column, b: Column, dim: int | None = None) -> Column:
         """Of two array columns. With dim the terms are written out one by one, which stays within code generation."""
@@ -47,15 +48,41 @@ class Distance:
 
     def matrix(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances of all rows of q to all rows of b, adding a component at a time."""
+        if self.positive and (min(q.min(initial=0), b.min(initial=0)) < 0):
+            raise ValueError(f"{self.name} is defined for components of 0 and more")
         out = np.zeros((len(q), len(b)))
-        for i in range(min(q.shape[1], self.first or q.shape[1])):
-            term = self.block(q[:, i, None], b[None, :, i])
+        n = min(q.shape[1], self.first or q.shape[1])
+        qt, bt = np.ascontiguousarray(q[:, :n].T), np.ascontiguousarray(b[:, :n].T)
+        for x, y in zip(qt, bt, strict=True):
+            term = self.block(x[:, None], y[None, :])
             if self.fold == "max":
                 np.maximum(out, term, out=out)
             else:
                 out += term
         return out
 
+    def pairs(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of rows of q to the rows of b at the same places, adding a component at a time."""
+        out = np.zeros(len(q))
+        for i in range(min(q.shape[1], self.first or q.shape[1])):
+            term = self.block(q[:, i], b[:, i])
+            out = np.maximum(out, term) if self.fold == "max" else out + term
+        return out
+
+    def bounds(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(a matrix of near values, an error that they don't exceed) where one product of matrices gives them: squared distances."""
+        if self.block is not _square_block or self.first:
+            return None
+        qn, bn = (q * q).sum(axis=1), (b * b).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (-2.0 * q) @ b.T
+            near += qn[:, None]
+            near += bn[None, :]
+            error = (4 * q.shape[1] + 32) * 2.0**-52 * (qn.max(initial=0) + bn)[None, :]
+        if not np.isfinite(near).all():
+            return None
+        return near, error
+
     def duckdb(self, a: str, b: str) -> str:
         """The same over two DOUBLE[] (BIGINT[] for packed bits) expressions."""
         if self.first:
@@ -93,6 +120,15 @@ def _square(x, y):
     return (x - y) * (x - y)
 
 
+def _root(x: Column) -> Column:
+    return F.when(x < 0, F.raise_error(F.lit("hellinger is defined for components of 0 and more")).cast("double")).otherwise(F.sqrt(x))
+
+
+def _square_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    t = x - y
+    return t * t
+
+
 def _bits_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.astype(np.int64) ^ y.astype(np.int64)).astype(np.float64)
 
@@ -103,15 +139,15 @@ _HAMMING = {"column": lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("double"),
 DISTANCES: dict[str, Distance] = {
     d.name: d
     for d in (
-        Distance("l2", _square, _square, _SQUARE),
-        Distance("l2_simple", _square, _square, _SQUARE),
-        Distance("l2_3d", _square, _square, _SQUARE, first=3),
+        Distance("l2", _square, _square_block, _SQUARE),
+        Distance("l2_simple", _square, _square_block, _SQUARE),
+        Distance("l2_3d", _square, _square_block, _SQUARE, first=3),
         Distance("l1", lambda x, y: F.abs(x - y), lambda x, y: np.abs(x - y), "abs({x}-{y})"),
         minkowski(3),
         Distance("max", lambda x, y: F.abs(x - y), lambda x, y: np.abs(x - y), "abs({x}-{y})", fold="max", splits=False),
         # a similarity that is minimised as if it were a distance: kept as users of the measure know it
         Distance("hist_intersect", lambda x, y: F.least(x, y), np.minimum, "least({x},{y})", metric_space=False),
-        Distance("hellinger", lambda x, y: _square(F.sqrt(x), F.sqrt(y)), lambda x, y: _square(np.sqrt(x), np.sqrt(y)), "(sqrt({x})-sqrt({y}))*(sqrt({x})-sqrt({y}))"),
+        Distance("hellinger", lambda x, y: _square(_root(x), _root(y)), lambda x, y: _square(np.sqrt(x), np.sqrt(y)), "(sqrt({x})-sqrt({y}))*(sqrt({x})-sqrt({y}))", positive=True),
         Distance("chi_square", lambda x, y: F.when(x + y > 0, _square(x, y) / (x + y)).otherwise(0.0), _chi_block, "CASE WHEN {x}+{y}>0 THEN ({x}-{y})*({x}-{y})/({x}+{y}) ELSE 0 END"),
         # of the point (second) from the query (first): D(point || query)
         Distance(
@@ -121,6 +157,14 @@ DISTANCES: dict[str, Distance] = {
             "CASE WHEN {y}<>0 AND {x}<>0 AND {y}/{x}>0 THEN {y}*ln({y}/{x}) ELSE 0 END",
             metric_space=False,
         ),
+        # the other way round: D(query || point)
+        Distance(
+            "kullback_leibler_query",
+            lambda x, y: F.when((y != 0) & (x != 0) & (F.try_divide(x, y) > 0), x * F.ln(F.try_divide(x, y))).otherwise(0.0),
+            _ratio_block,
+            "CASE WHEN {y}<>0 AND {x}<>0 AND {x}/{y}>0 THEN {x}*ln({x}/{y}) ELSE 0 END",
+            metric_space=False,
+        ),
         Distance("hamming", **_HAMMING),
         Distance("hamming_lut", **_HAMMING),
         Distance("hamming_popcnt", **_HAMMING),
@@ -146,7 +190,7 @@ def get(distance: str | int | Distance) -> Distance:
 
 
 #: What an index needs of a distance.
-NEEDS = {"linear": None, "kdtree": "splits", "kdtree_single": "splits", "kmeans": "metric_space", "composite": "splits", "hierarchical": None, "lsh": "binary", "autotuned": "splits"}
+NEEDS = {"linear": None, "kdtree": "splits", "kdtree_single": "splits", "kdtree_cyclic": "splits", "kmeans": "metric_space", "composite": "splits", "hierarchical": None, "lsh": "binary", "autotuned": "splits"}
 
 
 def check_combination(method: str, distance: str | int | Distance) -> None:

@@ -17,14 +17,19 @@ def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *keep
 
 def dimension(df: DataFrame, vector: str = "v") -> int:
     """The length of all vectors, checked in one aggregation; 0 for an empty table."""
+    return profile(df, vector)[1]
+
+
+def profile(df: DataFrame, vector: str = "v") -> tuple[int, int]:
+    """(number of rows, length of all vectors), checked in one aggregation; the length is 0 for an empty table."""
     v = F.col(vector)
     bad = v.isNull() | (F.size(v) < 1) | F.exists(v, lambda x: x.isNull())
-    r = df.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad")).first()
+    r = df.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n")).first()
     if r["bad"]:
         raise VectorError(f"{r['bad']} rows hold a null or empty vector or a null component")
     if r["low"] != r["high"]:
         raise VectorError(f"vectors of {r['low']} to {r['high']} components")
-    return r["high"] or 0
+    return r["n"], r["high"] or 0
 
 
 def head(v: Column, n: int) -> Column:

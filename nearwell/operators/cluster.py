@@ -77,9 +77,17 @@ def lloyd(base: DataFrame, centres: list[list[float]], iterations: int = 11, dis
 
 
 def random_centres(base: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
-    """k different vectors by seeded hash."""
-    rows = base.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
-    return [list(r["v"]) for r in rows]
+    """k different vectors, the first ones in an order by seeded hash; all different ones if there are fewer."""
+    take = 4 * k
+    while True:
+        rows = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(take).select("v").collect()
+        found = list(dict.fromkeys(tuple(r["v"]) for r in rows))
+        if len(found) >= k or len(rows) < take:
+            return [list(v) for v in found[:k]]
+        if take >= 64 * k:  # a table of few different vectors: they are grouped instead
+            rows = base.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
+            return [list(r["v"]) for r in rows]
+        take *= 4
 
 
 def _nearest(base: DataFrame, centres: list[list[float]], distance) -> DataFrame:
@@ -140,22 +148,37 @@ def kmeans(base: DataFrame, k: int, iterations: int = 11, chooser: str = "random
 def cluster_centres(base: DataFrame, most: int, branching: int = 2, iterations: int = 11, seed: int = 0) -> list[list[float]]:
     """Centres of the best cut of a k-means tree with at most `most` clusters, their number being (branching - 1) m + 1.
 
-    The cluster of the highest total variance is split next; a cluster of fewer different vectors than branching stays.
+    Every cluster of the cut is split on trial once, and the split that leaves the least sum of squared distances to centres is taken next;
+    a cluster of fewer different vectors than branching stays.
     """
-    means = base.agg(*[F.avg(F.col("v")[i]) for i in range(len(base.first()["v"]))]).first()
-    leaves = [list(means)]
-    closed: set[tuple] = set()
-    while len(leaves) + branching - 1 <= most:
-        near = _nearest(base, leaves, "l2")
-        weight = {r["cluster"]: r["s"] for r in near.groupBy("cluster").agg(F.sum("dist").alias("s")).collect()}
-        open_ = [i for i in weight if tuple(leaves[i]) not in closed and weight[i] > 0]
+    first = base.first()
+    if first is None:
+        return []
+    means = list(base.agg(*[F.avg(F.col("v")[i]) for i in range(len(first["v"]))]).first())
+
+    def spread(part: DataFrame, centres: list[list[float]]) -> list[float]:
+        sums = {r["cluster"]: r["s"] for r in _nearest(part, centres, "l2").groupBy("cluster").agg(F.sum("dist").alias("s")).collect()}
+        return [sums.get(i, 0.0) for i in range(len(centres))]
+
+    def trial(part: DataFrame, own: float):
+        """(gain, children with their parts and sums) of a split, None if there is none."""
+        start = random_centres(part, branching, seed) if own > 0 else []
+        if len(start) < branching:
+            return None
+        centres = lloyd(part, start, iterations)
+        near, sums = _nearest(part, centres, "l2"), spread(part, centres)
+        return own - sum(sums), [(c, near.where(F.col("cluster") == i).select("id", "v"), s) for i, (c, s) in enumerate(zip(centres, sums, strict=True))]
+
+    whole = base.select("id", "v")
+    cut = [(means, whole, spread(whole, [means])[0])]
+    splits = [trial(*cut[0][1:])]
+    while len(cut) + branching - 1 <= most:
+        open_ = [i for i, t in enumerate(splits) if t is not None]
         if not open_:
             break
-        worst = max(open_, key=lambda i: (weight[i], -i))
-        inside = near.where(F.col("cluster") == worst).select("id", "v")
-        start = random_centres(inside, branching, seed)
-        if len(start) < branching:
-            closed.add(tuple(leaves[worst]))
-            continue
-        leaves[worst : worst + 1] = lloyd(inside, start, iterations)
-    return leaves
+        best = max(open_, key=lambda i: (splits[i][0], -i))
+        parts = splits[best][1]
+        last = len(cut) + branching - 1 + branching - 1 > most
+        cut[best : best + 1] = parts
+        splits[best : best + 1] = [None if last else trial(p, s) for _, p, s in parts]
+    return [c for c, _, _ in cut]

@@ -1,8 +1,9 @@
 """The index facade: build, search, add, remove, look up, save and load.
 
-An index is a table of points and a table of (table_no, cell, id): every method says in which cells a vector lies and which cells a query
-looks into. A search is an equi-join on cells, a distinct, and an exact re-ranking of the candidates, so approximate methods never return
-fewer than min(k, n) rows and every method is exact at full budget. Cell descriptions live on the driver and are bounded by MAX_CELLS.
+An index is a table of points and a table of (table_no, cell, id, v): every method says in which cells a vector lies and which cells a query
+looks into. A search brings the queries of a cell to its points, keeps the k nearest per query where they lie, and ranks what is left, so
+approximate methods never return fewer than min(k, n) rows (LSH aside). A full budget (checks=-1) is a scan in blocks and exact for every
+method. Cell descriptions live on the driver and are bounded by MAX_CELLS; a cell of more than CELL_POINTS points is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions import distances
 from ...functions.vectors import dimension
-from ..knn import knn_join, radius_count, radius_join, ranked
+from ..knn import SCHEMA, best_of, knn_join, matrix, radius_count, radius_join, ranked
 
 MAX_CELLS = 65_536
+CELL_POINTS = 50_000  # points of a cell, and queries of a cell, that one task takes
 TRAIN = 50_000  # vectors that trees and centres are trained on
 #: The public numbers of the methods.
 NUMBERS = {0: "linear", 1: "kdtree", 2: "kmeans", 3: "composite", 4: "kdtree_single", 5: "hierarchical", 6: "lsh", 254: "saved", 255: "autotuned"}
@@ -90,7 +93,7 @@ class VectorIndex:
         self.spark: SparkSession = points.sparkSession
         self.points, self.distance, self.params = points.select("id", "v"), distances.get(distance), params or IndexParams()
         self.removed: DataFrame | None = None
-        self.cells: DataFrame | None = None  # (table_no, cell, id)
+        self.cells: DataFrame | None = None  # (table_no, cell, id, v)
         self.built_size = 0
 
     # construction
@@ -111,13 +114,11 @@ class VectorIndex:
         """Learn cells from a bounded sample; the linear method has none."""
 
     def place(self, points: DataFrame) -> DataFrame | None:
-        """(table_no, cell, id) of points."""
+        """(table_no, cell, id, v) of points."""
         return None
 
     def sample(self, n: int = TRAIN):
         """Ids and vectors of at most n points, as arrays: the training set."""
-        from ..knn import matrix
-
         t = self.points.orderBy(F.xxhash64("id", F.lit(self.params.seed)), "id").limit(n).toArrow()
         return t["id"].to_numpy(), matrix(t["v"].combine_chunks())
 
@@ -133,16 +134,38 @@ class VectorIndex:
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, dist) for queries (id, v)."""
         params = params or SearchParams()
-        if self.cells is None:
+        if self.cells is None or (params.checks == -1 and not self.exact):
             return knn_join(queries, self.alive(), k, self.distance)
-        return ranked(self.scored(queries, self.probes(queries, k, params)), k)
-
-    def scored(self, queries: DataFrame, probes: DataFrame) -> DataFrame:
-        """(qid, id, dist) of the points in the probed cells, each once."""
-        hits = probes.join(self.cells, ["table_no", "cell"]).select("qid", "id").distinct()
-        q = queries.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-        pairs = hits.join(self.alive(), "id").join(q, "qid")
-        return pairs.select("qid", "id", self.distance.expression(F.col("q"), F.col("v"), self.dim if self.dim <= 128 else None).alias("dist"))
+        return ranked(self.scored(queries, self.probes(queries, k, params), k), k)
+
+    def alive_cells(self) -> DataFrame:
+        return self.cells if self.removed is None else self.cells.join(self.removed, "id", "left_anti")
+
+    def scored(self, queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+        """(qid, id, dist) of at least the k nearest points in the probed cells, each once.
+
+        Queries go to the cells that they look into and meet the points there as matrices. Only a cell's k best leave a task.
+        """
+        cells = self.alive_cells()
+        size = cells.groupBy("table_no", "cell").agg(F.count("*").alias("n"))  # at most MAX_CELLS rows a table
+        asked = probes.groupBy("table_no", "cell").agg(F.count("*").alias("q"))
+        tasks = size.join(asked, ["table_no", "cell"])
+        tasks = F.broadcast(tasks.select("table_no", "cell", F.ceil(F.col("n") / CELL_POINTS).alias("pp"), F.ceil(F.col("q") / CELL_POINTS).alias("qp")))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+        q = probes.join(queries.select(F.col("id").alias("qid"), "v"), "qid").join(tasks, ["table_no", "cell"])
+        q = q.select("table_no", "cell", F.lit(0).alias("side"), F.col("qid").alias("id"), "v", F.pmod(F.xxhash64("qid"), "qp").alias("qp"), every("pp").alias("pp"))
+        b = cells.join(tasks, ["table_no", "cell"])
+        b = b.select("table_no", "cell", F.lit(1).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), "pp").alias("pp"), every("qp").alias("qp"))
+        name, dim = self.distance, self.dim
+
+        def nearest(t: pa.Table) -> pa.Table:
+            side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+            x = matrix(t["v"].combine_chunks(), dim)
+            return best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k)
+
+        columns = ["table_no", "cell", "pp", "qp", "side", "id", "v"]
+        found = q.select(*columns).unionByName(b.select(*columns)).groupBy("table_no", "cell", "pp", "qp").applyInArrow(nearest, SCHEMA)
+        return found.dropDuplicates(["qid", "id"])
 
     def radius(self, queries: DataFrame, radius: float, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, dist) of all points nearer than radius; by scan, as is every exact search of this kind."""
@@ -154,7 +177,8 @@ class VectorIndex:
     # maintenance
 
     def add(self, points: DataFrame) -> None:
-        """Append points; the index is rebuilt when it has grown by the factor rebuild_threshold (never at 0 or below)."""
+        """Append points: they are placed in the cells there are, and the index is rebuilt when it has grown by the factor rebuild_threshold
+        (never at 0 or below)."""
         points = points.select("id", "v")
         self.points = self.points.unionByName(points)
         if self.cells is None:
@@ -189,9 +213,19 @@ class VectorIndex:
         return {"algorithm": self.method, "distance": self.distance.name} | asdict(self.params)
 
     def clone(self) -> VectorIndex:
+        """An index of its own over the same tables: adding to one or removing from it leaves the other alone."""
         import copy
 
-        return copy.copy(self)
+        out = copy.copy(self)
+        out.params = copy.deepcopy(self.params)
+        out.adopt({name: part.clone() for name, part in self.children().items()})
+        return out
+
+    def swap(self, other: VectorIndex) -> None:
+        """Exchange everything with another index of the same method."""
+        if type(self) is not type(other):
+            raise ValueError("indexes of two methods can't be swapped")
+        self.__dict__, other.__dict__ = other.__dict__, self.__dict__
 
     # storage
 
@@ -201,13 +235,22 @@ class VectorIndex:
 
     def restore(self, state: dict) -> None: ...
 
+    def children(self) -> dict[str, VectorIndex]:
+        """Indexes that this one is made of, by a name for their folder."""
+        return {}
+
+    def adopt(self, children: dict[str, VectorIndex]) -> None: ...
+
     def save(self, folder: str) -> None:
         """points, cells and meta below folder, compressed with lz4."""
         write = lambda df, name: df.write.mode("overwrite").option("compression", "lz4").parquet(f"{folder}/{name}")
         write(self.alive(), "points")
         if self.cells is not None:
-            write(self.cells if self.removed is None else self.cells.join(self.removed, "id", "left_anti"), "cells")
-        meta = {"signature": "nearwell-index-1", "method": self.method, "distance": self.distance.name, "dim": self.dim, "size": self.size(), "cells": self.cells is not None, "params": asdict(self.params), "state": self.state()}
+            write(self.alive_cells(), "cells")
+        for name, part in self.children().items():
+            part.removed = self.removed
+            part.save(f"{folder}/{name}")
+        meta = {"children": list(self.children()), "signature": "nearwell-index-1", "method": self.method, "distance": self.distance.name, "dim": self.dim, "size": self.size(), "cells": self.cells is not None, "params": asdict(self.params), "state": self.state()}
         write(self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1), "meta")
 
 
@@ -221,6 +264,7 @@ def load(spark: SparkSession, folder: str, distance=None) -> VectorIndex:
     index = create(spark.read.parquet(f"{folder}/points"), meta["method"], meta["distance"], **meta["params"])
     index.dim, index.built_size = meta["dim"], meta["size"]
     index.restore(meta["state"])
+    index.adopt({name: load(spark, f"{folder}/{name}") for name in meta.get("children", [])})
     if meta["cells"]:
         index.cells = spark.read.parquet(f"{folder}/cells")
     return index

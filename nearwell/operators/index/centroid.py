@@ -46,6 +46,20 @@ def _lloyd(x: np.ndarray, centres: np.ndarray, iterations: int, name: str) -> tu
         centres = new
 
 
+def _closest(d, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of every row, ties to the lower one; a bounded block of distances at a time."""
+    out = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 1024):
+        best = np.full(len(x[a : a + 1024]), np.inf)
+        for c in range(0, len(centres), 2048):
+            dist = d.matrix(x[a : a + 1024], centres[c : c + 2048])
+            near = dist.argmin(axis=1)
+            value = np.take_along_axis(dist, near[:, None], axis=1)[:, 0]
+            better = value < best
+            out[a : a + 1024][better], best[better] = near[better] + c, value[better]
+    return out
+
+
 class _Centres(VectorIndex):
     """Cells are the sets of points nearest to each centre of a table."""
 
@@ -63,14 +77,14 @@ class _Centres(VectorIndex):
                     continue
                 x = matrix(b.column(1))
                 for t, centres in enumerate(shared.value):
-                    cell = np.concatenate([d.matrix(x[a : a + 1024], centres).argmin(axis=1) for a in range(0, len(x), 1024)])
-                    yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64)), b.column(0)], names=["table_no", "cell", "id"])
+                    cell = _closest(d, x, centres)
+                    yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(cell), b.column(0), b.column(1)], names=["table_no", "cell", "id", "v"])
 
-        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long")
+        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long, v array<double>")
 
     def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
         """Cells by distance to their centres, less cb_index times their variance, until they hold `checks` points per table; all at -1."""
-        count = {(r["table_no"], r["cell"]): r["count"] for r in self.cells.groupBy("table_no", "cell").count().collect()}
+        count = {(r["table_no"], r["cell"]): r["count"] for r in self.alive_cells().groupBy("table_no", "cell").count().collect()}
         held = [np.array([count.get((t, c), 0) for c in range(len(x))], np.float64) for t, x in enumerate(self.tables)]
         checks = float("inf") if params.checks == -1 else float(max(params.checks, k))
         shared, name, cb = self.spark.sparkContext.broadcast((self.tables, self.variances, held)), self.distance.name, self.params.cb_index
@@ -80,12 +94,14 @@ class _Centres(VectorIndex):
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+                every, rows = b.column(0).to_numpy(), matrix(b.column(1))
                 for t, (centres, variance, n) in enumerate(zip(*shared.value, strict=True)):
-                    order = np.argsort(d.matrix(x, centres) - cb * variance[None, :], axis=1, kind="stable")
-                    before = np.cumsum(n[order], axis=1) - n[order]
-                    i, j = np.nonzero((before < checks) & (n[order] > 0))
-                    yield pa.record_batch([pa.array(ids[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(order[i, j].astype(np.int64))], names=["qid", "table_no", "cell"])
+                    for a in range(0, len(rows), 64):
+                        ids, x = every[a : a + 64], rows[a : a + 64]
+                        order = np.argsort(d.matrix(x, centres) - cb * variance[None, :], axis=1, kind="stable")
+                        before = np.cumsum(n[order], axis=1) - n[order]
+                        i, j = np.nonzero((before < checks) & (n[order] > 0))
+                        yield pa.record_batch([pa.array(ids[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(order[i, j].astype(np.int64))], names=["qid", "table_no", "cell"])
 
         return queries.select("id", "v").mapInArrow(run, "qid long, table_no int, cell long")
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from ..evaluate import checks_for_precision, recall
 from ..knn import knn_join, ranked
-from ..sampling import split
-from .base import SearchParams, VectorIndex, create, register
+from ..sampling import order_key, split
+from .base import TRAIN, SearchParams, VectorIndex, create, register
 
 
 @register("composite")
@@ -29,7 +29,15 @@ class CompositeIndex(VectorIndex):
             p.removed = self.removed
         return self.parts
 
+    def children(self) -> dict[str, VectorIndex]:
+        return {f"part{i}": p for i, p in enumerate(self.parts)}
+
+    def adopt(self, children: dict[str, VectorIndex]) -> None:
+        self.parts = list(children.values())
+
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
+        if params is not None and params.checks == -1:
+            return knn_join(queries, self.alive(), k, self.distance)
         a, b = (p.knn(queries, k, params).select("qid", "id", "dist") for p in self._parts())
         return ranked(a.unionByName(b).dropDuplicates(["qid", "id"]), k)
 
@@ -44,24 +52,27 @@ class AutotunedIndex(VectorIndex):
     """Tries methods and parameters on a sample and keeps the cheapest by build_weight * build + search time, plus memory.
 
     report lists (method, parameters, build seconds, search seconds, checks, memory ratio, cost). A sample of fewer than 10 queries: linear.
+    The trials are TRIALS, or those of extra["trials"]. For k-means cb_index is then swept from 0 to 1: the value that needs the fewest
+    checks is kept. The sample has TRAIN vectors at most.
     """
 
     exact = False
-    trials = [("kmeans", {"branching": b, "iterations": 5}) for b in (16, 64)] + [("kdtree", {"trees": t}) for t in (1, 4)]
+    TRIALS = [("kmeans", {"branching": b, "iterations": i}) for i in (1, 5, 10, 15) for b in (16, 32, 64, 128, 256)] + [("kdtree", {"trees": t}) for t in (1, 4, 8, 16, 32)]
+    CB = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
     def build(self) -> VectorIndex:
         super().build()
-        n = int(self.built_size * self.params.sample_fraction)
+        n = min(int(self.built_size * self.params.sample_fraction), TRAIN)
         tests, base = split(self.points, min(max(n // 10, 1), 1000), self.params.seed)
         self.report: list[tuple] = []
         self.best, self.checks = create(self.points, "linear", self.distance).build(), -1
         if n // 10 < 10:
             return self
-        tests, base = tests.cache(), base.limit(max(n, 100)).cache()
+        tests, base = tests.cache(), base.orderBy(order_key(self.params.seed + 1), "id").limit(max(n, 100)).cache()
         truth = knn_join(tests, base, 1, self.distance).cache()
         truth.count()
         size, costs = base.count() * self.dim * 8, []
-        for method, extra in [("linear", {}), *self.trials]:
+        for method, extra in [("linear", {}), *[(m, dict(x)) for m, x in self.params.extra.get("trials", self.TRIALS)]]:
             t0 = time.perf_counter()
             index = create(base, method, self.distance, seed=self.params.seed, **extra).build()
             if index.cells is not None:
@@ -76,6 +87,12 @@ class AutotunedIndex(VectorIndex):
         quickest = min(b * self.params.build_weight + s for _, _, b, s, _, _ in costs)
         self.report = [(*c, (c[2] * self.params.build_weight + c[3]) / quickest + self.params.memory_weight * c[5]) for c in costs]
         method, extra, _, _, self.checks, _, _ = min(self.report, key=lambda c: c[-1])
+        if method == "kmeans":
+            index, tried = create(base, method, self.distance, seed=self.params.seed, **extra).build(), []
+            for cb in self.CB:
+                index.params.cb_index = cb
+                tried.append((checks_for_precision(lambda c: index.knn(tests, 1, SearchParams(checks=c)), truth, [self.params.target_precision], 32, n)[0][1], cb))
+            self.checks, extra["cb_index"] = min(tried)
         self.best = create(self.points, method, self.distance, seed=self.params.seed, **extra).build()
         for df in (tests, base, truth):
             df.unpersist()
@@ -96,4 +113,16 @@ class AutotunedIndex(VectorIndex):
         super().add(points)
         self.best.add(points)
 
+    def children(self) -> dict[str, VectorIndex]:
+        return {"best": self.best}
+
+    def adopt(self, children: dict[str, VectorIndex]) -> None:
+        self.best = children["best"]
+
+    def state(self) -> dict:
+        return {"checks": self.checks, "report": self.report}
+
+    def restore(self, state: dict) -> None:
+        self.checks, self.report = state["checks"], [tuple(r) for r in state["report"]]
+
 

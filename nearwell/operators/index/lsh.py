@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.vectors import sampled_key
+from ..knn import ranked
 from .base import SearchParams, VectorIndex, register
 
 BITS = 8  # bits used of every long
@@ -49,11 +50,15 @@ class LshIndex(VectorIndex):
     def place(self, points: DataFrame) -> DataFrame:
         return buckets(points.select("id", F.col("v").cast("array<bigint>").alias("v")), self.positions).select("table_no", F.col("key").alias("cell"), "id")
 
+    def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
+        return ranked(self.scored(queries, self.probes(queries, k, params or SearchParams()), k), k)
+
     def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
         masks = xor_masks(min(self.params.key_size, self.dim * BITS), self.params.multi_probe_level)
         return probe_buckets(queries.select("id", F.col("v").cast("array<bigint>").alias("v")), self.positions, masks).select("qid", "table_no", F.col("key").alias("cell"))
 
-    def scored(self, queries: DataFrame, probes: DataFrame) -> DataFrame:
+    def scored(self, queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+        """As everywhere; buckets aren't bounded in number, so candidates are found by an equi-join on them."""
         hits = probes.join(self.cells, ["table_no", "cell"]).select("qid", "id").distinct()
         q = queries.select(F.col("id").alias("qid"), F.col("v").cast("array<bigint>").alias("q"))
         pairs = hits.join(self.alive().select("id", F.col("v").cast("array<bigint>").alias("v")), "id").join(q, "qid")

@@ -147,19 +147,22 @@ class KdForest(VectorIndex):
                 if b.num_rows:
                     x = matrix(b.column(1))
                     for t, tree in enumerate(shared.value):
-                        yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.descend(x)), b.column(0)], names=["table_no", "cell", "id"])
+                        yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.descend(x)), b.column(0), b.column(1)], names=["table_no", "cell", "id", "v"])
 
-        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long")
+        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long, v array<double>")
 
     def sizes(self) -> dict[tuple[int, int], int]:
-        return {(r["table_no"], r["cell"]): r["count"] for r in self.cells.groupBy("table_no", "cell").count().collect()}
+        return {(r["table_no"], r["cell"]): r["count"] for r in self.alive_cells().groupBy("table_no", "cell").count().collect()}
 
     def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
-        checks = self.built_size * len(self.trees) + 1 if params.checks < 0 else max(params.checks, k) * len(self.trees)
-        return self._nearest_cells(queries, float(max(checks, k * len(self.trees))))
+        checks = float("inf") if params.checks < 0 else float(max(params.checks, k) * len(self.trees))
+        return self._nearest_cells(queries, checks).select("qid", "table_no", "cell")
 
-    def _nearest_cells(self, queries: DataFrame, checks: float) -> DataFrame:
-        """Cells in order of their bounds until they hold `checks` points (over all trees)."""
+    def _nearest_cells(self, queries: DataFrame, checks: float, eps: float | None = None) -> DataFrame:
+        """Cells in order of their bounds until they hold `checks` points (over all trees).
+
+        With eps queries have a column worst, and it is the cells whose bound, widened by eps, isn't beyond it.
+        """
         count = self.sizes()
         cells = [(t, c) for t, tree in enumerate(self.trees) for c in range(tree.cells)]
         boxes = [tree.boxes(self.dim) for tree in self.trees]
@@ -174,12 +177,30 @@ class KdForest(VectorIndex):
                 for a in range(0, b.num_rows, 64):
                     bound = gap(name, x[a : a + 64], low, high)
                     order = np.argsort(bound, axis=1, kind="stable")
-                    before = np.cumsum(held[order], axis=1) - held[order]
-                    i, j = np.nonzero((before < checks) & (held[order] > 0))
+                    if eps is None:
+                        near = np.cumsum(held[order], axis=1) - held[order] < checks
+                    else:
+                        worst = b.column(2).to_numpy()[a : a + 64]
+                        near = np.take_along_axis(bound, order, axis=1) * (1 + eps) <= worst[:, None]
+                    i, j = np.nonzero(near & (held[order] > 0))
                     at = order[i, j]
                     yield pa.record_batch([pa.array(ids[a + i]), pa.array(number[at]), pa.array(cell[at]), pa.array(bound[i, at])], names=["qid", "table_no", "cell", "bound"])
 
-        return queries.select("id", "v").mapInArrow(run, "qid long, table_no int, cell long, bound double")
+        return queries.select("id", "v", *(["worst"] if eps is not None else [])).mapInArrow(run, "qid long, table_no int, cell long, bound double")
+
+    def traverse(self, tree: int = 0) -> Iterator[dict]:
+        """A tree's nodes in preorder: node, depth, split_dim and split_value (of inner ones), left, right, cell (of leaves)."""
+        x, work = self.trees[tree], [(0, 0)]
+        while work:
+            node, depth = work.pop()
+            inner = int(x.dim[node]) >= 0
+            yield {"node": node, "depth": depth, "split_dim": int(x.dim[node]) if inner else None, "split_value": float(x.value[node]) if inner else None, "left": int(x.left[node]) if inner else None, "right": int(x.right[node]) if inner else None, "cell": None if inner else int(x.cell[node])}
+            if inner:
+                work += [(int(x.right[node]), depth + 1), (int(x.left[node]), depth + 1)]
+
+    def leaf(self, cell: int, tree: int = 0) -> DataFrame:
+        """The points of a leaf (id, v)."""
+        return self.alive_cells().where((F.col("table_no") == tree) & (F.col("cell") == cell)).select("id", "v")
 
     def nodes(self) -> DataFrame:
         """(tree, node, split_dim, split_value, left, right, cell): -1 where there is none."""
@@ -188,14 +209,7 @@ class KdForest(VectorIndex):
 
     def outline(self, tree: int = 0) -> str:
         """A tree in preorder, a node per line, indented by depth."""
-        x, out, work = self.trees[tree], [], [(0, 0)]
-        while work:
-            node, depth = work.pop()
-            d = int(x.dim[node])
-            out.append("  " * depth + (f"cell {x.cell[node]}" if d < 0 else f"v[{d}] < {x.value[node]:g}"))
-            if d >= 0:
-                work += [(int(x.right[node]), depth + 1), (int(x.left[node]), depth + 1)]
-        return "\n".join(out)
+        return "\n".join("  " * n["depth"] + (f"cell {n['cell']}" if n["left"] is None else f"v[{n['split_dim']}] < {n['split_value']:g}") for n in self.traverse(tree))
 
     def state(self) -> dict:
         return {"trees": [t.dump() for t in self.trees]}
@@ -213,14 +227,13 @@ class KdSingle(KdForest):
 
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
         eps = (params or SearchParams()).eps
-        cells = self._nearest_cells(queries, float("inf"))
-        gone = 0 if self.removed is None else self.removed.count()
-        first = self._nearest_cells(queries, float(k + gone)).select("qid", "table_no", "cell")
-        worst = ranked(self.scored(queries, first), k).groupBy("qid").agg(F.max("dist").alias("worst"))
-        near = cells.join(worst, "qid").where(F.col("bound") * (1 + eps) <= F.col("worst")).select("qid", "table_no", "cell")
-        return ranked(self.scored(queries, near), k)
+        first = self._nearest_cells(queries, float(k)).select("qid", "table_no", "cell")
+        worst = ranked(self.scored(queries, first, k), k).groupBy("qid").agg(F.max("dist").alias("worst"))
+        within = self._nearest_cells(queries.select("id", "v").join(worst, F.col("id") == F.col("qid")), 0.0, eps).select("qid", "table_no", "cell")
+        return ranked(self.scored(queries, within, k), k)
 
 
+@register("kdtree_cyclic")
 class CyclicTree(KdSingle):
     """As kdtree_single, with the split dimension given by the depth."""
 

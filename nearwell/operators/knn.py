@@ -3,7 +3,7 @@
 Queries that fit BROADCAST_BYTES are sent to every task as a matrix, and the base is scanned where it lies: each task keeps its k nearest
 per query (or what lies within the radius), and only those are shuffled to be merged. More queries than that are dealt into blocks, and so
 is the base; every pair of blocks is a task. No pair of vectors is ever a row. method="expression" writes the distance as a Column instead,
-over a nested-loop join and a limited window, and is the choice for a handful of queries.
+over a nested-loop join and a limited window, and is the choice for a handful of queries; more than FEW_QUERIES are dealt in blocks.
 
 Order is (dist, id) throughout. Null or empty vectors, null components and vectors of several lengths raise VectorError; k above the number
 of candidates returns them all.
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances
-from ..functions.vectors import VectorError, dimension
+from ..functions.vectors import VectorError, profile
 
 BROADCAST_BYTES = 64 << 20
 FEW_QUERIES = 32
-CELLS = 1 << 20  # distances computed at a time
+CELLS = 1 << 19  # distances computed at a time
+PAIRS = 1 << 16  # single pairs computed at a time
 SCHEMA = "qid long, id long, dist double"
 
 
@@ -58,7 +59,31 @@ class _Best:
             self.dist[r], self.id[r] = d[order], who[order]
 
 
+    def add_bounded(self, rows: slice, near: np.ndarray, error: np.ndarray, exact, ids: np.ndarray) -> None:
+        """As add, for distances within error of near: only what may be among the k nearest is computed, by exact(rows, columns)."""
+        low = near - error
+        who, where = [], []
+        for i in np.flatnonzero((low <= self.dist[rows, -1][:, None]).any(axis=1)).tolist():
+            some = np.flatnonzero(low[i] <= self.dist[rows.start + i, -1])
+            if len(some) > self.k:
+                most = np.partition((near[i] + error[0])[some], self.k - 1)[self.k - 1]
+                some = some[low[i][some] <= most]
+            who.append(np.full(len(some), i))
+            where.append(some)
+        if not who:
+            return
+        i, j = np.concatenate(who), np.concatenate(where)
+        dist = np.concatenate([exact(i[a : a + PAIRS], j[a : a + PAIRS]) for a in range(0, len(i), PAIRS)])
+        cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
+        for a, b in zip(cut, cut[1:], strict=False):
+            r = rows.start + int(i[a])
+            d, names = np.concatenate((self.dist[r], dist[a:b])), np.concatenate((self.id[r], ids[j[a:b]]))
+            order = np.lexsort((names, d))[: self.k]
+            self.dist[r], self.id[r] = d[order], names[order]
+
+
 def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np.ndarray]], name, k: int | None, radius: float | None, itself: bool) -> Iterator[pa.RecordBatch]:
+    """(qid, id, dist) batches of the k nearest of every query (within a radius, if one is given), or of all within the radius."""
     d = distances.get(name)
     best = _Best(len(qids), k) if k is not None else None
     rows = max(1, min(len(qids) or 1, 256))
@@ -67,7 +92,25 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
         for c in range(0, len(ids), width):
             for a in range(0, len(qids), rows):
                 part = slice(a, min(a + rows, len(qids)))
-                dist = d.matrix(q[part], x[c : c + width])
+                here, there = q[part], x[c : c + width]
+                bounds = d.bounds(here, there)
+                if bounds is not None:  # a product of matrices tells which pairs must be computed
+                    near, error = bounds
+                    if not itself:
+                        near[qids[part][:, None] == ids[c : c + width][None, :]] = np.inf
+                    exact = lambda i, j, here=here, there=there: d.pairs(here[i], there[j])
+                    if best is not None:
+                        if radius is not None:
+                            near[near - error >= radius] = np.inf
+                        best.add_bounded(part, near, error, exact, ids[c : c + width])
+                        continue
+                    i, j = np.nonzero(near - error < radius)
+                    for s in range(0, len(i), PAIRS):
+                        dist = exact(i[s : s + PAIRS], j[s : s + PAIRS])
+                        m = dist < radius
+                        yield pa.record_batch([pa.array(qids[a + i[s : s + PAIRS][m]]), pa.array(ids[c + j[s : s + PAIRS][m]]), pa.array(dist[m])], names=["qid", "id", "dist"])
+                    continue
+                dist = d.matrix(here, there)
                 if not itself:
                     dist[qids[part][:, None] == ids[c : c + width][None, :]] = np.inf
                 if best is not None and radius is not None:
@@ -79,19 +122,25 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
                     if len(i):
                         yield pa.record_batch([pa.array(qids[a + i]), pa.array(ids[c + j]), pa.array(dist[i, j])], names=["qid", "id", "dist"])
     if best is not None:
-        i, j = np.nonzero(np.isfinite(best.dist))
+        i, j = np.nonzero(np.isfinite(best.dist) & ((best.dist < radius) if radius is not None else True))
         yield pa.record_batch([pa.array(qids[i]), pa.array(best.id[i, j]), pa.array(best.dist[i, j])], names=["qid", "id", "dist"])
 
 
-def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius: float | None, itself: bool) -> DataFrame:
-    """(qid, id, dist) of at least the k nearest of every query, or of all within the radius."""
+def best_of(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, distance, k: int | None, radius: float | None = None, itself: bool = True) -> pa.Table:
+    """(qid, id, dist): the k nearest rows of x for every row of q, or all within the radius."""
+    empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+    out = list(_scan(qids, q, iter([(ids, x)]), distance, k, radius, itself)) if len(qids) and len(ids) else []
+    return pa.Table.from_batches(out) if out else empty
+
+
+def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius: float | None, itself: bool, n: int, dim: int) -> DataFrame:
+    """(qid, id, dist) of at least the k nearest of every query, or of all within the radius. There are n queries of dim components."""
     spark = base.sparkSession
-    dim = dimension(queries)
-    n = queries.count()
     if n * (dim + 1) * 8 <= BROADCAST_BYTES:
-        table = queries.orderBy("id").toArrow()
-        qids = table["id"].to_numpy()
-        shared = spark.sparkContext.broadcast((qids, matrix(table["v"].combine_chunks(), dim) if n else np.zeros((0, dim))))
+        table = queries.select("id", "v").toArrow()
+        order = np.argsort(table["id"].to_numpy(), kind="stable")
+        qids = table["id"].to_numpy()[order]
+        shared = spark.sparkContext.broadcast((qids, matrix(table["v"].combine_chunks(), dim)[order] if n else np.zeros((0, dim))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
@@ -109,30 +158,26 @@ def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius:
     def pair(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy()
         x = matrix(t["v"].combine_chunks(), dim)
-        out = list(_scan(ids[side == 0], x[side == 0], iter([(ids[side == 1], x[side == 1])]), distance, k, radius, itself))
-        empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        return pa.Table.from_batches(out) if out else empty
+        return best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], distance, k, radius, itself)
 
     return left.unionByName(right).groupBy("qb", "bb").applyInArrow(pair, SCHEMA)
 
 
-def _expressed(queries: DataFrame, base: DataFrame, distance, itself: bool) -> DataFrame:
+def _expressed(queries: DataFrame, base: DataFrame, distance, itself: bool, dim: int) -> DataFrame:
     d = distances.get(distance)
-    dim = dimension(queries)
-    few = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("v").alias("q")))  # at most FEW_QUERIES rows
+    few = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("v").alias("q")))  # at most FEW_QUERIES rows, which the caller has counted
     pairs = base.select("id", "v").join(few, F.lit(True) if itself else F.col("id") != F.col("qid"))
     return pairs.select("qid", "id", d.expression(F.col("q"), F.col("v"), dim if 0 < dim <= 128 else None).alias("dist"))
 
 
 def _candidates(queries: DataFrame, base: DataFrame, distance, k, radius, itself: bool, method: str) -> DataFrame:
-    if method == "auto":
-        method = "expression" if len(queries.limit(FEW_QUERIES + 1).select("id").collect()) <= FEW_QUERIES else "blocks"
-    if method == "expression":
-        out = _expressed(queries, base, distance, itself)
-        return out.where(F.col("dist") < radius) if radius is not None else out
-    if method != "blocks":
+    if method not in ("auto", "expression", "blocks"):
         raise ValueError(f"no method {method!r}")
-    return _pairs(queries, base, distance, k, radius, itself)
+    n, dim = profile(queries)
+    if method != "blocks" and n <= FEW_QUERIES:  # more of them are never sent to a nested-loop join
+        out = _expressed(queries, base, distance, itself, dim)
+        return out.where(F.col("dist") < radius) if radius is not None else out
+    return _pairs(queries, base, distance, k, radius, itself, n, dim)
 
 
 def ranked(pairs: DataFrame, k: int | None, skip: int = 0) -> DataFrame:
@@ -182,10 +227,19 @@ def radius_join(queries: DataFrame, base: DataFrame, radius: float, distance="l2
 
 def radius_count(queries: DataFrame, base: DataFrame, radius: float, distance="l2", itself: bool = True, method: str = "auto") -> DataFrame:
     """(qid, n): how many base vectors are nearer than radius, zeros included."""
-    found = _candidates(queries, base, distance, None, radius, itself, method).groupBy("qid").agg(F.count("*").alias("n"))
+    found = _candidates(queries, base, distance, None, radius, itself, method).groupBy("qid").agg(F.count("*").alias("n"))  # counted before the shuffle
     return queries.select(F.col("id").alias("qid")).join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def sharded_radius(queries: DataFrame, shards: list[DataFrame], radius: float, distance="l2", max_neighbours: int = -1, itself: bool = True) -> DataFrame:
+    """Search every shard by itself and merge: (qid, rank, id, dist), the nearest max_neighbours of all shards together."""
+    parts = [radius_join(queries, s, radius, distance, max_neighbours, itself).select("qid", "id", "dist") for s in shards]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, None if max_neighbours < 0 else max_neighbours)
+
+
 def sharded_knn(queries: DataFrame, shards: list[DataFrame], k: int, distance="l2") -> DataFrame:
     """Search every shard by itself and merge the sorted lists: (qid, rank, id, dist)."""
     parts = [knn_join(queries, s, k, distance).select("qid", "id", "dist") for s in shards]

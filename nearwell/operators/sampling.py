@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def order_key(seed: int, key: str = "id") -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """60 bits of the md5 of key and seed as text: any SQL engine draws the same sample."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
 
 
 def random_sample(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:

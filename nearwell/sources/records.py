@@ -181,9 +181,9 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_iris(spark: SparkSession, path: str) -> DataFrame:
-    """(v, label): four numbers and a name per line, separated by blanks; empty lines are none."""
+    """(v, label): four numbers and a name per line, separated by blanks; empty lines are none, any other line raises an error."""
     fields = [T.StructField(c, T.DoubleType()) for c in "abcd"] + [T.StructField("label", T.StringType())]
-    rows = spark.read.csv(path, sep=" ", schema=T.StructType(fields), mode="DROPMALFORMED").where("label is not null")
+    rows = spark.read.csv(path, sep=" ", schema=T.StructType(fields), mode="FAILFAST").where("label is not null")
     return rows.select(F.array(*"abcd").alias("v"), "label")
 
 

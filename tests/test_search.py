@@ -113,6 +113,106 @@ def test_budget_raises_recall(spark):
     assert target[0][2] >= 0.5
 
 
+METHODS = [("kdtree", {"trees": 2, "leaf_size": 16}), ("kdtree_single", {"leaf_size": 8}), ("kdtree_cyclic", {"leaf_size": 8}), ("kmeans", {"branching": 4, "leaf_size": 20}), ("hierarchical", {"branching": 4, "trees": 2, "leaf_size": 20}), ("composite", {"trees": 2, "branching": 4, "leaf_size": 20}), ("linear", {})]
+
+
+@pytest.mark.parametrize("method,params", METHODS)
+def test_points_added_without_rebuild_are_found(spark, cloud, method, params, tmp_path):
+    b, q = table(spark, cloud), table(spark, cloud[250:280])
+    index = create(b.where("id < 160"), method, rebuild_threshold=0, **params).build()
+    index.add(b.where("id >= 160"))
+    want = brute(cloud[250:280], cloud, 6)
+    for checks in (-1, 1 << 30):
+        assert found(index.knn(q, 6, SearchParams(checks=checks))) == want
+    index.remove([0, 5])
+    index.save(str(tmp_path / "index"))
+    again = load(spark, str(tmp_path / "index"))
+    assert type(again) is type(index) and again.size() == 298
+    assert found(again.knn(q, 6, SearchParams(checks=1 << 30))) == found(index.knn(q, 6, SearchParams(checks=-1)))
+
+
+def test_autotuned(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.05, (60, 8)) for c in rng.random((8, 8))])
+    b = table(spark, x)
+    index = create(b, "autotuned", sample_fraction=0.5, extra={"trials": [("kmeans", {"branching": 8, "iterations": 2}), ("kdtree", {"trees": 2})]}).build()
+    assert [r[0] for r in index.report] == ["linear", "kmeans", "kdtree"] and len(index.TRIALS) == 25
+    truth = knn.knn_join(b, b, 1)
+    assert evaluate.recall(index.knn(b, 1), truth).first()["recall"] > 0.7
+    index.save(str(tmp_path / "tuned"))
+    again = load(spark, str(tmp_path / "tuned"))
+    assert found(again.knn(b, 1)) == found(index.knn(b, 1)) and again.checks == index.checks
+    assert found(again.knn(b, 3, SearchParams(checks=-1))) == brute(x, x, 3)
+
+
+def test_crowded_cells_are_dealt(spark, cloud, monkeypatch):
+    from nearwell.operators.index import base
+
+    monkeypatch.setattr(base, "CELL_POINTS", 7)
+    b = table(spark, np.concatenate((cloud, np.tile(cloud[:1], (40, 1)))))
+    index = create(b, "kmeans", branching=4, leaf_size=60).build()
+    assert found(index.knn(b, 50, SearchParams(checks=1 << 30))) == found(knn.knn_join(b, b, 50))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e12, 1e200])
+def test_bounded_products_keep_the_last_bit(scale):
+    rng = np.random.default_rng(3)
+    x = (rng.random((500, 40)) - 0.5) * scale
+    x[100:200] = x[:100]  # ties
+    x[200:300] = x[:100] * (1 + 1e-15)
+    for itself in (True, False):
+        got = knn.best_of(np.arange(500), x, np.arange(500), x, "l2", 7, None, itself).to_pylist()
+        d = distances.get("l2").matrix(x, x)
+        if not itself:
+            d[np.arange(500), np.arange(500)] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :7]
+        assert [(r["qid"], r["id"], r["dist"]) for r in got] == [(i, int(j), float(d[i, j])) for i in range(500) for j in order[i] if np.isfinite(d[i, j])]
+
+
+def test_hellinger_refuses_negative_components(spark):
+    b = table(spark, [[0.5, 0.5], [-0.1, 1.1]])
+    for method in ("expression", "blocks"):
+        with pytest.raises(Exception, match="hellinger is defined"):
+            knn.knn_join(b, b, 1, "hellinger", method=method).collect()
+
+
+def test_traversal(spark):
+    x = np.random.default_rng(2).random((1 << 9, 4))
+    index = create(table(spark, x), "kdtree_cyclic", leaf_size=1).build()
+    nodes = {n["node"]: n for n in index.traverse()}
+    leaves = [n for n in nodes.values() if n["left"] is None]
+    assert sorted(r["id"] for n in leaves[:20] for r in index.leaf(n["cell"]).collect()) and len(leaves) == 1 << 9
+    for n in nodes.values():
+        if n["left"] is not None:
+            assert n["split_dim"] == n["depth"] % 4 and n["left"] in nodes and n["right"] in nodes
+
+
+def test_clone_and_swap(spark, cloud):
+    a, b = (create(table(spark, cloud[k : k + 100], range(k, k + 100)), "kdtree", trees=1, leaf_size=20).build() for k in (0, 100))
+    copy = a.clone()
+    copy.remove([0])
+    copy.add(table(spark, [[9.0, 9.0, 9.0]], [777]))
+    assert a.size() == 100 and copy.size() == 100 and a.get_point(777).count() == 0
+    a.swap(b)
+    assert a.get_point(150).count() == 1 and b.get_point(50).count() == 1
+
+
+def test_user_distance(spark, cloud):
+    weighted = distances.Distance("weighted", lambda x, y: F.abs(x - y) * 2, lambda x, y: np.abs(x - y) * 2, "abs({x}-{y})*2", metric_space=False)
+    b = table(spark, cloud)
+    want = {k: (i, 2 * d) for k, (i, d) in brute(cloud[:40], cloud, 3, "l1").items()}
+    got = found(knn.knn_join(table(spark, cloud[:40]), b, 3, weighted))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert found(create(b, "kdtree", weighted, trees=1).build().knn(table(spark, cloud[:40]), 3, SearchParams(checks=1 << 30))) == got
+
+
+def test_sharded_radius(spark, cloud):
+    b, q = table(spark, cloud), table(spark, cloud[:20])
+    shards = [b.where("id < 90"), b.where("id >= 90")]
+    assert found(knn.sharded_radius(q, shards, 0.02)) == found(knn.radius_join(q, b, 0.02))
+    assert found(knn.sharded_radius(q, shards, 0.02, max_neighbours=2)) == found(knn.radius_join(q, b, 0.02, max_neighbours=2))
+
+
 def test_maintenance_and_storage(spark, cloud, tmp_path):
     b = table(spark, cloud)
     index = create(b.where("id < 200"), "kdtree", trees=1, leaf_size=16, rebuild_threshold=1.2).build()
