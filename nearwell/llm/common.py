@@ -93,6 +93,46 @@ def chosen(bitmap, key: str, inside: bool = True):
     return run
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """(rows of whole keys, False) from rows sorted by their first column, the key; of a key with more than most rows (some of them, True), as they come."""
+    held: list[pa.RecordBatch] = []
+    size, large = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if large is not None:
+            key = batch.column(0).to_numpy()
+            stop = int(np.searchsorted(key, large, side="right"))
+            if stop:
+                yield batch.slice(0, stop), True
+            if stop == len(key):
+                continue
+            large, batch = None, batch.slice(stop)
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if last or (held and held[-1].column(0)[-1].as_py() != key[0]):
+            yield pa.concat_batches([*held, batch.slice(0, last)]), False
+            held, size = [], 0
+        held.append(batch.slice(last))
+        size += held[-1].num_rows
+        if most is not None and size > most:
+            yield pa.concat_batches(held), True
+            held, size, large = [], 0, key[-1]
+    if held:
+        yield pa.concat_batches(held), False
+
+
+def crowded_keys(sampled: DataFrame, key: str, parts: int, most: int) -> np.ndarray:
+    """The keys, at most 4 * parts of them, that have more than twice a task's share of a sample's rows, or more than most rows of it (16 at least).
+
+    They tell where rows are best sent; no result hangs on them.
+    """
+    counts = materialize(sampled.sparkSession, sampled.groupBy(key).agg(F.count("*").alias("n")), "sampled")
+    often = max(16, min(2 * (counts.agg(F.sum("n")).first()[0] or 0) // parts, most))
+    rows = counts.where(F.col("n") > often).orderBy(F.desc("n"), key).select(key).limit(4 * parts).collect()
+    return np.array(sorted(r[0] for r in rows), np.int64)
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     """A string column without nulls (null counts as empty), as one array with 32-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, key_bitmap, materialize, mix64, partitions, released, text_array, text_slices
+from .common import chosen, crowded_keys, key_bitmap, materialize, mix64, partitions, released, sorted_runs, text_array, text_slices
 from .shingles import powers, word_hashes
 
 HOT = 1 << 15  # contexts of a gram that one task takes
@@ -200,42 +200,13 @@ def _ranges(values: np.ndarray, doc: np.ndarray, m: Measure, words: bool, width:
     return _rows(symbols, _signed(name, words), zero, doc, zero[:1], start, core, core_stop, stop, m.apart)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """(rows of whole keys, False) from rows sorted by key; of a key with more than most rows (all there are of it, True), as they come."""
-    held: list[pa.RecordBatch] = []
-    size, large = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if large is not None:
-            key = batch.column(0).to_numpy()
-            stop = int(np.searchsorted(key, large, side="right"))
-            if stop:
-                yield batch.slice(0, stop), True
-            if stop == len(key):
-                continue
-            large, batch = None, batch.slice(stop)
-        key = batch.column(0).to_numpy()
-        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
-        if last or (held and held[-1].column(0)[-1].as_py() != key[0]):
-            yield pa.concat_batches([*held, batch.slice(0, last)]), False
-            held, size = [], 0
-        held.append(batch.slice(last))
-        size += held[-1].num_rows
-        if most is not None and size > most:
-            yield pa.concat_batches(held), True
-            held, size, large = [], 0, key[-1]
-    if held:
-        yield pa.concat_batches(held), False
-
-
 def _met(hot: np.ndarray, most: int):
     """From ROWS sorted by (key, cls, doc): classes that can match (first: their first member; twin: another member matches it all).
 
     Of grams in hot, and of those with more than most rows here, every row as it is (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, large in _runs(batches, most):
+        for rows, large in sorted_runs(batches, most):
             key = rows.column(0).to_numpy()
             away = np.full(len(key), True) if large else np.isin(key, hot)
             if away.any():
@@ -492,7 +463,7 @@ def dealt(classes: list[tuple[int, bytes, int, int, int, bool]], m: Measure, wor
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (doc, words, start, stop) from contexts and members sorted by (key, cls, kind), whole keys in blocks of about BLOCK symbols."""
-    for rows, _ in _runs(batches):
+    for rows, _ in sorted_runs(batches):
         key, cls, kind = (rows.column(i).to_numpy() for i in range(3))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
@@ -606,11 +577,8 @@ def repeated_spans(docs: DataFrame, most: int = HOT, sample: int = SAMPLE) -> Da
     long = hashed.select("doc", "text").where(F.octet_length("text") >= 2 * WORDS.length - 1)
 
     # where to send rows: grams that a sample shows too often for one task
-    some = long.where(F.pmod(F.col("doc"), F.lit(sample)) == 0).mapInArrow(released(_keyed(np.zeros(0, np.int64), 1)), f"{ROWS}, salt int").groupBy("key").agg(F.count("*").alias("n"))
-    some = materialize(spark, some, "sampled")
-    share = 2 * (some.agg(F.sum("n")).first()[0] or 0) // n  # twice what a task has of the sample
-    often = max(16, min(share, most // sample))
-    hot = np.array(sorted(r[0] for r in some.where(F.col("n") > often).orderBy(F.desc("n"), "key").select("key").limit(4 * n).collect()), np.int64)
+    sampled = long.where(F.pmod(F.col("doc"), F.lit(sample)) == 0).mapInArrow(released(_keyed(np.zeros(0, np.int64), 1)), f"{ROWS}, salt int")
+    hot = crowded_keys(sampled, "key", n, most // sample)
     labels = "kind tinyint, first boolean, twin boolean"
     rows = long.mapInArrow(released(_keyed(hot, n)), f"{ROWS}, salt int")
     rows = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "cls", "doc").drop("salt")

@@ -57,6 +57,7 @@ def jaccard_components(rows):
 def test_jaccard_join(spark, monkeypatch, small):
     if small:  # many tiles and long runs
         monkeypatch.setattr(ngram_jaccard, "TILE", 2)
+        monkeypatch.setattr(ngram_jaccard, "SAMPLE", 1)
         monkeypatch.setattr(components, "SMALL", 0)
     docs = fixtures.docs(spark)
     rows = [tuple(r)[:2] for r in docs.collect()]
@@ -575,3 +576,29 @@ def test_exponent():
     assert passes(a) <= 2.0 < passes(a - 2 / mixing.GRID)
     assert mixing.solve_exponent(tokens, 1000, max_repetition=0.5) == 1.0 and mixing.solve_exponent(tokens, 1000, target_entropy=9) == 0.0
     assert mixing.solve_exponent({}, 10, max_repetition=1) == 1.0 and math.isclose(mixing.entropy({"a": 0.5, "b": 0.5, "c": 0}), 1)
+
+
+def test_common_shingles_are_dealt(spark):
+    def batches(rows, cut):
+        for a in range(0, len(rows), cut):
+            t, x = zip(*rows[a : a + cut], strict=True)
+            yield pa.record_batch([pa.array(t, pa.int64()), pa.array(x, pa.int64()), pa.array([5] * len(t), pa.int32()), pa.array([0] * len(t), pa.int32())], names=["token", "node", "n", "salt"])
+
+    rng = random.Random(3)
+    rows = sorted((t, rng.randrange(200)) for t, many in ((1, 1), (2, 2), (3, 40), (4, 500), (5, 1), (6, 31), (7, 700)) for _ in range(many))
+    by = collections.defaultdict(set)
+    for t, x in rows:
+        by[t].add(x)
+    for cut in (1, 7, 100, 5000):
+        for held in (50, 1 << 15):
+            for hot in ([], [4, 5]):
+                saved, ngram_jaccard.HELD = ngram_jaccard.HELD, held
+                try:
+                    got = collections.defaultdict(list)
+                    for t, x, _, _, long in ngram_jaccard._once(batches(rows, cut), np.array(hot, np.int64)):
+                        for row in zip(t.tolist(), x.tolist(), long.tolist(), strict=True):
+                            got[row[0]].append(row[1:])
+                finally:
+                    ngram_jaccard.HELD = saved
+                assert {t: sorted(x for x, _ in v) for t, v in got.items()} == {t: sorted(v) for t, v in by.items() if len(v) > 1 or t in hot}
+                assert all({long for _, long in got[t]} == {len(by[t]) > 32 or t in hot or (held == 50 and sum(r[0] == t for r in rows) > 50)} for t in got)
