@@ -26,6 +26,7 @@ from .shingles import shingle_hashes, shingle_sets, word_hashes
 PERMUTATIONS = 128
 BANDS = 32
 SIMILARITY = 0.8
+PER_TASK, SAMPLED = 8, 32  # ranges of doc_id to a task, and ids of a sample to a range
 TILE = 128  # texts of a bucket that are compared in one task, or with as many others
 
 _rng = np.random.default_rng(7)
@@ -70,8 +71,10 @@ def _in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("at"))
     n = partitions(spark)
-    found = rows.stat.approxQuantile("at", [k / n for k in range(1, n)], 1 / (8 * n)) if n > 1 else []
-    splits = sorted({x for x in found or [] if x > float("-inf")})
+    # ranges of about equal numbers of texts, several to a task; a sample of ids tells their ends and decides nothing else
+    thin = max(1, rows.count() // (PER_TASK * SAMPLED * n))
+    some = rows.where((F.pmod(F.xxhash64("at"), F.lit(thin)) == 0) & (F.col("at") > float("-inf"))).select("at").toArrow()["at"].to_numpy()
+    splits = sorted(set(np.sort(some)[:: max(1, len(some) // (PER_TASK * n))].tolist())) if n > 1 else []
     if splits:
         rows = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="at", outputCol="bucket").transform(rows).withColumn("bucket", F.col("bucket").cast("int"))
     else:
@@ -80,10 +83,10 @@ def _in_order(docs: DataFrame) -> DataFrame:
     if not heads:
         return rows.select("bucket", F.lit(False).alias("guard"), "doc_id", "text")
     # the guard of bucket b is the head of the next lower one that has rows, and of the lowest the head of the highest
-    guards = {heads[i][1]: [heads[(i + 1) % len(heads)][0]] for i in range(len(heads))}
-    to = F.create_map(*[x for k, v in guards.items() for x in (F.lit(k), F.lit(v[0]))])
-    rows = rows.withColumn("copies", F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guard"))))
-    rows = rows.withColumn("copies", F.when(to[F.col("at")].isNotNull(), F.concat("copies", F.array(F.struct(to[F.col("at")].alias("bucket"), F.lit(True).alias("guard"))))).otherwise(F.col("copies")))
+    guards = [(heads[i][1], heads[(i + 1) % len(heads)][0]) for i in range(len(heads))]
+    rows = rows.join(F.broadcast(spark.createDataFrame(guards, "at double, next int")), "at", "left")  # a row for each range
+    own, guard = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guard")), F.struct(F.col("next").alias("bucket"), F.lit(True).alias("guard"))
+    rows = rows.withColumn("copies", F.when(F.col("next").isNotNull(), F.array(own, guard)).otherwise(F.array(own)))
     rows = rows.select("doc_id", "text", F.explode("copies").alias("c")).select("c.bucket", "c.guard", "doc_id", "text")
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("doc_id"), "text")
 

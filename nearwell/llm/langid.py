@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,7 +134,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", profile: in
     names = [r[0] for r in counts.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).select("lang").collect()]
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    return {x: [r[0] for r in counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(profile).select("gram").collect()] for x in names}
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # limited before the shuffle as well
+    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)
+    out: dict[str, list[int]] = {x: [] for x in names}
+    for r in best.orderBy("lang", "rank").select("lang", "gram").collect():
+        out[r["lang"]].append(r["gram"])
+    return out
 
 
 def _predictor(profiles: dict[str, list[int]], top: int):

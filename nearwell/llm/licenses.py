@@ -175,10 +175,10 @@ def _places(lists: Column, phrase: list[str], label: str) -> Column:
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB, by brute force over all blocks and templates."""
+    """The same in DuckDB, by brute force over all blocks and templates, and over all runs of texts of several lines."""
     lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     cut = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    listed = ", ".join(f"({k}, '{label}', {sorted(set(words(t)))!r})" for k, (label, t) in enumerate(TEMPLATES))
+    listed = ", ".join(f"({k}, '{label}', {sorted(set(words(t)))!r}, {len(words(t))})" for k, (label, t) in enumerate(TEMPLATES))
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM {table}),
@@ -188,14 +188,23 @@ places AS (
     SELECT r, label, i - 1 AS pos FROM (SELECT r, p, label, ws, unnest(range(1, len(ws) - len(p) + 2)) AS i FROM w, phrases) WHERE ws[i:i + len(p) - 1] = p
 ),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b, list(DISTINCT label) AS labels FROM places GROUP BY r),
-templates(k, label, words) AS (VALUES {listed}),
+templates(k, label, words, span) AS (VALUES {listed}),
 blocks AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 block_words AS (SELECT r, list_distinct(regexp_split_to_array(line, '{cut}')) AS bw FROM blocks),
 hits AS (
     SELECT r, label, len(list_intersect(bw, words)) / len(words)::DOUBLE AS share FROM block_words, templates
     WHERE len(list_intersect(bw, words)) >= ceil(round({CONTAINMENT} * len(words), 9))
 ),
-best AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels FROM hits GROUP BY r)
+fit AS (
+    SELECT r, ws, label, words, span FROM w, templates
+    WHERE contains(t, chr(10)) AND len(list_intersect(list_distinct(ws), words)) >= ceil(round({CONTAINMENT} * len(words), 9))
+),
+runs AS (
+    SELECT r, label, max(len(list_intersect(list_distinct(ws[i:i + span - 1]), words))) / any_value(len(words))::DOUBLE AS share, any_value(len(words)) AS size
+    FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM fit) GROUP BY r, label, words
+),
+found AS (SELECT r, label, share FROM hits UNION ALL SELECT r, label, share FROM runs WHERE round(share * size) >= ceil(round({CONTAINMENT} * size, 9))),
+best AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels FROM found GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
     coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(best.labels, []))), ','), '') AS labels,

@@ -183,6 +183,46 @@ def test_pii_ibans_among_words(iban):
     assert pii.pseudonymise("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX")[1] == []
 
 
+def made_up(rng):
+    """A valid value of every kind, as it stands in a text."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    letters = lambda n, stock="abcdefghijklmnopqrstuvwxyz": "".join(rng.choices(stock, k=n))
+    body = "4" + digits(14)
+    card = body + pii.luhn_digit(body)
+    account = digits(18)
+    return {
+        "email": f"{letters(rng.randint(1, 9))}.{letters(4)}@{letters(rng.randint(1, 6))}.org",
+        "secret": f"password={letters(6)}{digits(9)}",
+        "cloud_key": "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
+        "iban": f"DE{pii._iban_check('DE', account)}{account}",
+        "card": rng.choice((card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), "-".join(card[i : i + 4] for i in range(0, 16, 4)))),
+        "ssn": f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "ipv4": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "date": rng.choice((f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.{rng.randint(1900, 2099)}")),
+        "phone": f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}",
+    }
+
+
+def test_pii_of_every_kind():
+    rng, image = random.Random(7), {}
+    for _ in range(150):
+        values = made_up(rng)
+        order = rng.sample(list(values), len(values))
+        text = " and then ".join(values[k] for k in order) + "."
+        out, spans = pii.pseudonymise(text)
+        assert [k for _, _, k in spans] == order
+        again = pii.pseudonymise(out)[1]
+        assert [k for _, _, k in again] == order  # a pseudonym is a valid value of its kind, so it would be found in its turn
+        for (a, b, k), (x, y, _) in zip(spans, again, strict=True):
+            assert text[a:b] != out[x:y] and text[a:b] not in out
+            assert image.setdefault((k, text[a:b]), out[x:y]) == out[x:y]  # linked across texts
+            if k != "ipv4":  # its numbers may have more or fewer digits
+                assert re.sub("[A-Za-z0-9]", "x", out[x:y]) == re.sub("[A-Za-z0-9]", "x", text[a:b])
+    for kind in pii.NAMES:
+        mine = [(v, p) for (k, v), p in image.items() if k == kind]
+        assert len({p for _, p in mine}) == len(mine)  # different values keep different pseudonyms
+
+
 def test_pii_query(spark):
     docs = fixtures.docs(spark)
     got = pii.protected(docs)
@@ -216,6 +256,30 @@ def profile_of(text, top):
     return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:top]
 
 
+def test_out_of_place_distance():
+    rng = random.Random(5)
+    stock = {"aa": "abcdef", "bb": "defghi", "cc": "ghiab"}
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, weights=range(1, len(letters) + 1), k=rng.randint(1, 7))) for _ in range(n))
+    named = {x: profile_of(text(letters, 300), 40) for x, letters in stock.items()}
+
+    def number(g):
+        p = [0 if c == " " else ord(c) for c in g]
+        return p[0] if len(p) == 1 else 1 << 42 | p[0] << 21 | p[1] if len(p) == 2 else (p[0] + 2) << 42 | p[1] << 21 | p[2]
+
+    profiles = {x: [number(g) for g in p] for x, p in named.items()}
+    texts = [text(rng.choice(list(stock.values())), rng.randint(1, 60)) for _ in range(60)] + ["", "12 34", None, "a", "Ünï  x2y", "zzz qqq"]
+    for top in (10, 300):
+        lang, score = langid._predictor(profiles, top)(texts)
+        for t, x, s in zip(texts, lang, score, strict=True):
+            own = profile_of(t or "", top)
+            if not own:
+                assert (x, s) == ("und", 0.0)
+                continue
+            most = max(top, 40)
+            d = {k: sum(min(abs(p.index(g) - i), most) if g in p else most for i, g in enumerate(own)) for k, p in named.items()}
+            assert x == min(d, key=lambda k: (d[k], k)) and abs(s - (1 - d[x] / (most * len(own)))) < 1e-12
+
+
 def test_language_profiles(spark):
     rows = [(1, "Abc abd, été! x", "aa"), (2, "zzy zzz", "bb"), (3, "ab  ABC", "aa"), (4, None, "aa"), (5, "q", None)]
     got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -306,7 +370,7 @@ def test_near_pairs_of_a_template_family(spark, monkeypatch, tile):
 def test_licenses(spark):
     import duckdb
 
-    extra = [(900, "Released under the MIT license.\nCC BY-NC cc by nc, under the mit license", None, None, 0), (901, "undertheMIT license apache license version 20", None, None, 0), (902, licenses.TEMPLATES[0][1] + " and more", None, None, 0), (903, "x" + licenses.TEMPLATES[8][1], None, None, 0), (904, "Apache-License/Version 2", None, None, 0), (None, "Under THE mit LICENSE", None, None, 0)]
+    extra = [(900, "Released under the MIT license.\nCC BY-NC cc by nc, under the mit license", None, None, 0), (901, "undertheMIT license apache license version 20", None, None, 0), (902, licenses.TEMPLATES[0][1] + " and more", None, None, 0), (903, "x" + licenses.TEMPLATES[8][1], None, None, 0), (904, "Apache-License/Version 2", None, None, 0), (905, "x y\n" + licenses.TEMPLATES[0][1].replace("obtaining", "\n# obtaining") + "\nz", None, None, 0), (906, licenses.TEMPLATES[0][1].replace(" ", " aa\nbb cc "), None, None, 0), (None, "Under THE mit LICENSE", None, None, 0)]
     docs = fixtures.docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(extra, fixtures.SCHEMA).select("doc_id", "text"))
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
@@ -316,6 +380,7 @@ def test_licenses(spark):
     assert sorted(map(key, got)) == sorted(map(key, want))
     by = {r["doc_id"]: r for r in got}
     assert by[900]["n_base"] == 4 and by[900]["first_word"] == 1 and by[900]["base_labels"] == "cc-by-nc,mit"
+    assert by[905]["labels"] == "mit-notice" and by[906]["labels"] == ""
     assert by[901]["n_base"] == 0 and by[904]["n_base"] == 1 and by[902]["labels"] == "mit-notice" and by[902]["score"] == 1.0
     assert licenses.scan(docs.limit(0)).count() == 0
 
@@ -496,6 +561,29 @@ def test_bpe_query(spark):
     assert bpe.token_digests(fixtures.empty(spark), queries.ranks_file()).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    import string
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(queries.ranks_file(), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    e, rng = bpe.Engine(ranks), random.Random(1)
+    texts = ["".join(rng.choices(stock, k=n)) for stock in (string.ascii_letters, "etaoinshr", "ab", "ñé漢字") for n in (60, 65, 130, 700)]
+    texts += ["a" * n for n in (64, 65, 66, 999)] + ["ab" * 300, "aab" * 211, "the" * 100, "=" * 333, "-=" * 200, " " * 500, "ha" * 90 + "aha" * 31]
+    assert e.encode([t.encode() for t in texts]) == [enc.encode_ordinary(t) for t in texts]
+    for big in ("".join(rng.choices(string.ascii_letters, k=1_000_000)), "x" * 1_000_000):
+        assert e.decode(e.encode([big.encode()])) == [big.encode()]
+    with pytest.raises(ValueError):
+        e.decode([[1 << 21]])
+    many = [str(i) * 3 for i in range(3000)]
+    small = bpe.Engine(ranks)
+    small.held = bpe.REMEMBERED_BYTES  # turns over at once
+    assert [x[1].decode() for x in small.meet(many)] == many == [x[1].decode() for x in small.meet(many)]
+
+
 def test_bpe_split():
     import public_tokenizers
     import regex

@@ -3,12 +3,14 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearwell.llm import exact_topk
+from nearwell.llm import bpe, exact_topk, langid, pii, queries
 
 from ..conftest import SF
 from . import fixtures
+from .test_documents import jaccard_components
 
 
 def brute(rows, k, every):
@@ -64,6 +66,24 @@ def test_pipeline(spark):
         after = stage(spark, before, SF).cache()
         if k < 4:
             assert after.columns == docs.columns
+        if k == 0:  # profiles learnt from the rows outside the fold, and the distance, are tested by themselves
+            found = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= corpus_pipeline.MIN_SCORE))
+            assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(r[0] for r in found.select("doc_id").collect())
+        if k == 1:
+            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+            least = jaccard_components(rows)
+            assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(i for i, _ in rows if least[i] == i)
+        if k == 2:
+            want = {r["doc_id"]: pii.pseudonymise(r["text"])[0] for r in before.collect()}
+            assert {r["doc_id"]: r["text"] for r in after.collect()} == want and all(r["n_chars"] == len(r["text"]) for r in after.collect())
+        if k == 4:
+            import public_tokenizers
+            import tiktoken
+
+            with open(queries.ranks_file(), "rb") as f:
+                enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+            want = collections.Counter((r["doc_id"], tuple(enc.encode_ordinary(r["text"]))) for r in before.collect())
+            assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in after.collect()) == want
         if k == 1:
             assert 0 < after.count() < before.count() and after.select("text").distinct().count() == after.count()
         if k == 3:
