@@ -28,8 +28,8 @@ from .common import mix64, released, text_array, text_slices
 from .shingles import powers
 
 #: Distinct pieces that one recursive query takes, bytes of those that a worker remembers, and tokens from which a word counts as long.
-PIECES = 8_000
-REMEMBERED_BYTES = 40 << 20
+PIECES = 16_000
+REMEMBERED_BYTES = 48 << 20
 LONG = 64
 MEMORY_MB = 96  # of a worker's DuckDB; one very long word gets more
 #: Characters of text that are cut at a time, and bytes of those whose new pieces are encoded together.
@@ -203,7 +203,8 @@ class Engine:
         ) WHERE inside % 2 = 0 AND (stop IS NULL OR i <= stop)
     )"""
     DECODE = """
-        SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex FROM coded JOIN vocabulary v USING (id) GROUP BY w
+        SELECT w, unhex(string_agg(v.hex, '' ORDER BY i)) AS bytes, string_agg(id, ',' ORDER BY i) AS ids
+        FROM coded JOIN vocabulary v USING (id) GROUP BY w
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -212,10 +213,10 @@ class Engine:
         if len(ranks) >= 1 << 22:
             raise ValueError("ids must be below 2**22")
         self.ranks = ranks
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ids = np.array(sorted(ranks.values()), np.int32)
-        self.known: dict[str, tuple[str, bytes, int]] = {}
-        self.older: dict[str, tuple[str, bytes, int]] = {}  # what was known before the last turn
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # what was known before the last turn
         self.held = 0  # bytes of known, about
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -240,20 +241,41 @@ class Engine:
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of every piece; one that is in the vocabulary is its own token."""
-        out: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
-        rest = [k for k, p in enumerate(pieces) if p and p not in self.ranks]
-        short, long = [k for k in rest if len(pieces[k]) <= LONG], [k for k in rest if len(pieces[k]) > LONG]
-        for k, ids in zip(short, self._contracted([pieces[k] for k in short], self.ENCODE), strict=True):
-            out[k] = ids
-        if long:
-            parts = [self._apart(pieces[k]) for k in long]
-            words = list(dict.fromkeys(w for p in parts for w in p))
-            found = {w: [self.ranks[w]] for w in words if w in self.ranks}
-            for some, query in (([w for w in words if w not in found and len(w) <= LONG], self.ENCODE), ([w for w in words if w not in found and len(w) > LONG], self.ENCODE_LONG.format(chosen=self.CHOSEN))):
-                found |= zip(some, self._contracted(some, query), strict=True)
-            for k, p in zip(long, parts, strict=True):
-                out[k] = [i for w in p for i in found[w]]
-        return out
+        flat, counts = self._encoded(pieces)
+        return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if pieces else []
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces in order, how many each has)."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        some, short = np.flatnonzero(whole >= 0), np.flatnonzero((whole < 0) & (size > 0) & (size <= LONG))
+        counts = (whole >= 0).astype(np.int64)
+        found = [(some, whole[some].astype(np.int32)), (short, np.zeros(0, np.int32))]
+        if len(short):
+            ids, counts[short] = self._contracted([pieces[k] for k in short.tolist()], self.ENCODE)
+            found[1] = (short, ids)
+        long = np.flatnonzero((whole < 0) & (size > LONG))
+        if len(long):
+            lists = self._long([pieces[k] for k in long.tolist()])
+            counts[long] = [len(x) for x in lists]
+            found.append((long, np.concatenate([np.array(x, np.int32) for x in lists])))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for at, ids in found:
+            n = counts[at]
+            out[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def _long(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of long pieces, from those of their parts."""
+        parts = [self._apart(p) for p in pieces]
+        words = list(dict.fromkeys(w for p in parts for w in p))
+        found = {w: [self.ranks[w]] for w in words if w in self.ranks}
+        for some, query in (([w for w in words if w not in found and len(w) <= LONG], self.ENCODE), ([w for w in words if w not in found and len(w) > LONG], self.ENCODE_LONG.format(chosen=self.CHOSEN))):
+            if some:
+                ids, counts = self._contracted(some, query)
+                found |= zip(some, (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])), strict=True)
+        return [[i for w in p for i in found[w]] for p in parts]
 
     def _apart(self, piece: bytes) -> list[bytes]:
         """piece cut between bytes that no token holds side by side."""
@@ -261,38 +283,49 @@ class Engine:
         cut = [0, *(np.flatnonzero(~self.beside[x[:-1], x[1:]]) + 1).tolist(), len(piece)]
         return [piece[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def _contracted(self, words: list[bytes], query: str) -> Iterator[list[int]]:
-        """The tokens of words of several bytes, in order; a query takes PIECES words, and fewer where they are long."""
-        at, most = 0, PIECES * (LONG if query is self.ENCODE else LONG // 8)
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and end - at < PIECES and (end == at or size + len(words[end]) <= most):
-                size += len(words[end])
-                end += 1
-            if size > most:  # one word: its steps hold a few hundred bytes a token
-                self.con.execute(f"SET memory_limit = '{MEMORY_MB + size // 2000}MB'")
-            lists = pa.array([[self.byte[c] for c in w] for w in words[at:end]], pa.list_(pa.int32()))
-            done = self._ask("words", pa.table({"w": pa.array(range(end - at), pa.int64()), "toks": lists}), query)
-            yield from done.column("toks").to_pylist()
+    def _contracted(self, words: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """(the tokens of words of several bytes in order, how many each has); a query takes PIECES words, and fewer where they are long."""
+        ids, counts = [], []
+        flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        for at, end in self._chunks(edge, PIECES, PIECES * (LONG if query is self.ENCODE else LONG // 8)):
+            lists = pa.ListArray.from_arrays(pa.array((edge[at : end + 1] - edge[at]).astype(np.int32)), pa.array(flat[edge[at] : edge[end]]))
+            done = self._ask("words", pa.table({"w": pa.array(np.arange(end - at)), "toks": lists}), query).column("toks").combine_chunks()
+            ids.append(done.flatten().to_numpy())
+            counts.append(np.diff(done.offsets.to_numpy()))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _chunks(self, edge: np.ndarray, most: int, size: int) -> Iterator[tuple[int, int]]:
+        """Ranges of words whose ends are edge: at most so many words and so long together, or one longer word, for which DuckDB gets more memory."""
+        at = 0
+        while at < len(edge) - 1:
+            end = max(at + 1, min(at + most, int(np.searchsorted(edge, edge[at] + size, side="right")) - 1))
+            own = int(edge[end] - edge[at])
+            if own > size:  # its steps hold a few hundred bytes a token
+                self.con.execute(f"SET memory_limit = '{MEMORY_MB + own // 2000}MB'")
+            yield at, end
             at = end
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of every list of ids; an id outside the vocabulary raises an error."""
-        flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-        word = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        counts = np.array([len(x) for x in ids], np.int64)
+        return [b for b, _ in self._decoded(np.array([i for x in ids for i in x], np.int32), counts)]
+
+    def _decoded(self, flat: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, str]]:
+        """(bytes, ids in decimal joined by commas) of every list of ids."""
         if not np.isin(flat, self.ids).all():
             raise ValueError("an id is outside the vocabulary")
-        out: list[list[bytes]] = [[] for _ in ids]
-        for at in range(0, len(flat), PIECES * LONG // 4):
-            part = slice(at, at + PIECES * LONG // 4)
-            coded = pa.table({"w": pa.array(word[part]), "id": pa.array(flat[part]), "i": pa.array(np.arange(len(flat[part])))})
-            done = self._ask("coded", coded, self.DECODE)
-            for w, h in zip(done.column("w").to_pylist(), done.column("hex").to_pylist(), strict=True):
-                out[w].append(bytes.fromhex(h))
-        return [b"".join(x) for x in out]
-
-    def meet(self, pieces: list[str]) -> list[tuple[str, bytes, int]]:
-        """(ids in decimal joined by commas, bytes decoded from them, number of ids) of distinct pieces; those met lately are remembered."""
+        out: list[tuple[bytes, str]] = [(b"", "")] * len(counts)
+        edge = np.concatenate(([0], np.cumsum(counts)))
+        for at, end in self._chunks(edge, 8 * PIECES, PIECES * LONG // 4):
+            word, part = np.repeat(np.arange(at, end), counts[at:end]), flat[edge[at] : edge[end]]
+            done = self._ask("coded", pa.table({"w": pa.array(word), "id": pa.array(part), "i": pa.array(np.arange(len(part)))}), self.DECODE)
+            for w, b, i in zip(*(done.column(c).to_pylist() for c in ("w", "bytes", "ids")), strict=True):
+                out[w] = (b, i)
+        return out
+
+    def meet(self, pieces: list[str]) -> list[str]:
+        """The ids of distinct pieces, in decimal joined by commas, which decode to the pieces' bytes; those met lately are remembered."""
         if self.held > REMEMBERED_BYTES // 2:
             self.known, self.older, self.held = {}, self.known, 0
         new = []
@@ -302,14 +335,16 @@ class Engine:
                     new.append(p)
                 else:
                     self._remember(p, x)
-        ids = self.encode([p.encode("utf-8", "surrogatepass") for p in new])
-        for p, i, b in zip(new, ids, self.decode(ids), strict=True):
-            self._remember(p, (",".join(map(str, i)), b, len(i)))
+        given = [p.encode("utf-8", "surrogatepass") for p in new]
+        for p, b, (decoded, ids) in zip(new, given, self._decoded(*self._encoded(given)), strict=True):
+            if decoded != b:
+                raise ValueError("the vocabulary doesn't decode to what it encodes")
+            self._remember(p, ids)
         return [self.known[p] for p in pieces]
 
-    def _remember(self, piece: str, x: tuple[str, bytes, int]) -> None:
-        self.known[piece] = x
-        self.held += 250 + 2 * len(x[1]) + len(x[0])
+    def _remember(self, piece: str, ids: str) -> None:
+        self.known[piece] = ids
+        self.held += 200 + 2 * len(piece) + len(ids)
 
 
 def engine(content: bytes) -> Engine:
@@ -350,9 +385,10 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
                 distinct, index = unify(parts)
                 known = e.meet(distinct)
                 k = 0
-                for _, _, first in parts:
+                for joined, cut, first in parts:
                     for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
-                        for column, v in zip(columns, of([known[i] for i in index[k + x : k + y].tolist()]), strict=True):
+                        ids = ",".join([known[i] for i in index[k + x : k + y].tolist()])
+                        for column, v in zip(columns, of(ids, joined[cut[x] : cut[y]]), strict=True):
                             column.append(v)
                     k += int(first[-1])
                 made = [pa.array(c, kind) for c, kind in zip(columns, of.types, strict=True)]
@@ -361,31 +397,35 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
     return docs.mapInArrow(released(run), schema)
 
 
-def _numbers(known: list[tuple[str, bytes, int]]) -> np.ndarray:
-    return np.fromstring(",".join([k[0] for k in known]), np.int32, sep=",") if known else np.zeros(0, np.int32)
+def _numbers(ids: str) -> np.ndarray:
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
+
+
+def _sha(decoded: str) -> str:
+    """Of the bytes decoded from a text's ids: each of its pieces' ids have decoded to the piece."""
+    return hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 class _Ids:
     types = (pa.list_(pa.int32()),)
 
-    def __call__(self, known):
-        return (_numbers(known),)
+    def __call__(self, ids: str, decoded: str):
+        return (_numbers(ids),)
 
 
 class _Tokens:
     types = (pa.int64(), pa.list_(pa.int32()), pa.string())
 
-    def __call__(self, known):
-        ids = _numbers(known)
-        return len(ids), ids, hashlib.sha256(b"".join([k[1] for k in known])).hexdigest()
+    def __call__(self, ids: str, decoded: str):
+        numbers = _numbers(ids)
+        return len(numbers), numbers, _sha(decoded)
 
 
 class _Digests:
     types = (pa.int64(), pa.string(), pa.string())
 
-    def __call__(self, known):
-        ids = hashlib.sha256(",".join([k[0] for k in known]).encode())
-        return sum([k[2] for k in known]), ids.hexdigest(), hashlib.sha256(b"".join([k[1] for k in known])).hexdigest()
+    def __call__(self, ids: str, decoded: str):
+        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), _sha(decoded)
 
 
 def encode(docs: DataFrame, ranks_file: str, text: str = "text", out: str = "ids") -> DataFrame:
