@@ -29,12 +29,12 @@ from .shingles import powers
 
 #: Distinct pieces that one recursive query takes, bytes of those that a worker remembers, and tokens from which a word counts as long.
 PIECES = 16_000
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 64 << 20
 LONG = 64
 MEMORY_MB = 96  # of a worker's DuckDB; one very long word gets more
 #: Characters of text that are cut at a time, and bytes of those whose new pieces are encoded together.
-PART_CHARS = 1 << 19
-GROUP_CHARS = 1 << 20
+PART_CHARS = 1 << 18
+GROUP_CHARS = 1 << 18
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: The contractions of the splitting pattern.

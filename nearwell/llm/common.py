@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds as numpy arrays at one time; a longer single text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Hashes of what a task has met already that it remembers before it starts afresh.
+SEEN = 1 << 17
 #: What an Arrow batch of texts holds at most: rows and bytes (one longer text makes a batch of its own).
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 4 << 20)}
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K = np.random.default_rng(5).integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-KEPT = (1 << 20) + 4096  # powers that a worker keeps: enough for a slice of texts
+KEPT = (1 << 19) + 4096  # powers that a worker keeps: enough for a slice of texts
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
