@@ -28,13 +28,14 @@ from .common import mix64, released, text_array, text_slices
 from .shingles import powers
 
 #: Distinct pieces that one recursive query takes, bytes of those that a worker remembers, and tokens from which a word counts as long.
-PIECES = 16_000
+PIECES = 32_000
+SYMBOLS = 1 << 19  # bytes of words that one recursive query takes; a quarter of them if they are long, and half as many ids to decode
 REMEMBERED_BYTES = 64 << 20
 LONG = 64
 MEMORY_MB = 96  # of a worker's DuckDB; one very long word gets more
 #: Characters of text that are cut at a time, and bytes of those whose new pieces are encoded together.
 PART_CHARS = 1 << 18
-GROUP_CHARS = 1 << 18
+GROUP_CHARS = 1 << 20
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: The contractions of the splitting pattern.
@@ -288,7 +289,7 @@ class Engine:
         ids, counts = [], []
         flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-        for at, end in self._chunks(edge, PIECES, PIECES * (LONG if query is self.ENCODE else LONG // 8)):
+        for at, end in self._chunks(edge, PIECES, SYMBOLS if query is self.ENCODE else SYMBOLS // 4):
             lists = pa.ListArray.from_arrays(pa.array((edge[at : end + 1] - edge[at]).astype(np.int32)), pa.array(flat[edge[at] : edge[end]]))
             done = self._ask("words", pa.table({"w": pa.array(np.arange(end - at)), "toks": lists}), query).column("toks").combine_chunks()
             ids.append(done.flatten().to_numpy())
@@ -317,7 +318,7 @@ class Engine:
             raise ValueError("an id is outside the vocabulary")
         out: list[tuple[bytes, str]] = [(b"", "")] * len(counts)
         edge = np.concatenate(([0], np.cumsum(counts)))
-        for at, end in self._chunks(edge, 8 * PIECES, PIECES * LONG // 4):
+        for at, end in self._chunks(edge, 8 * PIECES, SYMBOLS // 2):
             word, part = np.repeat(np.arange(at, end), counts[at:end]), flat[edge[at] : edge[end]]
             done = self._ask("coded", pa.table({"w": pa.array(word), "id": pa.array(part), "i": pa.array(np.arange(len(part)))}), self.DECODE)
             for w, b, i in zip(*(done.column(c).to_pylist() for c in ("w", "bytes", "ids")), strict=True):
