@@ -18,16 +18,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 #: Hashes of what a task has met already that it remembers before it starts afresh.
 SEEN = 1 << 17
-#: What an Arrow batch of texts holds at most: rows and bytes (one longer text makes a batch of its own).
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 4 << 20)}
+#: Bytes that an Arrow batch holds at most (one longer text makes a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Set BATCH where the session has Spark's own values: a worker's memory must not follow the length of texts."""
-    for key, (usual, ours) in BATCH.items():
-        now = spark.conf.get(key, None)
-        if now is None or str(now) in (str(usual), f"{usual}b", "64MB"):
-            spark.conf.set(key, str(ours))
+    """Set BATCH_BYTES where the session has no limit of its own: a worker's memory must not follow the length of texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_base(spark: SparkSession) -> str:
