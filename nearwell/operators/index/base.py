@@ -9,8 +9,10 @@ method. Cell descriptions live on the driver and are bounded by MAX_CELLS; a cel
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,14 +160,31 @@ class VectorIndex:
         b = b.select("table_no", "cell", F.lit(1).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), "pp").alias("pp"), every("qp").alias("qp"))
         name, dim = self.distance, self.dim
 
-        def nearest(t: pa.Table) -> pa.Table:
+        def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
             side, ids = t["side"].to_numpy(), t["id"].to_numpy()
             x = matrix(t["v"].combine_chunks(), dim)
-            return best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k)
-
-        columns = ["table_no", "cell", "pp", "qp", "side", "id", "v"]
-        found = q.select(*columns).unionByName(b.select(*columns)).groupBy("table_no", "cell", "pp", "qp").applyInArrow(nearest, SCHEMA)
-        return found.dropDuplicates(["qid", "id"])
+            yield from best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k).to_batches()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows sorted by cell, one cell at a time."""
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t = pa.Table.from_batches([batch])
+                t = t if held is None else pa.concat_tables([held, t])
+                new = np.any([x[1:] != x[:-1] for x in (t[c].to_numpy() for c in cell)], axis=0)
+                edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+                for a, z in zip(edges, edges[1:], strict=False):
+                    yield from nearest(t.slice(a, z - a))
+                held = t.slice(edges[-1])
+            if held is not None:
+                yield from nearest(held)
+
+        cell = ["table_no", "cell", "pp", "qp"]
+        rows = q.select(*cell, "side", "id", "v").unionByName(b.select(*cell, "side", "id", "v"))
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell)
+        return rows.mapInArrow(run, SCHEMA).dropDuplicates(["qid", "id"])
 
     def radius(self, queries: DataFrame, radius: float, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, dist) of all points nearer than radius; by scan, as is every exact search of this kind."""
