@@ -73,8 +73,8 @@ class Distance:
         """(a matrix of near values, an error that they don't exceed) where one product of matrices gives them: squared distances."""
         if self.block is not _square_block or self.first:
             return None
-        qn, bn = (q * q).sum(axis=1), (b * b).sum(axis=1)
         with np.errstate(over="ignore", invalid="ignore"):
+            qn, bn = (q * q).sum(axis=1), (b * b).sum(axis=1)
             near = (-2.0 * q) @ b.T
             near += qn[:, None]
             near += bn[None, :]
@@ -126,7 +126,8 @@ def _root(x: Column) -> Column:
 
 def _square_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     t = x - y
-    return t * t
+    with np.errstate(over="ignore"):
+        return t * t
 
 
 def _bits_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 class VectorError(ValueError):
-    """A vector table that no operator accepts: null or empty vectors, null components or several lengths."""
+    """A vector table that no operator accepts: null or empty vectors, null or non-finite components or several lengths."""
 
 
 def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *keep: str) -> DataFrame:
@@ -15,6 +15,17 @@ def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *keep
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *keep)
 
 
+def _unusable(v: Column) -> Column:
+    """Is a vector null, empty, or with a component that is no finite number?"""
+    return v.isNull() | (F.size(v) < 1) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | x.cast("double").isin(float("inf"), float("-inf")))
+
+
+def checked(v: Column, dim: int | None = None) -> Column:
+    """v itself; a row with an unusable vector, or one of another length than dim, fails the job with VectorError's text."""
+    bad = _unusable(v) if dim is None else _unusable(v) | (F.size(v) != dim)
+    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("VectorError: null, empty, of another length or with components that are no finite numbers"))).otherwise(v)
+
+
 def dimension(df: DataFrame, vector: str = "v") -> int:
     """The length of all vectors, checked in one aggregation; 0 for an empty table."""
     return profile(df, vector)[1]
@@ -23,10 +34,9 @@ def dimension(df: DataFrame, vector: str = "v") -> int:
 def profile(df: DataFrame, vector: str = "v") -> tuple[int, int]:
     """(number of rows, length of all vectors), checked in one aggregation; the length is 0 for an empty table."""
     v = F.col(vector)
-    bad = v.isNull() | (F.size(v) < 1) | F.exists(v, lambda x: x.isNull())
-    r = df.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n")).first()
+    r = df.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(_unusable(v), 1)).alias("bad"), F.count("*").alias("n")).first()
     if r["bad"]:
-        raise VectorError(f"{r['bad']} rows hold a null or empty vector or a null component")
+        raise VectorError(f"{r['bad']} rows hold a null or empty vector or a component that is no finite number")
     if r["low"] != r["high"]:
         raise VectorError(f"vectors of {r['low']} to {r['high']} components")
     return r["n"], r["high"] or 0

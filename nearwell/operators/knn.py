@@ -5,8 +5,9 @@ per query (or what lies within the radius), and only those are shuffled to be me
 is the base; every pair of blocks is a task. No pair of vectors is ever a row. method="expression" writes the distance as a Column instead,
 over a nested-loop join and a limited window, and is the choice for a handful of queries; more than FEW_QUERIES are dealt in blocks.
 
-Order is (dist, id) throughout. Null or empty vectors, null components and vectors of several lengths raise VectorError; k above the number
-of candidates returns them all.
+Order is (dist, id) throughout. Null or empty vectors, null or non-finite components and vectors of several lengths raise VectorError; a
+distance may be infinite (squares of large components are), a pair whose distance isn't a number is no pair; k above the number of
+candidates returns them all. All forms agree on this.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances
-from ..functions.vectors import VectorError, profile
+from ..functions.vectors import VectorError, checked, profile
 
 BROADCAST_BYTES = 64 << 20
 FEW_QUERIES = 32
@@ -37,14 +38,20 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     dim = int(sizes[0]) if dim is None and len(sizes) else dim or 0
     if len(sizes) and (sizes != dim).any() or column.flatten().null_count:
         raise VectorError("vectors of several lengths or with null components")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), dim)
+    out = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), dim)
+    if not np.isfinite(out).all():
+        raise VectorError("vectors with components that are no finite numbers")
+    return out
+
+
+_FREE = np.iinfo(np.int64).max  # the id of a place that no point has taken
 
 
 class _Best:
-    """The k nearest per query so far, by (dist, id)."""
+    """The k nearest per query so far, by (dist, id). A distance of NaN marks a pair that is left out: it is never admitted."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.dist, self.id = k, np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+        self.k, self.dist, self.id = k, np.full((queries, k), np.inf), np.full((queries, k), _FREE)
 
     def add(self, rows: slice, dist: np.ndarray, ids: np.ndarray) -> None:
         worst = self.dist[rows, -1]
@@ -58,9 +65,11 @@ class _Best:
             order = np.lexsort((who, d))[: self.k]
             self.dist[r], self.id[r] = d[order], who[order]
 
-
     def add_bounded(self, rows: slice, near: np.ndarray, error: np.ndarray, exact, ids: np.ndarray) -> None:
-        """As add, for distances within error of near: only what may be among the k nearest is computed, by exact(rows, columns)."""
+        """As add, for distances within error of near: only what may be among the k nearest is computed, by exact(rows, columns).
+
+        What is NaN in near stays out, also where fewer than k have been found.
+        """
         low = near - error
         who, where = [], []
         for i in np.flatnonzero((low <= self.dist[rows, -1][:, None]).any(axis=1)).tolist():
@@ -97,11 +106,11 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
                 if bounds is not None:  # a product of matrices tells which pairs must be computed
                     near, error = bounds
                     if not itself:
-                        near[qids[part][:, None] == ids[c : c + width][None, :]] = np.inf
+                        near[qids[part][:, None] == ids[c : c + width][None, :]] = np.nan
                     exact = lambda i, j, here=here, there=there: d.pairs(here[i], there[j])
                     if best is not None:
                         if radius is not None:
-                            near[near - error >= radius] = np.inf
+                            near[near - error >= radius] = np.nan
                         best.add_bounded(part, near, error, exact, ids[c : c + width])
                         continue
                     i, j = np.nonzero(near - error < radius)
@@ -112,9 +121,9 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
                     continue
                 dist = d.matrix(here, there)
                 if not itself:
-                    dist[qids[part][:, None] == ids[c : c + width][None, :]] = np.inf
+                    dist[qids[part][:, None] == ids[c : c + width][None, :]] = np.nan
                 if best is not None and radius is not None:
-                    dist[dist >= radius] = np.inf
+                    dist[dist >= radius] = np.nan
                 if best is not None:
                     best.add(part, dist, ids[c : c + width])
                 else:
@@ -122,7 +131,7 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
                     if len(i):
                         yield pa.record_batch([pa.array(qids[a + i]), pa.array(ids[c + j]), pa.array(dist[i, j])], names=["qid", "id", "dist"])
     if best is not None:
-        i, j = np.nonzero(np.isfinite(best.dist) & ((best.dist < radius) if radius is not None else True))
+        i, j = np.nonzero((best.id != _FREE) & ((best.dist < radius) if radius is not None else True))
         yield pa.record_batch([pa.array(qids[i]), pa.array(best.id[i, j]), pa.array(best.dist[i, j])], names=["qid", "id", "dist"])
 
 
@@ -166,8 +175,9 @@ def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius:
 def _expressed(queries: DataFrame, base: DataFrame, distance, itself: bool, dim: int) -> DataFrame:
     d = distances.get(distance)
     few = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("v").alias("q")))  # at most FEW_QUERIES rows, which the caller has counted
-    pairs = base.select("id", "v").join(few, F.lit(True) if itself else F.col("id") != F.col("qid"))
-    return pairs.select("qid", "id", d.expression(F.col("q"), F.col("v"), dim if 0 < dim <= 128 else None).alias("dist"))
+    pairs = base.select("id", checked(F.col("v"), dim or None).alias("v")).join(few, F.lit(True) if itself else F.col("id") != F.col("qid"))
+    out = pairs.select("qid", "id", d.expression(F.col("q"), F.col("v"), dim if 0 < dim <= 128 else None).alias("dist"))
+    return out.where(~F.isnan("dist"))
 
 
 def _candidates(queries: DataFrame, base: DataFrame, distance, k, radius, itself: bool, method: str) -> DataFrame:
@@ -205,7 +215,8 @@ def knn_single(base: DataFrame, query: list[float], k: int, distance="l2") -> Da
     """The k nearest base vectors of one query: (rank, id, dist)."""
     d = distances.get(distance)
     q = F.array(*[F.lit(float(x)) for x in query])
-    near = base.select("id", d.expression(q, F.col("v"), len(query) if len(query) <= 128 else None).alias("dist")).orderBy("dist", "id").limit(k)
+    dist = d.expression(q, checked(F.col("v"), len(query)), len(query) if len(query) <= 128 else None)
+    near = base.select("id", dist.alias("dist")).where(~F.isnan("dist")).orderBy("dist", "id").limit(k)
     return near.select(F.row_number().over(Window.orderBy("dist", "id")).alias("rank"), "id", "dist")  # over k rows
 
 

@@ -63,6 +63,41 @@ def test_dealt_blocks_agree(spark, cloud, monkeypatch):
     assert found(knn.knn_join(b, b, 4, method="blocks")) == brute(cloud, cloud, 4)
 
 
+@pytest.mark.parametrize("parts", [1, 60, 300])
+def test_no_query_finds_itself_at_any_partitioning(spark, cloud, parts):
+    """A task that sees fewer rows than k must not fill up with pairs that are left out: the query itself, or what lies beyond the radius."""
+    b = table(spark, cloud).repartition(parts)
+    q = table(spark, cloud[:50])
+    d = distances.get("l2").matrix(cloud[:50], cloud)
+    d[np.arange(50), np.arange(50)] = np.inf
+    k = 6
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    assert found(knn.knn_join(q, b, k, itself=False)) == {(i, r + 1): (int(j), float(d[i, j])) for i in range(50) for r, j in enumerate(order[i])}
+    radius = 0.004  # fewer hits than k for most
+    within = {(i, r + 1): (int(j), float(d[i, j])) for i in range(50) for r, j in enumerate(order[i]) if d[i, j] < radius}
+    assert found(knn.radius_join(q, b, radius, max_neighbours=k, itself=False)) == within
+    shards = [b.where(F.pmod("id", F.lit(3)) == i) for i in range(3)]
+    assert found(knn.sharded_radius(q, shards, radius, max_neighbours=k, itself=False)) == within
+    assert knn.knn_join(q, b, 1000, itself=False).count() == 50 * 299
+
+
+@pytest.mark.parametrize("n", [32, 33])
+def test_infinite_distances_are_kept_and_non_finite_vectors_refused(spark, n):
+    """The forms behave alike on both sides of FEW_QUERIES."""
+    q = table(spark, [[float(i)] for i in range(n)])
+    for parts in (1, 2):
+        b = table(spark, [[0.0], [1e200], [2e200]]).repartition(parts)
+        got = found(knn.knn_join(q, b, 5))
+        assert got == {(i, r): (r - 1, float(i * i) if r == 1 else float("inf")) for i in range(n) for r in (1, 2, 3)}
+        assert got == found(knn.knn_join(q, b, 5, method="blocks"))
+    for value in (float("nan"), float("inf")):
+        odd = table(spark, [[0.0], [value]])
+        with pytest.raises(VectorError):
+            knn.knn_join(odd, q, 2)
+        with pytest.raises(Exception, match="VectorError"):
+            knn.knn_join(q, odd, 2).collect()
+
+
 def test_ties_large_k_and_duplicates(spark):
     x = [[0.0], [1.0], [1.0], [-1.0]]
     b = table(spark, x, [4, 3, 2, 1])
@@ -166,7 +201,7 @@ def test_bounded_products_keep_the_last_bit(scale):
         if not itself:
             d[np.arange(500), np.arange(500)] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :7]
-        assert [(r["qid"], r["id"], r["dist"]) for r in got] == [(i, int(j), float(d[i, j])) for i in range(500) for j in order[i] if np.isfinite(d[i, j])]
+        assert [(r["qid"], r["id"], r["dist"]) for r in got] == [(i, int(j), float(d[i, j])) for i in range(500) for j in order[i]]  # infinite ones too
 
 
 def test_hellinger_refuses_negative_components(spark):
