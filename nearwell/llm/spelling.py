@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,15 @@ CROWDED = 1 << 15  # rows of a key that one task takes
 SHARES = 64  # groups that a crowded key is dealt into
 _RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")  # of UTF-8, once A-Z are lower-cased: a-z and U+00C0 to U+00FF
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_PLAIN = bytes(range(128)) + bytes(range(0x80, 0xC0)) + b"\xc3"
+_DIVIDED = bytes(32 if c < 128 and not chr(c).isalpha() else _LOWER[c] for c in range(256))
+
+
+def runs(text: bytes) -> list[bytes]:
+    """The maximal runs of letters in UTF-8 text, A-Z lower-cased."""
+    if not text.translate(None, _PLAIN):  # U+00C0 to U+00FF are the only signs beyond ASCII: what divides runs is ASCII
+        return text.translate(_DIVIDED).split()
+    return _RUNS.findall(text.translate(_LOWER))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,21 +58,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[bytes] = Counter()
 
     def out() -> pa.RecordBatch:
-        batch = pa.record_batch([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        words = {w.decode(): n for w, n in total.items() if n and len(w) >= LEAST_LENGTH}
+        words = {w: n for w, n in words.items() if len(w) >= LEAST_LENGTH}
         total.clear()
-        return batch
+        return pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
+    crc = zlib.crc32
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), text_array(b.column(1)), strict=True):
-            start = zlib.crc32(f"{doc or ''}:".encode())
-            for run, n in Counter(_RUNS.findall(text.as_buffer().to_pybytes().translate(_LOWER))).items():
-                h = zlib.crc32(run, start)
-                if h % MISSPELT == 0:
-                    points = run.decode()
-                    at = h % len(points)
-                    run = (points[:at] + points[at + 1 :]).encode()
-                if len(run) >= LEAST_LENGTH and (run.isascii() or len(run.decode()) >= LEAST_LENGTH):
-                    total[run] += n
+            found = runs(text.as_buffer().to_pybytes())
+            total.update(found)
+            start = crc(f"{doc or ''}:".encode())
+            wrong = [r for r in set(found) if not crc(r, start) % MISSPELT]
+            times = Counter(found) if len(wrong) > 20 else {r: found.count(r) for r in wrong}
+            for r in wrong:
+                points = r.decode()
+                at = crc(r, start) % len(points)
+                total[r] -= times[r]
+                total[(points[:at] + points[at + 1 :]).encode()] += times[r]
             if len(total) > COUNTED:
                 yield out()
     if total:
@@ -79,7 +92,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the code points of all words, where each begins and the end)."""
     points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
-    return points, np.concatenate(([0], np.cumsum(pa.compute.utf8_length(words).to_numpy().astype(np.int64))))
+    return points, np.concatenate(([0], np.cumsum(pc.utf8_length(words).to_numpy().astype(np.int64))))
 
 
 def _letter_sums(points: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
