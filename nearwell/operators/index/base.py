@@ -1,28 +1,22 @@
 """The index facade: build, search, add, remove, look up, save and load.
 
-An index is a table of points and a table of (table_no, cell, id, v): every method says in which cells a vector lies and which cells a query
-looks into. A search brings the queries of a cell to its points, keeps the k nearest per query where they lie, and ranks what is left, so
-approximate methods never return fewer than min(k, n) rows (LSH aside). A full budget (checks=-1) is a scan in blocks and exact for every
-method. Cell descriptions live on the driver and are bounded by MAX_CELLS; a cell of more than CELL_POINTS points is dealt over several tasks.
+Methods with cells (`cells.py`) store their points by cell and read only what a search asks for; the linear method scans. A full budget
+(checks=-1) is exact for every method. Searches never return fewer than min(k, n) rows (LSH within its probes aside).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions import distances
-from ...functions.vectors import dimension
-from ..knn import SCHEMA, best_of, knn_join, matrix, radius_count, radius_join, ranked
+from ...functions.vectors import profile
+from ..knn import knn_join, matrix, radius_count, radius_join
 
-MAX_CELLS = 65_536
-CELL_POINTS = 50_000  # points of a cell, and queries of a cell, that one task takes
+MAX_CELLS = 65_536  # of all trees of an index, about
 TRAIN = 50_000  # vectors that trees and centres are trained on
 #: The public numbers of the methods.
 NUMBERS = {0: "linear", 1: "kdtree", 2: "kmeans", 3: "composite", 4: "kdtree_single", 5: "hierarchical", 6: "lsh", 254: "saved", 255: "autotuned"}
@@ -48,6 +42,7 @@ class IndexParams:
     centers_init: str = "random"
     cb_index: float = 0.2
     leaf_size: int = 100
+    shelf_points: int = 0  # points that are stored side by side and read together; 0: as many as make SHELF_BYTES
     reorder: bool = True
     table_number: int = 12
     key_size: int = 20
@@ -95,7 +90,6 @@ class VectorIndex:
         self.spark: SparkSession = points.sparkSession
         self.points, self.distance, self.params = points.select("id", "v"), distances.get(distance), params or IndexParams()
         self.removed: DataFrame | None = None
-        self.cells: DataFrame | None = None  # (table_no, cell, id, v)
         self.built_size = 0
 
     # construction
@@ -104,19 +98,25 @@ class VectorIndex:
         """Compact removed points, check vectors, train the method and place every point."""
         if self.removed is not None:
             self.points, self.removed = self.alive(), None
-        self.dim = dimension(self.points)
+        self.built_size, self.dim = profile(self.points)
         if not self.dim:
             raise ValueError("an index needs points")
-        self.built_size = self.points.count()
         self.train()
-        self.cells = self.place(self.points)
+        self.store()
         return self
 
     def train(self) -> None:
         """Learn cells from a bounded sample; the linear method has none."""
 
-    def place(self, points: DataFrame) -> DataFrame | None:
-        """(table_no, cell, id, v) of points."""
+    def store(self) -> None:
+        """Place every point and write the cells; the linear method has none."""
+
+    def placed(self, points: DataFrame) -> None:
+        """Further points, which are in self.points already, get their places."""
+
+    @property
+    def cells(self) -> DataFrame | None:
+        """(table_no, cell, id, v) of all points, removed ones included; None where there are no cells."""
         return None
 
     def sample(self, n: int = TRAIN):
@@ -129,63 +129,13 @@ class VectorIndex:
     def alive(self) -> DataFrame:
         return self.points if self.removed is None else self.points.join(self.removed, "id", "left_anti")
 
-    def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
-        """(qid, table_no, cell): where queries look."""
-        raise NotImplementedError
-
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, dist) for queries (id, v)."""
-        params = params or SearchParams()
-        if self.cells is None or (params.checks == -1 and not self.exact):
-            return knn_join(queries, self.alive(), k, self.distance)
-        return ranked(self.scored(queries, self.probes(queries, k, params), k), k)
+        return knn_join(queries, self.alive(), k, self.distance)
 
     def alive_cells(self) -> DataFrame:
         return self.cells if self.removed is None else self.cells.join(self.removed, "id", "left_anti")
 
-    def scored(self, queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-        """(qid, id, dist) of at least the k nearest points in the probed cells, each once.
-
-        Queries go to the cells that they look into and meet the points there as matrices. Only a cell's k best leave a task.
-        """
-        cells = self.alive_cells()
-        size = cells.groupBy("table_no", "cell").agg(F.count("*").alias("n"))  # at most MAX_CELLS rows a table
-        asked = probes.groupBy("table_no", "cell").agg(F.count("*").alias("q"))
-        tasks = size.join(asked, ["table_no", "cell"])
-        tasks = F.broadcast(tasks.select("table_no", "cell", F.ceil(F.col("n") / CELL_POINTS).alias("pp"), F.ceil(F.col("q") / CELL_POINTS).alias("qp")))
-        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
-        q = probes.join(queries.select(F.col("id").alias("qid"), "v"), "qid").join(tasks, ["table_no", "cell"])
-        q = q.select("table_no", "cell", F.lit(0).alias("side"), F.col("qid").alias("id"), "v", F.pmod(F.xxhash64("qid"), "qp").alias("qp"), every("pp").alias("pp"))
-        b = cells.join(tasks, ["table_no", "cell"])
-        b = b.select("table_no", "cell", F.lit(1).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), "pp").alias("pp"), every("qp").alias("qp"))
-        name, dim = self.distance, self.dim
-
-        def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-            x = matrix(t["v"].combine_chunks(), dim)
-            yield from best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k).to_batches()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows sorted by cell, one cell at a time."""
-            held = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t = pa.Table.from_batches([batch])
-                t = t if held is None else pa.concat_tables([held, t])
-                new = np.any([x[1:] != x[:-1] for x in (t[c].to_numpy() for c in cell)], axis=0)
-                edges = [0, *(np.flatnonzero(new) + 1).tolist()]
-                for a, z in zip(edges, edges[1:], strict=False):
-                    yield from nearest(t.slice(a, z - a))
-                held = t.slice(edges[-1])
-            if held is not None:
-                yield from nearest(held)
-
-        cell = ["table_no", "cell", "pp", "qp"]
-        rows = q.select(*cell, "side", "id", "v").unionByName(b.select(*cell, "side", "id", "v"))
-        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell)
-        return rows.mapInArrow(run, SCHEMA).dropDuplicates(["qid", "id"])
-
     def radius(self, queries: DataFrame, radius: float, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, dist) of all points nearer than radius; by scan, as is every exact search of this kind."""
         return radius_join(queries, self.alive(), radius, self.distance, (params or SearchParams()).max_neighbours)
@@ -200,13 +150,13 @@ class VectorIndex:
         (never at 0 or below)."""
         points = points.select("id", "v")
         self.points = self.points.unionByName(points)
-        if self.cells is None:
+        if not self.built_size:
             return
         threshold = self.params.rebuild_threshold
         if threshold > 0 and self.points.count() > self.built_size * threshold:
             self.build()
         else:
-            self.cells = self.cells.unionByName(self.place(points))
+            self.placed(points)
 
     def remove(self, ids: DataFrame | list[int]) -> None:
         """Remove points by id: they are left out of every search and go for good when the index is built again."""
@@ -226,7 +176,11 @@ class VectorIndex:
 
     def used_memory(self) -> int:
         """Bytes of vectors and of cell entries."""
-        return self.size() * self.dim * 8 + (self.cells.count() * 20 if self.cells is not None else 0)
+        return self.size() * self.dim * 8 + self.entries() * 20
+
+    def entries(self) -> int:
+        """Places of points in cells."""
+        return 0
 
     def parameters(self) -> dict:
         return {"algorithm": self.method, "distance": self.distance.name} | asdict(self.params)
@@ -249,11 +203,16 @@ class VectorIndex:
     # storage
 
     def state(self) -> dict:
-        """What train() learnt, as JSON values."""
+        """What train() learnt and is small, as JSON values."""
         return {}
 
     def restore(self, state: dict) -> None: ...
 
+    def save_cells(self, folder: str) -> None:
+        """Whatever else a search reads, as tables below folder."""
+
+    def load_cells(self, folder: str) -> None: ...
+
     def children(self) -> dict[str, VectorIndex]:
         """Indexes that this one is made of, by a name for their folder."""
         return {}
@@ -264,19 +223,18 @@ class VectorIndex:
         """points, cells and meta below folder, compressed with lz4."""
         write = lambda df, name: df.write.mode("overwrite").option("compression", "lz4").parquet(f"{folder}/{name}")
         write(self.alive(), "points")
-        if self.cells is not None:
-            write(self.alive_cells(), "cells")
+        self.save_cells(folder)
         for name, part in self.children().items():
             part.removed = self.removed
             part.save(f"{folder}/{name}")
-        meta = {"children": list(self.children()), "signature": "nearwell-index-1", "method": self.method, "distance": self.distance.name, "dim": self.dim, "size": self.size(), "cells": self.cells is not None, "params": asdict(self.params), "state": self.state()}
+        meta = {"children": list(self.children()), "signature": "nearwell-index-2", "method": self.method, "distance": self.distance.name, "dim": self.dim, "size": self.size(), "params": asdict(self.params), "state": self.state()}
         write(self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1), "meta")
 
 
 def load(spark: SparkSession, folder: str, distance=None) -> VectorIndex:
     """A saved index; a distance that isn't the saved one raises ValueError."""
     meta = json.loads(spark.read.parquet(f"{folder}/meta").first()["meta"])
-    if meta.get("signature") != "nearwell-index-1":
+    if meta.get("signature") != "nearwell-index-2":
         raise ValueError(f"{folder} holds no index")
     if distance is not None and distances.get(distance).name != meta["distance"]:
         raise ValueError(f"the index was built for {meta['distance']}")
@@ -284,8 +242,7 @@ def load(spark: SparkSession, folder: str, distance=None) -> VectorIndex:
     index.dim, index.built_size = meta["dim"], meta["size"]
     index.restore(meta["state"])
     index.adopt({name: load(spark, f"{folder}/{name}") for name in meta.get("children", [])})
-    if meta["cells"]:
-        index.cells = spark.read.parquet(f"{folder}/cells")
+    index.load_cells(folder)
     return index
 
 

@@ -1,16 +1,13 @@
-"""Centre-based indexes: a k-means tree (as cells around its leaves) and trees of medoids."""
+"""Centre-based indexes: a k-means tree and trees of medoids, searched by centres and balls."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from ...functions import distances
-from ..knn import matrix
-from .base import MAX_CELLS, SearchParams, VectorIndex, register
+from .base import register
+from .cells import CellIndex
+from .nodes import Balls, Shape, grow, root
 
 
 def _seeds(x: np.ndarray, k: int, rng: np.random.Generator, chooser: str, name: str) -> np.ndarray:
@@ -46,115 +43,59 @@ def _lloyd(x: np.ndarray, centres: np.ndarray, iterations: int, name: str) -> tu
         centres = new
 
 
-def _closest(d, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The number of the nearest centre of every row, ties to the lower one; a bounded block of distances at a time."""
-    out = np.zeros(len(x), np.int64)
-    for a in range(0, len(x), 1024):
-        best = np.full(len(x[a : a + 1024]), np.inf)
-        for c in range(0, len(centres), 2048):
-            dist = d.matrix(x[a : a + 1024], centres[c : c + 2048])
-            near = dist.argmin(axis=1)
-            value = np.take_along_axis(dist, near[:, None], axis=1)[:, 0]
-            better = value < best
-            out[a : a + 1024][better], best[better] = near[better] + c, value[better]
-    return out
-
-
-class _Centres(VectorIndex):
-    """Cells are the sets of points nearest to each centre of a table."""
-
-    exact = False
-    tables: list[np.ndarray]
-    variances: list[np.ndarray]
-
-    def place(self, points: DataFrame) -> DataFrame:
-        shared, name = self.spark.sparkContext.broadcast(self.tables), self.distance.name
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d = distances.get(name)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = matrix(b.column(1))
-                for t, centres in enumerate(shared.value):
-                    cell = _closest(d, x, centres)
-                    yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(cell), b.column(0), b.column(1)], names=["table_no", "cell", "id", "v"])
-
-        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long, v array<double>")
-
-    def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
-        """Cells by distance to their centres, less cb_index times their variance, until they hold `checks` points per table; all at -1."""
-        count = {(r["table_no"], r["cell"]): r["count"] for r in self.alive_cells().groupBy("table_no", "cell").count().collect()}
-        held = [np.array([count.get((t, c), 0) for c in range(len(x))], np.float64) for t, x in enumerate(self.tables)]
-        checks = float("inf") if params.checks == -1 else float(max(params.checks, k))
-        shared, name, cb = self.spark.sparkContext.broadcast((self.tables, self.variances, held)), self.distance.name, self.params.cb_index
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d = distances.get(name)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                every, rows = b.column(0).to_numpy(), matrix(b.column(1))
-                for t, (centres, variance, n) in enumerate(zip(*shared.value, strict=True)):
-                    for a in range(0, len(rows), 64):
-                        ids, x = every[a : a + 64], rows[a : a + 64]
-                        order = np.argsort(d.matrix(x, centres) - cb * variance[None, :], axis=1, kind="stable")
-                        before = np.cumsum(n[order], axis=1) - n[order]
-                        i, j = np.nonzero((before < checks) & (n[order] > 0))
-                        yield pa.record_batch([pa.array(ids[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(order[i, j].astype(np.int64))], names=["qid", "table_no", "cell"])
-
-        return queries.select("id", "v").mapInArrow(run, "qid long, table_no int, cell long")
-
-    def state(self) -> dict:
-        return {"tables": [t.tolist() for t in self.tables], "variances": [v.tolist() for v in self.variances]}
-
-    def restore(self, state: dict) -> None:
-        self.tables, self.variances = [np.array(t) for t in state["tables"]], [np.array(v) for v in state["variances"]]
+class _Centres(CellIndex):
+    def blank(self) -> Balls:
+        return Balls(getattr(self, "dim", 0))
+
+    def bounded(self) -> bool:
+        return root(self.distance, np.zeros(1)) is not None
+
+    def grown(self, x: np.ndarray, leaf: float, room: int, divide, centre) -> Shape:
+        """divide(vectors) gives their clusters' numbers and the centres that they were assigned to; centre(vectors) that of the root."""
+
+        def split(rows: np.ndarray, made: int):
+            if len(rows) <= max(leaf, 1) or made + self.params.branching >= room:
+                return None
+            near, centres = divide(x[rows])
+            used = [c for c in range(len(centres)) if (near == c).any()]
+            return ([rows[near == c] for c in used], [{"centre": centres[c]} for c in used]) if len(used) > 1 else None
+
+        def describe(rows: np.ndarray) -> dict:
+            return {"centre": centre(x[rows]), "variance": float(((x[rows] - x[rows].mean(axis=0)) ** 2).sum(axis=1).mean())}
+
+        return grow(x, split, describe)
 
 
 @register("kmeans")
 class KMeansIndex(_Centres):
-    """Leaves of a k-means tree of `branching` children per node over the training sample."""
-
-    def train(self) -> None:
-        _, x = self.sample()
-        rng = np.random.default_rng(self.params.seed)
-        leaf = self.params.leaf_size * len(x) / self.built_size
-        centres, variances, work = [], [], [x]
-        while work:
-            part = work.pop()
-            found = None
-            if len(part) > max(leaf, self.params.branching) and len(centres) + len(work) + self.params.branching < MAX_CELLS:
-                seeds = _seeds(part, self.params.branching, rng, self.params.centers_init, self.distance.name)
-                if len(seeds) > 1:
-                    found = _lloyd(part, seeds, self.params.iterations, self.distance.name)
-            if found is None:
-                mean = part.mean(axis=0)
-                centres.append(mean)
-                variances.append(float(((part - mean) ** 2).sum(axis=1).mean()))
-            else:
-                work += [part[found[1] == c] for c in range(len(found[0])) if (found[1] == c).any()]
-        self.tables, self.variances = [np.array(centres)], [np.array(variances)]
+    """A k-means tree of `branching` children per node, trained on the sample; branches go by their distance less cb_index times their variance."""
+
+    @property
+    def cb_index(self) -> float:
+        return self.params.cb_index
+
+    def shape(self, x: np.ndarray, leaf: float, tree: int, depth: int, room: int) -> Shape:
+        rng, name = np.random.default_rng(self.params.seed + depth), self.distance.name
+
+        def divide(part: np.ndarray):
+            centres, near = _lloyd(part, _seeds(part, self.params.branching, rng, self.params.centers_init, name), self.params.iterations, name)
+            return near, centres
+
+        return self.grown(x, max(leaf, self.params.branching if not depth else 1), room, divide, lambda part: part.mean(axis=0))
 
 
 @register("hierarchical")
 class HierarchicalIndex(_Centres):
-    """`trees` tables of medoids (points of the sample), each level assigned in one pass; any distance."""
-
-    def train(self) -> None:
-        _, x = self.sample()
-        self.tables, self.variances = [], []
-        leaf = self.params.leaf_size * len(x) / self.built_size
-        for t in range(self.params.trees):
-            rng = np.random.default_rng(self.params.seed + t)
-            medoids, work = [], [x]
-            while work:
-                part = work.pop()
-                seeds = _seeds(part, self.params.branching, rng, self.params.centers_init, self.distance.name) if len(part) > max(leaf, 1) and len(medoids) + len(work) + self.params.branching < MAX_CELLS else part[:1]
-                if len(seeds) < 2:
-                    medoids.append(part[0])
-                    continue
-                near = self.distance.matrix(part, seeds).argmin(axis=1)
-                work += [part[near == c] for c in range(len(seeds)) if (near == c).any()]
-            self.tables.append(np.array(medoids))
-            self.variances.append(np.zeros(len(medoids)))
+    """`trees` trees of medoids (points of the sample), each level assigned in one pass; any distance."""
+
+    def trees_wanted(self) -> int:
+        return self.params.trees
+
+    def shape(self, x: np.ndarray, leaf: float, tree: int, depth: int, room: int) -> Shape:
+        rng = np.random.default_rng(self.params.seed + tree + depth)
+
+        def divide(part: np.ndarray):
+            medoids = _seeds(part, self.params.branching, rng, self.params.centers_init, self.distance.name)
+            return self.distance.matrix(part, medoids).argmin(axis=1), medoids
+
+        return self.grown(x, leaf, room, divide, lambda part: part[0])

@@ -75,9 +75,6 @@ class AutotunedIndex(VectorIndex):
         for method, extra in [("linear", {}), *[(m, dict(x)) for m, x in self.params.extra.get("trials", self.TRIALS)]]:
             t0 = time.perf_counter()
             index = create(base, method, self.distance, seed=self.params.seed, **extra).build()
-            if index.cells is not None:
-                index.cells = index.cells.cache()
-                index.cells.count()
             t1 = time.perf_counter()
             checks = -1 if method == "linear" else checks_for_precision(lambda c, i=index: i.knn(tests, 1, SearchParams(checks=c)), truth, [self.params.target_precision], 32, n)[0][1]
             t2 = time.perf_counter()

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.vectors import sampled_key
-from ..knn import ranked
+from ...sources.scratch import scratch
+from ..knn import knn_join, ranked
 from .base import SearchParams, VectorIndex, register
 
 BITS = 8  # bits used of every long
@@ -40,9 +41,35 @@ def probe_buckets(queries: DataFrame, positions: list[list[int]], masks: list[in
 
 @register("lsh")
 class LshIndex(VectorIndex):
-    """v holds packed bits; probes are the same for every search. Fewer than k may lie in the probed buckets: then fewer are returned."""
+    """v holds packed bits; probes are the same for every budget, and checks=-1 is an exact scan. Fewer than k may lie in the probed buckets:
+    then fewer are returned. Buckets (table_no, cell, id) are written once, at build."""
 
     exact = False
+    buckets: list[str] = []  # folders
+
+    @property
+    def cells(self) -> DataFrame | None:
+        if not self.buckets:
+            return None
+        return self.spark.read.schema("table_no int, cell long, id long").parquet(*self.buckets)
+
+    def store(self) -> None:
+        self.buckets = []
+        self.placed(self.points)
+
+    def placed(self, points: DataFrame) -> None:
+        path = scratch(self.spark, "buckets")
+        self.place(points).write.parquet(path)
+        self.buckets = [*self.buckets, path]
+
+    def entries(self) -> int:
+        return self.cells.count()
+
+    def save_cells(self, folder: str) -> None:
+        self.alive_cells().write.mode("overwrite").option("compression", "lz4").parquet(f"{folder}/cells")
+
+    def load_cells(self, folder: str) -> None:
+        self.buckets = [f"{folder}/cells"]
 
     def train(self) -> None:
         self.positions = tables(self.dim * BITS, self.params.table_number, self.params.key_size, self.params.seed)
@@ -51,6 +78,8 @@ class LshIndex(VectorIndex):
         return buckets(points.select("id", F.col("v").cast("array<bigint>").alias("v")), self.positions).select("table_no", F.col("key").alias("cell"), "id")
 
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
+        if params is not None and params.checks == -1:
+            return knn_join(queries, self.alive(), k, self.distance)
         return ranked(self.scored(queries, self.probes(queries, k, params or SearchParams()), k), k)
 
     def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..knn import matrix, ranked
-from .base import MAX_CELLS, SearchParams, VectorIndex, register
+from .base import MAX_CELLS, register
+from .cells import CellIndex
+from .nodes import Boxes, Shape, has_box_bound
 
 TOP_DIMENSIONS = 5
 VARIANCE_SAMPLE = 100
@@ -22,14 +22,14 @@ VARIANCE_SAMPLE = 100
 class KdTree:
     """Node arrays: split dimension (-1 at leaves), value, children, and for leaves their cell number. Left is below the value."""
 
-    def __init__(self, x: np.ndarray, leaf: float, rng: np.random.Generator | None = None, pivot: str = "median", choose: str = "variance"):
+    def __init__(self, x: np.ndarray, leaf: float, rng: np.random.Generator | None = None, pivot: str = "median", choose: str = "variance", depth: int = 0, room: int = MAX_CELLS):
         self.dim, self.value, self.left, self.right, self.cell = [], [], [], [], []
         self.cells = 0
         rows = [np.arange(len(x))]
-        work = [(self._new(), rows[0], 0)]
+        work = [(self._new(), rows[0], depth)]
         while work:
             node, members, depth = work.pop()
-            split = self._split(x[members], rng, pivot, choose, depth) if len(members) > max(1.0, leaf) and self.cells + len(work) < MAX_CELLS - 2 else None
+            split = self._split(x[members], rng, pivot, choose, depth) if len(members) > max(1.0, leaf) and self.cells + len(work) < room - 2 else None
             if split is None:
                 self.cell[node] = self.cells
                 self.cells += 1
@@ -80,158 +80,70 @@ class KdTree:
             at[rows] = np.where(x[rows, self.dim[node]] < self.value[node], self.left[node], self.right[node])
         return self.cell[at]
 
-    def boxes(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper corners of all cells; unbounded outside."""
-        low, high = np.full((self.cells, dims), -np.inf), np.full((self.cells, dims), np.inf)
-        work = [(0, np.full(dims, -np.inf), np.full(dims, np.inf))]
-        while work:
-            node, a, b = work.pop()
-            d = self.dim[node]
-            if d < 0:
-                low[self.cell[node]], high[self.cell[node]] = a, b
-                continue
-            cut = b.copy()
-            cut[d] = self.value[node]
-            rise = a.copy()
-            rise[d] = self.value[node]
-            work += [(int(self.left[node]), a, cut), (int(self.right[node]), rise, b)]
-        return low, high
-
-    def dump(self) -> dict:
-        return {k: getattr(self, k).tolist() for k in ("dim", "value", "left", "right", "cell")} | {"cells": self.cells}
-
-    @classmethod
-    def undump(cls, state: dict) -> KdTree:
-        self = cls.__new__(cls)
-        self.dim, self.value, self.left, self.right, self.cell = (state[k] for k in ("dim", "value", "left", "right", "cell"))
-        self.cells = state["cells"]
-        self._fix()
-        return self
-
-
-def gap(name: str, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A lower bound of the distance of every query to anything in every box, one dimension at a time so that none counts twice."""
-    out = np.zeros((len(q), len(low)))
-    for d in range(q.shape[1]):
-        x = q[:, d, None]
-        g = np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0.0)
-        if name in ("l2", "l2_simple", "l2_3d"):
-            out += g * g if name != "l2_3d" or d < 3 else 0.0
-        elif name == "l1":
-            out += g
-        elif name.startswith("minkowski"):
-            out += g ** int(name[9:])
-    return out  # 0 for other distances: every cell stays a candidate
+    def shape(self) -> Shape:
+        """The same as a shape to plant or graft."""
+        n, inner = len(self.dim), np.flatnonzero(self.dim >= 0)
+        parent, depth = np.full(n, -1), np.zeros(n, np.int64)
+        parent[self.left[inner]] = parent[self.right[inner]] = inner
+        for i in range(1, n):  # parents come first
+            depth[i] = depth[parent[i]] + 1
+        leaves = np.flatnonzero(self.cell >= 0)
+        return Shape(np.maximum(self.left, 0).tolist(), np.where(self.dim >= 0, 2, 0).tolist(), parent.tolist(), depth.tolist(), leaves[np.argsort(self.cell[leaves])].tolist(), {"split": self.dim.tolist(), "value": self.value.tolist()})
 
 
 @register("kdtree")
-class KdForest(VectorIndex):
-    """Randomised trees: a query takes cells of all trees in order of their bounds until it has `checks` points."""
+class KdForest(CellIndex):
+    """Randomised trees, searched best branch first over all of them until `checks` points have been met."""
 
-    exact = False
     choose, pivots = "variance", None
 
-    def train(self) -> None:
-        _, x = self.sample()
-        n = 1 if self.exact else self.params.trees
-        if n < 1:
-            raise ValueError("a forest has at least one tree")
-        leaf = max(self.params.leaf_size, self.built_size / (MAX_CELLS / (2 * n))) * len(x) / self.built_size
-        self.trees = [KdTree(x, leaf, None if self.exact else np.random.default_rng(self.params.seed + t), self.pivots or self.params.pivot, self.choose) for t in range(n)]
-
-    def place(self, points: DataFrame) -> DataFrame:
-        shared = self.spark.sparkContext.broadcast(self.trees)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x = matrix(b.column(1))
-                    for t, tree in enumerate(shared.value):
-                        yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.descend(x)), b.column(0), b.column(1)], names=["table_no", "cell", "id", "v"])
-
-        return points.select("id", "v").mapInArrow(run, "table_no int, cell long, id long, v array<double>")
-
-    def sizes(self) -> dict[tuple[int, int], int]:
-        return {(r["table_no"], r["cell"]): r["count"] for r in self.alive_cells().groupBy("table_no", "cell").count().collect()}
-
-    def probes(self, queries: DataFrame, k: int, params: SearchParams) -> DataFrame:
-        checks = float("inf") if params.checks < 0 else float(max(params.checks, k) * len(self.trees))
-        return self._nearest_cells(queries, checks).select("qid", "table_no", "cell")
-
-    def _nearest_cells(self, queries: DataFrame, checks: float, eps: float | None = None) -> DataFrame:
-        """Cells in order of their bounds until they hold `checks` points (over all trees).
-
-        With eps queries have a column worst, and it is the cells whose bound, widened by eps, isn't beyond it.
-        """
-        count = self.sizes()
-        cells = [(t, c) for t, tree in enumerate(self.trees) for c in range(tree.cells)]
-        boxes = [tree.boxes(self.dim) for tree in self.trees]
-        low, high = (np.concatenate([b[i] for b in boxes]) for i in (0, 1))
-        number, cell, held = np.array([t for t, _ in cells], np.int32), np.array([c for _, c in cells], np.int64), np.array([count.get(c, 0) for c in cells], np.float64)
-        shared, name = self.spark.sparkContext.broadcast((low, high, number, cell, held)), self.distance.name
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low, high, number, cell, held = shared.value
-            for b in batches:
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1)) if b.num_rows else None
-                for a in range(0, b.num_rows, 64):
-                    bound = gap(name, x[a : a + 64], low, high)
-                    order = np.argsort(bound, axis=1, kind="stable")
-                    if eps is None:
-                        near = np.cumsum(held[order], axis=1) - held[order] < checks
-                    else:
-                        worst = b.column(2).to_numpy()[a : a + 64]
-                        near = np.take_along_axis(bound, order, axis=1) * (1 + eps) <= worst[:, None]
-                    i, j = np.nonzero(near & (held[order] > 0))
-                    at = order[i, j]
-                    yield pa.record_batch([pa.array(ids[a + i]), pa.array(number[at]), pa.array(cell[at]), pa.array(bound[i, at])], names=["qid", "table_no", "cell", "bound"])
-
-        return queries.select("id", "v", *(["worst"] if eps is not None else [])).mapInArrow(run, "qid long, table_no int, cell long, bound double")
+    def trees_wanted(self) -> int:
+        return 1 if self.exact else self.params.trees
+
+    def blank(self) -> Boxes:
+        return Boxes(getattr(self, "dim", 0))
+
+    def shape(self, x: np.ndarray, leaf: float, tree: int, depth: int, room: int) -> Shape:
+        rng = None if self.exact else np.random.default_rng(self.params.seed + tree)
+        return KdTree(x, leaf, rng, self.pivots or self.params.pivot, self.choose, depth, room).shape()
+
+    def bounded(self) -> bool:
+        return has_box_bound(self.distance)
 
     def traverse(self, tree: int = 0) -> Iterator[dict]:
         """A tree's nodes in preorder: node, depth, split_dim and split_value (of inner ones), left, right, cell (of leaves)."""
-        x, work = self.trees[tree], [(0, 0)]
+        f, work = self.forest, [self.forest.roots[tree]]
         while work:
-            node, depth = work.pop()
-            inner = int(x.dim[node]) >= 0
-            yield {"node": node, "depth": depth, "split_dim": int(x.dim[node]) if inner else None, "split_value": float(x.value[node]) if inner else None, "left": int(x.left[node]) if inner else None, "right": int(x.right[node]) if inner else None, "cell": None if inner else int(x.cell[node])}
+            node = work.pop()
+            inner, left = bool(f.count[node]), int(f.first[node])
+            yield {"node": node, "depth": int(f.depth[node]), "split_dim": int(f.split[node]) if inner else None, "split_value": float(f.value[node]) if inner else None, "left": left if inner else None, "right": left + 1 if inner else None, "cell": None if inner else int(f.cell[node])}
             if inner:
-                work += [(int(x.right[node]), depth + 1), (int(x.left[node]), depth + 1)]
+                work += [left + 1, left]
 
     def leaf(self, cell: int, tree: int = 0) -> DataFrame:
-        """The points of a leaf (id, v)."""
-        return self.alive_cells().where((F.col("table_no") == tree) & (F.col("cell") == cell)).select("id", "v")
+        """The points of a leaf (id, v); no other shelf is read."""
+        out = self.shelves_read({tree: np.array([cell])}).where((F.col("table_no") == tree) & (F.col("cell") == cell)).select("id", "v")
+        return out if self.removed is None else out.join(self.removed, "id", "left_anti")
 
     def nodes(self) -> DataFrame:
         """(tree, node, split_dim, split_value, left, right, cell): -1 where there is none."""
-        rows = [(t, i, int(x.dim[i]), float(x.value[i]), int(x.left[i]), int(x.right[i]), int(x.cell[i])) for t, x in enumerate(self.trees) for i in range(len(x.dim))]
+        f = self.forest
+        rows = [(int(f.tree[i]), i, int(f.split[i]), float(f.value[i]), int(f.first[i]) if f.count[i] else -1, int(f.first[i]) + 1 if f.count[i] else -1, int(f.cell[i])) for i in range(len(f))]
         return self.spark.createDataFrame(rows, "tree int, node int, split_dim int, split_value double, left int, right int, cell int")
 
     def outline(self, tree: int = 0) -> str:
         """A tree in preorder, a node per line, indented by depth."""
         return "\n".join("  " * n["depth"] + (f"cell {n['cell']}" if n["left"] is None else f"v[{n['split_dim']}] < {n['split_value']:g}") for n in self.traverse(tree))
 
-    def state(self) -> dict:
-        return {"trees": [t.dump() for t in self.trees]}
-
-    def restore(self, state: dict) -> None:
-        self.trees = [KdTree.undump(t) for t in state["trees"]]
-
 
 @register("kdtree_single")
 class KdSingle(KdForest):
-    """One tree split at the middle of the widest span. Exact: the nearest cells give a worst distance, and all cells within it are searched."""
+    """One tree split at the middle of the widest span. Exact: the nearest leaves give a worst distance, and the leaves whose boxes lie within
+    it (widened by eps) are searched."""
 
     exact = True
     choose, pivots = "span", "middle"
 
-    def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
-        eps = (params or SearchParams()).eps
-        first = self._nearest_cells(queries, float(k)).select("qid", "table_no", "cell")
-        worst = ranked(self.scored(queries, first, k), k).groupBy("qid").agg(F.max("dist").alias("worst"))
-        within = self._nearest_cells(queries.select("id", "v").join(worst, F.col("id") == F.col("qid")), 0.0, eps).select("qid", "table_no", "cell")
-        return ranked(self.scored(queries, within, k), k)
-
 
 @register("kdtree_cyclic")
 class CyclicTree(KdSingle):

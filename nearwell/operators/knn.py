@@ -50,22 +50,33 @@ _FREE = np.iinfo(np.int64).max  # the id of a place that no point has taken
 class _Best:
     """The k nearest per query so far, by (dist, id). A distance of NaN marks a pair that is left out: it is never admitted."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, unique: bool = False):
+        """unique: a point may be offered again (it lies in several trees) and then counts once."""
+        self.unique = unique
         self.k, self.dist, self.id = k, np.full((queries, k), np.inf), np.full((queries, k), _FREE)
 
-    def add(self, rows: slice, dist: np.ndarray, ids: np.ndarray) -> None:
+    def _take(self, r: int, dist: np.ndarray, ids: np.ndarray) -> None:
+        d, who = np.concatenate((self.dist[r], dist)), np.concatenate((self.id[r], ids))
+        order = np.lexsort((who, d))
+        if self.unique:
+            who_, d_ = who[order], d[order]
+            fresh = np.concatenate(([True], (who_[1:] != who_[:-1]) | (d_[1:] != d_[:-1]) | (who_[1:] == _FREE)))
+            order = order[fresh]
+        order = order[: self.k]
+        self.dist[r], self.id[r] = d[order], who[order]
+
+    def add(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of the queries with the numbers rows to points ids."""
         worst = self.dist[rows, -1]
         for i in np.flatnonzero((dist <= worst[:, None]).any(axis=1)).tolist():
-            r = rows.start + i
+            r = int(rows[i])
             near = np.flatnonzero(dist[i] <= self.dist[r, -1])
             if len(near) > 4 * self.k:
                 kth = np.partition(dist[i][near], self.k)[self.k]
                 near = near[dist[i][near] <= kth]
-            d, who = np.concatenate((self.dist[r], dist[i][near])), np.concatenate((self.id[r], ids[near]))
-            order = np.lexsort((who, d))[: self.k]
-            self.dist[r], self.id[r] = d[order], who[order]
+            self._take(r, dist[i][near], ids[near])
 
-    def add_bounded(self, rows: slice, near: np.ndarray, error: np.ndarray, exact, ids: np.ndarray) -> None:
+    def add_bounded(self, rows: np.ndarray, near: np.ndarray, error: np.ndarray, exact, ids: np.ndarray) -> None:
         """As add, for distances within error of near: only what may be among the k nearest is computed, by exact(rows, columns).
 
         What is NaN in near stays out, also where fewer than k have been found.
@@ -73,7 +84,7 @@ class _Best:
         low = near - error
         who, where = [], []
         for i in np.flatnonzero((low <= self.dist[rows, -1][:, None]).any(axis=1)).tolist():
-            some = np.flatnonzero(low[i] <= self.dist[rows.start + i, -1])
+            some = np.flatnonzero(low[i] <= self.dist[rows[i], -1])
             if len(some) > self.k:
                 most = np.partition((near[i] + error[0])[some], self.k - 1)[self.k - 1]
                 some = some[low[i][some] <= most]
@@ -85,10 +96,44 @@ class _Best:
         dist = np.concatenate([exact(i[a : a + PAIRS], j[a : a + PAIRS]) for a in range(0, len(i), PAIRS)])
         cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
         for a, b in zip(cut, cut[1:], strict=False):
-            r = rows.start + int(i[a])
-            d, names = np.concatenate((self.dist[r], dist[a:b])), np.concatenate((self.id[r], ids[j[a:b]]))
-            order = np.lexsort((names, d))[: self.k]
-            self.dist[r], self.id[r] = d[order], names[order]
+            self._take(int(rows[i[a]]), dist[a:b], ids[j[a:b]])
+
+    def found(self, qids: np.ndarray, radius: float | None = None) -> pa.RecordBatch:
+        """(qid, id, dist) of all places that are taken."""
+        i, j = np.nonzero((self.id != _FREE) & ((self.dist < radius) if radius is not None else True))
+        return pa.record_batch([pa.array(qids[i]), pa.array(self.id[i, j]), pa.array(self.dist[i, j])], names=["qid", "id", "dist"])
+
+
+def meet(d, best: _Best | None, part: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, radius: float | None, itself: bool) -> Iterator[pa.RecordBatch]:
+    """The queries with the numbers part (their ids and vectors are qids and q) meet points: their best are kept, or all within radius told."""
+    bounds = d.bounds(q, x)
+    if bounds is not None:  # a product of matrices tells which pairs must be computed
+        near, error = bounds
+        if not itself:
+            near[qids[:, None] == ids[None, :]] = np.nan
+        exact = lambda i, j: d.pairs(q[i], x[j])
+        if best is not None:
+            if radius is not None:
+                near[near - error >= radius] = np.nan
+            best.add_bounded(part, near, error, exact, ids)
+            return
+        i, j = np.nonzero(near - error < radius)
+        for s in range(0, len(i), PAIRS):
+            dist = exact(i[s : s + PAIRS], j[s : s + PAIRS])
+            m = dist < radius
+            yield pa.record_batch([pa.array(qids[i[s : s + PAIRS][m]]), pa.array(ids[j[s : s + PAIRS][m]]), pa.array(dist[m])], names=["qid", "id", "dist"])
+        return
+    dist = d.matrix(q, x)
+    if not itself:
+        dist[qids[:, None] == ids[None, :]] = np.nan
+    if best is not None:
+        if radius is not None:
+            dist[dist >= radius] = np.nan
+        best.add(part, dist, ids)
+        return
+    i, j = np.nonzero(dist < radius)
+    if len(i):
+        yield pa.record_batch([pa.array(qids[i]), pa.array(ids[j]), pa.array(dist[i, j])], names=["qid", "id", "dist"])
 
 
 def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np.ndarray]], name, k: int | None, radius: float | None, itself: bool) -> Iterator[pa.RecordBatch]:
@@ -100,39 +145,10 @@ def _scan(qids: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np
         width = max(1, CELLS // rows)
         for c in range(0, len(ids), width):
             for a in range(0, len(qids), rows):
-                part = slice(a, min(a + rows, len(qids)))
-                here, there = q[part], x[c : c + width]
-                bounds = d.bounds(here, there)
-                if bounds is not None:  # a product of matrices tells which pairs must be computed
-                    near, error = bounds
-                    if not itself:
-                        near[qids[part][:, None] == ids[c : c + width][None, :]] = np.nan
-                    exact = lambda i, j, here=here, there=there: d.pairs(here[i], there[j])
-                    if best is not None:
-                        if radius is not None:
-                            near[near - error >= radius] = np.nan
-                        best.add_bounded(part, near, error, exact, ids[c : c + width])
-                        continue
-                    i, j = np.nonzero(near - error < radius)
-                    for s in range(0, len(i), PAIRS):
-                        dist = exact(i[s : s + PAIRS], j[s : s + PAIRS])
-                        m = dist < radius
-                        yield pa.record_batch([pa.array(qids[a + i[s : s + PAIRS][m]]), pa.array(ids[c + j[s : s + PAIRS][m]]), pa.array(dist[m])], names=["qid", "id", "dist"])
-                    continue
-                dist = d.matrix(here, there)
-                if not itself:
-                    dist[qids[part][:, None] == ids[c : c + width][None, :]] = np.nan
-                if best is not None and radius is not None:
-                    dist[dist >= radius] = np.nan
-                if best is not None:
-                    best.add(part, dist, ids[c : c + width])
-                else:
-                    i, j = np.nonzero(dist < radius)
-                    if len(i):
-                        yield pa.record_batch([pa.array(qids[a + i]), pa.array(ids[c + j]), pa.array(dist[i, j])], names=["qid", "id", "dist"])
+                part = np.arange(a, min(a + rows, len(qids)))
+                yield from meet(d, best, part, qids[part], q[part], ids[c : c + width], x[c : c + width], radius, itself)
     if best is not None:
-        i, j = np.nonzero((best.id != _FREE) & ((best.dist < radius) if radius is not None else True))
-        yield pa.record_batch([pa.array(qids[i]), pa.array(best.id[i, j]), pa.array(best.dist[i, j])], names=["qid", "id", "dist"])
+        yield best.found(qids, radius)
 
 
 def best_of(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, distance, k: int | None, radius: float | None = None, itself: bool = True) -> pa.Table:

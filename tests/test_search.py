@@ -181,9 +181,10 @@ def test_autotuned(spark, tmp_path):
 
 
 def test_crowded_cells_are_dealt(spark, cloud, monkeypatch):
-    from nearwell.operators.index import base
+    from nearwell.operators.index import cells
 
-    monkeypatch.setattr(base, "CELL_POINTS", 7)
+    monkeypatch.setattr(cells, "CELL_BYTES", 7 * 8 * 3)
+    monkeypatch.setattr(cells, "PROBES", 0)  # queries and points are brought together by a shuffle
     b = table(spark, np.concatenate((cloud, np.tile(cloud[:1], (40, 1)))))
     index = create(b, "kmeans", branching=4, leaf_size=60).build()
     assert found(index.knn(b, 50, SearchParams(checks=1 << 30))) == found(knn.knn_join(b, b, 50))
@@ -279,7 +280,7 @@ def test_tree_partition():
 def test_forest_api(spark, cloud):
     index = create(table(spark, cloud), "kdtree", trees=2, leaf_size=50).build()
     assert index.cells.groupBy("table_no").count().where("count <> 300").count() == 0
-    assert "cell" in index.outline() and index.nodes().where("split_dim < 0").count() == sum(t.cells for t in index.trees)
+    assert "cell" in index.outline() and index.nodes().where("split_dim < 0").count() == len(index.forest.leaves())
     assert index.veclen() == 3 and index.used_memory() > 0 and index.clone().size() == 300
 
 
