@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.vectors import VectorError, profile
 from ...sources.scratch import scratch
 from .. import knn as exact
 from ..knn import SCHEMA, best_of, knn_join, matrix, ranked
@@ -34,10 +36,53 @@ SHELF_BYTES = 16 << 20  # vectors of a shelf
 MAX_SHELVES = 4096  # of a tree
 CELL_BYTES = 64 << 20  # vectors of a cell, and of a cell's queries, that one task takes
 PROBES = 1 << 22
+TOGETHER = 1024  # points of several cells that meet queries at once
 STORED = "table_no int, shelf int, cell long, id long, v array<double>"
 OUTGROWN = 2  # a leaf of more than so many times its size is split
 
 
+def _together(met: list[tuple]) -> Iterator[list[tuple]]:
+    """Consecutive cells (first and end of who asks for it, first and end of its points) with TOGETHER points at most, or one larger one."""
+    held: list[tuple] = []
+    for m in met:
+        if held and m[3] - held[0][2] > TOGETHER:
+            yield held
+            held = []
+        held.append(m)
+    if held:
+        yield held
+
+
+def _meet(d, best, qids: np.ndarray, q: np.ndarray, row: np.ndarray, some: list[tuple], ids: np.ndarray, x: np.ndarray, radius: float | None) -> Iterator[pa.RecordBatch]:
+    """The points of some cells meet the queries that ask for them: all at once if most of the pairs are asked for, else cell by cell."""
+    if len(some) > 1:
+        who, place = np.unique(np.concatenate([row[a:z] for a, z, _, _ in some]), return_inverse=True)
+        points = np.concatenate([np.arange(a, z) for _, _, a, z in some])
+        if 4 * sum((m[1] - m[0]) * (m[3] - m[2]) for m in some) >= len(who) * len(points):
+            hide, at, to = np.ones((len(who), len(points)), bool), 0, 0
+            for a, z, first, end in some:
+                hide[place[at : at + z - a], to : to + end - first] = False
+                at, to = at + z - a, to + end - first
+            for s in range(0, len(who), 256):
+                part = who[s : s + 256]
+                yield from exact.meet(d, best, part, qids[part], q[part], ids[points], x[points], radius, True, hide[s : s + 256])
+            return
+    for a, z, first, end in some:
+        for s in range(a, z, 256):
+            part = row[s : min(s + 256, z)]
+            for c in range(first, end, 2048):
+                last = min(c + 2048, end)
+                yield from exact.meet(d, best, part, qids[part], q[part], ids[c:last], x[c:last], radius, True)
+
+
+@dataclass
+class _Queries:
+    """Queries on the driver, in order of their ids."""
+
+    ids: np.ndarray
+    x: np.ndarray
+
+
 class CellIndex(VectorIndex):
     """A forest over the points. Subclasses train its trees."""
 
@@ -108,7 +153,7 @@ class CellIndex(VectorIndex):
                     columns = [np.full(len(x), t, np.int32), (cell // widths[t]).astype(np.int32), cell]
                     yield pa.record_batch([*map(pa.array, columns), b.column(0), b.column(1), pa.array((np.abs(ids) % parts).astype(np.int32))], names=["table_no", "shelf", "cell", "id", "v", "part"])
 
-        return points.select("id", "v").mapInArrow(run, STORED + ", part int")
+        return points.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, STORED + ", part int")
 
     def _append(self, placed: DataFrame) -> None:
         """Write placed points as a further table, and let their leaves hold them."""
@@ -210,12 +255,11 @@ class CellIndex(VectorIndex):
 
     # search
 
-    def _cells_of(self, queries: DataFrame, params: SearchParams, k: int, worst: bool = False, eps: float = 0.0) -> DataFrame:
+    def _cells_of(self, queries: DataFrame, checks: int, k: int, worst: bool = False, eps: float = 0.0) -> DataFrame:
         """(qid, table_no, cell) where queries look: best first within a budget, or (with a column worst) all that may hold something as near."""
         shared, d, cb = self.spark.sparkContext.broadcast(self.forest), self.distance, self.cb_index
-        trees = [0] if self.exact or params.checks == -1 else list(range(len(self.forest.roots)))
-        checks = float(max(params.checks, k) * len(trees))  # a point lies in every tree: so many places are `checks` points at least
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        trees = [0] if self.exact or checks == -1 else list(range(len(self.forest.roots)))
+        budget = float(max(checks, k) * len(trees))  # a point lies in every tree: so many places are `checks` points at least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest = shared.value
@@ -223,45 +267,44 @@ class CellIndex(VectorIndex):
                 if not b.num_rows:
                     continue
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-                for a in range(0, len(ids), 256):
-                    q = x[a : a + 256]
+                for a in range(0, len(ids), 512):
+                    q = x[a : a + 512]
                     if worst:
-                        row, node = forest.within(d, q, b.column(2).to_numpy()[a : a + 256], eps)
+                        row, node = forest.within(d, q, b.column(2).to_numpy()[a : a + 512], eps)
                     else:
-                        row, node = forest.best_first(d, q, checks, cb, trees)
+                        row, node = forest.best_first(d, q, budget, cb, trees)
                     yield pa.record_batch([pa.array(ids[a + row]), pa.array(forest.tree[node].astype(np.int32)), pa.array(forest.cell[node])], names=["qid", "table_no", "cell"])
 
         columns = ["id", "v", *(["worst"] if worst else [])]
-        return queries.select(*columns).repartition(parts, F.xxhash64("id")).mapInArrow(run, "qid long, table_no int, cell long")
-
-    def scored(self, queries: DataFrame, asked: DataFrame, most: float, n: int, k: int | None, radius: float | None = None) -> DataFrame:
-        """(qid, id, dist) of at least the k nearest points in the cells asked for, or of all within radius; n queries, at most `most` pairs."""
-        if n * (self.dim + 1) * 8 > exact.BROADCAST_BYTES or most > PROBES:
-            path = scratch(self.spark, "asked")
-            asked.write.parquet(path)
-            asked = self.spark.read.schema(asked.schema).parquet(path)
-            if n * (self.dim + 1) * 8 > exact.BROADCAST_BYTES or asked.count() > PROBES:
-                return self._joined(queries, asked, k, radius)
-        pairs = asked.toArrow()
+        return queries.select(*columns).mapInArrow(run, "qid long, table_no int, cell long")
+
+    def _held(self, queries: DataFrame, n: int) -> _Queries | None:
+        """The queries on the driver if they fit BROADCAST_BYTES."""
+        if n * (self.dim + 1) * 8 > exact.BROADCAST_BYTES:
+            return None
         table = queries.select("id", "v").toArrow()
         order = np.argsort(table["id"].to_numpy(), kind="stable")
-        qids, q = table["id"].to_numpy()[order], matrix(table["v"].combine_chunks(), self.dim)[order] if n else np.zeros((0, self.dim))
-        trees, cell, qid = (pairs[c].to_numpy() for c in ("table_no", "cell", "qid"))
-        # repeated ids are queries of their own and look into the same cells
-        lo, hi = np.searchsorted(qids, qid), np.searchsorted(qids, qid, side="right")
-        if (hi - lo > 1).any():
-            several = np.unique(np.stack((trees, cell, qid), axis=1), axis=0)
-            trees, cell, qid = several.T
-            lo, hi = np.searchsorted(qids, qid), np.searchsorted(qids, qid, side="right")
-        row = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))
-        trees, cell = np.repeat(trees, hi - lo), np.repeat(cell, hi - lo)
+        return _Queries(table["id"].to_numpy()[order], matrix(table["v"].combine_chunks(), self.dim)[order] if n else np.zeros((0, self.dim)))
+
+    def _spread(self, held: _Queries, worst: np.ndarray | None = None) -> DataFrame:
+        """Held queries (numbered by their places) dealt over tasks."""
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(held.ids) + 1, dtype=np.int32) * self.dim), pa.array(held.x.ravel()))
+        columns = {"id": pa.array(np.arange(len(held.ids))), "v": flat} | ({} if worst is None else {"worst": pa.array(worst)})
+        return self.spark.createDataFrame(pa.table(columns))
+
+    def _read_for(self, held: _Queries, asked: pa.Table, k: int | None, radius: float | None = None) -> DataFrame:
+        """(qid, id, dist) of at least the k nearest points in the cells asked for, or of all within radius: read where they lie.
+
+        asked has (place of the query, table_no, cell).
+        """
+        row, trees, cell = (asked[c].to_numpy() for c in ("qid", "table_no", "cell"))
         order = np.lexsort((row, cell, trees))
         trees, cell, row = trees[order], cell[order], row[order]
         at = np.flatnonzero(np.concatenate((np.ones(min(len(row), 1), bool), (trees[1:] != trees[:-1]) | (cell[1:] != cell[:-1]))))
         edge = np.concatenate((at, [len(row)])).tolist()
-        wanted = {(int(t), int(c)): (a, z) for t, c, a, z in zip(trees[at], cell[at], edge, edge[1:], strict=False)}
-        shared = self.spark.sparkContext.broadcast((qids, q, row, wanted))
-        d, dim, several = self.distance, self.dim, len(self.forest.roots) > 1
+        wanted = {(t, c): (a, z) for t, c, a, z in zip(trees[at].tolist(), cell[at].tolist(), edge, edge[1:], strict=False)}
+        shared = self.spark.sparkContext.broadcast((held.ids, held.x, row, wanted))
+        d, dim, several = self.distance, self.dim, len(np.unique(trees)) > 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q, row, wanted = shared.value
@@ -271,25 +314,33 @@ class CellIndex(VectorIndex):
                     continue
                 tree, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
                 edge = [0, *(np.flatnonzero((tree[1:] != tree[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), b.num_rows]
-                for a, z in zip(edge, edge[1:], strict=False):
-                    who = wanted.get((int(tree[a]), int(cell[a])))
-                    if who is None:
-                        continue
-                    ids, x = b.column(2).slice(a, z - a).to_numpy(), matrix(b.column(3).slice(a, z - a), dim)
-                    for s in range(who[0], who[1], 256):
-                        part = row[s : min(s + 256, who[1])]
-                        for c in range(0, len(ids), 2048):
-                            yield from exact.meet(d, best, part, qids[part], q[part], ids[c : c + 2048], x[c : c + 2048], radius, True)
+                met = [(*who, a, z) for a, z in zip(edge, edge[1:], strict=False) if (who := wanted.get((int(tree[a]), int(cell[a])))) is not None]
+                ids, x = b.column(2).to_numpy(), matrix(b.column(3), dim)
+                for some in _together(met):
+                    yield from _meet(d, best, qids, q, row, some, ids, x, radius)
             if best is not None:
                 yield best.found(qids, radius)
 
-        asked_cells = {int(t): np.unique(cell[trees == t]) for t in np.unique(trees)}
-        points = self.shelves_read(asked_cells)
+        points = self.shelves_read({int(t): np.unique(cell[trees == t]) for t in np.unique(trees)})
         if self.removed is not None:
             points = points.join(self.removed, "id", "left_anti").select("table_no", "cell", "id", "v").sortWithinPartitions("table_no", "cell")
         found = points.mapInArrow(run, SCHEMA)
         return found.dropDuplicates(["qid", "id"]) if several else found
 
+    def _scored(self, queries: DataFrame, held: _Queries | None, asked: DataFrame, most: float, k: int | None, radius: float | None = None) -> DataFrame:
+        """As _read_for, for asked (qid, table_no, cell): of held queries by their places, else by their ids. At most `most` pairs."""
+        if held is not None and most <= PROBES:
+            return self._read_for(held, asked.toArrow(), k, radius)
+        path = scratch(self.spark, "asked")
+        asked.write.parquet(path)
+        asked = self.spark.read.schema(asked.schema).parquet(path)
+        if held is not None and asked.count() <= PROBES:
+            return self._read_for(held, asked.toArrow(), k, radius)
+        if held is not None:
+            named = F.broadcast(self.spark.createDataFrame(pa.table({"qid": np.arange(len(held.ids)), "name": held.ids})))
+            asked = asked.join(named, "qid").select(F.col("name").alias("qid"), "table_no", "cell")
+        return self._joined(queries, asked, k, radius)
+
     def _joined(self, queries: DataFrame, asked: DataFrame, k: int | None, radius: float | None) -> DataFrame:
         """As scored, with queries and points brought together by cell; only a cell's k best leave a task. asked is a stored table."""
         pairs = asked.groupBy("table_no", "cell").agg(F.count("*").alias("q")).toArrow()  # at most MAX_CELLS rows a tree
@@ -300,7 +351,7 @@ class CellIndex(VectorIndex):
         tasks = self.spark.createDataFrame(pa.table({"table_no": pa.array(trees, pa.int32()), "cell": cell, "pp": -(-np.maximum(held, 1) // most), "qp": -(-q // most)}))
         tasks = F.broadcast(tasks)
         every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
-        left = asked.distinct().join(queries.select(F.col("id").alias("qid"), "v"), "qid").join(tasks, ["table_no", "cell"])
+        left = asked.distinct().join(queries.select(F.col("id").alias("qid"), F.col("v").cast("array<double>").alias("v")), "qid").join(tasks, ["table_no", "cell"])
         left = left.select("table_no", "cell", F.lit(0).alias("side"), F.col("qid").alias("id"), "v", F.pmod(F.xxhash64("qid"), "qp").alias("qp"), every("pp").alias("pp"))
         points = self.shelves_read({int(t): cell[trees == t] for t in np.unique(trees)})
         if self.removed is not None:
@@ -343,41 +394,49 @@ class CellIndex(VectorIndex):
         return True
 
     def _count(self, queries: DataFrame) -> int:
-        from ...functions.vectors import VectorError, profile
-
         n, dim = profile(queries)
         if n and dim != self.dim:
             raise VectorError(f"queries of {dim} components, points of {self.dim}")
         return n
 
-    def _near_enough(self, queries: DataFrame, k: int, n: int, eps: float) -> tuple[DataFrame, float]:
-        """(the cells that an exact search looks into, a bound of their number): those not beyond the k-th of the first cells met."""
+    def _asked(self, queries: DataFrame, held: _Queries | None, n: int, k: int, params: SearchParams) -> tuple[DataFrame, float]:
+        """((qid, table_no, cell) that a search looks into, a bound of their number)."""
+        look = self._spread(held) if held is not None else queries
+        if not self.exact and params.checks != -1:
+            return self._cells_of(look, params.checks, k), n * float(min(max(params.checks, k) * len(self.forest.roots), len(self.forest.leaves())))
+        # exact: what isn't beyond the k-th point of the first leaves met
         one = len(self.forest.leaves(0))
-        first = self._cells_of(queries, SearchParams(checks=-1), k)
-        near = ranked(self.scored(queries, first, n * float(min(k, one)), n, k), k)
-        worst = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("worst"))
-        limited = queries.select("id", "v").join(worst, F.col("id") == F.col("qid"), "left").select("id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        return self._cells_of(limited, SearchParams(), k, worst=True, eps=eps), n * float(one)
-
-    def asked(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> tuple[DataFrame, float, int]:
-        """((qid, table_no, cell) that a search looks into, a bound of their number, the number of queries)."""
-        params = params or SearchParams()
-        n = self._count(queries)
-        if self.exact or params.checks == -1:
-            return *self._near_enough(queries, k, n, params.eps), n
-        pairs = min(max(params.checks, k) * len(self.forest.roots), len(self.forest.leaves()))
-        return self._cells_of(queries, params, k), n * float(pairs), n
+        first = self._cells_of(look, -1, k)
+        near = ranked(self._scored(queries, held, first, n * float(min(k, one)), k), k)
+        if held is not None and n * k * 24 <= exact.BROADCAST_BYTES:
+            found = near.select("qid", "dist").toArrow()
+            at, dist = np.searchsorted(held.ids, found["qid"].to_numpy()), found["dist"].to_numpy()
+            count, worst = np.bincount(at, minlength=n), np.full(n, -np.inf)
+            np.maximum.at(worst, at, dist)
+            worst[count < k] = np.inf
+            if n and (held.ids[1:] == held.ids[:-1]).any():  # queries that share an id have been ranked together: no bound
+                worst[:] = np.inf
+            limited = self._spread(held, worst)
+        else:
+            worst = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("worst"))
+            if held is not None:
+                look = look.withColumn("row", F.col("id")).drop("id").join(self.spark.createDataFrame(pa.table({"row": np.arange(n), "id": held.ids})), "row")
+            limited = look.join(worst, F.col("id") == F.col("qid"), "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+            limited = limited.select((F.col("row") if held is not None else F.col("id")).alias("id"), "v", "worst")
+        return self._cells_of(limited, -1, k, worst=True, eps=params.eps), n * float(one)
 
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
         if self.forest is None:
             raise ValueError("the index isn't built")
         params = params or SearchParams()
-        if params.checks == -1 and not self.exact and not self.bounded():
+        whole = self.exact or params.checks == -1
+        if whole and not self.exact and not self.bounded():
             return knn_join(queries, self.alive(), k, self.distance)
-        asked, most, n = self.asked(queries, k, params)
-        if self.removed is not None and not (self.exact or params.checks == -1):
-            return self._refilled(queries, k, self.scored(queries, asked, most, n, k))
-        return ranked(self.scored(queries, asked, most, n, k), k)
+        n = self._count(queries)
+        held = self._held(queries, n)
+        asked, most = self._asked(queries, held, n, k, params)
+        found = self._scored(queries, held, asked, most, k)
+        return ranked(found, k) if whole or self.removed is None else self._refilled(queries, k, found)
 
     def _refilled(self, queries: DataFrame, k: int, found: DataFrame) -> DataFrame:
         """ranked(found); queries whose cells had fewer than k points left after removals are searched by scan."""
@@ -398,13 +457,18 @@ class CellIndex(VectorIndex):
         if self.forest is None or not self.bounded():
             return super().radius(queries, radius, params)
         n = self._count(queries)
-        asked = self._cells_of(queries.withColumn("worst", F.lit(float(radius))), SearchParams(), 1, worst=True)
-        out = ranked(self.scored(queries, asked, n * float(len(self.forest.leaves(0))), n, None if cap < 0 else max(cap, 1), radius), None if cap < 0 else cap)
+        held = self._held(queries, n)
+        look = self._spread(held, np.full(n, float(radius))) if held is not None else queries.select("id", "v", F.lit(float(radius)).alias("worst"))
+        asked = self._cells_of(look, -1, 1, worst=True)
+        most = None if cap < 0 else cap
+        out = ranked(self._scored(queries, held, asked, n * float(len(self.forest.leaves(0))), None if most is None else max(most, 1), radius), most)
         return out.where("false") if cap == 0 else out
 
     def visited(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
-        """(qid, cells, points, share): what a search looks into, and its share of all places of points in the trees that it uses."""
-        asked, _, _ = self.asked(queries, k, params)
+        """(qid, cells, points, share): what a search looks into for each query (ids are taken as different), and its share of all points of a
+        tree; several trees can make it more than 1."""
+        n = self._count(queries)
+        asked, _ = self._asked(queries, None, n, k, params or SearchParams())
         of = self.forest.leaf_of()
         held = [(t, c, int(self.forest.held[i])) for t, nodes in enumerate(of) for c, i in enumerate(nodes.tolist()) if i >= 0]
         total = int(self.forest.held[self.forest.roots[0]])

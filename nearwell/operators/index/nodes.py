@@ -26,7 +26,7 @@ def _chi_gap(q: np.ndarray, y: np.ndarray) -> np.ndarray:
 def box_bound(d: Distance, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Lower bounds of the distances of rows of q to anything in the boxes at the same rows, one dimension at a time.
 
-    0 (any box may hold the nearest) for distances without a bound of their own.
+    Minus infinity (any box may hold the nearest) for distances without a bound of their own.
     """
     y = np.clip(q, low, high)  # the nearest value of a box where terms grow with the difference
     with np.errstate(over="ignore", invalid="ignore"):
@@ -48,7 +48,7 @@ def box_bound(d: Distance, q: np.ndarray, low: np.ndarray, high: np.ndarray) ->
             term = np.minimum(q, low)
             return term.sum(axis=1) - 1e-9 * np.abs(term).sum(axis=1)
         else:
-            return np.zeros(len(q))
+            return np.full(len(q), -np.inf)
     return term.sum(axis=1) * SLACK
 
 
@@ -194,12 +194,13 @@ class Forest:
         keys = self._keys(d, q, np.repeat(np.arange(len(q)), len(roots)), np.tile(roots, len(q)), cb)
         heap, node = keys.reshape(len(q), len(roots)), np.tile(roots, (len(q), 1))
         met, live = np.zeros(len(q)), np.arange(len(q))  # live: the queries of the rows of heap
+        used = np.full(len(q), len(roots))  # places of a row that have been given out
         done = []
         while True:
             best = heap.argmin(axis=1) if len(live) else np.zeros(0, np.int64)
             open_ = (met[live] < checks) & np.isfinite(heap[np.arange(len(live)), best])
             if not open_.all():
-                heap, node, live, best = heap[open_], node[open_], live[open_], best[open_]
+                heap, node, live, best, used = heap[open_], node[open_], live[open_], best[open_], used[open_]
             if not len(live):
                 break
             lines = np.arange(len(live))
@@ -212,24 +213,21 @@ class Forest:
             if not len(line):
                 continue
             key = self._keys(d, q, live[line], kid, cb)
-            # the children go to the free places of their query's row, of which there must be enough
+            # the first child takes its parent's place, the others new ones
             n = np.bincount(line, minlength=len(live))
-            free = np.isinf(heap)
-            lack = int((n - free.sum(axis=1)).max())
-            if lack > 0 and heap.shape[1] > limit:
-                keep = np.argpartition(heap, limit - 1, axis=1)[:, :limit]
-                heap, node = np.take_along_axis(heap, keep, axis=1), np.take_along_axis(node, keep, axis=1)
-                free = np.isinf(heap)
-                lack = int((n - free.sum(axis=1)).max())
-            if lack > 0:
-                more = max(lack, heap.shape[1] // 2)
+            nth = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            column = np.where(nth == 0, best[line], used[line] + nth - 1)
+            used += np.maximum(n - 1, 0)
+            width = int(used.max())
+            if width > heap.shape[1]:
+                more = max(width - heap.shape[1], heap.shape[1] // 2)
                 heap = np.concatenate((heap, np.full((len(live), more), np.inf)), axis=1)
                 node = np.concatenate((node, np.zeros((len(live), more), np.int64)), axis=1)
-                free = np.isinf(heap)
-            place = np.argsort(~free, axis=1, kind="stable")
-            nth = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-            column = place[line, nth]
             heap[line, column], node[line, column] = key, kid
+            if width > 2 * limit + 64:  # drop what has been taken and what no budget reaches
+                keep = np.argpartition(heap, limit - 1, axis=1)[:, :limit]
+                heap, node = np.take_along_axis(heap, keep, axis=1), np.take_along_axis(node, keep, axis=1)
+                used[:] = limit
         return (np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def dump(self) -> dict:
@@ -352,5 +350,5 @@ class Balls(Forest):
         dist = d.pairs(q, self.centre[nodes])
         far = root(d, dist)
         with np.errstate(invalid="ignore", over="ignore"):
-            bound = np.zeros(len(q)) if far is None else np.nan_to_num(unroot(d, np.maximum(far * SLACK - self.radius[nodes], 0.0)) * SLACK, nan=0.0, posinf=np.inf)
+            bound = np.full(len(q), -np.inf) if far is None else np.nan_to_num(unroot(d, np.maximum(far * SLACK - self.radius[nodes], 0.0)) * SLACK, nan=0.0, posinf=np.inf)
             return dist - cb * self.variance[nodes], bound

@@ -104,11 +104,16 @@ class _Best:
         return pa.record_batch([pa.array(qids[i]), pa.array(self.id[i, j]), pa.array(self.dist[i, j])], names=["qid", "id", "dist"])
 
 
-def meet(d, best: _Best | None, part: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, radius: float | None, itself: bool) -> Iterator[pa.RecordBatch]:
-    """The queries with the numbers part (their ids and vectors are qids and q) meet points: their best are kept, or all within radius told."""
+def meet(d, best: _Best | None, part: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, radius: float | None, itself: bool, hide: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The queries with the numbers part (their ids and vectors are qids and q) meet points: their best are kept, or all within radius told.
+
+    hide marks pairs that don't meet.
+    """
     bounds = d.bounds(q, x)
     if bounds is not None:  # a product of matrices tells which pairs must be computed
         near, error = bounds
+        if hide is not None:
+            near[hide] = np.nan
         if not itself:
             near[qids[:, None] == ids[None, :]] = np.nan
         exact = lambda i, j: d.pairs(q[i], x[j])
@@ -124,6 +129,8 @@ def meet(d, best: _Best | None, part: np.ndarray, qids: np.ndarray, q: np.ndarra
             yield pa.record_batch([pa.array(qids[i[s : s + PAIRS][m]]), pa.array(ids[j[s : s + PAIRS][m]]), pa.array(dist[m])], names=["qid", "id", "dist"])
         return
     dist = d.matrix(q, x)
+    if hide is not None:
+        dist[hide] = np.nan
     if not itself:
         dist[qids[:, None] == ids[None, :]] = np.nan
     if best is not None:

@@ -466,6 +466,105 @@ def kd_cyclic_exact(spark, sf_dir):
     return create(b, "kdtree_cyclic", leaf_size=20).build().knn(q, 3)
 
 
+_ABS_S_SQL = "q AS (SELECT s_suppkey AS id, [s_nationkey::DOUBLE, abs(s_acctbal)] AS v FROM supplier), b AS (SELECT c_custkey AS id, [c_nationkey::DOUBLE, abs(c_acctbal)] AS v FROM customer)"
+
+for _name, _method, _distance, _params in (
+    ("kd_single_hellinger", "kdtree_single", "hellinger", {"leaf_size": 20}),
+    ("kd_single_chi_square", "kdtree_single", "chi_square", {"leaf_size": 20}),
+    ("kd_single_l1", "kdtree_single", "l1", {"leaf_size": 20}),
+    ("kmeans_tree_exact", "kmeans", "l2", {"branching": 16, "leaf_size": 20, "iterations": 5}),
+    ("medoid_trees_exact", "hierarchical", "l1", {"branching": 16, "leaf_size": 20, "trees": 2}),
+):
+
+    def _pruned(spark, sf_dir, method=_method, distance=_distance, params=_params):
+        """Exact by leaving out cells whose boxes or balls lie too far, not by a scan."""
+        q, b = (absolute(t) for t in accounts(spark, sf_dir))
+        return create(b, method, distance, **params).build().knn(q, 3, _FULL)
+
+    query(_name, knn_sql(_ABS_S_SQL, _distance, k=3, q="q", b="b"))(_pruned)
+
+
+@query("kd_single_radius", f"WITH {_ABS_S_SQL}, p AS (SELECT q.id AS qid, b.id AS id, {get('l2').duckdb('q.v', 'b.v')} AS dist FROM q, b) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INTEGER AS rank, id, dist FROM p WHERE dist < 900")
+def kd_single_radius(spark, sf_dir):
+    q, b = (absolute(t) for t in accounts(spark, sf_dir))
+    return create(b, "kdtree_single", leaf_size=20).build().radius(q, 900.0)
+
+
+@query("kmeans_tree_visits", "SELECT true AS prunes, count(*) AS queries FROM supplier")
+def kmeans_tree_visits(spark, sf_dir):
+    """One row: do exact searches of a k-means tree look at less than a fifth of the points?"""
+    q, b = accounts(spark, sf_dir)
+    index = create(b, "kmeans", branching=16, leaf_size=20, iterations=5).build()
+    return index.visited(q, 3, _FULL).agg((F.avg("share") < 0.2).alias("prunes"), F.count("*").alias("queries"))
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v): the share of each letter in a document, a vector that clusters by language; documents without text have none.
+
+    Written once: a search reads it several times, and texts are long.
+    """
+    text = F.lower("text")
+    share = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.length(text) for c in ALPHABET])
+    path = scratch(spark, "letters")
+    table(spark, sf_dir, "documents").where("length(text) > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), share.alias("v")).dropDuplicates(["id"]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+LITTLE = 0.1  # share of a clustered table that a budgeted search takes
+
+
+def _little(spark, sf_dir, method: str, points: DataFrame, distance="l2", **params) -> DataFrame:
+    """One row: does a tenth of the table suffice for FLOOR of the true neighbours of every 50th row?"""
+    q = points.where("id % 50 = 0")
+    index = create(points, method, distance, leaf_size=20, **params).build()
+    got = index.knn(q, K, SearchParams(checks=max(4 * K, int(LITTLE * index.built_size))))
+    # of equal distances any will do
+    true = knn.knn_join(q, points, K, distance).groupBy("qid").agg(F.max("dist").alias("worst"))
+    return got.join(true, "qid").agg((F.sum(F.when(F.col("dist") <= F.col("worst"), 1).otherwise(0)) >= FLOOR * F.count("*")).alias("reaches"), F.count("*").alias("total"))
+
+
+_LITTLE_SQL = f"SELECT true AS reaches, count(DISTINCT doc_id) * {K} AS total FROM documents WHERE doc_id % 50 = 0 AND length(text) > 0"
+
+
+@query("kd_forest_clustered_recall", _LITTLE_SQL)
+def kd_forest_clustered_recall(spark, sf_dir):
+    return _little(spark, sf_dir, "kdtree", letters(spark, sf_dir), trees=4)
+
+
+@query("kmeans_clustered_recall", _LITTLE_SQL)
+def kmeans_clustered_recall(spark, sf_dir):
+    return _little(spark, sf_dir, "kmeans", letters(spark, sf_dir), branching=16)
+
+
+@query("medoid_hamming_recall", _LITTLE_SQL)
+def medoid_hamming_recall(spark, sf_dir):
+    """Medoid trees over bits: whether a letter is more frequent in a document than in the first language's texts."""
+    rows = letters(spark, sf_dir)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("v", g * 8 + i) > 0.03, F.pow(F.lit(2.0), i).cast("long")).otherwise(0)))
+    return _little(spark, sf_dir, "hierarchical", rows.select("id", bits.alias("v")), "hamming", trees=4, branching=16)
+
+
+@query("index_add_splits", knn_sql(E_SQL))
+def index_add_splits(spark, sf_dir):
+    """Leaves that outgrow their size are split where they lie; every point is found in them."""
+    e = embeddings(spark, sf_dir)
+    index = create(e.where("label < 2"), "kdtree", trees=2, leaf_size=10, rebuild_threshold=0).build()
+    index.add(e.where("label >= 2 or label is null"))
+    return index.knn(e.select("id", "v"), K, SearchParams(checks=1 << 30))
+
+
+@query("index_load_pruned", knn_sql(_ABS_S_SQL, k=3, q="q", b="b"))
+def index_load_pruned(spark, sf_dir):
+    """A saved index is searched from its stored cells."""
+    folder = scratch(spark, "pruned")
+    q, b = (absolute(t) for t in accounts(spark, sf_dir))
+    create(b, "kdtree_single", leaf_size=20, shelf_points=200).build().save(folder)
+    return load(spark, folder, "l2").knn(q, 3)
+
+
 @query("kd_forest_budgeted")
 def kd_forest_budgeted(spark, sf_dir):
     e = embeddings(spark, sf_dir).select("id", "v")
