@@ -5,7 +5,8 @@ profile is nearest in out-of-place distance: the sum, over the text's own most f
 the profile, with a fixed penalty where the profile lacks it.
 
 Defined cases: a null, empty or letterless text is `und` with score 0; without any labelled row every text is `und`; equal distances go to
-the first language in alphabetical order; equal counts rank by n-gram length, then code points. Rows may repeat; extra columns pass through.
+the first language in alphabetical order; equal counts rank by n-gram length, then code points. Rows may repeat; very long texts are read
+whole; extra columns pass through, but those called lang_pred and score give way to the prediction.
 """
 
 from __future__ import annotations

@@ -2,16 +2,18 @@
 
 Each find is validated (card numbers by their check digit, addresses by their ranges, dates by the calendar, account numbers by their
 remainder) and keyed-permuted within its own format by a Feistel network with cycle walking: digits stay digits, letters stay letters of
-their case, dates stay dates, check digits stay right. Equal values of a kind get equal pseudonyms in every document, and a key's holder can
+their case, dates stay dates with as many digits in each place, check digits stay right. Equal values of a kind get equal pseudonyms in every document, and a key's holder can
 invert them.
 
 Defined cases: a null text stays null and an empty one empty; of overlapping finds the first kind in the list of KINDS wins; a number that
-fails its validation is left as it is (of an account number and the words behind it, the longest valid run of groups counts); the pseudonym of a value never equals it unless its format has a single value; rows may repeat; other
-columns pass through.
+fails its validation is left as it is (of an account number and the words behind it, the longest valid run of groups counts); the pseudonym
+of a value never equals it unless its format has a single value; rows may repeat; very long texts with very many finds take time in
+proportion; other columns pass through, but one with the name given for spans gives way to it.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -159,8 +161,13 @@ def _date(t: str, key: bytes) -> str | None:
     n = (when - _FIRST_DAY).days
     if not 0 <= n < _DAYS:
         return None
-    new = _FIRST_DAY + datetime.timedelta(permute(n, _DAYS, key, b"date"))
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+    long_month, long_day = (len(day), len(month)) if swapped else (len(month), len(day))
+    while True:  # walk on to a date with as many digits in each place
+        n = permute(n, _DAYS, key, b"date")
+        new = _FIRST_DAY + datetime.timedelta(n)
+        if (long_month == 2 or new.month < 10) and (long_day == 2 or new.day < 10):
+            break
+    y, m, d = f"{new.year:04d}", f"{new.month:0{long_month}d}", f"{new.day:0{long_day}d}"
     if swapped:
         m, d = d, m
     return sep.join((y, m, d) if len(a) == 4 else (d, m, y))
@@ -229,7 +236,8 @@ _HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|AKIA|ASIA|ghp|gho|ghs
 
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
     """(the text with pseudonyms, spans (start, end, kind) in the given text)."""
-    spans: list[tuple[int, int, str, str]] = []
+    spans: list[tuple[int, int, str, str]] = []  # in order and apart
+    starts: list[int] = []
     for kind, pattern, within in KINDS:
         at = 0
         while m := pattern.search(text, at):
@@ -237,17 +245,18 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int,
             # words behind an account number look like its groups: shorter ones are tried, and what begins within
             ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")] if kind == "iban" else [b]
             for end in ends:
-                if any(a < y and x < end for x, y, _, _ in spans):
+                i = bisect.bisect_right(starts, a)
+                if i and spans[i - 1][1] > a or i < len(starts) and starts[i] < end:
                     continue
                 new = within(text[a:end], key)
                 if new is not None:
-                    spans.append((a, end, kind, new))
+                    starts.insert(i, a)
+                    spans.insert(i, (a, end, kind, new))
                     at = end
                     break
             else:
                 if kind == "iban":
                     at = a + 1
-    spans.sort()
     out, at = [], 0
     for a, b, _, new in spans:
         out += [text[at:a], new]
