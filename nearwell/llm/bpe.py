@@ -9,7 +9,8 @@ A long piece is first cut between bytes that stand side by side in no token: not
 own. What is still long is contracted by a second recursive query that takes all pairs of the least rank in one step, from the left, up to
 the first that would make a pair of lower rank with its neighbours. Both give what one contraction at a time gives.
 
-Defined cases: a null text counts as empty and has no tokens; rows may repeat; other columns pass through.
+Defined cases: a null text counts as empty and has no tokens; rows may repeat; other columns pass through, but those with the name of a
+column that is added (ids, n_tokens, ids_sha256, decoded_sha256, decoded) give way to it.
 """
 
 from __future__ import annotations
@@ -216,8 +217,8 @@ class Engine:
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ids = np.array(sorted(ranks.values()), np.int32)
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}  # what was known before the last turn
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}  # what was known before the last turn
         self.held = 0  # bytes of known, about
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -325,8 +326,8 @@ class Engine:
                 out[w] = (b, i)
         return out
 
-    def meet(self, pieces: list[str]) -> list[str]:
-        """The ids of distinct pieces, in decimal joined by commas, which decode to the pieces' bytes; those met lately are remembered."""
+    def meet(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """(ids in decimal joined by commas, the bytes decoded from them) of distinct pieces; those met lately are remembered."""
         if self.held > REMEMBERED_BYTES // 2:
             self.known, self.older, self.held = {}, self.known, 0
         new = []
@@ -335,17 +336,17 @@ class Engine:
                 if (x := self.older.get(p)) is None:
                     new.append(p)
                 else:
-                    self._remember(p, x)
+                    self._remember(p, *x)
         given = [p.encode("utf-8", "surrogatepass") for p in new]
         for p, b, (decoded, ids) in zip(new, given, self._decoded(*self._encoded(given)), strict=True):
             if decoded != b:
                 raise ValueError("the vocabulary doesn't decode to what it encodes")
-            self._remember(p, ids)
+            self._remember(p, ids, decoded)
         return [self.known[p] for p in pieces]
 
-    def _remember(self, piece: str, ids: str) -> None:
-        self.known[piece] = ids
-        self.held += 200 + 2 * len(piece) + len(ids)
+    def _remember(self, piece: str, ids: str, decoded: bytes) -> None:
+        self.known[piece] = ids, decoded
+        self.held += 300 + 3 * len(piece) + len(ids)
 
 
 def engine(content: bytes) -> Engine:
@@ -385,11 +386,13 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
                 parts = [split_many(part) for part in _batched(rows.column(at).to_pylist(), PART_CHARS)]
                 distinct, index = unify(parts)
                 known = e.meet(distinct)
+                coded, decoded = [x for x, _ in known], [x for _, x in known]
                 k = 0
-                for joined, cut, first in parts:
+                for _, _, first in parts:
                     for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
-                        ids = ",".join([known[i] for i in index[k + x : k + y].tolist()])
-                        for column, v in zip(columns, of(ids, joined[cut[x] : cut[y]]), strict=True):
+                        at_pieces = index[k + x : k + y].tolist()
+                        made = of(",".join([coded[i] for i in at_pieces]), b"".join([decoded[i] for i in at_pieces]))
+                        for column, v in zip(columns, made, strict=True):
                             column.append(v)
                     k += int(first[-1])
                 made = [pa.array(c, kind) for c, kind in zip(columns, of.types, strict=True)]
@@ -402,31 +405,26 @@ def _numbers(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
-def _sha(decoded: str) -> str:
-    """Of the bytes decoded from a text's ids: each of its pieces' ids have decoded to the piece."""
-    return hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 class _Ids:
     types = (pa.list_(pa.int32()),)
 
-    def __call__(self, ids: str, decoded: str):
+    def __call__(self, ids: str, decoded: bytes):
         return (_numbers(ids),)
 
 
 class _Tokens:
     types = (pa.int64(), pa.list_(pa.int32()), pa.string())
 
-    def __call__(self, ids: str, decoded: str):
+    def __call__(self, ids: str, decoded: bytes):
         numbers = _numbers(ids)
-        return len(numbers), numbers, _sha(decoded)
+        return len(numbers), numbers, hashlib.sha256(decoded).hexdigest()
 
 
 class _Digests:
     types = (pa.int64(), pa.string(), pa.string())
 
-    def __call__(self, ids: str, decoded: str):
-        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), _sha(decoded)
+    def __call__(self, ids: str, decoded: bytes):
+        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encode(docs: DataFrame, ranks_file: str, text: str = "text", out: str = "ids") -> DataFrame:
