@@ -77,12 +77,12 @@ def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         yield held
 
 
-def _assembler(mark: dict[str, int]):
+def _assembler(mark: dict[str, int], most: int):
     opens, says, close = mark[OPEN], mark[SAYS], mark[CLOSE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, part = (False, None), 0  # the conversation that the rows before ended with
-        for b in _whole(batches, PART_TOKENS):
+        for b in _whole(batches, most):
             is_text, speaks = (b.column(c).to_numpy(False) for c in (1, 2))
             lists = b.column(3)
             flat, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
@@ -125,7 +125,7 @@ def assemble(conversations: DataFrame, ranks_file: str, speakers: tuple[str, ...
     segments = turns.select("conv_id", F.col("role").isin(*speakers).alias("speaks"), F.posexplode(F.array(escape(F.col("role")), escape(F.col("text")))).alias("place", "text"))
     segments = segments.select("conv_id", (F.col("place") == 1).alias("is_text"), "speaks", "text")
     coded = bpe.encode(segments, ranks_file).select("conv_id", "is_text", "speaks", "ids")
-    return coded.mapInArrow(_assembler(reserved(ranks_file)), ASSEMBLED)
+    return coded.mapInArrow(_assembler(reserved(ranks_file), PART_TOKENS), ASSEMBLED)
 
 
 class _Reading:

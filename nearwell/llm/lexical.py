@@ -169,7 +169,7 @@ def _best(docs: np.ndarray, null: np.ndarray, score: np.ndarray, k: int) -> np.n
     return np.lexsort((docs, null, -score))[:k]
 
 
-def _searcher(shared, k: int):
+def _searcher(shared, k: int, documents: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weights, total, length = shared.value
         best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))] * len(items)
@@ -193,10 +193,10 @@ def _searcher(shared, k: int):
 
         size = 0
         for b in batches:
-            for a in range(0, b.num_rows, SHARD):
-                held.append(b.slice(a, SHARD))
+            for a in range(0, b.num_rows, documents):
+                held.append(b.slice(a, documents))
                 size += held[-1].num_rows
-                if size >= SHARD:
+                if size >= documents:
                     take(pa.Table.from_batches(held))
                     held, size = [], 0
         if size:
@@ -225,7 +225,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         weights = np.array([weight(total, int(x)) for x in df], np.int64)
         asked = [(np.array([vocabulary[t] for t in c], np.int64), np.array(list(c.values()), np.int64)) for c in counts]
         shared = spark.sparkContext.broadcast((asked, weights, total, length))
-        found = table.mapInArrow(released(_searcher(shared, k)), "item long, doc_id long, score long")
+        found = table.mapInArrow(released(_searcher(shared, k, SHARD)), "item long, doc_id long, score long")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         name = spark.sparkContext.broadcast(ids)
