@@ -16,6 +16,7 @@ from ..functions import vectors as fv
 from ..functions.distances import get
 from ..operators import classify, cluster, evaluate, knn, sampling, stats
 from ..operators.index import SearchParams, create, load
+from ..operators.index import fulltree
 from ..operators.index import lsh as lsh_ops
 from ..sources.scratch import scratch
 
@@ -547,6 +548,36 @@ def medoid_hamming_recall(spark, sf_dir):
     return _little(spark, sf_dir, "hierarchical", rows.select("id", bits.alias("v")), "hamming", trees=4, branching=16)
 
 
+def _full_tree_sql(table_sql: str) -> str:
+    return f"SELECT (2 * count(DISTINCT v) - 1)::BIGINT AS nodes, count(DISTINCT v)::BIGINT AS leaves, count(*)::BIGINT AS points, true AS one_root FROM ({table_sql})"
+
+
+def _tree_counts(tree) -> DataFrame:
+    """One row: nodes, leaves, points in leaves, and whether all nodes but one are children of others."""
+    points = tree.leaves.select(F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("parent"), F.col("id").alias("point"))
+    rows = tree.nodes.select("node", "left", "parent", F.lit(None).cast("long").alias("point")).unionByName(points)
+    is_node = F.col("node").isNotNull()
+    return rows.agg(F.count("node").alias("nodes"), F.count_if(is_node & F.col("left").isNull()).alias("leaves"), F.count("point").alias("points"), (F.count_if(is_node & F.col("parent").isNull()) == 1).alias("one_root"))
+
+
+@query("full_tree", _full_tree_sql("SELECT embedding AS v FROM embeddings"))
+def full_tree(spark, sf_dir):
+    """A tree over all vectors, a point a leaf; blocks of 100 so that levels are grown by jobs."""
+    return _tree_counts(fulltree.build(embeddings(spark, sf_dir).select("id", "v"), block=100))
+
+
+@query("full_tree_mean_cyclic", _full_tree_sql("SELECT [c_nationkey::DOUBLE, c_acctbal] AS v FROM customer"))
+def full_tree_mean_cyclic(spark, sf_dir):
+    return _tree_counts(fulltree.build(accounts(spark, sf_dir)[1], pivot="mean", choose="cyclic", block=300))
+
+
+@query("full_tree_leaves", "SELECT c_custkey AS id, count(*) OVER (PARTITION BY c_nationkey, c_acctbal)::BIGINT AS size FROM customer")
+def full_tree_leaves(spark, sf_dir):
+    """(id, size): every point once, in a leaf of its own; equal ones share theirs."""
+    tree = fulltree.build(accounts(spark, sf_dir)[1], block=500)
+    return tree.leaves.join(tree.nodes.select(F.col("node").alias("leaf"), "size"), "leaf").select("id", "size")
+
+
 @query("index_add_splits", knn_sql(E_SQL))
 def index_add_splits(spark, sf_dir):
     """Leaves that outgrow their size are split where they lie; every point is found in them."""
