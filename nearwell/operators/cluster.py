@@ -5,13 +5,17 @@ Every step over the data is one job of Column expressions; only centres and per-
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distances
+from ..sources.scratch import scratch
 
 MAX_CENTRES = 65_536  # bound of what is broadcast and collected
+ROUNDS = 16  # centres after which the nearest distances so far are written as a table
 
 
 def centre_table(spark, centres: list[list[float]]) -> DataFrame:
@@ -94,36 +98,65 @@ def _nearest(base: DataFrame, centres: list[list[float]], distance) -> DataFrame
     return assign(base, centre_table(base.sparkSession, centres), distance)
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class _Running:
+    """The distance of every vector to the nearest centre so far. A round looks at the last ROUNDS centres at most: what came of those before
+    is kept as a table, so k centres cost k passes of bounded work and k / ROUNDS tables."""
+
+    def __init__(self, base: DataFrame, distance, first: list[float]):
+        self.d, self.table, self.last = distances.get(distance), base.select("id", "v").withColumn("dist", F.lit(float("inf"))), [first]
+
+    def near(self) -> DataFrame:
+        """(id, v, dist)."""
+        new = [self.d.expression(F.array(*[F.lit(float(x)) for x in c]), F.col("v")) for c in self.last]
+        return self.table.withColumn("dist", F.least("dist", *new))
+
+    def add(self, centre: list[float]) -> None:
+        if len(self.last) == ROUNDS:
+            self.table, self.last = _kept(self.near(), "near"), []
+        self.last.append(centre)
+
+
 def gonzales(base: DataFrame, k: int, first: int | None = None, distance="l2") -> list[tuple[int, list[float]]]:
     """(id, v) of k centres, each the vector farthest from those before it (ties to the smaller id), from id first or the smallest."""
     start = base.where(F.col("id") == first) if first is not None else base
     chosen = [(r["id"], list(r["v"])) for r in start.orderBy("id").limit(1).select("id", "v").collect()]
+    running = _Running(base, distance, chosen[0][1]) if chosen else None
     while chosen and len(chosen) < k:
-        far = _nearest(base, [v for _, v in chosen], distance).orderBy(F.desc("dist"), "id").limit(1).collect()
+        far = running.near().orderBy(F.desc("dist"), "id").limit(1).collect()
         if far[0]["dist"] <= 0:
             break
         chosen.append((far[0]["id"], list(far[0]["v"])))
+        running.add(chosen[-1][1])
     return chosen
 
 
 def kmeans_plus_plus(base: DataFrame, k: int, seed: int = 0, distance="l2") -> list[list[float]]:
     """k centres, each drawn with a chance in proportion to its squared distance from those before: the smallest of -ln(u) / d wins."""
     centres = [list(r["v"]) for r in base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).select("v").collect()]
+    running = _Running(base, distance, centres[0]) if centres else None
     while centres and len(centres) < k:
         u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(len(centres))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
         d = distances.squared(distance, F.col("dist"))
-        row = _nearest(base, centres, distance).where("dist > 0").orderBy(-F.ln(u) / d, "id").limit(1).collect()
+        row = running.near().where("dist > 0").orderBy(-F.ln(u) / d, "id").limit(1).collect()
         if not row:
             break
         centres.append(list(row[0]["v"]))
+        running.add(centres[-1])
     return centres
 
 
 def groupwise(base: DataFrame, k: int, seed: int = 0, distance="l2", trials: int = 10) -> list[list[float]]:
     """k centres, each of several tried farthest-third vectors the one that lowers the total distance most."""
     centres = [list(r["v"]) for r in base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).select("v").collect()]
+    running = _Running(base, distance, centres[0]) if centres else None
     while centres and len(centres) < k:
-        near = _nearest(base, centres, distance)
+        near = running.near()
         edge = near.approxQuantile("dist", [2 / 3], 0.01)
         tried = near.where((F.col("dist") >= (edge or [0.0])[0]) & (F.col("dist") > 0)).orderBy(F.xxhash64("id", F.lit(seed), F.lit(len(centres))), "id").limit(trials).select("v").collect()
         if not tried:
@@ -131,6 +164,7 @@ def groupwise(base: DataFrame, k: int, seed: int = 0, distance="l2", trials: int
         d = distances.get(distance)
         gain = near.agg(*[F.sum(F.least(F.col("dist"), d.expression(F.array(*[F.lit(x) for x in r["v"]]), F.col("v")))).alias(str(i)) for i, r in enumerate(tried)]).first()
         centres.append(list(tried[min(range(len(tried)), key=lambda i: gain[str(i)])]["v"]))
+        running.add(centres[-1])
     return centres
 
 
@@ -166,7 +200,8 @@ def cluster_centres(base: DataFrame, most: int, branching: int = 2, iterations:
         if len(start) < branching:
             return None
         centres = lloyd(part, start, iterations)
-        near, sums = _nearest(part, centres, "l2"), spread(part, centres)
+        near = _kept(_nearest(part, centres, "l2").select("id", "v", "cluster"), "parts")  # a part is a filter of one table, not of all before
+        sums = spread(part, centres)
         return own - sum(sums), [(c, near.where(F.col("cluster") == i).select("id", "v"), s) for i, (c, s) in enumerate(zip(centres, sums, strict=True))]
 
     whole = base.select("id", "v")
@@ -182,3 +217,38 @@ def cluster_centres(base: DataFrame, most: int, branching: int = 2, iterations:
         cut[best : best + 1] = parts
         splits[best : best + 1] = [None if last else trial(p, s) for _, p, s in parts]
     return [c for c, _, _ in cut]
+
+
+def best_cut(nodes: DataFrame, most: int) -> DataFrame:
+    """The rows of a tree's nodes (node, parent, size, variance and whatever else) that make its best cut of at most `most` nodes.
+
+    From the root on, the node whose split leaves the least sum of variance times size (ties: the smallest node) is replaced by its children,
+    until none is left or the next one would make too many. nodes is a tree's table, of twice MAX_CENTRES
+    rows at most; a node without parent is the root, and there is one.
+    """
+    rows = nodes.select("node", "parent", "size", "variance").limit(2 * MAX_CENTRES + 1).collect()
+    if len(rows) > 2 * MAX_CENTRES:
+        raise ValueError(f"more than {2 * MAX_CENTRES} nodes")
+    cost = {r["node"]: r["variance"] * r["size"] for r in rows}
+    kids: dict[int, list[int]] = {}
+    for r in rows:
+        kids.setdefault(r["parent"], []).append(r["node"])
+    if len(roots := kids.get(None, [])) != 1:
+        raise ValueError(f"a tree has one root, not {len(roots)}")
+    cut, open_ = set(roots), []
+
+    def offer(node: int) -> None:
+        if node in kids:
+            heapq.heappush(open_, (sum(cost[k] for k in kids[node]) - cost[node], node))
+
+    offer(roots[0])
+    while open_:
+        _, node = heapq.heappop(open_)
+        if len(cut) + len(kids[node]) - 1 > most:
+            break
+        cut.remove(node)
+        cut.update(kids[node])
+        for k in kids[node]:
+            offer(k)
+    chosen = nodes.sparkSession.createDataFrame([(n,) for n in sorted(cut)], nodes.select("node").schema)
+    return nodes.join(F.broadcast(chosen), "node", "left_semi")

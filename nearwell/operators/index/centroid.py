@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from ...functions import distances
+from ..cluster import best_cut
 from .base import register
 from .cells import CellIndex
 from .nodes import Balls, Shape, grow, root
@@ -84,6 +86,17 @@ class KMeansIndex(_Centres):
         return self.grown(x, max(leaf, self.params.branching if not depth else 1), room, divide, lambda part: part.mean(axis=0))
 
 
+    def node_table(self) -> DataFrame:
+        """(node, parent, size, variance, radius, centre) of the tree."""
+        f = self.forest
+        rows = [(i, int(f.parent[i]) if f.parent[i] >= 0 else None, int(f.held[i]), float(f.variance[i]), float(f.radius[i]), f.centre[i].tolist()) for i in range(len(f))]
+        return self.spark.createDataFrame(rows, "node long, parent long, size long, variance double, radius double, centre array<double>")
+
+    def cluster_centres(self, most: int) -> DataFrame:
+        """(node, size, variance, centre) of the best cut of the tree with at most `most` clusters."""
+        return best_cut(self.node_table().where("size > 0"), most).select("node", "size", "variance", "centre")
+
+
 @register("hierarchical")
 class HierarchicalIndex(_Centres):
     """`trees` trees of medoids (points of the sample), each level assigned in one pass; any distance."""

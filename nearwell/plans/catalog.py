@@ -647,6 +647,47 @@ def autotuned_full_budget(spark, sf_dir):
     return create(e, "autotuned", sample_fraction=0.3, extra=extra).build().knn(e, K, _FULL)
 
 
+CUT = 60
+#: Customers by nation, then by market segment and by the sign of the balance: a tree of groups with their balances' variances.
+_CUT_NODES = """
+c AS (SELECT c_nationkey AS n, (ascii(substr(c_mktsegment, 1, 1)) * 2 + (c_acctbal < 0)::INT)::BIGINT AS s, c_acctbal AS x FROM customer),
+t AS (
+  SELECT 0::BIGINT AS node, NULL::BIGINT AS parent, count(*)::BIGINT AS size, round(var_pop(x), 4) AS variance FROM c
+  UNION ALL SELECT 1 + n, 0, count(*), round(var_pop(x), 4) FROM c GROUP BY n
+  UNION ALL SELECT 1000 * (1 + n) + s, 1 + n, count(*), round(var_pop(x), 4) FROM c GROUP BY n, s)"""
+
+
+@query(
+    "tree_cut",
+    f"""WITH RECURSIVE {_CUT_NODES},
+g AS (SELECT p.node, list(k.node) AS kids, count(*) AS many, sum(k.variance * k.size) - any_value(p.variance * p.size) AS gain FROM t p JOIN t k ON k.parent = p.node GROUP BY p.node),
+o AS (SELECT row_number() OVER (ORDER BY gain, node) AS place, * FROM g),
+cut AS (
+  SELECT [0::BIGINT] AS members
+  UNION ALL
+  SELECT list_concat(list_filter(members, lambda m: m <> node), kids) FROM (
+    SELECT cut.members, o.*, row_number() OVER (ORDER BY o.place) AS first FROM cut JOIN o ON list_contains(cut.members, o.node)
+  ) WHERE first = 1 AND len(members) + many - 1 <= {CUT})
+SELECT node, size, variance FROM t WHERE node IN (SELECT unnest(members) FROM (SELECT members FROM cut ORDER BY len(members) DESC LIMIT 1))""",
+)
+def tree_cut(spark, sf_dir):
+    """The best cut of a fixed tree over the customers."""
+    s = (F.ascii(F.substring("c_mktsegment", 1, 1)) * 2 + (F.col("c_acctbal") < 0).cast("int")).cast("long")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("n"), s.alias("s"), F.col("c_acctbal").alias("x"))
+    numbers = [F.count("*").alias("size"), F.round(F.var_pop("x"), 4).alias("variance")]
+    root = c.agg(*numbers).select(F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), "size", "variance")
+    nations = c.groupBy("n").agg(*numbers).select((F.col("n") + 1).alias("node"), F.lit(0).cast("long").alias("parent"), "size", "variance")
+    parts = c.groupBy("n", "s").agg(*numbers).select((1000 * (F.col("n") + 1) + F.col("s")).alias("node"), (F.col("n") + 1).alias("parent"), "size", "variance")
+    return cluster.best_cut(root.unionByName(nations).unionByName(parts), CUT).select("node", "size", "variance")
+
+
+@query("kmeans_tree_cut", "SELECT 9::BIGINT AS clusters, count(*)::BIGINT AS points FROM embeddings")
+def kmeans_tree_cut(spark, sf_dir):
+    """One row: the best cut of a k-means tree of branching 5 with at most 12 clusters has (5 - 1) m + 1 of them, and they hold all points."""
+    index = create(embeddings(spark, sf_dir), "kmeans", branching=5, leaf_size=20, iterations=3).build()
+    return index.cluster_centres(12).agg(F.count("*").alias("clusters"), F.sum("size").alias("points"))
+
+
 @query("cluster_centres")
 def cluster_centres(spark, sf_dir):
     found = cluster.cluster_centres(embeddings(spark, sf_dir).select("id", "v"), 4, iterations=3)

@@ -347,3 +347,29 @@ def test_shards_and_nested(spark, cloud):
     q = table(spark, cloud[:5])
     assert found(knn.sharded_knn(q, [b.where("id < 100"), b.where("id >= 100")], 6)) == brute(cloud[:5], cloud, 6)
     assert all(len(r["neighbours"]) == 6 for r in knn.nested(knn.knn_join(q, b, 6)).collect())
+
+
+def test_running_distances_equal_those_to_all_centres(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "ROUNDS", 3)
+    x = np.random.default_rng(4).random((120, 3))
+    b = table(spark, x)
+    chosen = [i for i, _ in cluster.gonzales(b, 9)]
+    want, d = [0], distances.get("l2").matrix(x, x)
+    while len(want) < 9:
+        want.append(int(np.argmax(d[want].min(axis=0))))
+    assert chosen == want
+    for chooser in ("kmeanspp", "groupwise"):
+        assert len({tuple(c) for c in cluster.CHOOSERS[chooser](b, 8)}) == 8
+
+
+def test_best_cut(spark):
+    rows = [(0, None, 100, 10.0), (1, 0, 60, 8.0), (2, 0, 40, 1.0), (3, 1, 30, 1.0), (4, 1, 30, 1.0), (5, 2, 20, 0.5), (6, 2, 20, 0.5), (7, 3, 10, 0.9), (8, 3, 20, 0.9)]
+    nodes = spark.createDataFrame(rows, "node long, parent long, size long, variance double")
+    cuts = {m: sorted(r["node"] for r in cluster.best_cut(nodes, m).collect()) for m in (1, 2, 3, 4, 5, 9)}
+    assert cuts == {1: [0], 2: [1, 2], 3: [2, 3, 4], 4: [3, 4, 5, 6], 5: [4, 5, 6, 7, 8], 9: [4, 5, 6, 7, 8]}
+    with pytest.raises(ValueError):
+        cluster.best_cut(nodes.where("node > 0"), 3)
+    x = np.concatenate([np.random.default_rng(i).normal(10 * i, 0.1, (40, 2)) for i in range(4)])
+    index = create(table(spark, x), "kmeans", branching=2, leaf_size=10, centers_init="gonzales").build()
+    centres = sorted(r["centre"][0] for r in index.cluster_centres(4).collect())
+    assert np.allclose(centres, [0, 10, 20, 30], atol=0.2) and index.cluster_centres(4).agg(F.sum("size")).first()[0] == 160
