@@ -217,8 +217,8 @@ class Engine:
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ids = np.array(sorted(ranks.values()), np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}  # what was known before the last turn
+        self.known: dict[str, bytes] = {}  # ids in decimal, joined by commas, then | and the bytes decoded from them
+        self.older: dict[str, bytes] = {}  # what was known before the last turn
         self.held = 0  # bytes of known, about
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -326,8 +326,8 @@ class Engine:
                 out[w] = (b, i)
         return out
 
-    def meet(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        """(ids in decimal joined by commas, the bytes decoded from them) of distinct pieces; those met lately are remembered."""
+    def meet(self, pieces: list[str]) -> list[bytes]:
+        """Of distinct pieces the ids in decimal, joined by commas, then | and the bytes decoded from them; those met lately are remembered."""
         if self.held > REMEMBERED_BYTES // 2:
             self.known, self.older, self.held = {}, self.known, 0
         new = []
@@ -336,17 +336,17 @@ class Engine:
                 if (x := self.older.get(p)) is None:
                     new.append(p)
                 else:
-                    self._remember(p, *x)
+                    self._remember(p, x)
         given = [p.encode("utf-8", "surrogatepass") for p in new]
         for p, b, (decoded, ids) in zip(new, given, self._decoded(*self._encoded(given)), strict=True):
             if decoded != b:
                 raise ValueError("the vocabulary doesn't decode to what it encodes")
-            self._remember(p, ids, decoded)
+            self._remember(p, ids.encode() + b"|" + decoded)
         return [self.known[p] for p in pieces]
 
-    def _remember(self, piece: str, ids: str, decoded: bytes) -> None:
-        self.known[piece] = ids, decoded
-        self.held += 300 + 3 * len(piece) + len(ids)
+    def _remember(self, piece: str, coded: bytes) -> None:
+        self.known[piece] = coded
+        self.held += 200 + 2 * len(piece) + len(coded)
 
 
 def engine(content: bytes) -> Engine:
@@ -386,12 +386,13 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
                 parts = [split_many(part) for part in _batched(rows.column(at).to_pylist(), PART_CHARS)]
                 distinct, index = unify(parts)
                 known = e.meet(distinct)
-                coded, decoded = [x for x, _ in known], [x for _, x in known]
+                halves = [x.partition(b"|") for x in known]
+                coded, decoded = [x[0] for x in halves], [x[2] for x in halves]
                 k = 0
                 for _, _, first in parts:
                     for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
                         at_pieces = index[k + x : k + y].tolist()
-                        made = of(",".join([coded[i] for i in at_pieces]), b"".join([decoded[i] for i in at_pieces]))
+                        made = of(b",".join([coded[i] for i in at_pieces]), b"".join([decoded[i] for i in at_pieces]))
                         for column, v in zip(columns, made, strict=True):
                             column.append(v)
                     k += int(first[-1])
@@ -401,21 +402,21 @@ def _mapped(docs: DataFrame, text: str, ranks_file: str, fields: list[T.StructFi
     return docs.mapInArrow(released(run), schema)
 
 
-def _numbers(ids: str) -> np.ndarray:
-    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.fromstring(ids.decode(), np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
 class _Ids:
     types = (pa.list_(pa.int32()),)
 
-    def __call__(self, ids: str, decoded: bytes):
+    def __call__(self, ids: bytes, decoded: bytes):
         return (_numbers(ids),)
 
 
 class _Tokens:
     types = (pa.int64(), pa.list_(pa.int32()), pa.string())
 
-    def __call__(self, ids: str, decoded: bytes):
+    def __call__(self, ids: bytes, decoded: bytes):
         numbers = _numbers(ids)
         return len(numbers), numbers, hashlib.sha256(decoded).hexdigest()
 
@@ -423,8 +424,8 @@ class _Tokens:
 class _Digests:
     types = (pa.int64(), pa.string(), pa.string())
 
-    def __call__(self, ids: str, decoded: bytes):
-        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def __call__(self, ids: bytes, decoded: bytes):
+        return ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encode(docs: DataFrame, ranks_file: str, text: str = "text", out: str = "ids") -> DataFrame:
