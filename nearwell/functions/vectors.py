@@ -26,15 +26,20 @@ def checked(v: Column, dim: int | None = None) -> Column:
     return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("VectorError: null, empty, of another length or with components that are no finite numbers"))).otherwise(v)
 
 
+def is_binary(df: DataFrame, vector: str = "v") -> bool:
+    return dict(df.dtypes)[vector] == "binary"
+
+
 def dimension(df: DataFrame, vector: str = "v") -> int:
     """The length of all vectors, checked in one aggregation; 0 for an empty table."""
     return profile(df, vector)[1]
 
 
 def profile(df: DataFrame, vector: str = "v") -> tuple[int, int]:
-    """(number of rows, length of all vectors), checked in one aggregation; the length is 0 for an empty table."""
+    """(number of rows, length of all vectors), checked in one aggregation; the length is 0 for an empty table. BINARY counts by bytes."""
     v = F.col(vector)
-    r = df.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(_unusable(v), 1)).alias("bad"), F.count("*").alias("n")).first()
+    size, bad = (F.octet_length(v), v.isNull() | (F.octet_length(v) < 1)) if is_binary(df, vector) else (F.size(v), _unusable(v))
+    r = df.agg(F.min(size).alias("low"), F.max(size).alias("high"), F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n")).first()
     if r["bad"]:
         raise VectorError(f"{r['bad']} rows hold a null or empty vector or a component that is no finite number")
     if r["low"] != r["high"]:

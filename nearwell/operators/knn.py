@@ -5,6 +5,8 @@ per query (or what lies within the radius), and only those are shuffled to be me
 is the base; every pair of blocks is a task. No pair of vectors is ever a row. method="expression" writes the distance as a Column instead,
 over a nested-loop join and a limited window, and is the choice for a handful of queries; more than FEW_QUERIES are dealt in blocks.
 
+Vectors are arrays, or BINARY columns of unsigned bytes, which stay bytes up to the kernels (`functions/packed.py`).
+
 Order is (dist, id) throughout. Null or empty vectors, null or non-finite components and vectors of several lengths raise VectorError; a
 distance may be infinite (squares of large components are), a pair whose distance isn't a number is no pair; k above the number of
 candidates returns them all. All forms agree on this.
@@ -16,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances
-from ..functions.vectors import VectorError, checked, profile
+from ..functions.packed import packed
+from ..functions.vectors import VectorError, checked, is_binary, profile
 
 BROADCAST_BYTES = 64 << 20
 FEW_QUERIES = 32
@@ -30,9 +34,17 @@ SCHEMA = "qid long, id long, dist double"
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
-    """A column of equally long lists as rows of doubles."""
+    """A column of equally long lists as rows of doubles, or of equally long BINARY values as rows of unsigned bytes."""
     if column.null_count:
         raise VectorError("null vector")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        sizes = pc.binary_length(column).to_numpy()
+        dim = int(sizes[0]) if dim is None and len(sizes) else dim or 0
+        if (sizes != dim).any():
+            raise VectorError("vectors of several lengths")
+        start = column.buffers()[1] if len(sizes) else None
+        offsets = np.frombuffer(start, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset :] if len(sizes) else [0]
+        return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[0] + dim * len(sizes)].reshape(len(sizes), dim) if len(sizes) else np.zeros((0, dim), np.uint8)
     offsets = column.offsets.to_numpy()
     sizes = np.diff(offsets)
     dim = int(sizes[0]) if dim is None and len(sizes) else dim or 0
@@ -168,7 +180,8 @@ def best_of(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, dis
 def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius: float | None, itself: bool, n: int, dim: int) -> DataFrame:
     """(qid, id, dist) of at least the k nearest of every query, or of all within the radius. There are n queries of dim components."""
     spark = base.sparkSession
-    if n * (dim + 1) * 8 <= BROADCAST_BYTES:
+    width = dim + 8 if is_binary(queries) else 8 * (dim + 1)
+    if n * width <= BROADCAST_BYTES:
         table = queries.select("id", "v").toArrow()
         order = np.argsort(table["id"].to_numpy(), kind="stable")
         qids = table["id"].to_numpy()[order]
@@ -180,8 +193,8 @@ def _pairs(queries: DataFrame, base: DataFrame, distance, k: int | None, radius:
 
         return base.select("id", "v").mapInArrow(scan, SCHEMA)
 
-    blocks = -(-n * (dim + 1) * 8 // (BROADCAST_BYTES // 8))
-    tiles = max(1, -(-base.count() * (dim + 1) * 8 // (BROADCAST_BYTES // 8)))
+    blocks = -(-n * width // (BROADCAST_BYTES // 8))
+    tiles = max(1, -(-base.count() * width // (BROADCAST_BYTES // 8)))
     place = F.xxhash64("id")
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = queries.select("id", "v", F.pmod(place, F.lit(blocks)).alias("qb"), every(tiles).alias("bb"), F.lit(0).alias("side"))
@@ -207,7 +220,12 @@ def _candidates(queries: DataFrame, base: DataFrame, distance, k, radius, itself
     if method not in ("auto", "expression", "blocks"):
         raise ValueError(f"no method {method!r}")
     n, dim = profile(queries)
-    if method != "blocks" and n <= FEW_QUERIES:  # more of them are never sent to a nested-loop join
+    bytes_ = is_binary(queries)
+    if bytes_ != is_binary(base):
+        raise VectorError("byte vectors are compared with byte vectors only")
+    if bytes_:
+        distance = packed(distance)
+    if method != "blocks" and n <= FEW_QUERIES and not bytes_:  # more of them are never sent to a nested-loop join
         out = _expressed(queries, base, distance, itself, dim)
         return out.where(F.col("dist") < radius) if radius is not None else out
     return _pairs(queries, base, distance, k, radius, itself, n, dim)

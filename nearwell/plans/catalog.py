@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distances
+from ..functions import distances, table_functions
 from ..functions import vectors as fv
 from ..functions.distances import get
+from ..functions.packed import pack_bytes
 from ..operators import classify, cluster, evaluate, knn, sampling, stats
 from ..operators.index import SearchParams, create, load
 from ..operators.index import fulltree
 from ..operators.index import lsh as lsh_ops
+from ..sources import texmex
 from ..sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -768,15 +770,51 @@ def highest_bit(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey > 0").select("l_orderkey", "l_linenumber", fv.highest_bit(F.col("l_orderkey")).alias("bit"))
 
 
-@query("texmex_roundtrip", f"WITH {E_SQL} SELECT id, v::FLOAT[] AS v FROM e")
+@query("texmex_roundtrip", f"WITH {E_SQL} SELECT id - (SELECT min(id) FROM e) AS id, v::FLOAT[] AS v FROM e")
 def texmex_roundtrip(spark, sf_dir):
-    from ..sources import records
-
+    """Written and read again by the data source, sorted over its files; ids count the records."""
+    texmex.register(spark)
     path = scratch(spark, "vectors.fvecs")
-    records.write_texmex(embeddings(spark, sf_dir), path)
-    ids = embeddings(spark, sf_dir).select("id").orderBy("id")
-    first = ids.first()["id"]
-    return records.read_texmex(spark, path).select((F.col("id") + first).alias("id"), "v")
+    rows = embeddings(spark, sf_dir).select("id", F.col("v").cast("array<float>").alias("v"))
+    rows.repartitionByRange(4, "id").sortWithinPartitions("id").write.format("texmex").option("kind", "fvecs").mode("append").save(path)
+    return spark.read.format("texmex").load(path)
+
+
+#: Components as bytes: 128 and 64 a unit, cut at 0 and 255.
+_BYTES_SQL = "r AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: least(255, greatest(0, floor(128 + 64 * x)))) AS v FROM embeddings)"
+
+
+def byte_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v): embeddings as BINARY, a byte a component."""
+    level = F.transform("v", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + 64 * x).cast("double"))))
+    return embeddings(spark, sf_dir).select("id", pack_bytes(level).alias("v"))
+
+
+@query("knn_bytes_l2", knn_sql(_BYTES_SQL.replace("r AS", "e AS")))
+def knn_bytes_l2(spark, sf_dir):
+    e = byte_vectors(spark, sf_dir)
+    return knn.knn_join(e, e, K)
+
+
+@query("knn_bytes_hamming", knn_sql(_BYTES_SQL + ", e AS (SELECT id, list_transform(v, lambda x: x::BIGINT) AS v FROM r)", "hamming"))
+def knn_bytes_hamming(spark, sf_dir):
+    e = byte_vectors(spark, sf_dir)
+    return knn.knn_join(e, e, K, "hamming")
+
+
+@query("radius_bytes", f"WITH {_BYTES_SQL.replace('r AS', 'e AS')}, p AS (SELECT q.id AS qid, b.id AS id, {get('l2').duckdb('q.v', 'b.v')} AS dist FROM e q JOIN e b ON q.id <> b.id) SELECT e.id AS qid, count(p.id)::BIGINT AS n FROM e LEFT JOIN p ON p.qid = e.id AND p.dist < {int(RADIUS * 4096)} GROUP BY e.id")
+def radius_bytes(spark, sf_dir):
+    e = byte_vectors(spark, sf_dir)
+    return knn.radius_count(e, e, float(int(RADIUS * 4096)), itself=False)
+
+
+@query("knn_lateral", knn_sql(S_SQL, k=3, q="q", b="b"))
+def knn_lateral(spark, sf_dir):
+    """Nearest neighbours by a table function in SQL text."""
+    q, b = accounts(spark, sf_dir)
+    table_functions.register_knn(spark, "three_nearest", b, 3)
+    q.createOrReplaceTempView("nearwell_suppliers")
+    return spark.sql("SELECT q.id AS qid, n.rank, n.id, n.dist FROM nearwell_suppliers q, LATERAL three_nearest(q.v) n")
 
 
 __all__ = ["ORACLES", "QUERIES", "distances"]

@@ -95,7 +95,7 @@ def read_texmex(spark: SparkSession, path: str, kind: str | None = None, limit:
 
 
 def write_texmex(df: DataFrame, path: str, kind: str | None = None) -> None:
-    """Vectors (id, v) in order of id as one file, a partition at a time through the driver."""
+    """Vectors (id, v) in order of id as one small file, a partition at a time through the driver; the texmex data source writes any size."""
     dtype = TEXMEX[kind or path.rsplit(".", 1)[-1]][0]
     system, inner = _system(path)
     with system.open_output_stream(inner) as out:
@@ -159,13 +159,17 @@ def write_raw(df: DataFrame, path: str, kind: str = "float64") -> None:
             out.write(np.array([r[0]], dtype).tobytes())
 
 
-def read_cifar(spark: SparkSession, path: str, labels: int = 1, pixels: int = 3072, limit: int | None = None) -> DataFrame:
-    """(id, label, v): images as planes of unsigned bytes; of several label bytes the last counts."""
+def read_cifar(spark: SparkSession, path: str, labels: int = 1, pixels: int = 3072, limit: int | None = None, packed: bool = False) -> DataFrame:
+    """(id, label, v): images as planes of unsigned bytes, arrays of short or (packed) BINARY; of several label bytes the last counts."""
 
     def decode(rows: np.ndarray, first: int) -> pa.RecordBatch:
+        if packed:
+            flat = np.ascontiguousarray(rows[:, labels:])
+            images = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * pixels).tobytes()), pa.py_buffer(flat.tobytes())])
+            return pa.record_batch([pa.array(np.arange(first, first + len(rows))), pa.array(rows[:, labels - 1].astype(np.int16)), images], names=["id", "label", "v"])
         return pa.record_batch([pa.array(np.arange(first, first + len(rows))), pa.array(rows[:, labels - 1].astype(np.int16)), _lists(rows[:, labels:].astype(np.int16), pa.int16())], names=["id", "label", "v"])
 
-    return scan(spark, path, labels + pixels, "id long, label short, v array<short>", decode, limit)
+    return scan(spark, path, labels + pixels, f"id long, label short, v {'binary' if packed else 'array<short>'}", decode, limit)
 
 
 def interleave_planes(pixels, side: int, planes: int = 3):
