@@ -75,6 +75,44 @@ def _meet(d, best, qids: np.ndarray, q: np.ndarray, row: np.ndarray, some: list[
                 yield from exact.meet(d, best, part, qids[part], q[part], ids[c:last], x[c:last], radius, True)
 
 
+def brought_together(left: DataFrame, right: DataFrame, name, dim: int, k: int | None, radius: float | None = None) -> DataFrame:
+    """(qid, id, dist) of the k best (or all within radius) of every query in each group it meets, each pair once.
+
+    Both sides have (table_no, cell, pp, qp, side, id, v), side 0 the queries. A group is one task's work: its two sides meet as matrices.
+    """
+    group = ["table_no", "cell", "pp", "qp"]
+
+    def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        if side.all() or not side.any():  # nobody asks, or nothing is there
+            return
+        x = matrix(t["v"].combine_chunks(), dim)
+        yield from best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k, radius).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group, one group at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy() for i in range(4)]
+            new = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+            if held and any(held[-1].column(i)[-1].as_py() != keys[i][0] for i in range(4)):
+                yield from nearest(pa.Table.from_batches(held))
+                held = []
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, z in zip(edges, edges[1:], strict=False):
+                yield from nearest(pa.Table.from_batches([*held, batch.slice(a, z - a)]))
+                held = []
+            held.append(batch.slice(edges[-1]))
+        if held:
+            yield from nearest(pa.Table.from_batches(held))
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = left.select(*group, "side", "id", "v").unionByName(right.select(*group, "side", "id", "v"))
+    return rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(run, SCHEMA).dropDuplicates(["qid", "id"])
+
+
 @dataclass
 class _Queries:
     """Queries on the driver, in order of their ids."""
@@ -358,36 +396,7 @@ class CellIndex(VectorIndex):
             points = points.join(self.removed, "id", "left_anti")
         right = points.join(tasks, ["table_no", "cell"])
         right = right.select("table_no", "cell", F.lit(1).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), "pp").alias("pp"), every("qp").alias("qp"))
-        name, dim = self.distance, self.dim
-        group = ["table_no", "cell", "pp", "qp"]
-
-        def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-            x = matrix(t["v"].combine_chunks(), dim)
-            yield from best_of(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], name, k, radius).to_batches()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows sorted by cell, one cell at a time."""
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = [batch.column(i).to_numpy() for i in range(4)]
-                new = np.any([x[1:] != x[:-1] for x in keys], axis=0)
-                if held and any(held[-1].column(i)[-1].as_py() != keys[i][0] for i in range(4)):
-                    yield from nearest(pa.Table.from_batches(held))
-                    held = []
-                edges = [0, *(np.flatnonzero(new) + 1).tolist()]
-                for a, z in zip(edges, edges[1:], strict=False):
-                    yield from nearest(pa.Table.from_batches([*held, batch.slice(a, z - a)]))
-                    held = []
-                held.append(batch.slice(edges[-1]))
-            if held:
-                yield from nearest(pa.Table.from_batches(held))
-
-        rows = left.select(*group, "side", "id", "v").unionByName(right.select(*group, "side", "id", "v"))
-        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
-        return rows.mapInArrow(run, SCHEMA).dropDuplicates(["qid", "id"])
+        return brought_together(left, right, self.distance, self.dim, k, radius)
 
     def bounded(self) -> bool:
         """Have nodes a bound under the distance, so that exact searches can leave cells out?"""

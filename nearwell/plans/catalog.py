@@ -417,10 +417,12 @@ def lsh_bucket_histogram(spark, sf_dir):
     return stats.bucket_histogram(_buckets(spark, sf_dir))
 
 
-@query("lsh_multiprobe_masks", "WITH m AS (SELECT unnest(range(0, 1048576)) AS mask) SELECT mask::BIGINT AS mask, bit_count(mask::BIGINT)::INTEGER AS bits FROM m WHERE bit_count(mask::BIGINT) <= 2")
+@query("lsh_multiprobe_masks", _BUCKETS + ", m AS (SELECT unnest(range(0, 1024)) AS mask) SELECT id, mask::BIGINT AS mask, bit_count(mask::BIGINT)::INTEGER AS bits, xor(key, mask::BIGINT) AS key FROM b, m WHERE table_no = 0 AND bit_count(mask::BIGINT) <= 2")
 def lsh_multiprobe_masks(spark, sf_dir):
-    masks = lsh_ops.xor_masks(20, 2)
-    return spark.createDataFrame([(m, m.bit_count()) for m in masks], "mask long, bits int")
+    """The buckets that every vector probes in the first table: keys that differ by two bits at most."""
+    masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("bits")) for m in lsh_ops.xor_masks(10, 2)])
+    own = _buckets(spark, sf_dir).where("table_no = 0").select("id", "key", F.explode(masks).alias("m"))
+    return own.select("id", "m.mask", "m.bits", F.col("key").bitwiseXOR(F.col("m.mask")).alias("key"))
 
 
 _MASKS = "[" + ", ".join(map(str, lsh_ops.xor_masks(10, 1))) + "]"

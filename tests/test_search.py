@@ -291,8 +291,44 @@ def test_lsh_with_all_masks_is_exact(spark):
     index = create(b, "lsh", "hamming", table_number=1, key_size=4, multi_probe_level=4).build()
     assert found(index.knn(b, 3)) == brute(x, x, 3, "hamming")
     assert len(xor_masks(20, 2)) == 211
+    exact = found(knn.knn_join(b, b, 3, "hamming"))
+    few = create(b, "lsh", "hamming", table_number=2, key_size=8, multi_probe_level=0).build()
+    assert found(few.knn(b, 3, SearchParams(checks=-1))) == exact != found(few.knn(b, 3))
 
 
+def test_crowded_buckets_are_dealt(spark, monkeypatch):
+    from nearwell.operators.index import cells
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate((np.full((80, 2), 7), rng.integers(0, 256, (60, 2))))
+    b = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(x)], "id long, v array<bigint>")
+    index = create(b, "lsh", "hamming", table_number=3, key_size=4, multi_probe_level=1).build()
+    want = found(index.knn(b, 5))
+    assert {k: v for k, v in want.items() if k[0] < 80} == {k: v for k, v in brute(x, x, 5, "hamming").items() if k[0] < 80}
+    monkeypatch.setattr(cells, "CELL_BYTES", 7 * 8 * 2)
+    assert found(index.knn(b, 5)) == want
+    index.remove([0])
+    index.add(spark.createDataFrame([(500, [7, 7])], "id long, v array<bigint>"))
+    got = found(index.knn(b.where("id = 1"), 90))
+    assert (500, 0.0) in got.values() and 0 not in {i for i, _ in got.values()}
+
+
+def test_numbers_name_methods_and_searches_agree(spark, cloud):
+    from nearwell.operators.index.base import NUMBERS
+
+    b = table(spark, cloud[:60])
+    for number in (0, 1, 2, 4, 5):
+        index = create(b, number, leaf_size=20, branching=4, trees=2).build()
+        assert index.method == NUMBERS[number] and found(index.knn(b, 2, SearchParams(checks=-1))) == brute(cloud[:60], cloud[:60], 2)
+    with pytest.raises(ValueError):
+        create(b, 17)
+
+
+def test_squares_and_ratios(spark):
+    rows = spark.createDataFrame([(4.0, 2.0), (0.0, 0.0)], "a double, b double")
+    got = rows.select(distances.squared("l1", F.col("a")).alias("x"), distances.squared("l2", F.col("a")).alias("y"), distances.ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [(16.0, 4.0, 2.0), (0.0, 0.0, 1.0)]
+
 def test_votes(spark):
     points = [(x, y) for x, y in itertools.product((-2, -1, 1, 2), repeat=2)]
     name = {(False, False): "lower left", (False, True): "upper left", (True, False): "lower right", (True, True): "upper right"}
@@ -373,3 +409,14 @@ def test_best_cut(spark):
     index = create(table(spark, x), "kmeans", branching=2, leaf_size=10, centers_init="gonzales").build()
     centres = sorted(r["centre"][0] for r in index.cluster_centres(4).collect())
     assert np.allclose(centres, [0, 10, 20, 30], atol=0.2) and index.cluster_centres(4).agg(F.sum("size")).first()[0] == 160
+
+
+def test_samples_depend_on_ids_and_seed_only(spark):
+    b = table(spark, np.arange(300)[:, None])
+    few, rest = sampling.share(b, 20, seed=3)
+    again, _ = sampling.share(b.repartition(7), 20, seed=3)
+    ids = sorted(r["id"] for r in few.collect())
+    assert ids == sorted(r["id"] for r in again.collect()) and 30 < len(ids) < 90 and rest.count() == 300 - len(ids)
+    assert [r["id"] for r in sampling.first_rows(b, 4).collect()] == [0, 1, 2, 3]
+    order = [r["id"] for r in sampling.permutation(b, 1).orderBy("order", "id").collect()]
+    assert sorted(order) == list(range(300)) != order and order != [r["id"] for r in sampling.permutation(b, 2).orderBy("order", "id").collect()]
