@@ -37,6 +37,7 @@ MAX_SHELVES = 4096  # of a tree
 CELL_BYTES = 64 << 20  # vectors of a cell, and of a cell's queries, that one task takes
 PROBES = 1 << 22
 TOGETHER = 1024  # points of several cells that meet queries at once
+MASK = 1 << 25  # bytes of the mask that says which of them meet
 STORED = "table_no int, shelf int, cell long, id long, v array<double>"
 OUTGROWN = 2  # a leaf of more than so many times its size is split
 
@@ -58,7 +59,8 @@ def _meet(d, best, qids: np.ndarray, q: np.ndarray, row: np.ndarray, some: list[
     if len(some) > 1:
         who, place = np.unique(np.concatenate([row[a:z] for a, z, _, _ in some]), return_inverse=True)
         points = np.concatenate([np.arange(a, z) for _, _, a, z in some])
-        if 4 * sum((m[1] - m[0]) * (m[3] - m[2]) for m in some) >= len(who) * len(points):
+        size = len(who) * len(points)
+        if size <= MASK and 4 * sum((m[1] - m[0]) * (m[3] - m[2]) for m in some) >= size:
             hide, at, to = np.ones((len(who), len(points)), bool), 0, 0
             for a, z, first, end in some:
                 hide[place[at : at + z - a], to : to + end - first] = False
