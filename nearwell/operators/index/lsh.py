@@ -104,17 +104,20 @@ class LshIndex(VectorIndex):
         points = self.alive_cells().select("table_no", "cell", "id", "v")
         most = max(1, cells.CELL_BYTES // (8 * self.dim))
 
-        def crowded(rows: DataFrame, name: str) -> DataFrame:
+        def crowded(rows: DataFrame, name: str) -> DataFrame | None:
             """How many parts a bucket with more than `most` rows is dealt into: of all rows, one in `most` at most."""
             n = rows.groupBy("table_no", "cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
-            return F.broadcast(n.select("table_no", "cell", F.ceil(F.col("n") / most).alias(name)))
+            found = n.select("table_no", "cell", F.ceil(F.col("n") / most).alias(name)).toArrow()
+            return F.broadcast(self.spark.createDataFrame(found)) if found.num_rows else None
 
         many = {name: crowded(rows, name) for name, rows in (("pp", points), ("qp", asked))}
         every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
 
         def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
             for name, table in many.items():
-                rows = rows.join(table, ["table_no", "cell"], "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long")))
+                if table is not None:
+                    rows = rows.join(table, ["table_no", "cell"], "left")
+                rows = rows.withColumn(name, F.coalesce(name, F.lit(1).cast("long")) if table is not None else F.lit(1).cast("long"))
             rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)))
             return rows.select("table_no", "cell", F.lit(side).alias("side"), "id", "v", own, every(other).alias(f"_{other}")).withColumnRenamed(f"_{other}", other)
 
