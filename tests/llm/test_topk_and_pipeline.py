@@ -26,6 +26,8 @@ def brute(rows, k, every):
 def test_top_k(spark, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(exact_topk, "DATA_BLOCK", 100)
+        monkeypatch.setattr(exact_topk, "BLOCK_BYTES", 2000)
+        monkeypatch.setattr(exact_topk, "CELL_ROWS", 60)
         monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(6, 8))
