@@ -2,10 +2,12 @@
 
 A text's blocks are its lines and, across line ends, every run of as many words as a template has: comment signs aren't words, so a notice is
 found as it is wrapped in a source header. A block is a hit for a template if it holds at least CONTAINMENT of the template's distinct words.
-The join of the lines is exact: words are ordered by their frequency over all blocks, rarest first; a block that reaches a template's least overlap must hold one
+The join is exact: words are ordered by their frequency over all blocks, rarest first; a block that reaches a template's least overlap must hold one
 of the template's first (size - overlap + 1) words (prefix filter), must have enough words of the vocabulary (length filter), and the words
-that follow a shared one on both sides must suffice for the overlap (positional filter); what passes is verified by intersection. Runs are
-counted in place, in texts of several lines that as a whole hold enough of a template's words (no run of another text can). Besides, phrases are found where their words stand consecutively. All of it is DataFrame expressions.
+that follow a shared one on both sides must suffice for the overlap (positional filter); what passes is verified by intersection. Runs pass
+the same filters in the same order of words, but where they stand: they overlap, so that a row for each would repeat a text as often as a
+template is long. Only texts of several lines that as a whole hold enough of a template's words have runs to look at (no run of another text
+can be a hit). Besides, phrases are found where their words stand consecutively. All of it is DataFrame expressions.
 
 Defined cases: a null text counts as empty and has no words; rows may repeat and doc_id may be null; labels are empty strings where there
 are none; a template counts once per text however many blocks hold it; extra columns are ignored.
@@ -77,22 +79,28 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _runs(listed: Column, templates: Column) -> Column:
-    """(label, share) of the templates that a run of their length among the listed words holds enough of.
+def _runs(held: Column, templates: Column) -> Column:
+    """(label, share) of the templates that a run of their length holds enough of.
 
-    A run with the most words of a template may begin with one of them, and as many of them as the template is long go into it at most.
+    held: the words of the vocabulary in a text, and where they stand; the words of a template are in the global order. A run with the most
+    words of a template may begin with one of them, and as many of them as the template is long go into it at most.
     """
 
     def most(t: Column) -> Column:
-        held = F.filter(F.transform(listed, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(t["words"], x["word"]))
+        here = F.filter(F.transform(held, lambda x: F.struct(x["at"].alias("at"), F.array_position(t["words"], x["word"]).alias("place"))), lambda x: x["place"] > 0)
+        size = F.size(t["words"])
 
-        def overlap(held: Column) -> Column:
-            def run(first: Column, i: Column) -> Column:
-                return F.filter(F.slice(held, i + 1, t["span"]), lambda x: x["at"] < first["at"] + t["span"])
+        def overlap(here: Column) -> Column:
+            def places(first: Column, i: Column) -> Column:
+                run = F.filter(F.slice(here, i + 1, t["span"]), lambda x: x["at"] < first["at"] + t["span"])
+                # length filter: the last of the words that are needed stands in the run
+                return F.when(F.get(here, i + t["need"] - 1)["at"] < first["at"] + t["span"], F.transform(run, lambda x: x["place"]))
 
-            return F.array_max(F.transform(held, lambda first, i: F.size(F.array_distinct(F.transform(run(first, i), lambda x: x["word"])))))
+            # prefix and positional filter: the run's first word in the order is followed by enough others of the template
+            passed = F.filter(F.transform(here, places), lambda p: F.array_min(p) <= size - t["need"] + 1)
+            return F.array_max(F.transform(passed, lambda p: F.size(F.array_distinct(p))))
 
-        return F.struct(t["label"].alias("label"), t["need"].alias("need"), _bound(held, overlap).alias("overlap"), F.size(t["words"]).alias("size"))
+        return F.struct(t["label"].alias("label"), t["need"].alias("need"), _bound(here, overlap).alias("overlap"), size.alias("size"))
 
     enough = F.filter(F.transform(templates, most), lambda x: x["overlap"] >= x["need"])
     return F.transform(enough, lambda x: F.struct(x["label"].alias("label"), (x["overlap"] / x["size"]).alias("share")))
@@ -114,12 +122,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     vocab = F.array(*[F.lit(w) for w in vocabulary])
     blocks = F.transform(F.split(_lower(F.col("text")), "\n"), lambda line: F.array_intersect(F.split(line, BETWEEN + "+"), vocab))
     base = base.withColumn("blocks", blocks)
-    given = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(w) for w in s]).alias("words"), F.lit(least_overlap(len(s), containment)).alias("need"), F.lit(len(words(t))).alias("span")) for (label, t), (_, _, s) in zip(templates or TEMPLATES, sets, strict=True)])
+    given = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in s]).alias("words"), F.lit(least_overlap(len(s), containment)).alias("need")) for k, _, s in sets])
     fit = _bound(F.array_distinct(F.flatten("blocks")), lambda held: F.filter(given, lambda t: F.size(F.array_intersect(held, t["words"])) >= t["need"]))
-    base = base.withColumn("fit", F.when(F.size("blocks") > 1, fit))
-    runs = F.when(F.size("fit") > 0, _bound(_split(_lower(F.col("text"))), lambda listed: _runs(listed, F.col("fit"))))
-    runs = F.coalesce(runs, F.array().cast("array<struct<label:string,share:double>>"))
-    rows = base.select(F.monotonically_increasing_id().alias("row"), "key", "n_words", "places", "blocks", runs.alias("runs"))
+    base = base.withColumn("fit", F.when(F.size("blocks") > 1, F.transform(fit, lambda t: t["k"])))
+    held = F.filter(F.transform(_split(_lower(F.col("text"))), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(vocab, x["word"]))
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "key", "n_words", "places", "blocks", "fit", F.when(F.size("fit") > 0, held).alias("held"))
     rows = materialize(spark, rows, "blocks")
 
     # the global order: words of the templates by the number of blocks that hold them, at most the vocabulary's size
@@ -146,7 +153,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     hit = hit.withColumn("overlap", F.size(F.array_intersect("words_in", "words"))).where("overlap >= need")
     best = hit.groupBy("row").agg(F.collect_set("label").alias("method"), F.max(F.col("overlap") / F.size("words")).alias("best"))
 
-    out = rows.drop("blocks").join(materialize(spark, best, "hits"), "row", "left")
+    def ordered(k: int, label: str, held: list[str], span: int) -> Column:
+        words_of = F.array(*[F.lit(w) for w in sorted(held, key=rank.__getitem__)])
+        return F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), words_of.alias("words"), F.lit(least_overlap(len(held), containment)).alias("need"), F.lit(span).alias("span"))
+
+    given = F.array(*[ordered(k, label, s, len(words(t))) for (k, label, s), (_, t) in zip(sets, templates or TEMPLATES, strict=True)])
+    runs = F.when(F.size("fit") > 0, _runs(F.col("held"), F.filter(given, lambda t: F.array_contains("fit", t["k"]))))
+    rows = rows.withColumn("runs", F.coalesce(runs, F.array().cast("array<struct<label:string,share:double>>"))).drop("blocks", "fit", "held")
+
+    out = rows.join(materialize(spark, best, "hits"), "row", "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     method = F.array_union(F.coalesce("method", F.array().cast("array<string>")), F.transform("runs", lambda x: x["label"]))
     best = F.greatest("best", F.array_max(F.transform("runs", lambda x: x["share"])))
