@@ -394,6 +394,31 @@ def test_fingerprints(spark):
     assert one["near_next"] == 1.0
 
 
+def test_signatures_by_a_plain_loop():
+    """Every value of a few signatures, minimised and mixed in whole numbers of any size."""
+    wide = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & wide
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & wide
+        return x ^ x >> 33
+
+    rng = random.Random(12)
+    texts = ["", "  ", "one two", "a b c d e", fixtures.words(rng, 40), "x y " * 30, fixtures.words(rng, 3000)]
+    got = fingerprints.signatures(pa.array(texts, pa.string()))
+    assert got.shape == (len(texts), fingerprints.PERMUTATIONS)
+    for text, row in zip(texts, got.tolist(), strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        hashes = shingles.shingle_hashes(*shingles.word_hashes(raw, np.array([0, len(raw)])))[0].tolist()
+        assert len(hashes) == (0 if not text.split() else max(1, len(text.split()) - 4))
+        for k, value in enumerate(row):
+            a, b = int(fingerprints._A[k]), int(fingerprints._B[k])
+            least = min(((a * h + b) & wide for h in hashes), default=None)
+            assert value == (0xFFFF if least is None else mixed(least) & 0xFFFF)
+
+
 def test_fingerprints_estimate_and_pairs(spark):
     rng = random.Random(9)
     start = fixtures.words(rng, 300)
