@@ -212,3 +212,24 @@ def test_infinite_distances_are_found_by_indexes(spark):
 
 def test_root_undoes_powers():
     assert root(distances.get("l2"), np.array([9.0]))[0] == 3.0 and root(distances.get("kullback_leibler"), np.array([1.0])) is None
+
+
+def test_searches_that_would_look_at_half_of_all_points_scan_stored_cells(spark, clusters, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 32))  # isotropic: no cell can be left out
+    b, q = table(spark, x), table(spark, x[::2] + 0.01)
+    want = brute(x[::2] + 0.01, x, 4)
+    pairs, scored = [], cells.CellIndex._scored
+    monkeypatch.setattr(cells.CellIndex, "_scored", lambda self, queries, held, *a, **kw: pairs.append(len(held.ids)) or scored(self, queries, held, *a, **kw))
+    monkeypatch.setattr(cells, "FEW_PROBES", 0)
+    for method, params in (("kdtree", {"trees": 2}), ("kmeans", {"branching": 4}), ("hierarchical", {"trees": 2, "branching": 4})):
+        index = create(b.where("id < 150"), method, leaf_size=10, rebuild_threshold=0, **params).build()
+        index.add(b.where("id >= 150"))
+        for checks in (-1, 200, 1 << 30):
+            assert found(index.knn(q, 4, SearchParams(checks=checks))) == want
+        index.remove([0, 1, 2, 3])
+        assert found(index.knn(q, 4, SearchParams(checks=-1))) == found(knn.knn_join(q, b.where("id > 3"), 4))
+    assert max(pairs) <= cells.WEIGHED  # only the queries that a search is weighed by
+    monkeypatch.setattr(cells, "knn_join", lambda *a: (_ for _ in ()).throw(AssertionError("scanned")))
+    index = create(table(spark, clusters), "kmeans", branching=8, leaf_size=20).build()
+    near = table(spark, clusters[::15])
+    assert found(index.knn(near, 4, SearchParams(checks=-1))) == brute(clusters[::15], clusters, 4)
