@@ -120,3 +120,31 @@ def test_table_function(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_BYTES", 100)
     with pytest.raises(ValueError, match="knn_join"):
         table_functions.register_knn(spark, "near_test", b, 3)
+
+
+def test_near_values_hold_every_distance_within_their_error():
+    from nearwell.functions import distances
+
+    rng = np.random.default_rng(8)
+    q, b = rng.normal(size=(30, 9)) * 3, rng.normal(size=(70, 9)) * 3
+    q[:4, :5], b[:9, 3:] = 0, 0
+    b[20:30] = q[:10]
+    for name in ("l1", "max", "minkowski3", "minkowski2", "hist_intersect", "hellinger", "chi_square", "kullback_leibler", "kullback_leibler_query", "l2"):
+        for scale in (1.0, 1e-5, 1e4):
+            d = distances.get(name)
+            x, y = (np.abs(v) * scale for v in (q, b))
+            near, error = d.bounds(x, y)
+            assert (np.abs(near - d.matrix(x, y)) <= error).all() and error.shape == (1, len(b)), name
+    assert distances.get("kullback_leibler").bounds(q, b) is None and distances.get("chi_square").bounds(q, b) is None and distances.get("l1").bounds(q * 1e9, b) is None
+    with pytest.raises(ValueError):
+        distances.get("hellinger").bounds(q, b)
+
+
+def test_bits_of_longs_are_counted_by_word():
+    from nearwell.functions import distances
+
+    rng = np.random.default_rng(8)
+    q, b = rng.integers(0, 1 << 20, (7, 13)), rng.integers(0, 1 << 20, (11, 13))
+    want = [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(r, s, strict=True)) for s in b] for r in q]
+    assert distances.get("hamming").matrix(q.astype(float), b.astype(float)).tolist() == want
+    assert not distances.get("hamming").matrix(np.zeros((2, 3)), np.zeros((4, 3))).any()
