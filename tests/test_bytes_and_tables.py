@@ -148,3 +148,39 @@ def test_bits_of_longs_are_counted_by_word():
     want = [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(r, s, strict=True)) for s in b] for r in q]
     assert distances.get("hamming").matrix(q.astype(float), b.astype(float)).tolist() == want
     assert not distances.get("hamming").matrix(np.zeros((2, 3)), np.zeros((4, 3))).any()
+
+
+def test_few_components_meet_near_tiles_only(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = np.column_stack((rng.integers(0, 9, 6000), rng.normal(size=6000).round(2))), np.column_stack((rng.integers(0, 9, 700), rng.normal(size=700).round(2)))
+    met, meet = [], knn.meet
+    monkeypatch.setattr(knn, "TILE", 32)
+    monkeypatch.setattr(knn, "meet", lambda d, best, part, *a: met.append(len(part) * len(a[2])) or meet(d, best, part, *a))
+    for name in ("l2", "l1", "max", "minkowski3"):
+        want = [sorted(zip(r.tolist(), range(6000), strict=True))[:4] for r in distances.get(name).matrix(q, x)]
+        met.clear()
+        got = knn.best_of(np.arange(700), q, np.arange(6000), x, name, 4).to_pandas().sort_values(["qid", "dist", "id"])
+        assert [list(zip(g["dist"], g["id"], strict=True)) for _, g in got.groupby("qid")] == want
+        assert sum(met) < 700 * 6000 // 4, (name, sum(met))
+        near = knn.best_of(np.arange(700), q, np.arange(6000), x, name, None, 0.04)
+        assert near.num_rows == (distances.get(name).matrix(q, x) < 0.04).sum()
+
+
+def test_table_function_looks_about_the_place_of_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.column_stack((rng.integers(0, 3, 3000), rng.random(3000).round(3) * 100))
+    b, q = table(spark, x), table(spark, np.vstack((x[:20] + 0.01, [[1, -50.0], [1, 500.0]])))
+    q.createOrReplaceTempView("some_queries")
+    for name in ("l2", "chi_square", "kullback_leibler"):
+        y = np.abs(x) if name != "l2" else x
+        table_functions.register_knn(spark, f"near_{name}", table(spark, y), 4, name)
+        view = q.where("v[1] > 0") if name != "l2" else q
+        view.createOrReplaceTempView("some_queries")
+        got = spark.sql(f"SELECT q.id AS qid, n.rank, n.id, n.dist FROM some_queries q, LATERAL near_{name}(q.v) n")
+        assert found(got) == found(knn.knn_join(view, table(spark, y), 4, name, method="blocks"))
+    seen, best_of = [], knn.best_of
+    monkeypatch.setattr(knn, "best_of", lambda *a: seen.append(len(a[2])) or best_of(*a))
+    kept = {}
+    monkeypatch.setattr(type(spark.udtf), "register", lambda self, n, f: kept.update({n: f.func}))
+    table_functions.register_knn(spark, "counted", b, 4)
+    assert len(list(kept["counted"]().eval([1.0, 50.0]))) == 4 and max(seen) < 3000
