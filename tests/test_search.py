@@ -420,3 +420,13 @@ def test_samples_depend_on_ids_and_seed_only(spark):
     assert [r["id"] for r in sampling.first_rows(b, 4).collect()] == [0, 1, 2, 3]
     order = [r["id"] for r in sampling.permutation(b, 1).orderBy("order", "id").collect()]
     assert sorted(order) == list(range(300)) != order and order != [r["id"] for r in sampling.permutation(b, 2).orderBy("order", "id").collect()]
+
+
+def test_median_ranks_only_what_lies_about_it(spark):
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=5001), rng.integers(0, 3, 4000).astype(float), np.array([4.0, 1.0]), np.zeros(7)):
+        b = spark.createDataFrame([([float(v)],) for v in x] + [([None],)], "v array<double>")
+        got = stats.median(b, 0)
+        assert got.first()["median"] == np.sort(x)[(len(x) - 1) // 2]
+        assert "percentile_disc" not in got._jdf.queryExecution().toString().lower()
+    assert stats.median(spark.createDataFrame([], "v array<double>"), 0).first()["median"] is None
