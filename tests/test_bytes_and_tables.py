@@ -140,6 +140,48 @@ def test_near_values_hold_every_distance_within_their_error():
         distances.get("hellinger").bounds(q, b)
 
 
+def test_rough_near_values_are_within_their_error():
+    rng = np.random.default_rng(6)
+    for scale, shift in ((1.0, 0.0), (1e-12, 0.0), (1e6, 0.0), (1.0, 50.0)):
+        q, b = rng.random((40, 24)) * scale + shift, rng.random((300, 24)) * scale + shift
+        b[:5] = q[:5]
+        q[7, :9] = 0
+        for name in ("l2", "l1", "hellinger", "kullback_leibler", "kullback_leibler_query"):
+            d = distances.get(name)
+            near, error = d.bounds(q, b, True)
+            assert near.dtype == np.float32 and (np.abs(near - d.matrix(q, b)) <= error).all(), (name, scale, shift)
+            best = knn._Best(40, 6)
+            for _ in knn.meet(d, best, np.arange(40), np.arange(40), q, np.arange(300), b, None, True):
+                pass
+            want = np.sort(d.matrix(q, b), axis=1)[:, :6]
+            assert (best.dist == want).all(), (name, scale, shift)
+    assert distances.get("l1").bounds(q * 0, b * 0, True) is None and distances.get("l2").bounds(q * 1e200, b, True) is None
+
+
+def test_points_in_several_trees_count_once_when_merged():
+    best = knn._Best(3, 3, unique=True)
+    best._merge(np.array([0, 0, 0, 2, 2]), np.array([2.0, 1.0, 1.0, np.nan, 5.0]), np.array([8, 9, 4, 1, 2]))
+    best._merge(np.array([0, 0, 2]), np.array([1.0, 1.5, 5.0]), np.array([9, 7, 2]))
+    assert best.id[0].tolist() == [4, 9, 7] and best.dist[2].tolist() == [5.0, np.inf, np.inf] and best.dist[1].tolist() == [np.inf] * 3
+
+
+@pytest.mark.parametrize("fits", [1 << 20, 9000, 8000])
+def test_many_queries_are_not_one_task(spark, monkeypatch, fits):
+    """Over a base of one partition; with points sent, queries sent, and neither."""
+    monkeypatch.setattr(knn, "DEALT", 50)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", fits)
+    x = np.random.default_rng(2).random((900 if fits != 1 << 20 else 1200, 6)).round(1)
+    b, q = table(spark, x).coalesce(1), table(spark, x[:150] if fits != 1 << 20 else x).coalesce(1)
+    for name in ("l2", "l1"):
+        pairs = knn._candidates(q, b, name, 4, None, False, "auto")
+        assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+        d = distances.get(name).matrix(x[: q.count()], x)
+        np.fill_diagonal(d, np.inf)
+        got = found(knn.knn_join(q, b, 4, name, itself=False))
+        assert got == {(i, r + 1): (int(j), float(d[i, j])) for i in range(len(d)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:4])}
+    assert knn.radius_count(q, b, 0.05).agg(F.sum("n")).first()[0] == (distances.get("l2").matrix(x[: q.count()], x) < 0.05).sum()
+
+
 def test_bits_of_longs_are_counted_by_word():
     from nearwell.functions import distances
 
