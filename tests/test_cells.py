@@ -181,6 +181,25 @@ def test_equal_points_stay_in_one_leaf(spark):
     assert len(index.forest.leaves()) == 1 and [r["id"] for r in index.knn(table(spark, x[:1]), 3, SearchParams(checks=-1)).orderBy("rank").collect()] == [0, 1, 2]
 
 
+def test_many_pairs_of_query_and_cell_are_lists_of_numbers(spark, clusters, monkeypatch):
+    """No vector of a query is a row: the pairs meet the points as lists, also in crowded cells, and each point counts once."""
+    monkeypatch.setattr(cells.CellIndex, "_joined", lambda *a: (_ for _ in ()).throw(AssertionError("vectors are shuffled")))
+    monkeypatch.setattr(cells, "SCAN", 9.0)
+    x = np.vstack((clusters, np.tile(clusters[:1], (300, 1))))
+    b, q = table(spark, x), table(spark, clusters[::40] + 0.01)
+    for method, params in (("kdtree", {"trees": 3}), ("kmeans", {"branching": 4})):
+        index = create(b, method, leaf_size=20, **params).build()
+        index.remove([3, 40])
+        want = [found(index.knn(q, 5, SearchParams(checks=c))) for c in (60, -1)]
+        near = found(index.radius(q, 0.02))
+        with monkeypatch.context() as m:
+            m.setattr(cells, "PROBES", 0)
+            m.setattr(cells, "PACKED", 50)
+            m.setattr(cells, "CELL_BYTES", 48 * 100)
+            assert [found(index.knn(q, 5, SearchParams(checks=c))) for c in (60, -1)] == want
+            assert found(index.radius(q, 0.02)) == near and len(near)
+
+
 def test_queries_beyond_a_broadcast_meet_cells_by_a_shuffle(spark, clusters, monkeypatch):
     b, q = table(spark, clusters), table(spark, clusters[::10])
     index = create(b, "kdtree", trees=2, leaf_size=20).build()
