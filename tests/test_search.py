@@ -430,3 +430,44 @@ def test_median_ranks_only_what_lies_about_it(spark):
         assert got.first()["median"] == np.sort(x)[(len(x) - 1) // 2]
         assert "percentile_disc" not in got._jdf.queryExecution().toString().lower()
     assert stats.median(spark.createDataFrame([], "v array<double>"), 0).first()["median"] is None
+
+
+@pytest.mark.parametrize("name", ["l2", "l1", "hellinger", "kullback_leibler", "kullback_leibler_query"])
+@pytest.mark.parametrize("kind", ["even", "copies", "far", "zeros"])
+def test_screens_leave_out_no_neighbour(name, kind):
+    """Sides prepared once for products in single precision: the k best equal those of the distances themselves."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((5000, 24)) / 5
+    if kind == "copies":
+        x = x[r.integers(0, 400, len(x))]
+    elif kind == "far":
+        x = x + 1000
+    elif kind == "zeros":
+        x[r.random(x.shape) < 0.5] = 0
+    x = x if name in ("l2", "l1") else np.abs(x)
+    q, d, ids, qids = x[:300], distances.get(name), r.permutation(len(x)), np.arange(300)
+    assert d.screen(q, x) is not None
+    dist = d.matrix(q, x)
+    dist[qids[:, None] == ids[None, :]] = np.nan
+    near = d.screen(q, x)
+    held = np.empty(300 * len(x), np.float32)
+    values, error = near.near(slice(0, 300), slice(0, len(x)), held)
+    assert np.nanmax(values - dist) <= error.max()
+    assert near.floor or np.nanmax(dist - values) <= error.max()
+    got = knn.best_of(qids, q, ids, x, name, 4, itself=False).sort_by([("qid", "ascending"), ("dist", "ascending"), ("id", "ascending")])
+    order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :4]
+    assert got["qid"].to_pylist() == np.repeat(qids, 4).tolist()
+    assert got["id"].to_pylist() == ids[order].ravel().tolist()
+    assert got["dist"].to_pylist() == np.take_along_axis(dist, order, axis=1).ravel().tolist()
+
+
+def test_lower_bounds_of_l1_leave_few_pairs():
+    """Over vectors without structure a product of matrices tells nearly all pairs of l1 apart."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((20_000, 64))
+    d = distances.get("l1")
+    screen = d.screen(x[:256], x)
+    dist = d.matrix(x[:256], x)
+    near, error = screen.near(slice(0, 256), slice(0, len(x)), np.empty(256 * len(x), np.float32))
+    kth = np.partition(dist, 10, axis=1)[:, 10]
+    assert (near <= (kth + error.max())[:, None]).mean() < 0.05
