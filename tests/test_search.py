@@ -471,3 +471,44 @@ def test_lower_bounds_of_l1_leave_few_pairs():
     near, error = screen.near(slice(0, 256), slice(0, len(x)), np.empty(256 * len(x), np.float32))
     kth = np.partition(dist, 10, axis=1)[:, 10]
     assert (near <= (kth + error.max())[:, None]).mean() < 0.05
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_all_within_a_radius_is_ranked_where_it_is_found(spark, monkeypatch, sent):
+    """No found pair is shuffled: the plan has no window, and ranks are those of a sort by (dist, id), also where queries share an id."""
+    monkeypatch.setattr(knn, "DEALT", 64)
+    if not sent:
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", 4096)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((700, 6))
+    x[300:400] = x[100:200]
+    ids = [5, 5, *range(10, 708)]
+    t = table(spark, x, ids)
+    for itself in (True, False):
+        out = knn.radius_join(t, t, 2.0, itself=itself)
+        assert "Window" not in out._jdf.queryExecution().toString()
+        want, dist = {}, distances.get("l2").matrix(x, x)
+        for i, j in zip(*np.nonzero(dist < 2.0), strict=True):
+            if itself or ids[i] != ids[j]:
+                want.setdefault(ids[i], []).append((dist[i, j], ids[j]))
+        want = sorted((q, n + 1, p, d) for q, v in want.items() for n, (d, p) in enumerate(sorted(v)))
+        assert sorted(map(tuple, out.collect())) == want
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_radius_of_cells_is_ranked_where_it_is_found(spark, monkeypatch, sent):
+    from nearwell.operators.index import cells
+
+    monkeypatch.setattr(cells, "PROBES", 100)
+    r = np.random.default_rng(9)
+    b, q = r.random((2000, 2)) * [20, 1000], r.random((300, 2)) * [20, 1000]
+    index = create(table(spark, b), "kdtree_single", leaf_size=20).build()
+    index.remove([3, 4, 5])
+    if not sent:
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", 1024)
+    out = index.radius(table(spark, q), 900.0)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    dist = distances.get("l2").matrix(q, b)
+    dist[:, [3, 4, 5]] = np.inf
+    want = sorted((i, n + 1, int(p), dist[i, p]) for i in range(len(q)) for n, p in enumerate(np.lexsort((np.arange(len(b)), dist[i]))) if dist[i, p] < 900)
+    assert sorted(map(tuple, out.collect())) == want
