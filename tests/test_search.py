@@ -512,3 +512,12 @@ def test_radius_of_cells_is_ranked_where_it_is_found(spark, monkeypatch, sent):
     dist[:, [3, 4, 5]] = np.inf
     want = sorted((i, n + 1, int(p), dist[i, p]) for i in range(len(q)) for n, p in enumerate(np.lexsort((np.arange(len(b)), dist[i]))) if dist[i, p] < 900)
     assert sorted(map(tuple, out.collect())) == want
+
+
+@pytest.mark.parametrize("name", [n for n in distances.DISTANCES if not n.startswith("hamming")])
+@pytest.mark.parametrize("n", [1, 7, 8, 513, 1031])
+def test_pairs_add_in_order_of_components(name, n):
+    """A pair's distance has the same bits as in a matrix, whatever the number of pairs."""
+    r = np.random.default_rng(n)
+    q, b, d = r.random((n, 37)), r.random((n, 37)), distances.get(name)
+    assert d.pairs(q, b).tolist() == [float(d.matrix(q[i : i + 1], b[i : i + 1])[0, 0]) for i in range(n)]
