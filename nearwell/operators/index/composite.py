@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..evaluate import checks_for_precision, recall
 from ..knn import knn_join, ranked
@@ -14,10 +14,16 @@ from .base import TRAIN, SearchParams, VectorIndex, create, register
 
 @register("composite")
 class CompositeIndex(VectorIndex):
-    """Candidates of both parts, each point once."""
+    """Candidates of both parts, each point once. Points are stored by the parts alone."""
 
     exact = False
 
+    def save_points(self, folder: str) -> None: ...
+
+    @classmethod
+    def saved_points(cls, spark: SparkSession, folder: str, meta: dict, children: dict[str, VectorIndex]) -> DataFrame:
+        return children["part0"].points
+
     def build(self) -> VectorIndex:
         super().build()
         names = {k: v for k, v in self.params.__dict__.items() if k != "extra"}
@@ -110,6 +116,12 @@ class AutotunedIndex(VectorIndex):
         super().add(points)
         self.best.add(points)
 
+    def save_points(self, folder: str) -> None: ...
+
+    @classmethod
+    def saved_points(cls, spark: SparkSession, folder: str, meta: dict, children: dict[str, VectorIndex]) -> DataFrame:
+        return children["best"].points
+
     def children(self) -> dict[str, VectorIndex]:
         return {"best": self.best}
 

@@ -1,6 +1,7 @@
 """Points stored by cell: what a search reads, how exact it is, and how cells grow."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -252,3 +253,44 @@ def test_searches_that_would_look_at_half_of_all_points_scan_stored_cells(spark,
     index = create(table(spark, clusters), "kmeans", branching=8, leaf_size=20).build()
     near = table(spark, clusters[::15])
     assert found(index.knn(near, 4, SearchParams(checks=-1))) == brute(clusters[::15], clusters, 4)
+
+
+def _written(path):
+    """(type of a stored vector's components, all files below path)"""
+    import pyarrow.parquet as pq
+
+    files = list(Path(path).rglob("*.parquet"))
+    schema = pq.ParquetFile(files[0]).schema_arrow
+    return str(schema.field("v").type.value_type), files
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_points_are_stored_once_and_in_single_precision_where_nothing_is_lost(spark, clusters, tmp_path, single):
+    x = clusters[:600].astype(np.float32).astype(float) if single else clusters[:600]
+    index = create(table(spark, x[:400]), "kdtree", trees=2, leaf_size=20, rebuild_threshold=0).build()
+    index.add(table(spark, clusters[400:600], range(400, 600)))  # doubles, whatever the others are
+    assert [_written(path)[0] for path, _ in index.tables][:1] == ["float" if single else "double"]
+    assert _written(index.tables[1][0])[0] == "double"
+    x = np.concatenate((x[:400], clusters[400:600]))
+    q = table(spark, x[::30])
+    want = brute(x[::30], x, 4)
+    assert found(index.knn(q, 4, SearchParams(checks=-1))) == want == found(index.knn(q, 4, SearchParams(checks=1 << 30)))
+    index.save(str(tmp_path / "index"))
+    assert not (tmp_path / "index" / "points").exists()
+    again = load(spark, str(tmp_path / "index"))
+    assert found(again.knn(q, 4, SearchParams(checks=-1))) == want and again.size() == 600 == again.points.count()
+    assert again.get_point(7).first()["v"] == x[7].tolist()
+
+
+def test_building_shuffles_no_points_unless_they_are_many(spark, clusters, monkeypatch):
+    b = table(spark, clusters)
+    dealt = []
+    plain = type(b).repartition
+    monkeypatch.setattr(type(b), "repartition", lambda self, *a: dealt.append(a) or plain(self, *a))
+    few = create(b, "kdtree", trees=2, leaf_size=20).build()
+    assert not dealt
+    monkeypatch.setattr(cells, "DIRECT_BYTES", 0)
+    many = create(b, "kdtree", trees=2, leaf_size=20).build()
+    assert dealt
+    read = lambda i: {r[:3]: r[3] for r in i.cells.collect()}
+    assert read(few) == read(many)

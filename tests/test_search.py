@@ -521,3 +521,19 @@ def test_pairs_add_in_order_of_components(name, n):
     r = np.random.default_rng(n)
     q, b, d = r.random((n, 37)), r.random((n, 37)), distances.get(name)
     assert d.pairs(q, b).tolist() == [float(d.matrix(q[i : i + 1], b[i : i + 1])[0, 0]) for i in range(n)]
+
+
+@pytest.mark.parametrize("fits", [1 << 20, 4096, 512])
+def test_vectors_of_floats_are_dealt_as_floats(spark, monkeypatch, fits):
+    """Points sent, queries sent, and neither; l2 and l1."""
+    monkeypatch.setattr(knn, "DEALT", 10)
+    x = np.random.default_rng(8).normal(size=(90, 6)).astype(np.float32).astype(float)
+    b, few = table(spark, x), table(spark, x[:50 if fits == 4096 else 90])
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 50 * 32 if fits == 4096 else fits)
+    for name in ("l2", "l1"):
+        out = knn.knn_join(few, b, 4, name)
+        assert "array<float>" in out._jdf.queryExecution().analyzed().toString()
+        assert found(out) == brute(x[: few.count()], x, 4, name)
+    other = table(spark, x + 1e-12)
+    out = knn.knn_join(few, other, 4)
+    assert "array<float>" not in out._jdf.queryExecution().analyzed().toString() and found(out) == brute(x[: few.count()], x + 1e-12, 4)
