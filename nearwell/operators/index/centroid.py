@@ -32,7 +32,7 @@ def _seeds(x: np.ndarray, k: int, rng: np.random.Generator, chooser: str, name:
 def _lloyd(x: np.ndarray, centres: np.ndarray, iterations: int, name: str) -> tuple[np.ndarray, np.ndarray]:
     d, done = distances.get(name), 0
     while True:
-        near = np.concatenate([d.matrix(x[a : a + 4096], centres).argmin(axis=1) for a in range(0, len(x), 4096)])
+        near = np.concatenate([d.nearest(x[a : a + 4096], centres) for a in range(0, len(x), 4096)])
         if done == iterations:
             return centres, near
         new = centres.copy()

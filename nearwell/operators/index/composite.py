@@ -44,6 +44,10 @@ class CompositeIndex(VectorIndex):
     def knn(self, queries: DataFrame, k: int, params: SearchParams | None = None) -> DataFrame:
         if params is not None and params.checks == -1:
             return knn_join(queries, self.alive(), k, self.distance)
+        params = params or SearchParams()
+        for p in self._parts():
+            if p.scans(params, k):  # all points: the other part could add nothing
+                return p.knn(queries, k, params)
         a, b = (p.knn(queries, k, params).select("qid", "id", "dist") for p in self._parts())
         return ranked(a.unionByName(b).dropDuplicates(["qid", "id"]), k)
 

@@ -294,3 +294,13 @@ def test_building_shuffles_no_points_unless_they_are_many(spark, clusters, monke
     assert dealt
     read = lambda i: {r[:3]: r[3] for r in i.cells.collect()}
     assert read(few) == read(many)
+
+
+def test_a_composite_scans_once(spark, clusters, monkeypatch):
+    b, q = table(spark, clusters[:500]), table(spark, clusters[:500:25])
+    index = create(b, "composite", trees=2, branching=4, leaf_size=20).build()
+    calls = []
+    monkeypatch.setattr(cells, "knn_join", lambda *a, **kw: calls.append(a) or knn.knn_join(*a, **kw))
+    assert found(index.knn(q, 4, SearchParams(checks=1 << 30))) == brute(clusters[:500:25], clusters[:500], 4)
+    assert len(calls) == 1
+    assert index.knn(q, 4, SearchParams(checks=40)).count() == 80 and len(calls) == 1

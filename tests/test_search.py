@@ -537,3 +537,10 @@ def test_vectors_of_floats_are_dealt_as_floats(spark, monkeypatch, fits):
     other = table(spark, x + 1e-12)
     out = knn.knn_join(few, other, 4)
     assert "array<float>" not in out._jdf.queryExecution().analyzed().toString() and found(out) == brute(x[: few.count()], x + 1e-12, 4)
+
+
+@pytest.mark.parametrize("name", ["l2", "l1", "minkowski3", "l2_3d", "hellinger", "chi_square"])
+def test_nearest_centres_are_those_of_the_matrix(name):
+    d, x = distances.get(name), np.random.default_rng(2).random((300, 7))
+    centres = np.vstack((x[:5], x[:5]))  # ties
+    assert (d.nearest(x, centres) == d.matrix(x, centres).argmin(axis=1)).all() and d.nearest(x[:5], centres).max() < 5
