@@ -304,3 +304,13 @@ def test_a_composite_scans_once(spark, clusters, monkeypatch):
     assert found(index.knn(q, 4, SearchParams(checks=1 << 30))) == brute(clusters[:500:25], clusters[:500], 4)
     assert len(calls) == 1
     assert index.knn(q, 4, SearchParams(checks=40)).count() == 80 and len(calls) == 1
+
+
+def test_the_training_sample_is_cut_before_it_is_sorted(spark, clusters):
+    b = table(spark, clusters)
+    index = create(b, "kdtree", leaf_size=20).build()
+    want = [r["id"] for r in b.orderBy(F.xxhash64("id", F.lit(0)), "id").limit(60).collect()]
+    ids, x = index.sample(60)
+    assert ids.tolist() == want and (x == clusters[ids]).all()
+    same = create(table(spark, clusters[:400], [5] * 400), "kdtree", leaf_size=20).build()
+    assert len(same.sample(60)[0]) == 60  # one hash: the cut leaves none or all

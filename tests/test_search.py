@@ -539,6 +539,17 @@ def test_vectors_of_floats_are_dealt_as_floats(spark, monkeypatch, fits):
     assert "array<float>" not in out._jdf.queryExecution().analyzed().toString() and found(out) == brute(x[: few.count()], x + 1e-12, 4)
 
 
+def test_blocks_are_shuffled_once(spark, monkeypatch):
+    """However many blocks either side has, none is copied by the shuffle."""
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 512)
+    x = np.random.default_rng(9).normal(size=(120, 6))
+    b = table(spark, x)
+    out = knn.knn_join(b, b, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert found(out) == brute(x, x, 4)
+
+
 @pytest.mark.parametrize("name", ["l2", "l1", "minkowski3", "l2_3d", "hellinger", "chi_square"])
 def test_nearest_centres_are_those_of_the_matrix(name):
     d, x = distances.get(name), np.random.default_rng(2).random((300, 7))
