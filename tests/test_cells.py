@@ -296,6 +296,22 @@ def test_building_shuffles_no_points_unless_they_are_many(spark, clusters, monke
     assert read(few) == read(many)
 
 
+def test_removed_ids_are_sent_to_the_points(spark, clusters):
+    b = table(spark, clusters)
+    index = create(b, "kdtree", trees=2, leaf_size=20).build()
+    index.remove(b.where("id % 3 = 0").select("id"))
+    index.remove([1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # by size alone nothing is sent
+    try:
+        plan = index.alive_cells()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    left = np.array([i for i in range(len(clusters)) if i % 3 and i != 1])
+    want = {k: (int(left[i]), d) for k, (i, d) in brute(clusters[:9], clusters[left], 3).items()}
+    assert found(index.knn(table(spark, clusters[:9]), 3, SearchParams(checks=-1))) == want
+
+
 def test_a_composite_scans_once(spark, clusters, monkeypatch):
     b, q = table(spark, clusters[:500]), table(spark, clusters[:500:25])
     index = create(b, "composite", trees=2, branching=4, leaf_size=20).build()
