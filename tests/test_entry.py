@@ -32,3 +32,14 @@ def test_against_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted(tuple(r[c] for c in columns) for r in df.collect())
     assert got == sorted(zip(*(want[c].to_pylist() for c in columns), strict=True))
+
+
+def test_every_document_asks_the_medoid_trees(spark):
+    """Those of equal bits ask once, and count for as many as they are."""
+    import duckdb
+
+    got = __spark_entry__.queries()["medoid_hamming_recall"](spark, SF).first()
+    documents = duckdb.sql(f"SELECT count(DISTINCT doc_id) FROM '{SF}/documents.parquet' WHERE length(text) > 0").fetchall()[0][0]
+    assert got["reaches"] and got["total"] == 5 * documents
+    want = duckdb.sql(__spark_entry__.oracle_sql()["medoid_hamming_recall"].replace("FROM documents", f"FROM '{SF}/documents.parquet'")).fetchall()[0]
+    assert tuple(got) == want
