@@ -555,3 +555,30 @@ def test_nearest_centres_are_those_of_the_matrix(name):
     d, x = distances.get(name), np.random.default_rng(2).random((300, 7))
     centres = np.vstack((x[:5], x[:5]))  # ties
     assert (d.nearest(x, centres) == d.matrix(x, centres).argmin(axis=1)).all() and d.nearest(x[:5], centres).max() < 5
+
+
+def _all_within(x, ids, name, radius, itself):
+    dist = distances.get(name).matrix(x, x)
+    want = {}
+    for i, j in zip(*np.nonzero(dist < radius), strict=True):
+        if itself or ids[i] != ids[j]:
+            want[ids[i]] = want.get(ids[i], 0) + 1
+    return want
+
+
+@pytest.mark.parametrize("fits", [1 << 20, 8192])
+@pytest.mark.parametrize("name, dim", [("l2", 6), ("l1", 6), ("l2", 2), ("l2_3d", 6)])
+def test_pairs_within_a_radius_are_counted_where_they_are_found(spark, monkeypatch, name, dim, fits):
+    """No pair leaves a task: counts do, also of queries that share an id, of copies and of distances equal to the radius."""
+    monkeypatch.setattr(knn, "DEALT", 64)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", fits)
+    x = np.random.default_rng(3).random((600, dim)).astype(np.float32).astype(float)
+    x[300:400] = x[100:200]
+    ids = [5, 5, *range(10, 608)]
+    t, radius = table(spark, x, ids), float(distances.get(name).matrix(x[:1], x[9:10])[0, 0])
+    for itself in (True, False):
+        out = knn.within(t, t, radius, name, itself)
+        assert "dist" not in out._jdf.queryExecution().executedPlan().toString()
+        want = _all_within(x, ids, name, radius, itself)
+        assert {r["qid"]: r["n"] for r in out.collect()} == want
+        assert evaluate.found_total(out).first()[0] == sum(want.values())
