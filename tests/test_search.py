@@ -582,3 +582,34 @@ def test_pairs_within_a_radius_are_counted_where_they_are_found(spark, monkeypat
         want = _all_within(x, ids, name, radius, itself)
         assert {r["qid"]: r["n"] for r in out.collect()} == want
         assert evaluate.found_total(out).first()[0] == sum(want.values())
+
+
+@pytest.mark.parametrize("kind", ["even", "copies", "far", "zeros", "wide"])
+def test_lower_bounds_of_chi_square_leave_out_no_neighbour(kind):
+    r = np.random.default_rng(6)
+    x = np.abs(r.standard_normal((5000, 24)))
+    if kind == "copies":
+        x = x[r.integers(0, 400, len(x))]
+    elif kind == "far":
+        x = x + 1000
+    elif kind == "zeros":
+        x[r.random(x.shape) < 0.5] = 0
+    elif kind == "wide":
+        x = 10 ** (20 * r.standard_normal(x.shape)).clip(-300, 25)
+    q, d, ids, qids = x[:300], distances.get("chi_square"), r.permutation(len(x)), np.arange(300)
+    near, error = d.screen(q, x).near(slice(0, 300), slice(0, len(x)), np.empty(300 * len(x), np.float32))
+    dist = d.matrix(q, x)
+    assert (near - dist).max() <= error.max()
+    order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :4]
+    got = knn.best_of(qids, q, ids, x, "chi_square", 4).sort_by([("qid", "ascending"), ("dist", "ascending"), ("id", "ascending")])
+    assert got["id"].to_pylist() == ids[order].ravel().tolist()
+    assert got["dist"].to_pylist() == np.take_along_axis(dist, order, axis=1).ravel().tolist()
+
+
+def test_lower_bounds_of_chi_square_leave_few_pairs():
+    r = np.random.default_rng(5)
+    x = np.abs(r.standard_normal((20_000, 64)))
+    d = distances.get("chi_square")
+    near, error = d.screen(x[:256], x).near(slice(0, 256), slice(0, len(x)), np.empty(256 * len(x), np.float32))
+    kth = np.partition(d.matrix(x[:256], x), 10, axis=1)[:, 10]
+    assert (near <= (kth + error.max())[:, None]).mean() < 0.05
