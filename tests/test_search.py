@@ -613,3 +613,26 @@ def test_lower_bounds_of_chi_square_leave_few_pairs():
     near, error = d.screen(x[:256], x).near(slice(0, 256), slice(0, len(x)), np.empty(256 * len(x), np.float32))
     kth = np.partition(d.matrix(x[:256], x), 10, axis=1)[:, 10]
     assert (near <= (kth + error.max())[:, None]).mean() < 0.05
+
+
+def test_all_points_are_shuffled_once_for_a_radius(spark, monkeypatch):
+    """However many tasks hold all points, the shuffle makes no copy for each; several tiles, and queries that share an id."""
+    from nearwell.operators.index import cells
+
+    monkeypatch.setattr(knn, "DEALT", 64)
+    monkeypatch.setattr(cells, "PROBES", 100)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 1024)
+    monkeypatch.setattr(knn, "TILE_BYTES", 16 << 10)
+    r = np.random.default_rng(10)
+    for dim, scale, radius in ((6, 1, 0.5), (2, [20, 1000], 900.0)):
+        x = r.random((900, dim)) * scale
+        ids = [5, 5, *range(10, 908)]
+        q, b = table(spark, x, ids), table(spark, x)
+        index = create(b, "kdtree_single", leaf_size=20).build()
+        out = index.radius(q, radius) if dim == 2 else knn.radius_join(q, b, radius)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+        want, dist = {}, distances.get("l2").matrix(x, x)
+        for i, j in zip(*np.nonzero(dist < radius), strict=True):
+            want.setdefault(ids[i], []).append((dist[i, j], int(j)))
+        assert sorted(map(tuple, out.collect())) == sorted((i, n + 1, p, d) for i, v in want.items() for n, (d, p) in enumerate(sorted(v)))
